@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerframe.llm.dedup import exact_dedup
 from ledgerframe.llm.mixing import mix
+from ledgerframe.llm.packing import pack
+from ledgerframe.llm.quality import classify
 from ledgerframe.llm.sharding import shard
+from ledgerframe.llm.token_files import token_files
+from ledgerframe.llm.warc import archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +29,23 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_exact_dedup, op5_sharding)}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_exact_dedup, op5_sharding, op6_quality, op7_token_files, op8_warc, op9_packing)}
 
 ORACLE_SQL = {
     "op2_mixing": r"""
@@ -54,4 +74,11 @@ ORACLE_SQL = {
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS h FROM pages),
+        f AS (SELECT page_id, octet_length(h) AS n, sha256(h) AS d, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND first < page_id THEN first END AS refers_to
+        FROM f""",
 }
