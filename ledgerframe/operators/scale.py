@@ -33,7 +33,7 @@ def numbered(df: DataFrame, by: list[str], order: list[Column], spread: list[Col
     `rows` is the count of df. The table of block counts has (groups x blocks) rows.
     """
     blocks = max(16, -(-rows // BLOCK_ROWS))
-    block = F.pmod(F.xxhash64(*spread), F.lit(blocks))
+    block = F.pmod(F.xxhash64(F.lit("block"), *spread), F.lit(blocks))  # a hash of its own: callers often group by one of `spread`
     if first is not None:
         block = first.cast("long") * blocks + block
     keyed = df.withColumn("_block", block)
