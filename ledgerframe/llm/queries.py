@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerframe.llm.dedup import exact_dedup
+from ledgerframe.llm.licences import scan
 from ledgerframe.llm.mixing import mix
+from ledgerframe.llm.neardup import near_duplicates
 from ledgerframe.llm.packing import pack
 from ledgerframe.llm.quality import classify
 from ledgerframe.llm.sharding import shard
@@ -17,10 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -45,7 +55,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_exact_dedup, op5_sharding, op6_quality, op7_token_files, op8_warc, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_mixing, op3_licences, op4_exact_dedup, op5_sharding, op6_quality, op7_token_files, op8_warc, op9_packing)}
 
 ORACLE_SQL = {
     "op2_mixing": r"""

@@ -17,6 +17,8 @@ from ledgerframe.session import materialise, scratch
 REVISIT_BYTES = 100
 #: Ranges this close are read together, up to so many bytes at once.
 GAP, MOST_READ = 1 << 16, 1 << 23
+#: Bytes of archives that one task reads on average.
+TASK_BYTES = 1 << 26
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "file string, offset long, length long, url string, digest string, page_id long"
 
@@ -145,7 +147,8 @@ def read(index: DataFrame, folder: str) -> DataFrame:
             handle.close()
 
     rows = index.select("file", "offset", "length")
-    spread = rows.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    tasks = max(8, -(-(rows.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    spread = rows.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return spread.mapInPandas(one, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
