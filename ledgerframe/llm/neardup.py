@@ -20,8 +20,11 @@ from ledgerframe.session import forget, materialise
 SHINGLE, LEAST = 5, 0.8
 #: Minimum shingles that one Order MinHash keeps, hashes of a band, and bands: a pair of similarity 0.8 meets with 0.999.
 ORDER, ROWS, BANDS = 3, 2, 24
-#: Hashes of a signature's 48 that agree in a pair worth aligning; a pair of similarity 0.8 has fewer once in 100,000.
-AGREE = 26
+#: Bits of a signature's ORDER * 48 that agree in a pair worth aligning. A pair of similarity 0.8 has 120 on average,
+#: with a deviation of 4.4.
+AGREE = 100
+#: Buckets up to this size form their pairs; in larger ones texts meet in blocks of about so many shingles.
+SMALL, BLOCK = 24, 500_000
 
 _seeds = mix(np.arange(1, 2 * ROWS * BANDS + 1, dtype=np.uint64))
 _XOR, _MUL = _seeds[::2, None], _seeds[1::2, None] | np.uint64(1)
@@ -55,7 +58,7 @@ def order_minhash(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and signature of labelled shingles.
 
     For each hash function the ORDER smallest shingles are taken and kept in text order; a band joins ROWS of
-    them. The signature has 16 bits of each function's smallest shingle.
+    them. The signature has one bit of each taken shingle, as ORDER numbers of a bit for each function.
     """
     functions, take = ROWS * BANDS, min(ORDER, len(x))
     places = np.empty((functions, take), dtype=np.int64)
@@ -67,7 +70,8 @@ def order_minhash(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             p = v.argmin(axis=1)
             places[i : i + block, t] = p
             v[rows, p] = _TOP
-    signature = (x[places[:, 0]] & np.uint64(0xFFFF)).astype(np.int32)
+    signature = np.zeros(ORDER, dtype=np.int64)
+    signature[:take] = ((x[places] >> np.uint64(17)) & np.uint64(1)).astype(np.int64).T @ (1 << np.arange(functions, dtype=np.int64))
     places.sort(axis=1)
     sketch = np.zeros(functions, dtype=np.uint64)
     for t in range(take):
@@ -123,7 +127,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pd.concat([batch.drop(columns="text").reset_index(drop=True), frame], axis=1)
 
     known = docs.select(F.col("doc_id").cast("string").alias("doc_id"), digest(F.col("text")).alias("digest"), "text")
-    out = known.mapInPandas(one, "doc_id string, digest binary, words binary, n int, bands array<long>, signature array<int>")
+    out = known.mapInPandas(one, "doc_id string, digest binary, words binary, n int, bands array<long>, signature array<long>")
     return out.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.monotonically_increasing_id())
 
 
@@ -132,9 +136,17 @@ def _comparable(n: Column, m: Column) -> Column:
     return F.least(n, m) * (1 + LEAST) >= LEAST * (n + m)
 
 
-def _alike(a: Column, b: Column) -> Column:
+def _alike(x: str, y: str) -> Column:
     """Signatures that agree as often as a link's."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= AGREE
+    differ = [F.bit_count(F.col(f"{x}_signature")[i].bitwiseXOR(F.col(f"{y}_signature")[i])) for i in range(ORDER)]
+    return sum(differ[1:], differ[0]) <= ORDER * ROWS * BANDS - AGREE
+
+
+def _worth(pairs: DataFrame, brief: DataFrame) -> DataFrame:
+    """Those (a, b) whose sizes and signatures leave room for a link."""
+    x, y = (brief.select(*[F.col(c).alias(f"{name}_{c}") for c in brief.columns]) for name in "xy")
+    joined = pairs.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
+    return joined.filter(_comparable(F.col("x_n"), F.col("y_n")) & _alike("x", "y")).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -168,49 +180,88 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shingles align in order; classes are the components of these links. Texts with the same words are one text,
     texts without words only if they are equal; null counts as empty. Null ids come after all others. No rows give no rows.
 
-    Within a bucket of equal band keys every text is first aligned with the bucket's first text. This joins large
-    groups without forming their pairs. Where a bucket still holds texts of different components, those pairs
-    across components that agree in size and signature are aligned as well, so no link between candidates is lost.
+    Within a bucket of equal band keys every text is first aligned with the bucket's first text, which joins large
+    groups without forming their pairs. Where a bucket still holds texts of different components, these meet as
+    well, so that no link between candidates is lost: in small buckets pair by pair, in large ones block by block,
+    where `settle` finds the links from an index of shingles.
     """
     base = materialise(sketches(docs), "near-sketches")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     groups = materialise(base.groupBy("words").agg(F.min("row").alias("node"), F.count("*").alias("rows"), first.alias("first")), "near-texts")
     reps = base.join(groups.select("node"), F.col("row") == F.col("node"), "left_semi").filter("n > 0").select(F.col("row").alias("node"), "n", "bands", "signature", "digest", "doc_id")
     reps = materialise(reps, "near-reps")
-    entries = reps.select("node", F.explode("bands").alias("key"))
-    buckets = materialise(entries.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).filter("size > 1"), "near-buckets")
-    shared = materialise(join_groups(entries, buckets, "key", "size").select("key", "node", "leader", "size"), "near-entries")
+    entries = reps.select("node", "n", F.explode("bands").alias("key"))
+    buckets = entries.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("size > 1")
+    buckets = materialise(buckets, "near-buckets")
+    shared = materialise(join_groups(entries.select("key", "node"), buckets, "key", "size").select("key", "node", "leader", "size"), "near-entries")
 
     brief = reps.select("node", "n", "signature")
-    side = lambda name: brief.select(*[F.col(c).alias(f"{name}_{c}") for c in brief.columns])
     stars = shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(side("x"), F.col("a") == F.col("x_node")).join(side("y"), F.col("b") == F.col("y_node"))
-    stars = materialise(stars.filter(_comparable(F.col("x_n"), F.col("y_n")) & _alike(F.col("x_signature"), F.col("y_signature"))).select("a", "b"), "near-stars")
-    texts = _texts(docs, reps, stars)
-    links = materialise(verified(stars, texts), "near-links")
-
+    tested = materialise(_worth(stars, brief), "near-pairs")
+    links = materialise(verified(tested, _texts(docs, reps, tested)), "near-links")
     known = connected_components(links)
-    labelled = shared.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    labelled = shared.join(known, "node", "left").select("key", "node", "leader", "size", F.coalesce("component", "node").alias("label"))
     labelled = materialise(labelled, "near-labels")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    open_ = labelled.join(mixed, "key", "left_semi").join(brief, "node")
-    x, y = (open_.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "label", "n", "signature")]) for name in "xy")
-    across = x.join(y, "key").filter("x_node < y_node and x_label <> y_label").filter(_comparable(F.col("x_n"), F.col("y_n")) & _alike(F.col("x_signature"), F.col("y_signature")))
-    across = across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    across = materialise(across, "near-across")
-    more = materialise(verified(across, _texts(docs, reps, across)), "near-links")
-    classes = connected_components(links.union(more))
+    lows = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("size").alias("size")).filter("low <> high and size > 2").select("key", "size")
+    lows = materialise(lows, "near-open")
+    small = labelled.join(lows.filter(F.col("size") <= SMALL).select("key"), "key", "left_semi").filter("node <> leader").join(brief, "node")
+    x, y = (small.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "label", "n", "signature")]) for name in "xy")
+    across = x.join(y, "key").filter("x_node < y_node and x_label <> y_label").filter(_comparable(F.col("x_n"), F.col("y_n")) & _alike("x", "y"))
+    pairs = materialise(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    links = links.union(materialise(verified(pairs, _texts(docs, reps, pairs)), "near-links"))
+
+    large = buckets.join(lows.filter(F.col("size") > SMALL).select("key"), "key", "left_semi").select("key", "size", F.ceil(F.col("shingles") / BLOCK).cast("int").alias("blocks"))
+    large = materialise(join_groups(labelled.select("key", "node", "label"), large, "key", "size"), "near-large")
+    spread = large.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label")
+    spread = spread.join(_texts(docs, reps, large.select(F.col("node").alias("a"), F.col("node").alias("b"))), "node")
+    links = links.union(materialise(spread.groupBy("key", "i", "j").applyInPandas(settle, "a long, b long"), "near-links"))
+    classes = connected_components(links)
 
     named = groups.join(classes, "node", "left").withColumn("label", F.coalesce("component", "node"))
     named = materialise(named.select("words", "rows", "first", "label"), "near-classes")
     ends = named.groupBy("label").agg(F.min("first").alias("best"), F.sum("rows").alias("class_size"), F.count("*").alias("texts"))
     ends = join_groups(named, ends, "label", "texts").select("words", "rows", "best", "class_size")
     out = join_groups(base.select("doc_id", "row", "words", "digest"), ends, "words", "rows")
-    for table in (shared, buckets, labelled):
+    for table in (shared, labelled, large):
         forget(table)
     return out.select("doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"), "digest")
 
 
+def settle(group: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) that join the components of a block (node, label, text), as few as join them.
+
+    Every text outside the block's largest component meets all others: an index of shingles counts what they share,
+    and those that share enough are aligned.
+    """
+    group = group.drop_duplicates("node").reset_index(drop=True)
+    nodes, texts, labels = group["node"].tolist(), group["text"].tolist(), group["label"].tolist()
+    parts = [shingles(h) for many in words(texts) for h in many]
+    sizes = np.array([len(p) for p in parts])
+    value = np.concatenate(parts)
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], np.repeat(np.arange(len(parts)), sizes)[order]
+    above: dict[int, int] = {}
+
+    def top(label: int) -> int:
+        while label in above:
+            label = above[label]
+        return label
+
+    main = group["label"].value_counts().index[0]
+    found = []
+    for i in [k for k, label in enumerate(labels) if label != main]:
+        first, last = np.searchsorted(value, parts[i], "left"), np.searchsorted(value, parts[i], "right")
+        count = last - first
+        at = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+        both = np.bincount(owner[at], minlength=len(parts))
+        for j in np.flatnonzero(both * (1 + LEAST) >= LEAST * (sizes + sizes[i])).tolist():
+            if top(labels[i]) != top(labels[j]) and similarity(parts[i], parts[j]) >= LEAST:
+                found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+                above[top(labels[i])] = top(labels[j])
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
 def _texts(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, text) of the texts that pairs name."""
     named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
