@@ -105,7 +105,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
     upto = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
     bases = manifest.withColumn("before", F.coalesce(F.sum("ids").over(upto), F.lit(0)).cast("long"))  # one row a file
-    spread = bases.repartition(F.col("file"))
+    spread = bases.repartition(max(1, manifest.count()), "file")
     return spread.mapInPandas(one, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

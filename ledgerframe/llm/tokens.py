@@ -9,22 +9,21 @@ from functools import cache
 
 import numpy as np
 
-#: Chunks, and words, that one worker remembers, and characters of a text cut at a time.
-REMEMBER, SLICE = 400_000, 1 << 20
-#: Texts whose new chunks are encoded together.
-TOGETHER = 200
-#: A word of Latin letters that lower-casing keeps whole, with any punctuation after it that can't join it.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
-_WORD = re.compile(f"([{_LETTERS}]+)([!-&(-/:-?@\\[-`{{-~]*)")
+#: Pieces that one worker remembers, texts learned from together, and characters of a text cut at a time.
+REMEMBER, TOGETHER, SLICE = 500_000, 200, 1 << 20
+_LETTERS = "a-zß-öø-įı-ɏ"
+#: Texts in which lower-casing and normalisation change single letters only, and their pre-tokens.
+_PLAIN = re.compile(f"[\\t\\n\\r -~À-ÖØ-öø-įı-ɏ]*")
+_PIECE = re.compile(f"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\\[-`{{-~]+")
 
 
 class Encoder:
     """Ids of texts exactly as the tokenizer's own `encode`, as little-endian bytes of `width` each.
 
-    A tokenizer whose pre-tokens never span a space encodes a text as the sequence of its chunks between spaces;
-    chunks repeat, so each one is encoded once and remembered, up to a bound. Where the tokenizer lower-cases and
-    marks word ends, new words are encoded many at a time, and a chunk that is a word with punctuation
-    after it is the word's ids and the punctuation's.
+    A tokenizer whose pre-tokens never span a space encodes a text piece by piece; pieces repeat, so each one is
+    encoded once and remembered, up to a bound. Where the tokenizer lower-cases, marks word ends and parts words,
+    digits and marks, the pieces of plain texts are its pre-tokens, and new words are encoded many at a time;
+    elsewhere they are the chunks between spaces. Any other tokenizer encodes each text itself.
     """
 
     def __init__(self, path: str):
@@ -34,50 +33,50 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.width = 2 if len(vocabulary) <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.by_word = bool(self.ends.any()) and self.tokenizer.encode("Ab, c", add_special_tokens=False).ids == [
-            i for t in ("ab", ",", "c") for i in self.tokenizer.encode(t, add_special_tokens=False).ids
-        ]
+        self.by_chunk = self._same("One, two  three\nfour", ["One,", "two", "three", "four"])
+        self.by_piece = bool(self.ends.any()) and self._same("It's Ünder-12!? ''don't", ["it", "'s", "ünder", "-", "1", "2", "!?", "''", "don", "'t"])
         self.known: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {"": b""}
+
+    def _same(self, text: str, parts: list[str]) -> bool:
+        whole, each = self._each([text]), self._each(parts)
+        return whole[0] == b"".join(each)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the text without special tokens added; null counts as empty."""
         return next(self.encode_all([text]))
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        """`encode` of each text, learning the new chunks of many texts together."""
+        """`encode` of each text, learning the new pieces of many texts together."""
         for i in range(0, len(texts), TOGETHER):
-            cut = [[part.split(" ") for part in _slices((t or "").replace("\n", " "))] for t in texts[i : i + TOGETHER]]
+            some = [t or "" for t in texts[i : i + TOGETHER]]
+            if not self.by_chunk:
+                yield from self._each(some)
+                continue
+            cut = [[self._pieces(part) for part in _slices(t)] for t in some]
             if len(self.known) > REMEMBER:
                 self.known = {"": b""}
             new: set[str] = set()
             for parts in cut:
                 new.update(*parts)
-            self._learn([c for c in new if c not in self.known])
+            self._learn([p for p in new if p not in self.known])
             known = self.known.__getitem__
             for parts in cut:
                 yield b"".join(b"".join(map(known, part)) for part in parts)
 
-    def _learn(self, chunks: list[str]) -> None:
-        if not self.by_word:
-            self.known.update(zip(chunks, self._each(chunks)))
-            return
-        if len(self.words) > REMEMBER:
-            self.words = {"": b""}
-        parts, other = {}, []
-        for c in chunks:
-            if m := _WORD.fullmatch(c):
-                parts[c] = m[1].lower(), m[2]
-            else:
-                other.append(c)
-        words, marks = ([x for x in {p[k] for p in parts.values()} if x not in self.words] for k in (0, 1))
-        self.words.update(self._many(words))
-        self.words.update(zip(marks, self._each(marks)))
-        for c, (w, p) in parts.items():
-            self.known[c] = self.words[w] + self.words[p]
-        self.known.update(zip(other, self._each(other)))
+    def _pieces(self, text: str) -> list[str]:
+        if self.by_piece and not any(t in text for t in self.special) and _PLAIN.fullmatch(text):
+            return _PIECE.findall(text.lower())
+        return text.replace("\n", " ").split(" ")
+
+    def _learn(self, pieces: list[str]) -> None:
+        words = [p for p in pieces if self.by_piece and p.isalpha() and p.islower() and _PLAIN.fullmatch(p)]
+        seen = set(words)
+        others = [p for p in pieces if p not in seen]
+        self.known.update(zip(others, self._each(others)))
+        self.known.update(self._many(words))
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -86,7 +85,7 @@ class Encoder:
         """Words that are one pre-token each, encoded as one text and parted at the word ends."""
         if not words:
             return
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype=f"<u{self.width}")
+        ids = np.frombuffer(self._each([" ".join(words)])[0], f"<u{self.width}")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words):
             yield from zip(words, self._each(words))
