@@ -12,6 +12,7 @@ from ledgerframe.llm.packing import pack
 from ledgerframe.llm.quality import classify
 from ledgerframe.llm.sharding import shard
 from ledgerframe.llm.token_files import token_files
+from ledgerframe.llm.vectors import near_vectors
 from ledgerframe.llm.warc import archive
 
 
@@ -55,7 +56,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_mixing, op3_licences, op4_exact_dedup, op5_sharding, op6_quality, op7_token_files, op8_warc, op9_packing)}
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_mixing, op3_licences, op4_exact_dedup, op5_sharding, op6_quality, op7_token_files, op8_warc, op9_packing, op10_near_vectors)}
 
 ORACLE_SQL = {
     "op2_mixing": r"""
