@@ -1 +1 @@
-
+"""Contracts compiled to one lazy plan."""

@@ -1 +1 @@
-
+"""Readers that give rows with evidence, and writers."""
