@@ -6,26 +6,26 @@ import html
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Zero-width and bidirectional control characters; starts that a spreadsheet reads as a formula.
 INVISIBLE = "[​-‍⁠﻿‪-‮⁦-⁩]"
 FORMULA = "^(?:[\\t\\r]|\\s*[=+\\-@＝＋－＠])"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC."""
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_entities(text: pd.Series) -> pd.Series:
     """HTML entities as the characters they stand for."""
     return text.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_text(page: pd.Series) -> pd.Series:
     """Visible text of a page, a line for each block."""
     from ledgerframe.functions.dom import parse
@@ -99,7 +99,7 @@ def shared_terms(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(words(a), words(b)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp similarity by characters, popular characters of long texts left out."""
     from difflib import SequenceMatcher
@@ -107,7 +107,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("struct<start:int,stop:int>")
+@F.pandas_udf(T.StructType().add("start", "integer").add("stop", "integer"))
 def verify_quote(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
     """Where a quote stands in the text as written, compared without case, spacing, and quote and dash variants; else null."""
     found = [_locate(q, t) for q, t in zip(quote, text)]
