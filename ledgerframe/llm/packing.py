@@ -15,8 +15,8 @@ from ledgerframe.llm.tokens import default_tokenizer, encoder
 from ledgerframe.operators.scale import numbered
 from ledgerframe.session import materialise
 
-#: Groups of equal cardinality for large lengths; those above this share of the capacity are large.
-GROUPS, LARGE = 20, 1 / 4
+#: Numbers of equal-cardinality groups to try for large lengths; those above this share of the capacity are large.
+GROUPS, LARGE = (8, 16, 28), 1 / 4
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
@@ -45,8 +45,8 @@ class Plan:
     the r-th piece of a length goes: length, first rank, first sequence, sequences, offset.
     """
 
-    def __init__(self, counts: dict[int, int], capacity: int):
-        self.capacity = capacity
+    def __init__(self, counts: dict[int, int], capacity: int, groups: int = GROUPS[1]):
+        self.capacity, self.groups = capacity, groups
         self.left = dict(sorted(((n, c) for n, c in counts.items() if c), reverse=True))
         #: (sequences, free space, content), by index; content is a tuple of (length, copies).
         self.kinds: list[tuple[int, int, tuple]] = []
@@ -57,7 +57,7 @@ class Plan:
     def _groups(self) -> list[list[list[int]]]:
         """Large lengths in descending order, in groups of equal cardinality: runs of [length, count]."""
         large = [(n, c) for n, c in self.left.items() if n > LARGE * self.capacity]
-        each = -(-sum(c for _, c in large) // GROUPS)
+        each = -(-sum(c for _, c in large) // self.groups)
         groups: list[list[list[int]]] = []
         room = 0
         for n, c in large:
@@ -189,7 +189,7 @@ def pack(docs: DataFrame, capacity: int = 4_096, tokenizer: str | None = None, e
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Lengths above a quarter of the
     capacity are rounded up within groups of equal cardinality; configurations of the rounded sizes are filled,
-    fullest first; actual lengths take the rounded ones' places; the others go where they fit best. All this
+    fullest first (of a few numbers of groups, the one that needs fewest sequences is taken); actual lengths take the rounded ones' places; the others go where they fit best. All this
     happens on the histogram of lengths, which has `capacity` rows at most; each piece then finds its place from
     its number among those of its length. Null and empty texts are one end id. Repeated rows and null ids are
     packed like others. No rows give no rows.
@@ -198,4 +198,4 @@ def pack(docs: DataFrame, capacity: int = 4_096, tokenizer: str | None = None, e
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     order = [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
     ranked = numbered(cut, ["length"], order, order, "rank", sum(counts.values()))
-    return assign(ranked, Plan(counts, capacity))
+    return assign(ranked, min((Plan(counts, capacity, g) for g in GROUPS), key=lambda p: p.sequences))
