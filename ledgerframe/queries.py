@@ -9,8 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ledgerframe.functions import dom, parsers, text, url
-from ledgerframe.operators import criteria, reports, resolve, state
+from ledgerframe.functions import dom, header, parsers, text, url
+from ledgerframe.operators import criteria, discovery, reports, resolve, state
 from ledgerframe.plans import compiler
 from ledgerframe.sources import export
 from ledgerframe.streaming import events as streams
@@ -520,3 +520,35 @@ def pln05_page_dataset(spark, d):
     )
     out = compiler.run(PAGES, [rows])
     return out.select("id", "title", "status", F.round("match_score", 6).alias("match_score"), "match_reason", F.round("confidence", 6).alias("confidence"), "duplicate_of", "lead_score", "lead_tier")
+
+
+# Discovery
+
+@query(f"""SELECT canonical, query_ord, hit_ord, url FROM (SELECT canonical, page_id % 7 AS query_ord, page_id AS hit_ord, url, row_number() OVER (PARTITION BY canonical ORDER BY page_id % 7, page_id) AS n FROM ({_CANONICAL})) WHERE n = 1""")
+def dsc08_merge_hits(spark, d):
+    hits = table(spark, d, "pages").select((F.col("page_id") % 7).alias("query_ord"), F.col("page_id").alias("hit_ord"), "url")
+    return discovery.merge_hits(hits)
+
+
+@query(r"""SELECT page_id, CASE WHEN regexp_matches(lower(url), '^https?://[^?#]*\.(pdf|xlsx|csv|json|docx|pptx)(?:[?#]|$)') THEN 'document'
+             WHEN regexp_matches(url, '(?i)(?:\btop\b|\bbest\b|\blist of\b|\bdirectory\b|/(?:tags?|category|directory|list|search)(?:/|$))') THEN 'list' END AS kind FROM pages""")
+def dsc09_hit_kind(spark, d):
+    return table(spark, d, "pages").select("page_id", discovery.hit_kind(F.col("url"), F.lit("")).alias("kind"))
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), """ + _GRAMS + """,
+          q AS (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_size <= 10), p AS (SELECT p_name AS name, min(p_partkey) AS plan_id FROM part WHERE p_size > 40 GROUP BY p_name),
+          s AS (SELECT q.id, p.plan_id, x.n AS n, y.n AS m, count(*) AS shared FROM q JOIN g a ON a.name = q.name JOIN g b ON b.gram = a.gram JOIN p ON p.name = b.name JOIN c x ON x.name = q.name JOIN c y ON y.name = p.name GROUP BY ALL),
+          r AS (SELECT id, plan_id, CAST(shared AS DOUBLE) / (n + m - shared) AS similarity FROM s)
+          SELECT id, plan_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, plan_id) AS k FROM r WHERE similarity >= 0.7) WHERE k = 1""")
+def jon14_plan_recall(spark, d):
+    part = table(spark, d, "part")
+    requests = part.filter("p_size <= 10").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    plans = part.filter("p_size > 40").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("plan_id")).withColumn("n_valid", F.lit(20))
+    return discovery.recall(requests, plans).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def k46_headers(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", header.header(F.split("text", "\n")[0]).alias("h"))
+    return rows.select("conv_id", "turn", "h.*")
