@@ -25,6 +25,8 @@ ORDER, ROWS, BANDS = 3, 2, 24
 AGREE = 100
 #: Buckets up to this size form their pairs; in larger ones texts meet in blocks of about so many shingles.
 SMALL, BLOCK = 24, 500_000
+#: Partners that one text is compared with in one task.
+PARTNERS = 400
 
 _seeds = mix(np.arange(1, 2 * ROWS * BANDS + 1, dtype=np.uint64))
 _XOR, _MUL = _seeds[::2, None], _seeds[1::2, None] | np.uint64(1)
@@ -167,8 +169,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     at += 1
             yield batch.loc[np.array(kept, dtype=bool), ["a", "b"]]
 
-    joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    joined = joined.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    # A text with very many partners goes to several tasks, with a part of them each.
+    parts = pairs.groupBy("a").agg(F.count("*").alias("partners")).withColumn("parts", F.ceil(F.col("partners") / PARTNERS).cast("int"))
+    left = texts.join(parts, F.col("node") == F.col("a")).select("a", F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    joined = join_groups(pairs.select("a", "b"), parts, "a", "partners").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    joined = joined.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(left, ["a", "part"])
     return joined.select("a", "b", "text_a", "text_b").mapInPandas(one, "a long, b long")
 
 
@@ -195,10 +200,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = materialise(buckets, "near-buckets")
     shared = materialise(join_groups(entries.select("key", "node"), buckets, "key", "size").select("key", "node", "leader", "size"), "near-entries")
 
+    texts = materialise(_texts(docs, reps, shared.select("node").distinct()), "near-candidates")
     brief = reps.select("node", "n", "signature")
     stars = shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     tested = materialise(_worth(stars, brief), "near-pairs")
-    links = materialise(verified(tested, _texts(docs, reps, tested)), "near-links")
+    links = materialise(verified(tested, texts), "near-links")
     known = connected_components(links)
     labelled = shared.join(known, "node", "left").select("key", "node", "leader", "size", F.coalesce("component", "node").alias("label"))
     labelled = materialise(labelled, "near-labels")
@@ -208,13 +214,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     x, y = (small.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "label", "n", "signature")]) for name in "xy")
     across = x.join(y, "key").filter("x_node < y_node and x_label <> y_label").filter(_comparable(F.col("x_n"), F.col("y_n")) & _alike("x", "y"))
     pairs = materialise(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
-    links = links.union(materialise(verified(pairs, _texts(docs, reps, pairs)), "near-links"))
+    links = links.union(materialise(verified(pairs, texts), "near-links"))
 
     large = buckets.join(lows.filter(F.col("size") > SMALL).select("key"), "key", "left_semi").select("key", "size", F.ceil(F.col("shingles") / BLOCK).cast("int").alias("blocks"))
     large = materialise(join_groups(labelled.select("key", "node", "label"), large, "key", "size"), "near-large")
     spread = large.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label")
-    spread = spread.join(_texts(docs, reps, large.select(F.col("node").alias("a"), F.col("node").alias("b"))), "node")
+    spread = spread.join(texts, "node")
     links = links.union(materialise(spread.groupBy("key", "i", "j").applyInPandas(settle, "a long, b long"), "near-links"))
     classes = connected_components(links)
 
@@ -262,10 +268,9 @@ def settle(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def _texts(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, text) of the texts that pairs name."""
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = reps.join(named, "node", "left_semi").select("node", "digest", "doc_id")
+def _texts(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the named nodes; the only step that moves whole texts of all documents."""
+    wanted = reps.join(nodes, "node", "left_semi").select("node", "digest", "doc_id")
     found = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_digest", digest(F.col("text")))
     on = found["_id"].eqNullSafe(wanted["doc_id"]) & (found["_digest"] == wanted["digest"])
     return found.join(wanted, on).select("node", "text").dropDuplicates(["node"])
