@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ledgerframe.functions import dom, header, parsers, text, url
-from ledgerframe.operators import criteria, discovery, reports, resolve, state
+from ledgerframe.operators import criteria, discovery, recipes, reports, resolve, state
 from ledgerframe.plans import compiler
 from ledgerframe.sources import export
 from ledgerframe.streaming import events as streams
@@ -552,3 +552,31 @@ def jon14_plan_recall(spark, d):
 def k46_headers(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", header.header(F.split("text", "\n")[0]).alias("h"))
     return rows.select("conv_id", "turn", "h.*")
+
+
+# Recipes and schema.org
+
+_NAV = ("nav li", {"title": ("a", None), "url": ("a", "href")})
+
+
+@query()
+def l06_recipe_acceptance(spark, d):
+    rows = recipes.replay(table(spark, d, "pages"), *_NAV)
+    out = recipes.accepted(recipes.fill(rows, ["title", "url"]), ["title", "url"], ["title"])
+    return out.select("page_id", "items", F.round("fill_title", 6).alias("fill_title"), F.round("fill_url", 6).alias("fill_url"), "accepted")
+
+
+@query()
+def l12_relaxed_recipe(spark, d):
+    wanted = [("nav", *_NAV), ("any link", "a", {"title": ("", None), "url": ("", "href")}), ("paragraphs", "article p", {"title": ("b", None), "url": ("a", "href")})]
+    return recipes.relaxed(table(spark, d, "pages"), wanted, ["title"])
+
+
+@query(r"""WITH k AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, lower(regexp_extract(url, '^https?://([^/?#]+)', 1))
+             || repeat('/*', len(list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda s: s <> ''))) AS pattern FROM pages),
+          r AS (SELECT host, pattern, page_id AS recipe_id, page_id % 10 AS version FROM k WHERE page_id % 3 > 0), b AS (SELECT *, row_number() OVER (PARTITION BY host, pattern ORDER BY version DESC, recipe_id DESC) AS n FROM r)
+          SELECT k.page_id, k.host, k.pattern, b.recipe_id, b.version FROM k LEFT JOIN b ON k.host = b.host AND k.pattern = b.pattern AND b.n = 1""")
+def l07_newest_recipe(spark, d):
+    pages = table(spark, d, "pages")
+    known = pages.select(F.col("page_id").alias("recipe_id"), url.host_of(F.col("url")).alias("host"), url.url_pattern(F.col("url")).alias("pattern"), (F.col("page_id") % 10).alias("version"), (F.col("page_id") % 3 > 0).alias("active"))
+    return recipes.newest_recipe(pages, known)

@@ -89,6 +89,14 @@ def _plain(value) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
+def _column(place: str | None) -> int:
+    """Number of the column in a cell's place, 0 without one."""
+    number = 0
+    for letter in re.match("[A-Z]*", place or "")[0]:
+        number = number * 26 + ord(letter) - 64
+    return number
+
+
 def read_xlsx(data: bytes) -> tuple[list[str], list[tuple]]:
     """Visible sheets, rows and columns as stored; no formula is evaluated."""
     try:
@@ -118,11 +126,9 @@ def read_xlsx(data: bytes) -> tuple[list[str], list[tuple]]:
             for row in root.iter(f"{_MAIN}row"):
                 if row.get("hidden") == "1":
                     continue
-                cells: dict[int, str] = {}
+                cells, column = {}, 0
                 for c in row.iter(f"{_MAIN}c"):
-                    column = 0
-                    for letter in re.match("[A-Z]+", c.get("r", "A"))[0]:
-                        column = column * 26 + ord(letter) - 64
+                    column = _column(c.get("r")) or column + 1  # a cell without a place follows the one before
                     if any((f.text or "").lower().lstrip("+-=").startswith(("dde", "cmd|")) for f in c.iter(f"{_MAIN}f")):
                         flags.append("dde")
                     value = c.find(f"{_MAIN}v")

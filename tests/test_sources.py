@@ -4,9 +4,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerframe.functions import schema_org
 from ledgerframe.functions.header import parse_header
 from ledgerframe.operators import discovery
-from ledgerframe.sources import files
+from ledgerframe.sources import files, workbook as books
 
 
 def workbook(extra=(), state="visible"):
@@ -77,3 +78,24 @@ def test_boards_and_queries(spark):
     tried = spark.createDataFrame([("A",)], "query string")
     assert [r.query for r in discovery.fresh_queries(wanted, tried).collect()] == ["B"]
     assert discovery.merge_hits(hits).filter(F.col("canonical").isNull()).count() == 0
+
+
+def test_schema_org(spark):
+    posting = '{"@type": ["JobPosting"], "title": " T ", "hiringOrganization": {"name": "C"}, "jobLocationType": "TELECOMMUTE", "jobLocation": [{"address": {"addressLocality": "Oslo", "addressCountry": "NO"}}], "employmentType": ["FULL_TIME"], "baseSalary": {"currency": "NOK", "value": {"minValue": 5}}}'
+    rows = spark.createDataFrame([([posting, '{"@type": "ItemList", "itemListElement": [{"a": 1}, {"a": 2}]}', "broken"],), ([],)], "objects array<string>")
+    thing = F.get(schema_org.of_type(F.col("objects"), "JobPosting"), F.lit(0))
+    got = rows.select(*[c.alias(n) for n, c in schema_org.job_posting(thing).items()]).collect()
+    assert tuple(got[0])[:5] == ("T", "C", "Oslo, NO", "remote", "FULL_TIME") and (got[0].salary_low, got[0].salary_high, got[0].currency) == (5.0, 5.0, "NOK")
+    assert set(got[1]) == {None}
+    assert [len(r.x) for r in rows.select(schema_org.item_list(F.col("objects")).alias("x")).collect()] == [2, 0]
+    steps = [("JSON_LD", {"a": F.lit(None).cast("string")}), ("REGEX", {"a": F.lit("x"), "b": F.lit(1)})]
+    row = rows.select(*[c.alias(n) for n, c in schema_org.ladder(steps, ["a", "b", "c"]).items()]).first()
+    assert tuple(row.a) == ("x", "REGEX") and row.b.value == "1" and row.c is None
+
+
+def test_workbook_reads_back(spark, tmp_path):
+    data = spark.createDataFrame([(1, "=cmd()"), (2, None), (3, "a<b & c")], "id int, text string").coalesce(1)
+    books.write(f"{tmp_path}/x.xlsx", {"Data": data, "About": data.limit(0)})
+    kind, verdict, flags, tables = files.scan("x", (tmp_path / "x.xlsx").read_bytes())[1:]
+    assert (kind, verdict, flags) == ("xlsx", "clean", []) and [t["name"] for t in tables] == ["Data", "About"]
+    assert tables[0]["headers"] == ["id", "text"]
