@@ -31,11 +31,12 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
                 ids = np.frombuffer(data + end, kind).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
-                    rows.append((None if pd.isna(doc_id) else int(doc_id), k, at, len(part), zlib.crc32(part)))
-            frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
+                    rows.append((doc_id, k, at, len(part), zlib.crc32(part)))
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    # Ids travel as text: pandas would make whole numbers beside nulls inexact.
+    cut_up = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long")
+    return cut_up.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 class Plan:
@@ -163,6 +164,7 @@ class Plan:
 def assign(ranked: DataFrame, plan: Plan) -> DataFrame:
     """Add sequence_id and offset to pieces with a `rank` within their length."""
     shared = ranked.sparkSession.sparkContext.broadcast(plan.ranges)  # bounded by the capacity
+    ranked = ranked.withColumn("doc_id", F.col("doc_id").cast("string"))
     schema = ranked.drop("rank").schema.simpleString()[7:-1] + ",sequence_id:bigint,offset:bigint"
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,7 +183,7 @@ def assign(ranked: DataFrame, plan: Plan) -> DataFrame:
             q = rank - begin
             yield batch.drop(columns="rank").assign(sequence_id=sequence + q % n, offset=offset + (q // n) * length)
 
-    return ranked.mapInPandas(put, schema)
+    return ranked.mapInPandas(put, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack(docs: DataFrame, capacity: int = 4_096, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:

@@ -67,7 +67,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFram
                 out.write(data)
                 total += len(data) // coder.width
                 ends.append(total)
-                names.append(None if pd.isna(doc_id) else int(doc_id))
+                names.append(None if doc_id is None else int(doc_id))
         if out is None:
             return
         known = [x for x in names if x is not None]
@@ -81,7 +81,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFram
     rows = docs.count()
     files, path = place(folder)
     files.create_dir(path, recursive=True)
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(max(1, min(MOST_FILES, -(-rows // FILE_DOCS))), "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(max(1, min(MOST_FILES, -(-rows // FILE_DOCS))), "doc_id").sortWithinPartitions("doc_id").select(F.col("doc_id").cast("string"), "text")
     # The file name starts with the partition's number, and ranges ascend with it.
     return materialise(ordered.mapInPandas(one, "file string, docs long, ids long"), "token-manifest")
 

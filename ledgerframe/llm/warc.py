@@ -64,11 +64,11 @@ def _number(urn: str | None) -> int | None:
     return None if found == "null" else int(found)
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """(row, refers_to) for rows whose payload, of REVISIT_BYTES at least, an earlier page_id has too."""
-    keyed = pages.select("row", "page_id", "digest").filter(F.col("bytes") >= REVISIT_BYTES)
-    groups = keyed.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return join_groups(keyed, groups, "digest", "n").filter("row <> first.row and first.page_id is not null").select("row", F.col("first.page_id").alias("refers_to"))
+def revisits(keyed: DataFrame) -> DataFrame:
+    """(page_id, digest, refers_to) for payloads of REVISIT_BYTES at least that a smaller page_id has too."""
+    keyed = keyed.filter(F.col("bytes") >= REVISIT_BYTES).select("page_id", "digest")
+    groups = keyed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null")
+    return join_groups(keyed, groups, "digest", "n").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
@@ -78,13 +78,13 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     """
     html = F.coalesce("html", F.lit(""))
     source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"))
-    # A row is told by all its columns and by its number among equal ones.
     digest = F.sha2(F.col("html"), 256)
-    base = materialise(source.select("page_id", digest.alias("digest"), F.xxhash64("page_id", "url", "html").alias("row"), F.octet_length("html").alias("bytes")), "warc-digests")
-    decided = revisits(base).groupBy("row").agg(F.min("refers_to").alias("refers_to"))
-    rows = source.withColumn("digest", digest).withColumn("row", F.xxhash64("page_id", "url", "html")).join(decided, "row", "left")
-    # Of rows alike in all columns, the first is the response if the payload's smallest page_id is theirs.
-    alike = F.row_number().over(W.partitionBy("row").orderBy("page_id"))
+    base = materialise(source.select("page_id", digest.alias("digest"), F.octet_length("html").alias("bytes")), "warc-digests")
+    first = revisits(base).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
+    rows = source.withColumn("digest", digest)
+    rows = rows.join(first, rows["page_id"].eqNullSafe(first["_id"]) & (rows["digest"] == first["_digest"]), "left")
+    # Of rows with the same id and payload, one is the response if the payload's smallest page_id is theirs.
+    alike = F.row_number().over(W.partitionBy("page_id", "digest").orderBy("url"))
     repeat = (F.octet_length("html") >= REVISIT_BYTES) & (alike > 1)
     rows = rows.select("page_id", "url", "html", "digest", F.coalesce("refers_to", F.when(repeat, F.col("page_id"))).alias("refers_to"))
 
@@ -95,18 +95,21 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             out = out or files.open_output_stream(f"{path}/{name}", compression=None)
             found = []
             for page_id, url, text, known, refers in zip(*(batch[c] for c in ("page_id", "url", "html", "digest", "refers_to"))):
-                number, other = (None if pd.isna(x) else int(x) for x in (page_id, refers))
+                number, other = (None if x is None else int(x) for x in (page_id, refers))
                 data = record(number, url, text.encode(), known, other)
                 out.write(data)
                 found.append((name, at, len(data), url, known, number))
                 at += len(data)
-            yield pd.DataFrame(found, columns=["file", "offset", "length", "url", "digest", "page_id"]).astype({"page_id": "Int64"})
+            frame = pd.DataFrame(found, columns=["file", "offset", "length", "url", "digest", "page_id"])
+            yield frame.assign(page_id=pd.array([f[-1] for f in found], dtype="Int64"))
         if out:
             out.close()
 
     files, path = place(folder)
     files.create_dir(path, recursive=True)
-    return materialise(rows.mapInPandas(one, INDEX), "warc-index")
+    # Ids travel as text: pandas would make whole numbers beside nulls inexact.
+    exact = rows.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
+    return materialise(exact.mapInPandas(one, INDEX), "warc-index")
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerframe.llm import dedup, licences, mixing, neardup, packing, quality, sharding, token_files
 from ledgerframe.llm.eliasfano import EliasFano
 from ledgerframe.llm.tokens import Encoder, default_tokenizer
-from ledgerframe.session import scratch
+from ledgerframe.session import materialise, scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row int, key string, digest string, shard int, size string, node string, hash string, copies string, _block string, words string"
 
@@ -33,7 +33,7 @@ def rows():
     texts = [None, "", "", " \n", base, base, near, near + " end", far, "MIT License", "the mit license, and MIT\nLICENSE", sentence(rng, 20_000), "!!! ***", "!!! ***", "x", "a b c d", "a b c d e", "Ünï ço∂é 中文 " * 30]
     texts += [sentence(rng, rng.randint(1, 200)) for _ in range(60)]
     out = [(i, t, "en", f"s{i % 4}" if i % 5 else None, None) for i, t in enumerate(texts)]
-    out += [(4, base, "en", "s0", None), (4, base, "en", "s0", None), (None, base, None, None, None), (None, None, None, None, None), (7, "another text under a known id", "en", "s1", 3)]
+    out += [(4, base, "en", "s0", None), (4, base, "en", "s0", None), (None, base, None, None, None), (None, None, None, None, None), (2**62 + 1, base, "en", "s1", None), (2**62 + 3, "a text of its own", "en", "s1", None), (7, "another text under a known id", "en", "s1", 3)]
     return [(*r, 1, "k", "d", 9, "z", "n", "h", "c", "b", "w") for r in out]
 
 
@@ -105,13 +105,14 @@ def test_mix(spark, docs, rows, none):
 
 @pytest.mark.parametrize("shards", [5, 200])
 def test_shards(spark, docs, rows, none, shards):
-    got = sharding.shard(docs, shards).toPandas()
+    placed = materialise(sharding.shard(docs, shards), "test-shards")
+    got = placed.toPandas()
     sizes = got.groupby("shard").size().reindex(range(shards), fill_value=0)
     assert len(got) == len(rows) and sizes.max() - sizes.min() <= 1
     for _, g in got.groupby("shard"):
         assert sorted(g["slot"]) == list(range(len(g)))
     want = Counter((r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows)
-    assert Counter((None if np.isnan(i) else int(i), s, c) for i, s, c in zip(got.doc_id, got["size"], got.text_crc32)) == want
+    assert Counter(tuple(g) for g in placed.select("doc_id", "size", "text_crc32").collect()) == want
     if shards == 5:
         assert got.groupby("text_crc32").shard.nunique().max() == 1  # no group outgrows a shard here
         assert sharding.shard(none, 3).count() == 0
@@ -252,20 +253,21 @@ def test_token_files(spark, docs, rows, none, monkeypatch):
     got.sort(key=lambda g: (g.start, g.n_tokens))
     assert [g.start for g in got] == np.cumsum([0, *(g.n_tokens for g in got)])[:-1].tolist()
     known = [g.doc_id for g in got if g.doc_id is not None]
-    assert known == sorted(known) and [g.doc_id for g in got[:2]] == [None, None]
+    assert known == sorted(known) and [g.doc_id for g in got[:2]] == [None, None] and known[-1] == 2**62 + 3
     assert token_files.token_files(none).count() == 0
 
 
 def test_packing(spark, docs, rows, none):
     capacity = 100
-    got = packing.pack(docs, capacity).toPandas()
+    spread = materialise(packing.pack(docs, capacity), "test-packed")
+    got = spread.toPandas()
     coder, want = Encoder(default_tokenizer()), Counter()
     for r in rows:
         x = ids_of(r[1], coder)
         for k, at in enumerate(range(0, len(x), capacity)):
             part = x[at : at + capacity]
             want[r[0], k, at, len(part), zlib.crc32(part)] += 1
-    assert Counter((None if np.isnan(d) else int(d), p, s, n, c) for d, p, s, n, c in zip(got.doc_id, got.piece, got.start, got.length, got.ids_crc32)) == want
+    assert Counter(tuple(g) for g in spread.select("doc_id", "piece", "start", "length", "ids_crc32").collect()) == want
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == np.cumsum([0, *g.length])[:-1].tolist() and g.length.sum() <= capacity
     free: list[int] = []

@@ -14,7 +14,7 @@ BIG = "<p>" + "same payload " * 20 + "é</p>"
 
 @pytest.fixture(scope="module")
 def pages(spark):
-    rows = [(1, "http://a/1", BIG), (2, "http://a/2", BIG), (3, None, None), (4, "http://a/4\r\nX: y", ""), (5, "http://a/5", "short"), (6, "http://a/6", "short"), (9, "u", "x" * 300_000), (7, "u", "y" * 100), (8, "u", "y" * 100), (8, "u", "y" * 100), (None, "u", BIG)]
+    rows = [(1, "http://a/1", BIG), (2, "http://a/2", BIG), (3, None, None), (4, "http://a/4\r\nX: y", ""), (5, "http://a/5", "short"), (6, "http://a/6", "short"), (9, "u", "x" * 300_000), (7, "u", "y" * 100), (8, "u", "y" * 100), (8, "u", "y" * 100), (None, "u", BIG), (2**62 + 1, "u", BIG)]
     return spark.createDataFrame([(*r, "f", 0) for r in rows], "page_id long, url string, html string, file string, offset int")
 
 
