@@ -149,4 +149,7 @@ def with_score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of `docs` that the classifier accepts, with all their columns."""
     model = fit(training_rows(docs, labels))
-    return with_score(docs, model).filter(F.col("_score") >= least).drop("_score")
+    # The filter is on a generated column: on a plain one it would be pushed below the statistics, and each rule would
+    # compute them anew.
+    scored = with_score(docs, model).select(*[docs[c] for c in docs.columns], F.explode(F.array("_score")).alias("_score"))
+    return scored.filter(F.col("_score") >= least).drop("_score")
