@@ -8,8 +8,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-# Zero-width and bidirectional control characters; starts that a spreadsheet reads as a formula.
+# Zero-width and bidirectional control characters; starts that a spreadsheet reads as a formula; what
+# is written in full before texts are compared.
 INVISIBLE = "[​-‍⁠﻿‪-‮⁦-⁩]"
+IN_FULL = (("&", " and "), (r"\bsr\b\.?", "senior"), (r"\bjr\b\.?", "junior"))
 FORMULA = "^(?:[\\t\\r]|\\s*[=+\\-@＝＋－＠])"
 
 
@@ -74,8 +76,9 @@ def csv_cell(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Form for comparing: lower case, & as and, sr and jr in full, all but a-z and 0-9 as single spaces."""
-    t = F.regexp_replace(F.lower(text), "&", " and ")
-    t = F.regexp_replace(F.regexp_replace(t, r"\bsr\b\.?", "senior"), r"\bjr\b\.?", "junior")
+    t = F.lower(text)
+    for short, full in IN_FULL:
+        t = F.regexp_replace(t, short, full)
     return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
 
 
