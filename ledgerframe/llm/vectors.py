@@ -13,7 +13,7 @@ from ledgerframe.operators.scale import join_groups
 from ledgerframe.session import materialise
 
 #: Vectors that the trees are built from, at most; vectors under one leaf on average while that holds; vectors in one block.
-SAMPLE, LEAF, BLOCK = 4_096, 512, 1_024
+SAMPLE, LEAF, BLOCK = 1_024, 512, 1_024
 #: Levels of a tree at most, each with half the radius of the one above.
 DEPTH = 12
 
@@ -113,19 +113,15 @@ def close(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFram
             for nodes, n in counts:
                 some = np.flatnonzero(n)
                 yield pd.DataFrame({"node": nodes[some], "other": pd.array([None] * len(some), dtype="Int64"), "links": n[some]})
-            above: dict[int, int] = {}
-
-            def top(x: int) -> int:
-                while x in above:
-                    x = above[x]
-                return x
-
-            kept = []
-            for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-                u, v = int(row.a_nodes[i]), int(row.b_nodes[j])
-                if top(u) != top(v):
-                    above[top(u)] = top(v)
-                    kept.append((u, v))
+            # Labels of a's and b's vectors; each link between two labels is kept and makes them one.
+            past = 0 if same else len(a)
+            label, kept = np.arange(past + len(b)), []
+            for i in np.flatnonzero(near.any(axis=1)).tolist():
+                columns = np.flatnonzero(near[i])
+                for other, first in zip(*(x.tolist() for x in np.unique(label[past + columns], return_index=True))):
+                    if other != label[i]:
+                        kept.append((int(row.a_nodes[i]), int(row.b_nodes[columns[first]])))
+                        label[label == other] = label[i]
             yield pd.DataFrame(kept, columns=["node", "other"], dtype="Int64").assign(links=0)
 
 
