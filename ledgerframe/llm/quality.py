@@ -39,7 +39,9 @@ def statistics(text: Column) -> dict[str, Column]:
         "pipe": single("|"),
         "stop": share(r"[.?]"),
         "comma": single(","),
-        "distinct_words": F.size(F.array_distinct(F.split(F.lower(t), r"\s+"))) / words,
+        # Logarithms, as the plain share of distinct words falls with the length of any text.
+        "distinct_words": F.log(F.size(F.array_distinct(F.split(F.lower(t), r"\s+"))) + 1) / F.log(words + 1),
+        "repeat": F.regexp_count(t, F.lit(r"(?<!\S)(\S+) (?=\1(?!\S))")) / words,
         "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
     }
 
