@@ -1,4 +1,4 @@
-"""Best-fit packing of token sequences by linear grouping, planned on the histogram of lengths."""
+"""Packing of token sequences by linear grouping and optimised configurations, planned on the histogram of lengths."""
 
 from __future__ import annotations
 
@@ -39,31 +39,71 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     return cut_up.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def optimum(shapes: list[tuple[int, ...]], count: list[int]) -> np.ndarray:
+    """How often each shape is used where shapes hold `count` pieces of each group in the fewest sequences; fractions allowed.
+
+    Revised simplex from one piece a sequence (so (i,) must be a shape for every group i); at most one shape a group
+    is used. The counts are moved a little, each otherwise, so that every step gains and the search ends.
+    """
+    groups, width = len(count), max(map(len, shapes))
+    slots = np.array([(*s, *[groups] * (width - len(s))) for s in shapes])
+    columns = np.zeros((groups + 1, len(shapes)))
+    for slot in slots.T:
+        columns[slot, np.arange(len(shapes))] += 1
+    columns = columns[:groups]
+    single = {s[0]: k for k, s in enumerate(shapes) if len(s) == 1}
+    basis = np.array([single[i] for i in range(groups)])
+    moved = np.array(count) + np.random.default_rng(0).uniform(1e-5, 1e-4, groups)
+    while True:
+        matrix = columns[:, basis]
+        gain = np.append(np.linalg.solve(matrix.T, np.ones(groups)), 0)[slots].sum(axis=1)
+        enter = int(gain.argmax())
+        if gain[enter] <= 1 + 1e-9:
+            break
+        now, change = np.linalg.solve(matrix, np.stack([moved, columns[:, enter]], axis=1)).T
+        step = np.where(change > 1e-9, now / np.where(change > 1e-9, change, 1), np.inf)
+        basis[step.argmin()] = enter
+    times = np.zeros(len(shapes))
+    times[basis] = np.maximum(np.linalg.solve(columns[:, basis], np.array(count)), 0)
+    return times
+
+
 class Plan:
     """A packing of the multiset of lengths: how many sequences there are of each content.
 
-    Its size depends on the capacity and on the number of groups, not on the number of pieces. `ranges` says where
-    the r-th piece of a length goes: length, first rank, first sequence, sequences, offset.
+    `fill` says how the large lengths are placed: 'optimal' solves the configuration problem of the rounded sizes,
+    'fullest' uses the fullest configurations first, None leaves all lengths to best fit. Its size depends on the
+    capacity and on the number of groups, not on the number of pieces. `ranges` says where the r-th piece of a length
+    goes: length, first rank, first sequence, sequences, offset.
     """
 
-    def __init__(self, counts: dict[int, int], capacity: int, groups: int = GROUPS[1]):
-        self.capacity, self.groups = capacity, groups
+    def __init__(self, counts: dict[int, int], capacity: int, groups: int = GROUPS[1], fill: str | None = "optimal"):
+        self.capacity, self.groups, self.fill = capacity, groups, fill
         self.left = dict(sorted(((n, c) for n, c in counts.items() if c), reverse=True))
         #: (sequences, free space, content), by index; content is a tuple of (length, copies).
         self.kinds: list[tuple[int, int, tuple]] = []
-        self._large()
+        if fill:
+            self._large()
         self._small()
         self.ranges, self.sequences = self._number()
 
     def _groups(self) -> list[list[list[int]]]:
-        """Large lengths in descending order, in groups of equal cardinality: runs of [length, count]."""
+        """Large lengths in descending order, in groups of equal cardinality: runs of [length, count].
+
+        A length as frequent as a group is one of its own, and so is each if they are few: 2 * groups + 1 at most.
+        """
         large = [(n, c) for n, c in self.left.items() if n > LARGE * self.capacity]
         each = -(-sum(c for _, c in large) // self.groups)
         groups: list[list[list[int]]] = []
         room = 0
         for n, c in large:
+            if alone := c >= each or len(large) <= self.groups:
+                room = 0
             while c:
-                if not room:
+                if alone:
+                    room = c
+                    groups.append([])
+                elif not room:
                     groups.append([])
                     room = each
                 take = min(room, c)
@@ -73,18 +113,27 @@ class Plan:
         return groups
 
     def _large(self) -> None:
-        """Fill sequences by configurations of the groups' largest lengths, fullest first; then put the actual lengths in."""
+        """Fill sequences by configurations of the groups' largest lengths, with the actual lengths put in.
+
+        What whole numbers of configurations leave over goes to best fit.
+        """
         groups = self._groups()
+        if not groups:
+            return
         size, count = [g[0][0] for g in groups], [sum(c for _, c in g) for g in groups]
         most = int(1 / LARGE)
         shapes = [s for k in range(1, most + 1) for s in combinations_with_replacement(range(len(groups)), k) if sum(size[i] for i in s) <= self.capacity]
         shapes.sort(key=lambda s: (-sum(size[i] for i in s), len(s)))
-        for shape in shapes:
-            need = {i: shape.count(i) for i in shape}
-            if times := min(count[i] // k for i, k in need.items()):
+        often = np.floor(optimum(shapes, count) + 1e-6).astype(int).tolist() if self.fill == "optimal" else [sum(count)] * len(shapes)
+        for shape, wanted in zip(shapes, often):
+            need = {i: shape.count(i) for i in shape} if wanted else {}
+            if times := min((wanted, *(count[i] // k for i, k in need.items()))):
                 for i, k in need.items():
                     count[i] -= times * k
                 self._substitute([self._take(groups[i], times) for i in shape], times)
+        for n, c in (run for group in groups for run in group):
+            self.left[n] = self.left.get(n, 0) + c
+        self.left = dict(sorted(self.left.items(), reverse=True))
 
     @staticmethod
     def _take(group: list[list[int]], n: int) -> list[list[int]]:
@@ -161,6 +210,12 @@ class Plan:
         return np.array(rows, dtype=np.int64).reshape(-1, 5), sequence
 
 
+def best_plan(counts: dict[int, int], capacity: int) -> Plan:
+    """The plan of fewest sequences, of those by optimised and by fullest configurations and plain best fit."""
+    tried = [(g, fill) for fill in ("optimal", "fullest") for g in GROUPS] + [(GROUPS[0], None)]
+    return min((Plan(counts, capacity, g, fill) for g, fill in tried), key=lambda p: p.sequences)
+
+
 def assign(ranked: DataFrame, plan: Plan) -> DataFrame:
     """Add sequence_id and offset to pieces with a `rank` within their length."""
     shared = ranked.sparkSession.sparkContext.broadcast(plan.ranges)  # bounded by the capacity
@@ -190,9 +245,10 @@ def pack(docs: DataFrame, capacity: int = 4_096, tokenizer: str | None = None, e
     """Pack whole documents (doc_id, text) into sequences of at most `capacity` ids.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Lengths above a quarter of the
-    capacity are rounded up within groups of equal cardinality; configurations of the rounded sizes are filled,
-    fullest first (of a few numbers of groups, the one that needs fewest sequences is taken); actual lengths take the rounded ones' places; the others go where they fit best. All this
-    happens on the histogram of lengths, which has `capacity` rows at most; each piece then finds its place from
+    capacity are rounded up within groups of equal cardinality; a linear program finds how often each configuration of
+    the rounded sizes is used, actual lengths take the rounded ones' places, and the others go where they fit best.
+    Of a few numbers of groups, and of this, fullest configurations first and plain best fit, the plan that needs
+    fewest sequences is taken. All this happens on the histogram of lengths, which has `capacity` rows at most; each piece then finds its place from
     its number among those of its length. Null and empty texts are one end id. Repeated rows and null ids are
     packed like others. No rows give no rows.
     """
@@ -200,4 +256,4 @@ def pack(docs: DataFrame, capacity: int = 4_096, tokenizer: str | None = None, e
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     order = [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
     ranked = numbered(cut, ["length"], order, order, "rank", sum(counts.values()))
-    return assign(ranked, min((Plan(counts, capacity, g) for g in GROUPS), key=lambda p: p.sequences))
+    return assign(ranked, best_plan(counts, capacity))

@@ -298,6 +298,22 @@ def test_plans_place_every_length_once(seed):
         assert [o for o, _ in v] == np.cumsum([0, *(n for _, n in v)])[:-1].tolist() and v[-1][0] + v[-1][1] <= 100
 
 
+@pytest.mark.parametrize(("counts", "fewest"), [({2400: 3000, 1365: 3000}, 3000), ({2400: 3000, 1365: 3000, 1700: 2, 5: 10}, 3001), ({1366: 1, 4096: 2}, 3), ({7: 3}, 1), ({}, 0)])
+def test_configurations_are_optimised(counts, fewest):
+    plan = packing.best_plan(counts, 4096)
+    assert plan.sequences == fewest
+    for groups in packing.GROUPS:
+        assert packing.Plan(counts, 4096, groups).sequences <= fewest + 2
+
+
+def test_no_plan_is_worse_than_best_fit():
+    rng = np.random.default_rng(3)
+    for few in (3, 12, 60, 800):
+        counts = {int(n): int(c) for n, c in zip(rng.choice(np.arange(300, 3000), few, replace=False), rng.integers(1, 400, few))}
+        fit = packing.Plan(counts, 4096, fill=None)
+        assert -(-sum(n * c for n, c in counts.items()) // 4096) <= packing.best_plan(counts, 4096).sequences <= fit.sequences
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(4)
     clean = lambda: ". ".join(sentence(rng, 12) for _ in range(8))
