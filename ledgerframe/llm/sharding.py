@@ -9,37 +9,47 @@ from ledgerframe.operators.scale import join_groups, numbered
 from ledgerframe.session import forget, materialise
 
 
-def propagate(members: DataFrame, nodes: DataFrame, shards: int, rows: int, rounds: int = 4) -> DataFrame:
+def propagate(members: DataFrame, nodes: DataFrame, shards: int, rows: int, rounds: int | None = None) -> DataFrame:
     """Move linked nodes towards their neighbours' shards, as far as shards have room for them.
 
     `members` (node, hub) links the nodes of a hub with each other; a hub stands for all its pairs. `nodes`
     (node, shard) are those that have a link. `rows` counts all rows to shard, linked or not: linked nodes may
     fill a shard up to its even share, since unlinked rows give way later. In each round a node wants the shard in
-    which its hubs have most members; ties go by a hash, the same for all of a hub. Those who want a shard enter
-    it up to its room, surest first; when its room is taken the hub's rest asks for another shard in the next round.
+    which its hubs have most members; ties go by a hash, the same for all of a hub. A hub whose rest does not fit
+    into that shard's room asks for the next ones as well, for as many as its rest fills. Those who want a shard enter
+    it up to its room, surest first; others ask again in the next round. It ends when no wish is left (where nodes
+    have one hub, every move makes the cut smaller), or after `rounds`, the number of shards and eight if not given.
     Returns (node, shard).
     """
     room_each = rows // shards
-    weight = members.groupBy("hub").agg(F.count("*").alias("hub_size"))
     now = nodes
-    for _ in range(rounds):
+    by_votes = W.partitionBy("hub").orderBy(F.desc("n"), F.desc("tie"))
+    before, beyond, hub = by_votes.rowsBetween(W.unboundedPreceding, -1), by_votes.rowsBetween(1, W.unboundedFollowing), W.partitionBy("hub")
+    for k in range(shards + 8 if rounds is None else rounds):
         held = members.join(now, "node")
-        full = now.groupBy("shard").agg(F.count("*").alias("held")).filter(F.col("held") >= room_each).select(F.col("shard").alias("closed"))
-        closed = F.broadcast(full)  # one row a shard at most
-        tally = held.groupBy("hub", "shard").agg(F.count("*").alias("n")).withColumn("tie", F.xxhash64("hub", "shard"))
-        profile = tally.join(weight, "hub").groupBy("hub").agg(F.collect_list(F.struct("n", "tie", "shard")).alias("votes"), F.max("hub_size").alias("hub_size"))  # one entry a shard at most
-        votes = join_groups(members, profile, "hub", "hub_size").select("node", F.explode("votes").alias("v")).groupBy("node", F.col("v.shard").alias("to")).agg(F.sum("v.n").alias("n"), F.max("v.tie").alias("tie"))
-        here = votes.join(now, "node").join(closed, F.col("to") == F.col("closed"), "left").filter(F.col("closed").isNull() | (F.col("to") == F.col("shard")))
+        room = F.broadcast(now.groupBy("shard").agg((F.lit(room_each) - F.count("*")).alias("room")))  # one row a shard at most
+        tally = held.groupBy("hub", "shard").agg(F.count("*").alias("n")).withColumn("tie", F.xxhash64("hub", "shard")).join(room, "shard")
+        free = F.greatest("room", F.lit(0))
+        tally = tally.withColumn("rank", F.row_number().over(by_votes)).withColumn("lead", F.coalesce(F.sum(free).over(before), F.lit(0))).withColumn("after", F.coalesce(F.sum("n").over(beyond), F.lit(0)))
+        target = (F.col("room") > 0) & (F.col("lead") < F.col("after"))
+        tally = tally.withColumn("last", F.max(F.when(target, F.col("rank"))).over(hub)).withColumn("targets", F.count(F.when(target, 1)).over(hub)).withColumn("rest", F.min(F.when(target, F.col("after"))).over(hub))
+        begin, end = F.when(target, F.col("lead") / F.col("rest")), F.when(target, F.when(F.col("rank") == F.col("last"), 2.0).otherwise((F.col("lead") + free) / F.col("rest")))
+        vote = F.struct("n", "tie", "shard", (F.col("room") > 0).alias("open"), (F.col("rank") <= F.col("last")).alias("keep"), begin.alias("begin"), end.alias("end"))
+        profile = tally.groupBy("hub").agg(F.collect_list(vote).alias("votes"), F.sum("n").alias("hub_size"), (F.max("targets") > 1).alias("spread"))  # one entry a shard at most
+        at = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 30)) / (1 << 30)
+        kept = F.exists("votes", lambda v: (v["shard"] == F.col("shard")) & v["keep"])
+        asks = join_groups(held, profile, "hub", "hub_size").select("node", "shard", "spread", at.alias("at"), kept.alias("kept"), F.explode("votes").alias("v"))
+        own = F.col("v.shard") == F.col("shard")
+        may = own | (F.col("v.open") & (~F.col("spread") | (~F.coalesce("kept", F.lit(False)) & F.coalesce((F.col("at") >= F.col("v.begin")) & (F.col("at") < F.col("v.end")), F.lit(False)))))
+        here = asks.withColumn("may", may).groupBy("node", "shard", F.col("v.shard").alias("to")).agg(F.sum("v.n").alias("n"), F.max("v.tie").alias("tie"), F.min("may").alias("may")).filter("may")
         best = here.groupBy("node", "shard").agg(F.max(F.struct("n", "tie", "to")).alias("best"), F.max(F.when(F.col("to") == F.col("shard"), F.col("n"))).alias("stay"))
         wish = materialise(best.filter("best.to <> shard").select("node", F.col("best.to").alias("to"), (F.col("best.n") - F.coalesce("stay", F.lit(0))).alias("gain")), "shard-wishes")
         asked = wish.count()
         if not asked:
             break
-        held_now = now.groupBy("shard").agg(F.count("*").alias("held"))
-        room = wish.select("to").distinct().join(F.broadcast(held_now), F.col("to") == F.col("shard"), "left").select("to", (F.lit(room_each) - F.coalesce("held", F.lit(0))).alias("room"))
         sure = 30 - F.least(F.lit(30), F.floor(F.log2(F.col("gain") + 1)))
         ranked = numbered(wish, ["to"], [F.col("node")], [F.col("node")], "place", asked, first=sure)
-        moved = ranked.join(F.broadcast(room), "to").filter("place < room").select("node", F.col("to").alias("moved"))
+        moved = ranked.join(room.withColumnRenamed("shard", "to"), "to").filter("place < room").select("node", F.col("to").alias("moved"))
         after = materialise(now.join(moved, "node", "left").select("node", F.coalesce("moved", "shard").alias("shard")), "shard-state")
         forget(wish)
         if now is not nodes:
@@ -73,12 +83,12 @@ def level(rows: DataFrame, shards: int, total: int) -> DataFrame:
     return stay.unionByName(queue.select("row", to.alias("shard")))
 
 
-def shard(docs: DataFrame, shards: int = 24, rounds: int = 4) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, rounds: int | None = None) -> DataFrame:
     """Put each row of `docs` (doc_id, text) into one of `shards`, equal texts together, counts at most one apart.
 
     One row per input row: doc_id, size, text_crc32, law ('rows'), shard, slot (0, 1 ... in its shard), grown_shard
     (null under this law). Rows start at a hash; label propagation brings equal texts together. A group larger than
-    a shard's share fills shards one after the other. Null text counts as empty; repeated ids are rows of their own; no rows give no rows; fewer rows than
+    a shard's share fills as many shards as it needs. Null text counts as empty; repeated ids are rows of their own; no rows give no rows; fewer rows than
     shards leave some shards empty.
     """
     text = F.coalesce("text", F.lit(""))

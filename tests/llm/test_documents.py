@@ -125,6 +125,13 @@ def test_a_group_beyond_a_shard_fills_several(spark):
     assert got[got.doc_id < 150].shard.value_counts().iloc[:2].min() >= 45
 
 
+def test_a_third_of_the_rows_fills_a_third_of_the_shards(spark):
+    docs = spark.range(2_400).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 800, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    got = sharding.shard(docs, 24).toPandas()
+    assert set(got.groupby("shard").size()) == {100}
+    assert got[got.doc_id < 800].shard.value_counts().tolist() == [100] * 8
+
+
 def words(t):
     return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
 
