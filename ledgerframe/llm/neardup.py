@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,17 @@ _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+@cache
+def whole(least: float) -> tuple[int, int]:
+    """Whole numbers (part, all) so that a pair is similar enough if all * aligned >= part * (shingles of both)."""
+    share = Fraction(str(least))
+    return share.numerator, share.numerator + share.denominator
+
+
+#: Floating point would miss pairs of exactly LEAST.
+PART, ALL = whole(LEAST)
+
+
 def shingles(hashes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     """Hashes of the text's k-word shingles in order, each labelled with how often it came before.
 
@@ -91,7 +104,8 @@ def similarity(x: np.ndarray, y: np.ndarray, least: float = LEAST) -> float:
     places. A link needs so many aligned that no match may lie further off the diagonal than the rest of both.
     """
     n, m = len(x), len(y)
-    need = least * (n + m) / (1 + least)
+    part, total = whole(least)
+    need = -(-part * (n + m) // total)
     if min(n, m) < need:
         return 0.0
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
@@ -135,7 +149,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def _comparable(n: Column, m: Column) -> Column:
     """Sizes that leave room for a link."""
-    return F.least(n, m) * (1 + LEAST) >= LEAST * (n + m)
+    return F.least(n, m).cast("long") * ALL >= (n.cast("long") + m) * PART
 
 
 def _alike(x: str, y: str) -> Column:
@@ -261,7 +275,7 @@ def settle(group: pd.DataFrame) -> pd.DataFrame:
         count = last - first
         at = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
         both = np.bincount(owner[at], minlength=len(parts))
-        for j in np.flatnonzero(both * (1 + LEAST) >= LEAST * (sizes + sizes[i])).tolist():
+        for j in np.flatnonzero(both * ALL >= PART * (sizes + sizes[i])).tolist():
             if top(labels[i]) != top(labels[j]) and similarity(parts[i], parts[j]) >= LEAST:
                 found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
                 above[top(labels[i])] = top(labels[j])

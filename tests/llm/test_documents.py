@@ -8,6 +8,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +202,27 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     assert all(want[g.class_id] == want[g.doc_id] for g in got)  # never joins what brute force keeps apart
 
 
+@pytest.mark.parametrize("k", [1, 7, 14, 21, 23, 28, 1000])
+def test_pairs_of_exactly_the_least_similarity(k):
+    x = np.arange(1, 5 * k + 1, dtype=np.uint64)
+    y = x[: 4 * k]  # 4k of 5k aligned: exactly 0.8
+    assert neardup.similarity(x, y) == neardup.similarity(y, x) == plain_similarity(x.tolist(), y.tolist()) == 0.8
+    assert neardup.similarity(x, y[1:]) < 0.8
+
+
+def test_a_text_with_seven_more_words_is_linked(spark):
+    base = [f"w{i}" for i in range(32)]
+    texts = [" ".join(base), " ".join(base + [f"v{i}" for i in range(7)])]  # 28 and 35 shingles
+    x, y = (labelled(words(t)) for t in texts)
+    assert (len(x), len(y)) == (28, 35) and plain_similarity(x, y) == 0.8
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    assert set(got.class_id) == {0}
+    linked = neardup.settle(pd.DataFrame({"node": [0, 1], "label": [0, 1], "text": texts}))
+    assert linked.values.tolist() == [[0, 1]]
+    sizes = spark.createDataFrame([(28, 35), (27, 35)], "n int, m int")
+    assert [r[0] for r in sizes.select(neardup._comparable(F.col("n"), F.col("m"))).collect()] == [True, False]
+
+
 def test_licences(spark, docs, rows, none):
     got = licences.scan(docs).collect()
     phrases = [(label, p.encode().split()) for label, p in licences.PHRASES]
