@@ -90,10 +90,11 @@ ORACLE_SQL = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
     "op8_warc": """
-        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS h FROM pages),
-        f AS (SELECT page_id, octet_length(h) AS n, sha256(h) AS d, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+        WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS h FROM pages),
+        f AS (SELECT page_id, octet_length(h) AS n, sha256(h) AS d, min(page_id) OVER (PARTITION BY h) AS first,
+                     row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST, url) > 1 AS again FROM p)
         SELECT page_id, n AS payload_bytes, d AS payload_digest,
-               CASE WHEN n >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN n >= 100 AND first < page_id THEN first END AS refers_to
+               CASE WHEN n >= 100 AND again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND again THEN first END AS refers_to
         FROM f""",
 }

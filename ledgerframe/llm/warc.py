@@ -7,7 +7,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ledgerframe.llm.files import attempt_name, place
 from ledgerframe.operators.scale import join_groups
@@ -23,21 +23,21 @@ DATE = "1970-01-01T00:00:00Z"
 INDEX = "file string, offset long, length long, url string, digest string, page_id long"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers: int | None) -> bytes:
-    """A WARC/1.1 record, its own gzip member: a response with the payload, or a revisit that points at one."""
-    name = "null" if page_id is None else page_id
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if refers is not None else http + payload
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers: int | None) -> bytes:
+    """A WARC/1.1 record, its own gzip member: a response with the payload, or, without one, a revisit that points at `refers`."""
+    urn = lambda n: f"<urn:page:{'null' if n is None else n}>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
+    block = http + (payload or b"")
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'response' if refers is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{name}>",
+        f"WARC-Type: {'revisit' if payload is None else 'response'}",
+        f"WARC-Record-ID: {urn(page_id)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {' '.join((url or '').split())}",
         f"WARC-Payload-Digest: sha256:{digest}",
     ]
-    if refers is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    if payload is None:
+        head += [f"WARC-Refers-To: {urn(refers)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", compresslevel=6, mtime=0)
 
@@ -64,11 +64,34 @@ def _number(urn: str | None) -> int | None:
     return None if found == "null" else int(found)
 
 
-def revisits(keyed: DataFrame) -> DataFrame:
-    """(page_id, digest, refers_to) for payloads of REVISIT_BYTES at least that a smaller page_id has too."""
-    keyed = keyed.filter(F.col("bytes") >= REVISIT_BYTES).select("page_id", "digest")
-    groups = keyed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null")
-    return join_groups(keyed, groups, "digest", "n").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
+def decided(narrow: DataFrame) -> DataFrame:
+    """Add `revisit` and `refers_to` to rows (row, page_id, url, digest, bytes) of payloads from REVISIT_BYTES on.
+
+    Of the rows of a digest, that with the smallest page_id is no revisit (null ids last, then URL and row decide).
+    """
+    best = F.min(F.struct(F.col("page_id").isNull(), "page_id", "url", "row")).alias("best")
+    groups = narrow.groupBy("digest").agg(best, F.count("*").alias("n"))
+    again = F.col("row") != F.col("best.row")
+    return join_groups(narrow, groups, "digest", "n").select("page_id", "url", "digest", "bytes", again.alias("revisit"), F.when(again, F.col("best.page_id")).alias("refers_to"))
+
+
+def records(pages: DataFrame) -> DataFrame:
+    """What is to be written: page_id, url, html (null for a revisit), bytes, digest, refers_to.
+
+    All is decided on a table without payloads, which revisits and payloads below REVISIT_BYTES need alone. Each
+    larger payload is shuffled once, by its digest, to the response that carries it.
+    """
+    html = F.coalesce("html", F.lit(""))
+    source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("bytes"))
+    large = F.col("bytes") >= REVISIT_BYTES
+    brief = source.select("page_id", "url", "digest", "bytes", F.when(~large, F.col("html")).alias("html")).withColumn("row", F.monotonically_increasing_id())
+    brief = materialise(brief, "warc-brief")
+    known = materialise(decided(brief.filter(large).drop("html")), "warc-decided")
+    payloads = source.filter(large).groupBy("digest").agg(F.first("html").alias("html"))  # equal ones meet before the shuffle
+    columns = ["page_id", "url", "html", "bytes", "digest", "refers_to"]
+    small = brief.filter(~large).withColumn("refers_to", F.lit(None).cast("long"))
+    again = known.filter("revisit").withColumn("html", F.lit(None).cast("string"))
+    return known.filter("not revisit").join(payloads, "digest").select(columns).union(again.select(columns)).union(small.select(columns))
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
@@ -76,17 +99,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
 
     One archive a task: file, offset, length, URL and digest of each record, and its page_id.
     """
-    html = F.coalesce("html", F.lit(""))
-    source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"))
-    digest = F.sha2(F.col("html"), 256)
-    base = materialise(source.select("page_id", digest.alias("digest"), F.octet_length("html").alias("bytes")), "warc-digests")
-    first = revisits(base).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
-    rows = source.withColumn("digest", digest)
-    rows = rows.join(first, rows["page_id"].eqNullSafe(first["_id"]) & (rows["digest"] == first["_digest"]), "left")
-    # Of rows with the same id and payload, one is the response if the payload's smallest page_id is theirs.
-    alike = F.row_number().over(W.partitionBy("page_id", "digest").orderBy("url"))
-    repeat = (F.octet_length("html") >= REVISIT_BYTES) & (alike > 1)
-    rows = rows.select("page_id", "url", "html", "digest", F.coalesce("refers_to", F.when(repeat, F.col("page_id"))).alias("refers_to"))
+    rows = records(pages)
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, path = place(folder)
@@ -94,9 +107,9 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             out = out or files.open_output_stream(f"{path}/{name}", compression=None)
             found = []
-            for page_id, url, text, known, refers in zip(*(batch[c] for c in ("page_id", "url", "html", "digest", "refers_to"))):
+            for page_id, url, text, size, known, refers in zip(*(batch[c] for c in ("page_id", "url", "html", "bytes", "digest", "refers_to"))):
                 number, other = (None if x is None else int(x) for x in (page_id, refers))
-                data = record(number, url, text.encode(), known, other)
+                data = record(number, url, None if text is None else text.encode(), int(size), known, other)
                 out.write(data)
                 found.append((name, at, len(data), url, known, number))
                 at += len(data)
@@ -160,7 +173,8 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     One row per input row. Null html is an empty payload, always a response; a null URL is written as an empty one.
     Of equal payloads of REVISIT_BYTES at least, the row with the smallest page_id is the response, and one of them
-    where whole rows repeat; a payload whose rows all have null ids stays a response in each. No rows write no file.
+    where rows repeat. Null ids come last: they revisit the smallest id, and where all ids of a payload are null, one row
+    is the response and the others are revisits with a null refers_to. No rows write no file.
     """
     folder = folder or scratch(pages.sparkSession, "warc")
     return read(write(pages, folder), folder)

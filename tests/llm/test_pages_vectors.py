@@ -41,13 +41,18 @@ def test_whole_rows_repeated_have_one_response(spark, pages):
     assert sorted((g.record_type, g.refers_to or 0) for g in warc.archive(twice).collect()) == [("response", 0), ("revisit", 1)]
 
 
+def test_a_payload_of_null_ids_has_one_response(spark, pages):
+    nameless = spark.range(3).selectExpr("CAST(NULL AS LONG) AS page_id", "'u' AS url", f"'{BIG}' AS html")
+    assert Counter((g.page_id, g.record_type, g.refers_to) for g in warc.archive(nameless).collect()) == {(None, "response", None): 1, (None, "revisit", None): 2}
+
+
 def test_selected_records_and_damage(spark, pages):
     folder = scratch(spark, "warc")
     index = warc.write(pages, folder)
     some = warc.read(index.filter("page_id in (5, 9)"), folder).collect()
     assert {(g.page_id, bytes(g.payload)) for g in some} == {(5, b"short"), (9, b"x" * 300_000)}
     with pytest.raises(ValueError):
-        warc.parse(warc.record(1, "u", b"payload", "0" * 64, None))
+        warc.parse(warc.record(1, "u", b"payload", 7, "0" * 64, None))
 
 
 def plain(rows, least):
