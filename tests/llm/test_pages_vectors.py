@@ -59,12 +59,13 @@ def plain(rows, least):
     n = len(rows)
     ok = [r[2] is not None and r[1] is not None and len(r[1]) > 0 and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1]) for r in rows]
     links = [[] for _ in rows]
-    for i in range(n):
-        for j in range(n):
-            if i != j and ok[i] and ok[j] and rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]):
-                a, b = np.array(rows[i][1], dtype=float), np.array(rows[j][1], dtype=float)
-                if a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) >= least:
-                    links[i].append(j)
+    for label, size in {(r[2], len(r[1])) for r, good in zip(rows, ok) if good}:
+        at = np.array([i for i, r in enumerate(rows) if ok[i] and r[2] == label and len(r[1]) == size])
+        x = np.array([rows[i][1] for i in at], dtype=float)
+        norm = np.linalg.norm(x, axis=1)
+        for k, i in enumerate(at.tolist()):
+            near = (x * x[k]).sum(axis=1) / (norm * norm[k]) >= least
+            links[i] = [j for j in at[near].tolist() if j != i]
     out = []
     for i in range(n):
         seen, ahead = {i}, [i]
@@ -78,7 +79,7 @@ def plain(rows, least):
     return Counter(out)
 
 
-@pytest.mark.parametrize("settings", [{}, {"LEAF": 4, "BLOCK": 3}])
+@pytest.mark.parametrize("settings", [{}, {"SAMPLE": 12, "BLOCK": 3}, {"SAMPLE": 60, "BLOCK": 20}, {"SAMPLE": 2}])
 def test_vector_links(spark, monkeypatch, settings):
     for k, v in settings.items():
         monkeypatch.setattr(vectors, k, v)
@@ -104,7 +105,7 @@ def test_cover_tree_bounds():
     for i, p in enumerate(path):
         for node, d in zip(tree.path(int(leaf[i])), p):
             tree.radius[node] = max(tree.radius[node], d)
-    apart = set(tree.pairs(0.374))
+    apart = {(int(a), int(b)) for a, b in tree.pairs(0.374) if a != b}
     for i in range(200):
         for j in range(i):
             if np.linalg.norm(points[i] - points[j]) <= 0.374 and leaf[i] != leaf[j]:
@@ -113,6 +114,32 @@ def test_cover_tree_bounds():
     assert len(apart) < leaves * (leaves - 1) / 2  # something is pruned
 
 
+def test_trees_prune_at_every_scale(spark, monkeypatch):
+    """Labels of the given tables, and planted clusters beyond the sample, have real trees that rule leaf pairs out."""
+    seen, pairs = [], vectors.CoverTree.pairs
+
+    def counted(tree, distance):
+        found, n = pairs(tree, distance), len(tree.leaves())
+        seen.append((n, n * (n + 1) // 2 - len(found)))
+        return found
+
+    monkeypatch.setattr(vectors.CoverTree, "pairs", counted)
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    labels = table.filter("label is not null").select("label").distinct().count()
+    got = Counter((g.vec_id, g.n_links, g.component_id, g.kept) for g in vectors.near_vectors(table).collect())
+    assert len(seen) == labels and all(leaves > 100 and pruned > leaves for leaves, pruned in seen)
+    assert got == plain([(r.vec_id, r.embedding, r.label) for r in table.collect()], 0.93)
+
+    seen.clear()
+    monkeypatch.setattr(vectors, "SAMPLE", 60)
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (12, 32))
+    rows = [(i, (centres[i % 12] + rng.normal(0, 0.17, 32)).tolist(), 1) for i in range(600)]
+    got = Counter((g.vec_id, g.n_links, g.component_id, g.kept) for g in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert seen[0][1] > 0 and got == plain(rows, 0.93)
+
+
 def test_pipeline_stages(spark):
     """Each stage works on all that its predecessor kept, and its decisions take effect."""
     import corpus_pipeline
