@@ -95,7 +95,10 @@ def bucket(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """Statistics and label of the labelled documents to learn from: those whose bucket isn't 1, `most` at most, by hash."""
+    """Statistics and label of the labelled documents to learn from: those whose bucket isn't 1, `most` rows at most, by hash.
+
+    Both labels and rows are bounded, so that ids which repeat on either side teach no more than that either.
+    """
     known = labels.select("doc_id", F.col("quality").cast("double").alias("label")).filter("doc_id is not null and label in (0.0, 1.0)").filter(bucket(F.col("doc_id")) != 1)
     share = most / max(known.count(), 1)
     if share < 1:
@@ -103,16 +106,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) ->
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)  # the bound holds whatever the hash does
     stats = statistics(F.col("text"))
     joined = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(known), F.col("_id") == F.col("doc_id"))
-    return joined.select(F.col("_id").alias("doc_id"), "label", *[c.alias(n) for n, c in stats.items()])
+    return _in_order(joined.select(F.col("_id").alias("doc_id"), "label", *[c.alias(n) for n, c in stats.items()])).limit(most)
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """The rows in one order that depends on nothing but them."""
+    return rows.orderBy(F.xxhash64("doc_id"), *rows.columns)
 
 
 def fit(rows: DataFrame) -> RuleEnsemble:
     """Grow a small forest, take every path as a rule, and keep the rules that a lasso logistic fit weighs.
 
-    Without both labels the score is constant: the share of label 1, smoothed by one row of each.
+    `rows` are bounded, so they are brought into one sorted partition: the forest draws its samples by partition and
+    place, and so equal rows give an equal model however they are spread. Without both labels the score is constant:
+    the share of label 1, smoothed by one row of each.
     """
     names = [c for c in rows.columns if c not in ("doc_id", "label")]
-    rows = materialise(rows.repartition(6, "doc_id").sortWithinPartitions("doc_id", "label"), "quality-rows")
+    rows = materialise(rows.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), *rows.columns), "quality-rows")
     count, good = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < good < count:
         import math
@@ -125,7 +135,7 @@ def fit(rows: DataFrame) -> RuleEnsemble:
     columns = {n: F.col(n) for n in names}
     tried = ready.select("label", *[holds(c, columns).cast("double").alias(f"r{i}") for i, c in enumerate(found)])
     tried = VectorAssembler(inputCols=[f"r{i}" for i in range(len(found))], outputCol="features").transform(tried).select("label", "features")
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=L1, maxIter=60).fit(materialise(tried, "quality-rules"))
+    lasso = LogisticRegression(elasticNetParam=1.0, regParam=L1, maxIter=60).fit(materialise(tried.coalesce(1), "quality-rules"))
     return RuleEnsemble(float(lasso.intercept), tuple((c, float(w)) for c, w in zip(found, lasso.coefficients.toArray()) if w))
 
 

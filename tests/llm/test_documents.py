@@ -362,3 +362,55 @@ def test_quality(spark, docs, none):
     assert quality.classify(none, labels).count() == 0
     kept = quality.accepted(docs, labels)
     assert kept.columns == docs.columns
+
+
+def labelled_texts(spark):
+    rng = random.Random(4)
+    data = [(i, ". ".join(sentence(rng, 12) for _ in range(8))) for i in range(600)]
+    data = [(i, t if i % 3 else t.upper().replace(" ", "!! ", rng.randint(1, 30))) for i, t in data]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i, _ in data], "doc_id long, quality int, toxic int")
+    return spark.createDataFrame(data, "doc_id long, text string"), labels
+
+
+def test_quality_fits_are_equal_however_rows_are_spread(spark):
+    texts, labels = labelled_texts(spark)
+    one = quality.fit(quality.training_rows(texts.repartition(7), labels))
+    two = quality.fit(quality.training_rows(texts.orderBy(F.desc("doc_id")).repartition(2), labels.repartition(3)))
+    assert one == two and one.rules
+
+
+def test_quality_learns_from_a_bounded_number_of_rows(spark):
+    texts, labels = labelled_texts(spark)
+    many = texts.crossJoin(spark.range(5).drop("id"))
+    assert quality.training_rows(many, labels, 100).count() == 100
+
+
+def plain_statistics(t):
+    chars, n_words, lines = max(len(t), 1), max(len(re.findall(r"\S+", t, re.A)), 1), t.split("\n")
+    import unicodedata
+
+    kind = [unicodedata.category(c) for c in t]
+    tokens = re.split(r"[ \t\n\x0b\f\r]+", t.lower())
+    return {
+        "chars": len(t), "word_length": len(t) / n_words, "lines": len(lines) / n_words, "upper": sum(k == "Lu" for k in kind) / chars, "digit": sum(k[0] == "N" for k in kind) / chars,
+        "symbol": sum(k[0] not in "LN" and c not in " \t\n\x0b\f\r.,;:!?'\"()|-" for k, c in zip(kind, t)) / chars, "bang": t.count("!") / chars, "pipe": t.count("|") / chars,
+        "stop": (t.count(".") + t.count("?")) / chars, "comma": t.count(",") / chars, "distinct_words": np.log(len(set(tokens)) + 1) / np.log(n_words + 1),
+        "distinct_lines": len(set(lines)) / len(lines),
+    }
+
+
+def test_quality_scores_equal_a_plain_evaluation_of_the_rules(spark, docs):
+    texts, labels = labelled_texts(spark)
+    model = quality.fit(quality.training_rows(texts, labels))
+    rows = [r.text or "" for r in texts.limit(50).collect()] + [r.text or "" for r in docs.collect()]
+    table = spark.createDataFrame(list(enumerate(rows)), "n int, text string")
+    stats = {r.n: r.s.asDict() for r in table.select("n", F.struct(*[c.alias(k) for k, c in quality.statistics(F.col("text")).items()]).alias("s")).collect()}
+    scores = {r.n: r._score for r in quality.with_score(table, model).collect()}
+    for n, t in enumerate(rows):
+        for k, v in plain_statistics(t).items():
+            assert stats[n][k] == pytest.approx(v), (k, t[:80])
+        words = t.split(" ")
+        if not re.search(r"[^\S ]", t):
+            assert stats[n]["repeat"] * max(len(t.split()), 1) == pytest.approx(sum(a == b != "" for a, b in zip(words, words[1:])))
+        total = model.intercept + sum(w for rule, w in model.rules if all((stats[n][k] > x) == above for k, above, x in rule))
+        assert scores[n] == pytest.approx(1 / (1 + np.exp(-total)))
