@@ -2,52 +2,59 @@
 
 from __future__ import annotations
 
-import re
+from pyspark.sql import Column, functions as F
 
-import pandas as pd
-from pyspark.sql import functions as F, types as T
+from ledgerframe.functions.parsers import arrangement, format_pay, pay
 
-from ledgerframe.functions.parsers import parse_pay
+# Words of roles and of employment, and what in an arrangement names no place.
+ROLES = (
+    "engineers?", "developers?", "scientists?", "researchers?", "designers?", "managers?", "lead", "head of", "architects?", "sre", "devops", "swe", "analysts?", "operators?", "founding", "staff",
+    "principal", "interns?", "roles?", "positions?", "openings?", "cto", "vp",
+)
+EMPLOYMENT = ("full[- ]?time", "part[- ]?time", "contract(?:or)?", "intern(?:ship)?", "freelance", "b2b", "permanent")
+NO_PLACE = r"(?i)\b(?:fully|remote|hybrid|on[\s-]?site|wfh|work from home|only|preferred|possible|friendly|ok)\b"
+NO_PLACE_EITHER = r"(?i)[()/,+&-]|\bor\b|\band\b"
+LINK = r"(?i)\bhttps?://[^\s|)]+"
+#: Parts that a header has at least; characters of a company, of a place, of an employment.
+LEAST_PARTS, COMPANY, PLACE, SHORT = 3, 80, 80, 60
 
-_ROLE = re.compile(r"\b(engineer|developer|scientist|designer|manager|analyst|architect|lead|researcher|administrator|consultant|director|head of|intern|product|devops|sre|programmer)s?\b", re.I)
-_EMPLOYMENT = re.compile(r"\b(full[\s-]?time|part[\s-]?time|contract(?:or)?|freelance|internship|permanent)\b", re.I)
-_PLACE = re.compile(r"\b(remote|hybrid|on[\s-]?site|wfh|in[\s-]office)\b", re.I)
-_URL = re.compile(r"https?://\S+|\b[\w-]+\.(?:com|io|ai|org|net|co|dev)\b\S*")
-HEADER = T.StructType([T.StructField(n, T.StringType()) for n in ("company", "role", "location", "arrangement", "pay", "employment", "url")])
 
+def _either(words: tuple[str, ...]) -> str:
+    return rf"(?i)\b(?:{'|'.join(words)})\b"
 
-def parse_header(line: str | None) -> dict | None:
-    """Parts of a post's first line; null with fewer than three parts, or without role, place and arrangement.
 
-    The first part is the company, without what stands in brackets after it. Each other part is the first of these
-    that it looks like: link, pay, role, arrangement, employment, place; only the first place counts, and roles add up.
+def header(line: Column) -> Column:
+    """Parts of a post's first line: company, role, location, arrangement, pay, employment, url and the words of each; null if it is no header.
+
+    Every part says what it could be. The first link is the link, and the first pay among the others the pay; of what
+    is left, all roles add up, the last arrangement and the last employment count, and the first place does, be it a part
+    of its own or named in an arrangement. A line of fewer than three parts, without a company, or without role,
+    place and arrangement is no header.
     """
-    parts = [p.strip() for p in (line or "").split("|") if p.strip()]
-    if len(parts) < 3:
-        return None
-    company = re.sub(r"\s*\([^)]*\)\s*$", "", parts[0]).strip()
-    if not company or len(company) > 80:
-        return None
-    out: dict = dict.fromkeys(HEADER.names) | {"company": company}
-    roles = []
-    for p in parts[1:]:
-        if m := _URL.search(p):
-            out["url"] = out["url"] or m[0]
-        elif parse_pay(p):
-            out["pay"] = out["pay"] or p
-        elif _ROLE.search(p):
-            roles.append(p)
-        elif _PLACE.search(p):
-            out["arrangement"] = out["arrangement"] or p
-        elif len(p) < 60 and _EMPLOYMENT.search(p):
-            out["employment"] = out["employment"] or p
-        elif len(p) < 80:
-            out["location"] = out["location"] or p
-    out["role"] = ", ".join(roles) or None
-    return out if out["role"] or out["location"] or out["arrangement"] else None
-
-
-@F.pandas_udf(HEADER)
-def header(line: pd.Series) -> pd.DataFrame:
-    """`parse_header` of each line."""
-    return pd.DataFrame([parse_header(x) or dict.fromkeys(HEADER.names) for x in line], columns=HEADER.names)
+    parts = F.filter(F.transform(F.split(line, r"\|"), lambda p: F.trim(F.replace(p, F.lit("*"), F.lit("")))), lambda p: p != "")
+    company = F.trim(F.regexp_replace(F.get(parts, F.lit(0)), r"\s*\([^)]*\)\s*$", ""))
+    seen = F.transform(
+        F.slice(parts, 2, 1_000),
+        lambda p, i: F.struct(
+            p.alias("text"), i.alias("i"), F.nullif(F.regexp_extract(p, LINK, 0), F.lit("")).alias("url"), pay(p).alias("pay"), p.rlike(_either(ROLES)).alias("role"), arrangement(p).alias("arrangement"),
+            (p.rlike(_either(EMPLOYMENT)) & (F.length(p) < SHORT)).alias("employment"), F.regexp_replace(F.regexp_replace(p, NO_PLACE, ""), NO_PLACE_EITHER, "").rlike("(?i)[a-z]{2,}").alias("named"),
+        ),
+    )
+    first = lambda x: F.get(x, F.lit(0))
+    last = lambda x: F.get(x, F.size(x) - 1)
+    link = first(F.filter(seen, lambda x: x["url"].isNotNull()))
+    rest = F.filter(seen, lambda x: ~x["i"].eqNullSafe(link["i"]))
+    paid = first(F.filter(rest, lambda x: x["pay"].isNotNull()))
+    rest = F.filter(rest, lambda x: ~x["i"].eqNullSafe(paid["i"]))
+    roles = F.filter(rest, lambda x: x["role"])
+    rest = F.filter(rest, lambda x: ~x["role"])
+    arranged = F.filter(rest, lambda x: x["arrangement"].isNotNull())
+    employed = last(F.filter(rest, lambda x: x["arrangement"].isNull() & x["employment"]))
+    place = first(F.filter(rest, lambda x: F.when(x["arrangement"].isNotNull(), x["named"]).otherwise(~x["employment"] & (F.length(x["text"]) < PLACE))))
+    role = F.nullif(F.array_join(F.transform(roles, lambda x: x["text"]), "; "), F.lit(""))
+    p = paid["pay"]
+    shown = F.when(p.isNotNull(), format_pay(p["least"], p["most"], p["currency"], p["period"]))
+    words = F.struct(first(parts).alias("company"), first(roles)["text"].alias("role"), place["text"].alias("location"), first(arranged)["text"].alias("arrangement"), p["raw"].alias("pay"), employed["text"].alias("employment"), link["url"].alias("url"))
+    found = F.struct(company.alias("company"), role.alias("role"), place["text"].alias("location"), last(arranged)["arrangement"].alias("arrangement"), shown.alias("pay"), employed["text"].alias("employment"), link["url"].alias("url"), words.alias("words"))
+    is_header = (F.size(parts) >= LEAST_PARTS) & (company != "") & (F.length(company) <= COMPANY) & F.coalesce(role, place["text"], last(arranged)["arrangement"]).isNotNull()
+    return F.when(is_header, found)

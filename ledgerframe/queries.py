@@ -551,7 +551,7 @@ def jon14_plan_recall(spark, d):
 @query()
 def k46_headers(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", header.header(F.split("text", "\n")[0]).alias("h"))
-    return rows.select("conv_id", "turn", "h.*")
+    return rows.select("conv_id", "turn", "h.company", "h.role", "h.location", "h.arrangement", "h.pay", "h.employment", "h.url")
 
 
 # Recipes and schema.org

@@ -49,21 +49,59 @@ def test_count(spark, raw, want):
     assert one(spark, parsers.parse_count, raw) == want
 
 
-@pytest.mark.parametrize(
-    ("raw", "want"),
-    [
-        ("pays $120k - $160k a year", (120_000, 160_000, "USD", "year")),
-        ("€55 / hour", (55, 55, "EUR", "hour")),
-        ("120-160k", (120_000, 160_000, None, "year")),
-        ("with a 401k and $5 lunch", None),
-        ("USD 90,000", (90_000, 90_000, "USD", "year")),
-        ("$1 of 2024, then £40,000–£50,000", (40_000, 50_000, "GBP", "year")),
-        ("", None),
-        (None, None),
-    ],
-)
-def test_pay(raw, want):
-    assert parsers.parse_pay(raw) == want
+PAY = [
+    ("pays $120k - $160k a year", (120_000, 160_000, "USD", "year")),
+    ("€55 / hour", (55, 55, "EUR", "hour")),
+    ("120-160k", (120_000, 160_000, None, "year")),
+    ("120k-160", (120_000, 160_000, None, "year")),
+    ("$120k-150", (120_000, 150_000, "USD", "year")),
+    ("$120k-150 USD", (120_000, 150_000, "USD", "year")),
+    ("120,000 – €150,000", (120_000, 150_000, "EUR", "year")),
+    ("$120,000. Hourly standups", (120_000, 120_000, "USD", "year")),
+    ("$120,000 hourly", None),
+    ("with a 401k and $5 lunch", None),
+    ("a $100 stipend", None),
+    ("$100 per hour", (100, 100, "USD", "hour")),
+    ("$45-60", (45, 60, "USD", "hour")),
+    ("£4,500 per month", (4_500, 4_500, "GBP", "month")),
+    ("USD 90,000", (90_000, 90_000, "USD", "year")),
+    ("C$95k to C$110k", (95_000, 110_000, "CAD", "year")),
+    ("EUR $95k", (95_000, 95_000, "EUR", "year")),
+    ("₹30,00,000", (3_000_000, 3_000_000, "INR", "year")),
+    ("JPY 12,000,000", (12_000_000, 12_000_000, "JPY", "year")),
+    ("we raised $40M", None),
+    ("$160k-$120k or £50.000", (50_000, 50_000, "GBP", "year")),
+    ("$1 of 2024, then £40,000–£50,000", (40_000, 50_000, "GBP", "year")),
+    ("85.5k CHF p.a.", (85_500, 85_500, "CHF", "year")),
+    ("90,000-110,000", None),
+    ("", None),
+    (None, None),
+]
+
+
+def test_pay(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PAY)], "i int, t string").select("i", parsers.pay(F.col("t")).alias("p"))
+    got = {r.i: r.p for r in rows.collect()}
+    for i, (t, want) in enumerate(PAY):
+        assert (tuple(got[i])[:4] if got[i] else None) == want, t
+
+
+def test_pay_as_text(spark):
+    rows = spark.createDataFrame([(120_000.0, 160_000.0, "USD", "1 YEAR"), (None, 55.5, None, "per-hour-wage"), (None, None, "EUR", None)], "a double, b double, c string, i string")
+    assert [r[0] for r in rows.select(parsers.stated_pay(*map(F.col, "abci"))).collect()] == ["USD 120,000–160,000 / year", "55.5 / hour", None]
+
+
+def test_file_names(spark):
+    assert one(spark, parsers.file_title, "[PDF] A guide - PDF") == "A guide" and one(spark, parsers.name_title, "Voice_SDK-Manual.pdf") == "Voice SDK Manual"
+    assert one(spark, parsers.link_file_name, "https://a.b/x/My%20file.pdf?q") == "My file.pdf" and one(spark, parsers.link_file_name, "https://a.b/x/") is None
+    for text, want in [("attachment; filename=\"a \\\"b\\\".pdf\"", 'a "b".pdf'), ("inline; filename=x.pdf", "x.pdf"), ("attachment; filename=x; filename*=UTF-8''r%C3%A9sum%C3%A9.pdf", "résumé.pdf"), ("inline", None)]:
+        assert one(spark, parsers.disposition_name, text) == want
+
+
+def test_counts_of_boards_and_waits(spark):
+    assert [one(spark, parsers.count_postings, x) for x in ("[1,2]", '{"jobs":[{}]}', '{"a":1}', "no")] == [2, 1, 0, 0]
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    assert [one(spark, lambda c: parsers.retry_after(c, now), x) for x in ("5", "Mon, 1 Jan 2024 00:01:00 GMT", "-3", "soon")] == [5_000, 60_000, 0, None]
 
 
 def test_locations(spark):

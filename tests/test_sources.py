@@ -1,11 +1,12 @@
 import io
+import json
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerframe.functions import schema_org
-from ledgerframe.functions.header import parse_header
+from ledgerframe.functions.header import header
 from ledgerframe.operators import discovery
 from ledgerframe.sources import files, workbook as books
 
@@ -55,10 +56,35 @@ def test_tables(spark, tmp_path):
     assert files.scan("p", workbook(state="hidden"))[4] == []
 
 
-def test_header():
-    got = parse_header("Acme (YC) | Senior Engineer | Berlin, Germany | REMOTE | $120k-$150k | Full-time | https://acme.com")
-    assert got == {"company": "Acme", "role": "Senior Engineer", "location": "Berlin, Germany", "arrangement": "REMOTE", "pay": "$120k-$150k", "employment": "Full-time", "url": "https://acme.com"}
-    assert parse_header("two | parts") is None and parse_header(None) is None and parse_header("A | https://a.com | 5") is not None
+def test_tables_are_read_whole(spark, tmp_path):
+    (tmp_path / "b.csv").write_bytes(b"name,age\n" + b"Ann,7\n" * 6_001)
+    (tmp_path / "c.json").write_text(json.dumps([{"name": "Ann", "age": 7}] * 6_001))
+    assert files.rows(files.read(spark, f"file://{tmp_path}")).count() == 12_002
+    cut = files.scan("b.csv", (tmp_path / "b.csv").read_bytes(), most=10)
+    assert cut[2] == "clean" and cut[3] == ["truncated"] and len(cut[4][0]["rows"]) == 10
+    assert files.scan("b.csv", (tmp_path / "b.csv").read_bytes())[3] == []
+
+
+HEADERS = [
+    ("Acme (YC) | Senior Engineer | Berlin, Germany | REMOTE | $120k-$150k | Full-time | https://acme.com", ("Acme", "Senior Engineer", "Berlin, Germany", "remote", "USD 120,000–150,000 / year", "Full-time", "https://acme.com")),
+    ("**Acme** | *Engineer* | Designer | Remote (Europe) | Contract", ("Acme", "Engineer; Designer", "Remote (Europe)", "remote", None, "Contract", None)),
+    ("Acme | Hybrid or remote | Paris | Onsite", ("Acme", None, "Paris", "onsite", None, None, None)),
+    ("Acme | $100k | $200k | SRE | Rome", ("Acme", "SRE", "$200k", None, "USD 100,000 / year", None, None)),
+    ("Acme | https://a.com | see https://b.com engineers | NYC", ("Acme", "see https://b.com engineers", "NYC", None, None, None, "https://a.com")),
+    ("A | https://a.com | 5", ("A", None, "5", None, None, None, "https://a.com")),
+    ("Acme | Full-time | Part-time", None),
+    ("two | parts", None),
+    ("(YC) | Engineer | Berlin", None),
+    (None, None),
+]
+
+
+def test_header(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(HEADERS)], "i int, t string").select("i", header(F.col("t")).alias("h"))
+    got = {r.i: r.h for r in rows.collect()}
+    for i, (t, want) in enumerate(HEADERS):
+        assert (tuple(got[i])[:7] if got[i] else None) == want, t
+    assert got[1].words.role == "Engineer" and got[0].words.company == "Acme (YC)" and got[0].words.pay == "$120k-$150k"
 
 
 def test_sources_by_name_tag_or_all(spark):
