@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerframe.operators.scale import join_groups
 from ledgerframe.session import forget, materialise
 
 
@@ -12,8 +13,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round links the neighbours of a node to the smallest node around it, first the larger neighbours, then
     the smaller ones, until no edge moves; rounds grow with the logarithm of a component's size. The smallest
-    neighbour comes from an aggregate, so a node with very many edges never has to fit in one task. Each round is
-    a written table. Null ends and loops are ignored; no edges give no rows.
+    neighbour comes from an aggregate, and the edges of a node with very many of them meet it where they lie, so no
+    task has to take all edges of a hub. Each round is a written table. Null ends and loops are ignored; no edges give
+    no rows.
     """
     now = materialise(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct(),
@@ -21,12 +23,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     before = _digest(now)
     while before[0]:
+        edges = before[0]
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_groups(both, least, "u", "n", 2 * edges).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = materialise(large, "components")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_groups(large, least, "u", "n", edges).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         following = materialise(small.select("e.u", "e.v").filter("u <> v").distinct(), "components")
         after = _digest(following)
         forget(large)

@@ -39,6 +39,10 @@ class Contract:
     options: dict = field(default_factory=dict)
 
 
+#: Characters that a pattern reads of a text; None for all of it. A contract that must read a prefix only sets the option pattern_chars.
+PATTERN_CHARS = None
+
+
 def keyword_pattern(words: tuple[str, ...]) -> str | None:
     """A pattern that finds any of the words at a word's start, whatever the case; None without words."""
     clean = [re.sub(r"([^\w\s])", r"\\\1", w.strip().lower()) for w in words if w.strip()]
@@ -61,7 +65,7 @@ def joined(fields: tuple[str, ...]) -> Column:
     return F.concat_ws(" \n ", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
 
 
-def outcome(c: Criterion) -> Column:
+def outcome(c: Criterion, pattern_chars: int | None = PATTERN_CHARS) -> Column:
     """TRUE, FALSE, or NULL where the criterion can't tell. Missing text counts as empty for patterns, as unknown for equality and tags."""
     unknown = F.lit(None).cast("boolean")
     if c.kind in ("keyword_any", "keyword_none"):
@@ -72,19 +76,20 @@ def outcome(c: Criterion) -> Column:
         value = F.lower(F.trim(joined(c.fields)))
         return F.when(value != "", value.isin(*[v.strip().lower() for v in c.values]) if c.values else F.lit(False))
     if c.kind == "regex":
-        return F.substring(joined(c.fields), 1, 2_000).rlike("(?i)" + c.values[0]) if c.values and safe_pattern(c.values[0]) else unknown
+        text = joined(c.fields) if pattern_chars is None else F.substring(joined(c.fields), 1, pattern_chars)
+        return text.rlike("(?i)" + c.values[0]) if c.values and safe_pattern(c.values[0]) else unknown
     if c.kind == "tag":
         tags = F.col(c.fields[0])
         return F.when(F.size(tags) > 0, F.arrays_overlap(tags, F.array(*map(F.lit, c.values))) if c.values else F.lit(False))
     return F.col(c.fields[0]).cast("boolean")
 
 
-def match(rows: DataFrame, criteria: tuple[Criterion, ...]) -> DataFrame:
+def match(rows: DataFrame, criteria: tuple[Criterion, ...], pattern_chars: int | None = PATTERN_CHARS) -> DataFrame:
     """Add `signals` (one struct per criterion), `match_score`, `rejected` (ids of failed hard criteria) and `match_reason`.
 
     The score is the earned share of the soft weight, 1 without any; unknown earns nothing and rejects nothing.
     """
-    signal = lambda c: F.struct(F.lit(c.id).alias("id"), F.lit(c.label).alias("label"), F.lit(c.hard).alias("hard"), F.lit(float(c.weight)).alias("weight"), outcome(c).alias("passed"))
+    signal = lambda c: F.struct(F.lit(c.id).alias("id"), F.lit(c.label).alias("label"), F.lit(c.hard).alias("hard"), F.lit(float(c.weight)).alias("weight"), outcome(c, pattern_chars).alias("passed"))
     total = sum(c.weight for c in criteria if not c.hard)
     rows = rows.withColumn("signals", F.array(*map(signal, criteria)) if criteria else F.expr("array()").cast("array<struct<id:string,label:string,hard:boolean,weight:double,passed:boolean>>"))
     passed = lambda s: F.coalesce(s["passed"], F.lit(False))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerframe.functions.text import normalize_text
 from ledgerframe.functions.url import canonical_url
 from ledgerframe.operators.components import connected_components
 from ledgerframe.operators.criteria import METHODS
+from ledgerframe.operators.scale import join_groups
+from ledgerframe.session import materialise
 
 
 def record_key(fields: tuple[str, ...], urls: tuple[str, ...] = ()) -> Column:
@@ -20,11 +22,12 @@ def record_key(fields: tuple[str, ...], urls: tuple[str, ...] = ()) -> Column:
 def clusters(records: DataFrame, keys: list[Column], id: str = "id") -> DataFrame:
     """(id, cluster) for every record: those that share any key, directly or through others; the smallest id names it.
 
-    Each key links its records to its smallest one, so a popular key gives as many links as it has records.
+    Each key links its records to its smallest one, so a popular key gives as many links as it has records. Ids and
+    keys alone are written and shuffled, not the records.
     """
-    keyed = records.select(F.col(id).alias("id"), F.explode(F.array_compact(F.array(*keys))).alias("key"))
+    keyed = materialise(records.select(F.col(id).alias("id"), F.explode(F.array_compact(F.array(*keys))).alias("key")), "resolve-keys")
     heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    links = keyed.join(heads, "key").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    links = join_groups(keyed, heads, "key", "n").select(F.col("head").alias("a"), F.col("id").alias("b"))
     found = connected_components(links)
     return records.select(F.col(id).alias("id")).join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
@@ -41,11 +44,11 @@ def keepers(records: DataFrame, cluster: str = "cluster") -> DataFrame:
     The best way comes first, then the surer, then the fuller, then the older record, then the smaller id.
     """
     rank = F.struct("method_rank", (-F.col("confidence")).alias("c"), (-F.col("completeness")).alias("f"), "created_at", "id")
-    best = records.groupBy(cluster).agg(F.min(rank).alias("best")).select(cluster, F.col("best.id").alias("keeper"))
-    return records.join(best, cluster).withColumn("duplicate_of", F.when(F.col("keeper") != F.col("id"), F.col("keeper"))).drop("keeper")
+    best = records.groupBy(cluster).agg(F.min(rank).alias("best"), F.count("*").alias("_size")).select(cluster, F.col("best.id").alias("keeper"), "_size")
+    return join_groups(records, best, cluster, "_size").drop("_size").withColumn("duplicate_of", F.when(F.col("keeper") != F.col("id"), F.col("keeper"))).drop("keeper")
 
 
 def first_wins(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
     """The first row of each key, rows without a key left out."""
-    ranked = rows.withColumn("_key", key).filter("_key is not null").withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy(*order)))
-    return ranked.filter("_n = 1").drop("_key", "_n")
+    kept = rows.select(key.alias("key"), F.struct(*order).alias("place"), F.struct("*").alias("row")).filter("key is not null")
+    return kept.groupBy("key").agg(F.min_by("row", "place").alias("row")).select("row.*")

@@ -6,19 +6,24 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: At most so many keys count as hot, so their rows can be broadcast whatever the input's size.
 HOT_KEYS = 5_000
+#: No key is hot with fewer rows.
+LEAST_HOT = 1_000
 #: Rows that one numbering block holds on average.
 BLOCK_ROWS = 20_000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int | None = None) -> DataFrame:
     """Inner join of many rows with one row per key, where a key may hold any share of the rows.
 
-    `size` in `groups` counts the key's rows. A key with more than 1/HOT_KEYS of all of them is hot; there are
-    fewer than HOT_KEYS such keys, so they are broadcast and their rows stay where they are. Other keys go
-    through a shuffled join, in which no key is large. Rows whose key is null find no partner.
+    `size` in `groups` counts the key's rows. A key with more than 1/HOT_KEYS of all of them (`total`, counted here if
+    not given) is hot; there are fewer than HOT_KEYS such keys, so they are broadcast and their rows stay where they
+    are. Other keys go through a shuffled join, in which no key is large. Rows whose key is null find no partner.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    limit = max(total // HOT_KEYS, 1_000)
+    if total is None:
+        total = groups.agg(F.sum(size)).first()[0] or 0
+    limit = max(total // HOT_KEYS, LEAST_HOT)
+    if total <= limit:  # no key can be hot
+        return rows.join(groups, key)
     hot = F.broadcast(groups.filter(F.col(size) > limit))
     cold = groups.filter(F.col(size) <= limit)
     rest = rows.join(hot.select(key), key, "left_anti")

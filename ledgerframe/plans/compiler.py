@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerframe.functions.url import canonical_url
 from ledgerframe.operators import criteria as c
 from ledgerframe.operators.resolve import clusters, keepers, record_key
+from ledgerframe.session import materialise
 
 #: Steps in the order in which they run.
 STEPS = ("collect", "prefilter", "match", "validate", "dedupe", "store")
@@ -47,18 +48,20 @@ def validate(rows: DataFrame, contract: c.Contract) -> DataFrame:
 def run(contract: c.Contract, sources: list[DataFrame]) -> DataFrame:
     """Collect, prefilter, match, validate and dedupe: rows with status, scores and duplicate_of.
 
-    Only rows that aren't invalid take part in the dedupe.
+    The judged rows are written once, as the dedupe reads them several times and what they come from may be dear. Only
+    rows that aren't invalid take part in it, by id and keys.
     """
     contract = normalize(contract)
     rows = collect(sources)
     o = contract.options
     rows = c.prefilter(rows, tuple(o.get("text", contract.fields)), tuple(o.get("include", ())), tuple(o.get("exclude", ())), o.get("most"))
-    rows = validate(c.match(rows, contract.criteria), contract)
+    rows = materialise(validate(c.match(rows, contract.criteria, o.get("pattern_chars", c.PATTERN_CHARS)), contract), "plan-rows")
     keys = [record_key(k, contract.urls) for k in contract.keys]
     joining = rows.filter("status <> 'invalid'")
     filled = reduce(lambda a, b: a + b, [(F.coalesce(F.col(f).cast("string"), F.lit("")) != "").cast("int") for f in contract.fields])
     ranked = joining.withColumn("completeness", filled).withColumn("method_rank", F.coalesce(F.create_map(*[x for i, m in enumerate(c.METHODS) for x in (F.lit(m), F.lit(i))])[F.col("method")], F.lit(9)))
-    best = keepers(ranked.join(clusters(joining, keys), "id")).select("id", "duplicate_of")
+    brief = ranked.select("id", "method_rank", "confidence", "completeness", "created_at")
+    best = keepers(materialise(brief.join(clusters(joining, keys), "id"), "plan-clusters")).select("id", "duplicate_of")
     rows = rows.join(best, "id", "left")
     rows = rows.withColumn("lead_score", c.lead_score(F.col("status"), F.col("match_score"), F.col("confidence")))
     return rows.withColumn("lead_tier", c.lead_tier(F.col("lead_score")))

@@ -26,8 +26,11 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, else, in a local session only, a local one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or LOCAL_FOLDER).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

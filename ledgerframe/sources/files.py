@@ -13,7 +13,8 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-ROWS, DEPTH, UNPACKED = 5_000, 64, 200 << 20
+#: Levels of JSON and unpacked bytes of a workbook beyond which a file is refused.
+DEPTH, UNPACKED = 64, 200 << 20
 PDF_RISKS = {"javascript": rb"/(?:JavaScript|JS)\b", "launch": rb"/Launch\b", "submit": rb"/SubmitForm\b", "open_action": rb"/OpenAction\b", "embedded_file": rb"/EmbeddedFile", "rich_media": rb"/RichMedia\b", "encrypted": rb"/Encrypt\b"}
 REJECTING = {"encrypted", "zip_bomb", "unsafe_path", "damaged", "binary", "too_deep"}
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -61,7 +62,7 @@ def read_csv(data: bytes) -> tuple[list[str], list[tuple]]:
         return ["binary"], []
     mark = max(",;\t|", key=lambda m: min((line.count(m) for line in text.splitlines()[:5] if line.strip()), default=0) * 100 + text[:4_000].count(m) / 100)
     headers, rows = split_header(list(csv.reader(io.StringIO(text), delimiter=mark)))
-    return [], [("data", headers, rows[:ROWS])]
+    return [], [("data", headers, rows)]
 
 
 def read_json(data: bytes) -> tuple[list[str], list[tuple]]:
@@ -82,7 +83,7 @@ def read_json(data: bytes) -> tuple[list[str], list[tuple]]:
         found = next((v for v in found.values() if isinstance(v, list) and v and isinstance(v[0], dict)), [found])
     items = [x if isinstance(x, dict) else {"value": x} for x in (found if isinstance(found, list) else [found])]
     headers = list(dict.fromkeys(k for x in items for k in x))
-    return [], [("data", headers, [[_plain(x.get(h)) for h in headers] for x in items[:ROWS]])]
+    return [], [("data", headers, [[_plain(x.get(h)) for h in headers] for x in items])]
 
 
 def _plain(value) -> str:
@@ -136,14 +137,17 @@ def read_xlsx(data: bytes) -> tuple[list[str], list[tuple]]:
                     cells[column] = shared[int(text)] if c.get("t") == "s" and text else text
                 rows.append([cells.get(k, "") for k in range(1, max(cells, default=0) + 1) if k not in hidden])
             headers, rest = split_header(rows)
-            tables.append((sheet.get("name"), headers, rest[:ROWS]))
+            tables.append((sheet.get("name"), headers, rest))
     except (ElementTree.ParseError, KeyError, ValueError, IndexError):
         return [*flags, "damaged"], []
     return list(dict.fromkeys(flags)), tables
 
 
-def scan(path: str, data: bytes) -> tuple:
-    """(path, kind, verdict, flags, tables): rejected files give no tables; risky ones give them with their flags."""
+def scan(path: str, data: bytes, most: int | None = None) -> tuple:
+    """(path, kind, verdict, flags, tables): rejected files give no tables; risky ones give them with their flags.
+
+    `most` rows of each table are kept if given, and a table that is cut says so by the flag truncated.
+    """
     kind, tables = kind_of(data), []
     if kind == "pdf":
         flags = [name for name, mark in PDF_RISKS.items() if re.search(mark, re.sub(rb"#([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), data))]
@@ -152,16 +156,18 @@ def scan(path: str, data: bytes) -> tuple:
         flags, tables = {"csv": read_csv, "json": read_json, "xlsx": read_xlsx}[kind](data)
     else:
         flags = [] if kind == "html" else ["binary"]
-    verdict = "rejected" if REJECTING & set(flags) else "risky" if flags else "clean"
+    if most is not None and any(len(r) > most for _, _, r in tables):
+        flags, tables = [*flags, "truncated"], [(n, h, r[:most]) for n, h, r in tables]
+    verdict = "rejected" if REJECTING & set(flags) else "risky" if set(flags) - {"truncated"} else "clean"
     return path, kind, verdict, flags, [] if verdict == "rejected" else [{"name": n, "headers": h, "rows": r} for n, h, r in tables]
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """`scan` of each file at the path."""
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([scan(p, bytes(c)) for p, c in zip(batch["path"], batch["content"])], columns=["path", "kind", "verdict", "flags", "tables"])
+            yield pd.DataFrame([scan(p, bytes(c), most) for p, c in zip(batch["path"], batch["content"])], columns=["path", "kind", "verdict", "flags", "tables"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(one, SCHEMA)
 

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerframe.operators import criteria, reports, resolve, state
+from ledgerframe.operators import criteria, reports, resolve, scale, state
 from ledgerframe.operators.components import connected_components
 from ledgerframe.operators.scale import join_groups, numbered
 from ledgerframe.plans import compiler
@@ -40,6 +40,25 @@ def test_three_valued_criteria(spark):
     assert not criteria.safe_pattern("(a+)+") and criteria.safe_pattern("ab+c") and not criteria.safe_pattern("(")
 
 
+def test_patterns_read_whole_texts(spark):
+    rows = spark.createDataFrame([("x" * 5_000 + " end",)], "t string")
+    rule = (criteria.Criterion("a", "a", "regex", ("t",), ("end$",)),)
+    assert criteria.match(rows, rule).first().signals[0].passed is True
+    assert criteria.match(rows, rule, pattern_chars=2_000).first().signals[0].passed is False
+
+
+def test_a_hub_of_many_edges(spark, monkeypatch):
+    monkeypatch.setattr(scale, "LEAST_HOT", 20)
+    monkeypatch.setattr(scale, "HOT_KEYS", 10)
+    edges = spark.range(1, 400).selectExpr("0 AS a", "id AS b").union(spark.range(400, 420).selectExpr("id AS a", "id + 1 AS b"))
+    found = connected_components(edges).toPandas()
+    assert (found[found.node < 400].component == 0).all() and (found[found.node >= 400].component == 400).all() and len(found) == 421
+    rows = spark.range(300).selectExpr("id", "IF(id < 200, 'popular', CAST(id AS STRING)) AS k")
+    cluster = dict(resolve.clusters(rows, [F.col("k")]).collect())
+    assert all(cluster[i] == (0 if i < 200 else i) for i in range(300))
+    assert sorted(r.id for r in resolve.first_wins(rows, F.col("k"), ["id"]).collect()) == [0, *range(200, 300)]
+
+
 def test_clusters_and_keepers(spark):
     rows = spark.createDataFrame([(1, "u1", "f1", 1, 0.5, 2, 5), (2, "u2", "f1", 0, 0.4, 2, 6), (3, "u2", "f2", 0, 0.4, 3, 7), (4, None, None, 0, 0.9, 1, 1), (5, "", "", 0, 0.9, 1, 1)], "id long, u string, f string, method_rank int, confidence double, completeness int, created_at int")
     found = resolve.clusters(rows, [resolve.record_key(("u",)), resolve.record_key(("f",))])
