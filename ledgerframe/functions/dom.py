@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Column, functions as F, types as T
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tr", "ul"}
@@ -121,31 +121,115 @@ def json_ld(root: Node) -> list[str]:
     return found
 
 
-def signature(e: Node) -> str:
-    return ".".join([e.tag, *sorted(e.attributes.get("class", "").split())])
+# Attributes that name an element for good, in order; forms of class names that tools generate; classes that
+# a plain selector can express; the assignments that hold a page's data; weights of the group score.
+STABLE = ("data-ui", "data-testid", "data-test", "data-qa", "data-automation-id", "itemprop")
+GENERATED = (r"^(?:css|sc|jsx|emotion|svelte|tw)-[A-Za-z0-9]{3,}", r"--[A-Za-z0-9_-]{4,}$", r"__[A-Za-z0-9]{5}$", r"^[a-z]{1,3}[A-Z0-9][A-Za-z0-9]{4,}$")
+PLAIN = r"-?[_a-zA-Z][\w-]*"
+ASSIGNED = ("__appData", "__remixContext", "__INITIAL_STATE__", "__APOLLO_STATE__", "__NUXT__")
+LEAST_GROUP, LEAST_TEXT, MOST_TEXT, BARE, FRAGILE = 3, 8, 200, 0.3, 0.8
+
+
+def generated(name: str) -> bool:
+    """Whether a class name looks like a tool's, which changes with every build."""
+    return any(re.search(form, name) for form in GENERATED)
+
+
+def selector(e: Node) -> tuple[str, bool]:
+    """The steadiest selector of an element by itself, and whether it is fragile."""
+    quoted = lambda v: re.sub(r'(["\\])', r"\\\1", v)
+    for name in (*STABLE, None):
+        if name and e.attributes.get(name):
+            return f'{e.tag}[{name}="{quoted(e.attributes[name])}"]', False
+    classes = [c for c in e.attributes.get("class", "").split() if re.fullmatch(PLAIN, c)]
+    if steady := [c for c in classes if not generated(c)]:
+        return ".".join([e.tag, *steady[:2]]), False
+    if e.attributes.get("role"):
+        return f'{e.tag}[role="{quoted(e.attributes["role"])}"]', False
+    return (f"{e.tag}.{classes[0]}", True) if classes else (e.tag, False)
+
+
+def measures(root: Node) -> dict[Node, tuple[int, int, bool, bool, bool]]:
+    """For each element, from the leaves up: letters and words of its visible text, whether it starts and ends with a space, whether it holds a link.
+
+    The text's length is letters plus words less one, as one space or line break stands between two words.
+    """
+
+    def joined(x: tuple, y: tuple) -> tuple:
+        link = x[4] or y[4]
+        if not x[1]:
+            space = x[2] or y[2]
+            return y[0], y[1], space, y[3] if y[1] else space, link
+        if not y[1]:
+            return x[0], x[1], x[2], x[3] or y[2], link
+        return x[0] + y[0], x[1] + y[1] - (not (x[3] or y[2])), x[2], y[3], link
+
+    found: dict[Node, tuple] = {}
+    for node in reversed([root, *root.elements()]):  # children come after their parents
+        total = (0, 0, False, False, False)
+        for c in node.children:
+            if isinstance(c, str):
+                part = (sum(map(len, c.split())), len(c.split()), c[:1].isspace(), c[-1:].isspace(), False) if c else total
+                total = joined(total, part) if c else total
+            elif not c.hidden:
+                total = joined(total, found[c])
+            elif found[c][4]:
+                total = (*total[:4], True)
+        if node.tag in BLOCK:
+            total = (*total[:2], True, True, total[4])
+        found[node] = (*total[:4], total[4] or node.tag == "a")
+    return found
 
 
 def repeated_groups(root: Node, most: int = 5) -> list[tuple[str, int, float, float, float]]:
-    """(signature, items, mean text length, links per item, score) of alike siblings, three or more, best first.
+    """(selector, items, mean text length, links per item, score) of alike siblings, three or more, best first.
 
-    Bare tags and generated-looking classes weigh less.
+    Bare tags and generated classes weigh less.
     """
-    found = []
+    found, size = [], measures(root)
     for parent in [root, *root.elements()]:
         groups = defaultdict(list)
         for c in parent.children:
             if isinstance(c, Node) and not c.hidden:
-                groups[signature(c)].append(c)
-        for name, items in groups.items():
-            mean = sum(len(i.text()) for i in items) / len(items)
-            if len(items) < 3 or mean < 8:
+                groups[selector(c)].append(size[c])
+        for (name, fragile), items in groups.items():
+            mean = sum(letters + max(n - 1, 0) for letters, n, *_ in items) / len(items)
+            if len(items) < LEAST_GROUP or mean < LEAST_TEXT:
                 continue
-            links = sum(bool(i.tag == "a" or i.find("a")) for i in items) / len(items)
-            score = len(items) * min(mean, 200) * (0.5 + links) * (0.3 if "." not in name else 1) * (0.8 if re.search(r"[a-z]+[-_]?[0-9a-f]{5,}", name) else 1)
+            links = sum(m[4] for m in items) / len(items)
+            score = len(items) * min(mean, MOST_TEXT) * (0.5 + links) * (1 if "." in name or "[" in name else BARE) * (FRAGILE if fragile else 1)
             found.append((name, len(items), round(mean, 6), round(links, 6), round(score, 6)))
     return sorted(found, key=lambda g: (-g[4], g[0]))[:most]
 
 
+def embedded(root: Node) -> list[tuple[str, str]]:
+    """(name, JSON) of the data that scripts hold: __NEXT_DATA__, and objects assigned to the known names; unreadable ones are skipped."""
+    found = []
+    for e in root.find("script"):
+        text = e.raw()
+        if e.attributes.get("id") == "__NEXT_DATA__":
+            found.append(("__NEXT_DATA__", text))
+        if not e.attributes.get("src"):
+            found += [(name, _balanced(text, m.end() - 1)) for name in ASSIGNED if (m := re.search(rf"{name} ?=[^{{]*{{", text))]
+    out = []
+    for name, text in found:
+        try:
+            out.append((name, json.dumps(json.loads(text), ensure_ascii=False)))
+        except ValueError:
+            continue
+    return out
+
+
+def _balanced(text: str, start: int) -> str:
+    """The object that opens at `start`; braces within strings don't count."""
+    depth = 0
+    for m in re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[{}]", re.S).finditer(text, start):
+        depth += {"{": 1, "}": -1}.get(m[0], 0)
+        if not depth:
+            return text[start : m.end()]
+    return ""
+
+
 def next_page(root: Node, url: str) -> str | None:
     """The following page: rel=next, else a link that says so, else the number after the current one."""
     links = [e for e in root.find("a", "link") if e.attributes.get("href")]
@@ -172,27 +256,54 @@ def site_owner(root: Node) -> str | None:
     return None
 
 
-def state(page: str | None, url: str | None) -> dict:
-    """Everything that a page is asked for, parsed once."""
-    root = parse(page)
-    links = [(urljoin(url or "", e.attributes["href"]), e.text()) for e in root.find("a") if e.attributes.get("href")]
-    return {
-        "title": title(root), "text": root.text(), "headings": [e.text() for e in root.find("h1", "h2", "h3")], "links": [x for x, _ in links if urlsplit(x).scheme in ("http", "https")],
-        "groups": [dict(zip(("name", "items", "mean_text", "link_share", "score"), g)) for g in repeated_groups(root)], "json_ld": json_ld(root), "next_page": next_page(root, url or ""), "owner": site_owner(root),
-    }
+def _links(root: Node, url: str) -> list[str]:
+    found = (urljoin(url, e.attributes["href"]) for e in root.find("a") if e.attributes.get("href"))
+    return [x for x in found if urlsplit(x).scheme in ("http", "https")]
+
+
+def _groups(root: Node, url: str) -> list[dict]:
+    return [dict(zip(("name", "items", "mean_text", "link_share", "score"), g)) for g in repeated_groups(root)]
+
+
+def canonical_link(root: Node, url: str) -> str | None:
+    """The address that a page calls its own, if it is on the same host (www. aside)."""
+    href = next((e.attributes.get("href") for e in root.find("link") if "canonical" in e.attributes.get("rel", "").lower().split()), None)
+    own = urljoin(url, href) if href else None
+    host = lambda u: (urlsplit(u).hostname or "").removeprefix("www.")
+    return own if own and host(own) == host(url) else None
 
 
 _S, _L = T.StringType(), T.ArrayType(T.StringType())
 _GROUP = T.StructType().add("name", "string").add("items", "integer").add("mean_text", "double").add("link_share", "double").add("score", "double")
-STATE = (
-    T.StructType().add("title", _S).add("text", _S).add("headings", _L).add("links", _L).add("groups", T.ArrayType(_GROUP)).add("json_ld", _L).add("next_page", _S).add("owner", _S)
-)
+#: What a page can be asked for: how it is read from the parsed page and its address, and its type.
+FACETS = {
+    "title": (lambda r, u: title(r), _S), "text": (lambda r, u: r.text(), _S), "headings": (lambda r, u: [e.text() for e in r.find("h1", "h2", "h3")], _L), "links": (_links, _L),
+    "groups": (_groups, T.ArrayType(_GROUP)), "json_ld": (lambda r, u: json_ld(r), _L), "embedded": (lambda r, u: [dict(zip(("name", "data"), x)) for x in embedded(r)], T.ArrayType(T.StructType().add("name", "string").add("data", "string"))),
+    "next_page": (next_page, _S), "owner": (lambda r, u: site_owner(r), _S), "canonical": (canonical_link, _S),
+}
+
+
+def state(page: str | None, url: str | None, facets: tuple[str, ...] = tuple(FACETS)) -> dict:
+    """What a page is asked for, parsed once."""
+    root = parse(page)
+    return {f: FACETS[f][0](root, url or "") for f in facets}
+
+
+def page_facets(*facets: str):
+    """A column function (page, url) -> struct of the facets asked for; the others cost nothing."""
+    kind = T.StructType([T.StructField(f, FACETS[f][1]) for f in facets])
+
+    @F.pandas_udf(kind)
+    def run(page: pd.Series, url: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([state(p, u, facets) for p, u in zip(page, url)], columns=list(facets))
+
+    return run
 
 
-@F.pandas_udf(STATE)
-def page_state(page: pd.Series, url: pd.Series) -> pd.DataFrame:
-    """`state` of each page."""
-    return pd.DataFrame([state(p, u) for p, u in zip(page, url)], columns=["title", "text", "headings", "links", "groups", "json_ld", "next_page", "owner"])
+def page_state(page: Column, url: Column) -> Column:
+    """All facets of a page, and a hash of its text."""
+    s = page_facets(*FACETS)(page, url)
+    return s.withField("hash", F.sha2(s["text"], 256))
 
 
 def select(root: Node, selector: str) -> list[Node]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ledgerframe.functions.parsers import arrangement, format_pay, pay
+from ledgerframe.functions.parsers import arrangement, let, pay, shown_pay
 
 # Words of roles and of employment, and what in an arrangement names no place.
 ROLES = (
@@ -31,30 +31,43 @@ def header(line: Column) -> Column:
     of its own or named in an arrangement. A line of fewer than three parts, without a company, or without role,
     place and arrangement is no header.
     """
-    parts = F.filter(F.transform(F.split(line, r"\|"), lambda p: F.trim(F.replace(p, F.lit("*"), F.lit("")))), lambda p: p != "")
-    company = F.trim(F.regexp_replace(F.get(parts, F.lit(0)), r"\s*\([^)]*\)\s*$", ""))
-    seen = F.transform(
-        F.slice(parts, 2, 1_000),
-        lambda p, i: F.struct(
-            p.alias("text"), i.alias("i"), F.nullif(F.regexp_extract(p, LINK, 0), F.lit("")).alias("url"), pay(p).alias("pay"), p.rlike(_either(ROLES)).alias("role"), arrangement(p).alias("arrangement"),
-            (p.rlike(_either(EMPLOYMENT)) & (F.length(p) < SHORT)).alias("employment"), F.regexp_replace(F.regexp_replace(p, NO_PLACE, ""), NO_PLACE_EITHER, "").rlike("(?i)[a-z]{2,}").alias("named"),
-        ),
+    cut = F.filter(F.transform(F.split(line, r"\|"), lambda p: F.trim(F.replace(p, F.lit("*"), F.lit("")))), lambda p: p != "")
+    return let(F.when(F.size(cut) >= LEAST_PARTS, cut), lambda parts: let(F.transform(F.slice(parts, 2, 1_000), _seen), lambda seen: _chosen(parts, seen)))
+
+
+def _seen(p: Column, i: Column) -> Column:
+    """What a part could be."""
+    named = F.regexp_replace(F.regexp_replace(p, NO_PLACE, ""), NO_PLACE_EITHER, "").rlike("(?i)[a-z]{2,}")
+    return F.struct(
+        p.alias("text"), i.alias("i"), F.nullif(F.regexp_extract(p, LINK, 0), F.lit("")).alias("url"), pay(p).alias("pay"), p.rlike(_either(ROLES)).alias("role"), arrangement(p).alias("arrangement"),
+        (p.rlike(_either(EMPLOYMENT)) & (F.length(p) < SHORT)).alias("employment"), named.alias("named"),
     )
-    first = lambda x: F.get(x, F.lit(0))
-    last = lambda x: F.get(x, F.size(x) - 1)
-    link = first(F.filter(seen, lambda x: x["url"].isNotNull()))
-    rest = F.filter(seen, lambda x: ~x["i"].eqNullSafe(link["i"]))
-    paid = first(F.filter(rest, lambda x: x["pay"].isNotNull()))
-    rest = F.filter(rest, lambda x: ~x["i"].eqNullSafe(paid["i"]))
+
+
+def _first(x: Column) -> Column:
+    return F.get(x, F.lit(0))
+
+
+def _last(x: Column) -> Column:
+    return F.get(x, F.size(x) - 1)
+
+
+def _chosen(parts: Column, seen: Column) -> Column:
+    """The link, then the pay among the other parts, then the rest."""
+    link = lambda: _first(F.filter(seen, lambda x: x["url"].isNotNull()))
+    paid = lambda u: _first(F.filter(seen, lambda x: x["pay"].isNotNull() & ~x["i"].eqNullSafe(u["i"])))
+    rest = lambda u, q: F.filter(seen, lambda x: ~x["i"].eqNullSafe(u["i"]) & ~x["i"].eqNullSafe(q["i"]))
+    return let(link(), lambda u: let(paid(u), lambda q: let(rest(u, q), lambda others: _named(parts, u, q, others))))
+
+
+def _named(parts: Column, link: Column, paid: Column, rest: Column) -> Column:
     roles = F.filter(rest, lambda x: x["role"])
-    rest = F.filter(rest, lambda x: ~x["role"])
-    arranged = F.filter(rest, lambda x: x["arrangement"].isNotNull())
-    employed = last(F.filter(rest, lambda x: x["arrangement"].isNull() & x["employment"]))
-    place = first(F.filter(rest, lambda x: F.when(x["arrangement"].isNotNull(), x["named"]).otherwise(~x["employment"] & (F.length(x["text"]) < PLACE))))
+    arranged = F.filter(rest, lambda x: ~x["role"] & x["arrangement"].isNotNull())
+    employed = _last(F.filter(rest, lambda x: ~x["role"] & x["arrangement"].isNull() & x["employment"]))
+    place = _first(F.filter(rest, lambda x: ~x["role"] & F.when(x["arrangement"].isNotNull(), x["named"]).otherwise(~x["employment"] & (F.length(x["text"]) < PLACE))))
+    company = F.trim(F.regexp_replace(_first(parts), r"\s*\([^)]*\)\s*$", ""))
     role = F.nullif(F.array_join(F.transform(roles, lambda x: x["text"]), "; "), F.lit(""))
-    p = paid["pay"]
-    shown = F.when(p.isNotNull(), format_pay(p["least"], p["most"], p["currency"], p["period"]))
-    words = F.struct(first(parts).alias("company"), first(roles)["text"].alias("role"), place["text"].alias("location"), first(arranged)["text"].alias("arrangement"), p["raw"].alias("pay"), employed["text"].alias("employment"), link["url"].alias("url"))
-    found = F.struct(company.alias("company"), role.alias("role"), place["text"].alias("location"), last(arranged)["arrangement"].alias("arrangement"), shown.alias("pay"), employed["text"].alias("employment"), link["url"].alias("url"), words.alias("words"))
-    is_header = (F.size(parts) >= LEAST_PARTS) & (company != "") & (F.length(company) <= COMPANY) & F.coalesce(role, place["text"], last(arranged)["arrangement"]).isNotNull()
-    return F.when(is_header, found)
+    words = F.struct(_first(parts).alias("company"), _first(roles)["text"].alias("role"), place["text"].alias("location"), _first(arranged)["text"].alias("arrangement"), paid["pay"]["raw"].alias("pay"), employed["text"].alias("employment"), link["url"].alias("url"))
+    found = F.struct(company.alias("company"), role.alias("role"), place["text"].alias("location"), _last(arranged)["arrangement"].alias("arrangement"), shown_pay(paid["pay"]).alias("pay"), employed["text"].alias("employment"), link["url"].alias("url"), words.alias("words"))
+    is_header = lambda x: (x["company"] != "") & (F.length(x["company"]) <= COMPANY) & F.coalesce(x["role"], x["location"], x["arrangement"]).isNotNull()
+    return let(found, lambda x: F.when(is_header(x), x))

@@ -111,6 +111,15 @@ def field_confidence(method: Column, verified: Column) -> Column:
     return F.when(verified, F.coalesce(priors[method], F.lit(0.0))).otherwise(0.0)
 
 
+#: The most that a sensitive value is trusted without a verified quote.
+UNQUOTED = 0.7
+
+
+def sensitive_confidence(confidence: Column, sensitive: Column, quoted: Column) -> Column:
+    """A field's confidence, bounded where it is sensitive and no verified quote states it."""
+    return F.when(sensitive & ~F.coalesce(quoted, F.lit(False)), F.least(confidence, F.lit(UNQUOTED))).otherwise(confidence)
+
+
 def record_confidence(fields: dict[str, Column], present: dict[str, Column], required: tuple[str, ...], most: float = 1.0) -> Column:
     """The least confidence over required fields that are present, else over all, 0 without any, capped."""
     wanted = F.array_compact(F.array(*[F.when(present[f], fields[f]) for f in required])) if required else F.array().cast("array<double>")

@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerframe.functions.text import normalize_text, trigrams
 from ledgerframe.functions.url import board_of, canonical_url, document_kind, site_of
+from ledgerframe.operators.scale import join_groups
+from ledgerframe.session import materialise
 
-# Hosts of people's profiles; words of list pages.
+# Hosts of people's profiles; words of list pages; legal forms and endings that a board's slug may lack.
 PROFILES = ("linkedin.com", "x.com", "twitter.com", "instagram.com", "tiktok.com", "youtube.com", "github.com")
 LISTS = r"(?i)(?:\btop\b|\bbest\b|\blist of\b|\bdirectory\b|/(?:tags?|category|directory|list|search)(?:/|$))"
 
+ENDINGS = r"\b(?:inc|llc|ltd|corp|co|labs?|technologies|technology|hq|ai)\b\.?"
+LEGAL = r"\b(?:inc|incorporated|llc|ltd|limited|gmbh|corp|corporation|co|plc|sa|ag|bv)\b\.?"
+
 
 def hit_kind(url: Column, title: Column) -> Column:
     """profile, document, list, or null where the shape doesn't tell."""
@@ -52,11 +57,123 @@ def fresh_queries(wanted: DataFrame, tried: DataFrame, most: int = 3) -> DataFra
 def recall(requests: DataFrame, plans: DataFrame, least: float = 0.7, valid: int = 20) -> DataFrame:
     """For each request (id, text) the most similar earlier plan (plan_id, text, n_valid) by trigrams, at least `least`.
 
-    Requests meet plans through shared trigrams, not by all pairs.
+    Equal texts are compared once. A pair as similar as that shares a trigram among the rarest of both (all but
+    `least` of them, and one), so texts meet through these only, in one order of all trigrams by frequency; common
+    trigrams bring no pairs together.
+    """
+    x = requests.groupBy("text").agg(F.count("*").alias("rows")).withColumn("grams", trigrams(F.col("text")))
+    y = plans.filter(F.col("n_valid") >= valid).groupBy("text").agg(F.min("plan_id").alias("plan_id")).withColumn("grams", trigrams(F.col("text")))
+    known = materialise(y, "recall-plans")
+    found = similar_texts(materialise(x.select("text", "grams"), "recall-texts"), known.select("text", "grams"), least)
+    near = found.join(known.select(F.col("text").alias("other"), "plan_id"), "other")
+    best = near.groupBy("text").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "plan_id")).alias("x"))
+    return join_groups(requests.select("id", "text"), best.join(x.select("text", "rows"), "text"), "text", "rows").select("id", "x.plan_id", (-F.col("x.s")).alias("similarity"))
+
+
+def similar_texts(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Pairs (text, other, similarity) of distinct texts (text, grams) of both sides whose grams are at least that similar, equal texts among them."""
+    often = a.union(b).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+    def rarest(side: DataFrame) -> DataFrame:
+        placed = side.select("text", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(often, "gram")
+        ranked = placed.groupBy("text", "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))  # as many as the text has
+        few = F.col("size") - F.ceil(F.col("size") * F.lit(least) - F.lit(1e-9)) + 1
+        return ranked.select("text", "size", F.explode(F.slice("g", F.lit(1), few.cast("int"))).alias("g")).select("text", "size", "g.gram")
+
+    one, two = rarest(a), rarest(b).select(F.col("text").alias("other"), F.col("size").alias("other_size"), "gram")
+    fits = F.least("size", "other_size") >= F.greatest("size", "other_size") * least - 1e-9
+    pairs = one.join(two, "gram").filter(fits).select("text", "other").distinct()
+    both = pairs.join(a.select("text", F.col("grams").alias("x")), "text").join(b.select(F.col("text").alias("other"), F.col("grams").alias("y")), "other")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.select("text", "other", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def company_key(name: Column) -> Column:
+    """A company's name or slug as lower-case letters and digits."""
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
+
+
+def company_form(name: Column) -> Column:
+    """A company's name without legal forms, for comparing."""
+    return F.regexp_replace(F.lower(name), LEGAL, "")
+
+
+def name_slugs(name: Column) -> Column:
+    """Slugs that spell a whole name, joined and hyphenated, with and without endings, each once, of two characters at least."""
+    words = lambda t, kept: F.filter(F.split(F.regexp_replace(t, kept, " "), r"\s+"), lambda w: w != "")
+    every, core = words(F.lower(name), r"[^a-z0-9\s-]"), words(F.regexp_replace(F.lower(name), ENDINGS, " "), r"[^a-z0-9\s]")
+    return F.array_distinct(F.filter(F.array(*[F.array_join(w, by) for w in (every, core) for by in ("", "-")]), lambda s: F.length(s) >= 2))
+
+
+def slug_variants(name: Column) -> Column:
+    """`name_slugs`, then the first word of the name's core."""
+    core = F.get(F.filter(F.split(F.regexp_replace(F.regexp_replace(F.lower(name), ENDINGS, " "), r"[^a-z0-9\s]", " "), r"\s+"), lambda w: w != ""), F.lit(0))
+    return F.array_distinct(F.filter(F.concat(name_slugs(name), F.array(F.coalesce(core, F.lit("")))), lambda s: F.length(s) >= 2))
+
+
+def company_names(titles: DataFrame) -> DataFrame:
+    """(slug, name) of boards from their postings' titles (slug, ord, title): the longest title part that fits the slug.
+
+    A part fits if its letters equal the slug's, or one starts or ends with the other's, three letters at least. Without a
+    fitting part the name is the slug in words.
     """
-    x = requests.select("id", F.explode(trigrams(F.col("text"))).alias("gram"), F.size(trigrams(F.col("text"))).alias("n"))
-    y = plans.filter(F.col("n_valid") >= valid).select("plan_id", F.explode(trigrams(F.col("text"))).alias("gram"), F.size(trigrams(F.col("text"))).alias("m"))
-    both = x.join(y, "gram").groupBy("id", "plan_id", "n", "m").agg(F.count("*").alias("shared"))
-    near = both.withColumn("similarity", F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).filter(F.col("similarity") >= least)
-    best = near.withColumn("_r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "plan_id")))
-    return best.filter("_r = 1").select("id", "plan_id", "similarity")
+    words = F.split(F.regexp_replace("slug", r"-\d+$", ""), "[-_]+")
+    key = company_key(F.array_join(words, ""))
+    said = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000))), " ")
+    parts = titles.select("slug", key.alias("key"), said.alias("said"), "ord", F.posexplode(F.split("title", r"\s+(?:[-–—|@]|at)\s+")).alias("i", "part")).withColumn("n", company_key(F.col("part")))
+    fits = (F.col("n") == F.col("key")) | ((F.least(F.length("n"), F.length("key")) >= 3) & (F.startswith("n", "key") | F.endswith("n", F.col("key")) | F.startswith("key", F.col("n"))))
+    rank = F.struct((-F.length("part")).alias("length"), "ord", "i", "part")
+    best = parts.groupBy("slug").agg(F.min(F.when(fits, rank)).alias("best"), F.first("said").alias("said"))
+    return best.select("slug", F.coalesce(F.trim(F.regexp_replace("best.part", r"\s*(?:\.\.\.|…)$", "")), "said").alias("name"))
+
+
+def capped_hits(hits: DataFrame, robots: DataFrame, lists: int = 8, records: int = 10) -> DataFrame:
+    """The first list pages and the first record pages among hits (ord, url, site, kind: list or record) whose site allows reading (site, allowed)."""
+    first = lambda kind, most: hits.filter(F.col("kind") == kind).orderBy("ord").limit(most)
+    return first("list", lists).unionByName(first("record", records)).join(robots.filter("allowed").select("site").distinct(), "site", "left_semi")
+
+
+def profile_sites(hits: DataFrame, most: int = 100) -> DataFrame:
+    """One source for each site of profile hits (site, ord, url): how many it has and its first addresses, `most` at most."""
+    ranked = hits.withColumn("n", F.row_number().over(W.partitionBy("site").orderBy("ord"))).filter(F.col("n") <= most)
+    counts = hits.groupBy("site").agg(F.count("*").alias("hits"), F.min("ord").alias("ord"))
+    return counts.join(ranked.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("ord", "url")))["url"].alias("urls")), "site")
+
+
+def documents_by_query(files: DataFrame, seen: DataFrame, most: int) -> DataFrame:
+    """Base queries with files (base, ord, url), each file once for its first query and none already seen: the first `most` queries and their files' count."""
+    once = files.groupBy("url").agg(F.min(F.struct("ord", "base")).alias("x")).select("url", "x.*").join(seen.select("url"), "url", "left_anti")
+    return once.groupBy("base").agg(F.count("*").alias("files"), F.min("ord").alias("ord")).orderBy("ord").limit(most)
+
+
+def ordered_candidates(linked: DataFrame, known: DataFrame) -> DataFrame:
+    """Sources (ref, ord) that a request links first, then the known ones it doesn't link."""
+    rows = linked.select("ref", F.lit(0).alias("rank"), "ord").unionByName(known.join(linked.select("ref"), "ref", "left_anti").select("ref", F.lit(1).alias("rank"), "ord"))
+    return rows.groupBy("ref").agg(F.min(F.struct("rank", "ord")).alias("x")).select("ref", "x.rank", "x.ord")
+
+
+def rounds(search, state, most: int = 5):
+    """Search again until a round brings nothing fresh, `most` rounds at most; `search(state, k)` returns (fresh rows, next state).
+
+    Each round is a job of its own; their fresh rows are returned in order.
+    """
+    found = []
+    for k in range(most):
+        fresh, state = search(state, k)
+        if fresh.isEmpty():
+            break
+        found.append(fresh)
+    return found, state
+
+
+def request_queries(queries: list[str], description: str, most: int = 8) -> list[str]:
+    """Distinct trimmed queries of a request, `most` at most, else its description."""
+    return list(dict.fromkeys(q.strip() for q in queries if q.strip()))[:most] or [description.strip()]
+
+
+def role_words(title: str, keywords: list[str], remote: bool, location: str | None) -> str:
+    """What to search boards for: the longest role keyword that the title has at a word's start (else the first keyword, else the title), 'remote', the place."""
+    import re
+
+    held = [k for k in sorted(keywords, key=len, reverse=True) if re.search(rf"(?:^|[^a-z0-9]){re.escape(k.strip().lower())}", title.lower())]
+    return " ".join(x for x in (held[0] if held else keywords[0] if keywords else title, "remote" if remote else None, location) if x)

@@ -465,7 +465,7 @@ def snk07_export_methods(spark, d):
 
 @query()
 def l01_page_state(spark, d):
-    s = dom.page_state(F.col("html"), F.col("url"))
+    s = dom.page_facets("title", "text", "headings", "links", "groups", "next_page", "owner")(F.col("html"), F.col("url"))
     rows = table(spark, d, "pages").select("page_id", s.alias("s"))
     return rows.select("page_id", "s.title", F.length("s.text").alias("text_length"), F.size("s.headings").alias("n_headings"), F.size("s.links").alias("n_links"), "s.next_page", "s.owner", F.get("s.groups", F.lit(0))["name"].alias("best_group"))
 
@@ -514,7 +514,7 @@ PAGES = criteria.Contract(
 @query()
 def pln05_page_dataset(spark, d):
     """Distinct pages of a contract, scored, with what they were judged by."""
-    s = dom.page_state(F.col("html"), F.col("url"))
+    s = dom.page_facets("title", "text")(F.col("html"), F.col("url"))
     rows = table(spark, d, "pages").select("page_id", "url", s.alias("s")).select(
         F.col("page_id").alias("id"), F.col("page_id").alias("ord"), F.lit("pages").alias("source"), F.lit("DOM").alias("method"), F.lit(True).alias("verified"), F.lit(0).alias("created_at"), "url", "s.title", "s.text"
     )

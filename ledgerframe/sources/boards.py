@@ -34,7 +34,12 @@ def greenhouse(spark: SparkSession, path: str, company: str) -> DataFrame:
 
 
 def ashby(spark: SparkSession, path: str, company: str) -> DataFrame:
-    df = spark.read.schema(ASHBY).json(path, multiLine=True).select(F.posexplode("jobs").alias("ord", "j")).filter("coalesce(j.isListed, true)")
+    return ashby_rows(spark.read.schema(ASHBY).json(path, multiLine=True), company)
+
+
+def ashby_rows(board: DataFrame, company: str) -> DataFrame:
+    """Rows of boards that are read already, one board a row."""
+    df = board.select(F.posexplode("jobs").alias("ord", "j")).filter("coalesce(j.isListed, true)")
     places = join_locations(F.concat(F.array("j.location"), F.coalesce(F.transform("j.secondaryLocations", lambda s: s["location"]), F.array().cast("array<string>"))))
     pay = F.get(F.filter("j.compensation.summaryComponents", lambda c: c["compensationType"] == "Salary"), F.lit(0))
     return _rows(df, F.lit(company), "ashby", {"title": F.col("j.title"), "location": F.when(places != "", places), "url": F.col("j.jobUrl"), "arrangement": F.coalesce(workplace(F.col("j.workplaceType")), F.when(F.col("j.isRemote"), "remote")), "employment": employment_type(F.col("j.employmentType")), "posted": F.col("j.publishedAt"), "salary_low": F.coalesce(pay["minValue"], pay["maxValue"]), "salary_high": F.coalesce(pay["maxValue"], pay["minValue"]), "currency": pay["currencyCode"], "description": truncate(F.col("j.descriptionPlain"), 500)}, F.col("j.id"))

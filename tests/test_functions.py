@@ -140,3 +140,29 @@ def test_page():
     rows = dom.replay(PAGE, "https://acme.example/jobs", "li.job", {"title": ("a", None), "url": ("a", "href")})
     assert rows[1] == {"title": "Second job here", "url": "https://acme.example/2"}
     assert dom.state(None, None)["text"] == ""
+
+
+def test_lengths_from_the_leaves_up_equal_those_of_the_text():
+    import random
+
+    rng, tags = random.Random(3), ["p", "b", "div", "a", "span", "li", "br", "script", "i"]
+    for _ in range(200):
+        page = "".join(rng.choice([f"<{rng.choice(tags)}>", f"</{rng.choice(tags)}>", "a", "bb ", " c", " ", "<div hidden>h</div>", "\n"]) for _ in range(40))
+        root = dom.parse(page)
+        size = dom.measures(root)
+        for e in [root, *root.elements()]:
+            if not e.hidden:
+                letters, words, *_, link = size[e]
+                assert letters + max(words - 1, 0) == len(e.text()), page
+                assert link == bool(e.tag == "a" or e.find("a")), page
+
+
+def test_selectors_and_embedded_data():
+    root = dom.parse('<div class="css-1x2y3z card big wide" data-test=""></div><p role="note"></p><b data-testid="x"></b><i class="sc-bdVaJa"></i><u></u>')
+    assert [dom.selector(e) for e in root.elements()] == [("div.card.big", False), ('p[role="note"]', False), ('b[data-testid="x"]', False), ("i.sc-bdVaJa", True), ("u", False)]
+    assert [dom.generated(c) for c in ("styles--1vo9F", "Card_root__a1B2c", "card", "job-list")] == [True, True, False, False]
+    page = """<script id="__NEXT_DATA__">{"a": 1}</script><script>window.__NUXT__ = {"b": "}{", "c": {"d": 2}}; x</script><script>__APOLLO_STATE__={bad}</script>
+              <link rel="canonical" href="/own"><p>text"""
+    s = dom.state(page, "https://www.a.b/x", ("embedded", "canonical"))
+    assert [(e["name"], json.loads(e["data"])) for e in s["embedded"]] == [("__NEXT_DATA__", {"a": 1}), ("__NUXT__", {"b": "}{", "c": {"d": 2}})]
+    assert s["canonical"] == "https://www.a.b/own" and dom.state('<link rel="canonical" href="https://c.d/">', "https://a.b")["canonical"] is None
