@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,8 +27,18 @@ NOTICES = (
 )
 #: Words of a match that can seed a chain, words between two seeds of a chain, share of a notice that labels a text.
 SEED, GAP_WORDS, COVER = 4, 20, 0.5
-#: Earlier seeds that one seed looks back on.
-BACK = 32
+
+
+class Span(NamedTuple):
+    """A stretch of a text that a notice covers, by words from 0, ends not included; `share` is the covered part of the notice."""
+
+    label: str
+    notice: int
+    first_word: int
+    end_word: int
+    template_first: int
+    template_end: int
+    share: float
 
 
 class SuffixAutomaton:
@@ -99,7 +111,7 @@ class SuffixAutomaton:
 
 
 class Scanner:
-    """Finds phrases and covered notices in a text's word hashes."""
+    """Finds phrases and covered notices, (label, text) each, in a text's word hashes."""
 
     def __init__(self, phrases: tuple = PHRASES, notices: tuple = NOTICES):
         self.labels = [label for label, _ in (*phrases, *notices)]
@@ -113,9 +125,10 @@ class Scanner:
         self.pairs = np.zeros((known + 1, known + 1), dtype=bool)  # the last row and column: words of no template
         for x in ids:
             self.pairs[x[:-1], x[1:]] = True
+        self.single = {x[0]: t for t, x in enumerate(ids[: self.phrases]) if len(x) == 1}
 
-    def scan(self, hashes: np.ndarray) -> tuple[list[tuple[int, str]], dict[str, float]]:
-        """(start, label) of every phrase's every place, and the covered share of each label's best notice."""
+    def scan(self, hashes: np.ndarray) -> tuple[list[tuple[int, str]], list[Span]]:
+        """(start, label) of every phrase's every place, and the best span of each notice that is covered by COVER at least."""
         at = np.searchsorted(self.vocabulary, hashes)
         at[at == len(self.vocabulary)] = 0
         ids = np.where(self.vocabulary[at] == hashes, at, len(self.vocabulary))
@@ -126,60 +139,79 @@ class Scanner:
         for start, end in zip(edge[::2].tolist(), edge[1::2].tolist()):
             steps = list(self.automaton.statistics(ids[start : end + 1].tolist()))
             for k, (v, n) in enumerate(steps):
-                found += [(start + k - self.sizes[t] + 1, self.labels[t]) for t in self.whole[v] if n >= self.sizes[t]]
+                found += [(start + k - self.sizes[t] + 1, self.labels[t]) for t in self.whole[v] if n >= self.sizes[t] > 1]
                 if n >= SEED and (k + 1 == len(steps) or steps[k + 1][1] != n + 1):
                     seeds += [(start + k - n + 1, place - n + 1, n, t) for t, place in self.automaton.places[v] if t >= self.phrases]
-        covered: dict[str, float] = {}
-        for t in {s[3] for s in seeds}:
-            share = chain([s[:3] for s in seeds if s[3] == t]) / self.sizes[t]
-            if share >= COVER:
-                covered[self.labels[t]] = max(share, covered.get(self.labels[t], 0.0))
-        return sorted(found), covered
-
-
-def chain(seeds: list[tuple[int, int, int]]) -> int:
-    """Most template words that seeds (text start, template start, words) cover in order, GAP_WORDS apart at most."""
+        for word, t in self.single.items():
+            found += [(k, self.labels[t]) for k in np.flatnonzero(ids == word).tolist()]
+        spans = []
+        for t in sorted({s[3] for s in seeds}):
+            words_covered, links = chain([s[:3] for s in seeds if s[3] == t])
+            if (share := words_covered / self.sizes[t]) >= COVER:
+                (x, y, _), (a, b, n) = links[0], links[-1]
+                spans.append(Span(self.labels[t], t - self.phrases, x, a + n, y, b + n, share))
+        return sorted(found), spans
+
+
+def chain(seeds: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, int, int]]]:
+    """Most template words that seeds (text start, template start, words) cover in order, GAP_WORDS apart at most, and those seeds.
+
+    A seed looks back on all seeds that can end within the gap before it: none starts further back than the gap and the
+    longest seed, so their number depends on the templates and not on the text.
+    """
     seeds = sorted(seeds)
-    best: list[int] = []
+    starts, reach = [s[0] for s in seeds], GAP_WORDS + max((s[2] for s in seeds), default=0)
+    best: list[tuple[int, int]] = []  # words covered up to each seed, and the seed before it
     for i, (x, y, n) in enumerate(seeds):
-        most = n
-        for j in range(max(0, i - BACK), i):
+        most = (n, -1)
+        for j in range(bisect_left(starts, x - reach), i):
             a, b, m = seeds[j]
             over = max(0, a + m - x, b + m - y)  # words that both cover
             if y > b and x > a and x - (a + m) <= GAP_WORDS and over < n:
-                most = max(most, best[j] + n - over)
+                most = max(most, (best[j][0] + n - over, j))
         best.append(most)
-    return max(best, default=0)
+    if not best:
+        return 0, []
+    at, links = max(range(len(best)), key=lambda i: best[i][0]), []
+    covered = best[at][0]
+    while at >= 0:
+        links.append(seeds[at])
+        at = best[at][1]
+    return covered, links[::-1]
 
 
 @cache
-def scanner() -> Scanner:
-    return Scanner()
+def scanner(phrases: tuple, notices: tuple) -> Scanner:
+    return Scanner(phrases, notices)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Licences in each row's whole text (doc_id, text).
+def scan(docs: DataFrame, phrases: tuple = PHRASES, notices: tuple = NOTICES) -> DataFrame:
+    """Licences in each row's whole text (doc_id, text), by phrases and notices of (label, text) each.
 
     One row per input row: doc_id, n_words, n_base (places of the phrases), first_word, last_word (smallest and
     largest start, null without a place), base_labels, labels (the phrases' and those of notices covered by COVER
     at least, distinct, sorted, comma-joined; empty without any), score (1 with a phrase, else the best notice's covered
-    share, else 0). Null and empty texts have no word and no label. No rows give no rows.
+    share, else 0), spans (the best stretch of each covered notice: label, notice, first_word, end_word,
+    template_first, template_end, share). Null and empty texts have no word and no label; texts of any length are
+    scanned whole. Rows that repeat and null ids are rows like others, other columns don't matter. No rows give no rows.
     """
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = scanner()
+        finder = scanner(phrases, notices)
         for batch in batches:
             rows = []
             for many in words(batch["text"].tolist()):
                 for hashes in many:
-                    found, covered = finder.scan(hashes)
+                    found, spans = finder.scan(hashes)
                     base = {label for _, label in found}
-                    score = 1.0 if base else max(covered.values(), default=0.0)
+                    score = 1.0 if base else max((s.share for s in spans), default=0.0)
                     first, last = (found[0][0], found[-1][0]) if found else (None, None)
-                    rows.append((len(hashes), len(found), first, last, ",".join(sorted(base)), ",".join(sorted(base | covered.keys())), score))
-            frame = pd.DataFrame(rows, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+                    labels = sorted(base | {s.label for s in spans})
+                    rows.append((len(hashes), len(found), first, last, ",".join(sorted(base)), ",".join(labels), score, [s._asdict() for s in spans]))
+            frame = pd.DataFrame(rows, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
             frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield frame.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    schema = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    spans = "array<struct<label string, notice int, first_word long, end_word long, template_first int, template_end int, share double>>"
+    schema = f"n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {spans}"
     return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(one, f"doc_id string, {schema}").withColumn("doc_id", F.col("doc_id").cast("long"))
