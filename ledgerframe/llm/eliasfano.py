@@ -6,6 +6,8 @@ import numpy as np
 
 #: Every so many-th set bit's place is kept, so that select scans a bounded stretch.
 SAMPLE = 256
+#: Values whose low bits are spread out at once, a multiple of 8.
+CHUNK = 4_096
 _ONES = np.array([bin(x).count("1") for x in range(256)], dtype=np.int64)
 
 
@@ -26,7 +28,8 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) if top is None and n else int(top or 0)
         bits = low_bits(n, top)
-        low = np.packbits(((values[:, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel(), bitorder="little")
+        parts = (values[i : i + CHUNK, None] >> np.arange(bits) & 1 for i in range(0, n, CHUNK))
+        low = np.concatenate([np.empty(0, np.uint8), *(np.packbits(part.astype(np.uint8).ravel(), bitorder="little") for part in parts)])
         at = (values >> bits) + np.arange(n)
         high = np.zeros(n + (top >> bits) + 1, dtype=np.uint8)
         high[at] = 1
@@ -51,13 +54,20 @@ class EliasFano:
         word = int.from_bytes(self.low[first >> 3 : (last + 7) >> 3].tobytes(), "little")
         return (word >> (first & 7)) & ((1 << self.bits) - 1)
 
-    def all(self) -> np.ndarray:
-        """All values in order."""
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        value = (at - np.arange(self.n)) << self.bits
-        if self.bits and self.n:
-            low = np.unpackbits(self.low, bitorder="little")[: self.n * self.bits].reshape(self.n, self.bits).astype(np.int64)
-            value |= low @ (1 << np.arange(self.bits, dtype=np.int64))
+    def range(self, first: int, last: int) -> np.ndarray:
+        """Values first to last (not included), by select at the sampled place before them and one look at the bits from there on."""
+        if first >= last:
+            return np.empty(0, dtype=np.int64)
+        sampled = first // SAMPLE
+        begin = int(self.places[sampled]) >> 3
+        end = (int(self.places[-(-last // SAMPLE)]) >> 3) + 1 if -(-last // SAMPLE) < len(self.places) else len(self.high)
+        at = np.flatnonzero(np.unpackbits(self.high[begin:end], bitorder="little")) + 8 * begin
+        at = at[at >= int(self.places[sampled])][first - sampled * SAMPLE : last - sampled * SAMPLE]
+        value = (at - np.arange(first, last)) << self.bits
+        if self.bits:
+            start, stop = first * self.bits, last * self.bits
+            low = np.unpackbits(self.low[start >> 3 : (stop + 7) >> 3], bitorder="little")[start & 7 : (start & 7) + stop - start]
+            value |= low.reshape(-1, self.bits).astype(np.int64) @ (1 << np.arange(self.bits, dtype=np.int64))
         return value
 
     def to_bytes(self) -> bytes:
