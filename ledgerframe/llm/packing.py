@@ -248,12 +248,13 @@ def pack(docs: DataFrame, capacity: int = 4_096, tokenizer: str | None = None, e
     capacity are rounded up within groups of equal cardinality; a linear program finds how often each configuration of
     the rounded sizes is used, actual lengths take the rounded ones' places, and the others go where they fit best.
     Of a few numbers of groups, and of this, fullest configurations first and plain best fit, the plan that needs
-    fewest sequences is taken. All this happens on the histogram of lengths, which has `capacity` rows at most; each piece then finds its place from
-    its number among those of its length. Null and empty texts are one end id. Repeated rows and null ids are
-    packed like others. No rows give no rows.
+    fewest sequences is taken. All this happens on the histogram of lengths, which has `capacity` rows at most; each
+    piece then finds its place from its number among those of its length. Null and empty texts are one end id; texts of
+    any length are encoded whole. Repeated rows and null ids are packed like others, other columns don't matter. No
+    rows give no rows.
     """
-    cut = materialise(pieces(docs, tokenizer or default_tokenizer(), end_id, capacity), "pack-pieces")
+    cut = materialise(pieces(docs, tokenizer or default_tokenizer(), end_id, capacity).withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
-    order = [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
+    order = [F.col("doc_id"), F.col("piece"), F.col("ids_crc32"), F.col("row")]  # rows that repeat spread by their number
     ranked = numbered(cut, ["length"], order, order, "rank", sum(counts.values()))
-    return assign(ranked, best_plan(counts, capacity))
+    return assign(ranked.drop("row"), best_plan(counts, capacity))

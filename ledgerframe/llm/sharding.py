@@ -8,6 +8,9 @@ from ledgerframe.llm.dedup import digest
 from ledgerframe.operators.scale import join_groups, numbered
 from ledgerframe.session import forget, materialise
 
+#: Parts of the hubs that enter a shard one after the other.
+STRATA = 64
+
 
 def propagate(members: DataFrame, nodes: DataFrame, shards: int, rows: int, rounds: int | None = None) -> DataFrame:
     """Move linked nodes towards their neighbours' shards, as far as shards have room for them.
@@ -17,7 +20,7 @@ def propagate(members: DataFrame, nodes: DataFrame, shards: int, rows: int, roun
     fill a shard up to its even share, since unlinked rows give way later. In each round a node wants the shard in
     which its hubs have most members; ties go by a hash, the same for all of a hub. A hub whose rest does not fit
     into that shard's room asks for the next ones as well, for as many as its rest fills. Those who want a shard enter
-    it up to its room, surest first; others ask again in the next round. It ends when no wish is left (where nodes
+    it up to its room, surest first and hub by hub, so that the room's end parts few hubs; others ask again in the next round. It ends when no wish is left (where nodes
     have one hub, every move makes the cut smaller), or after `rounds`, the number of shards and eight if not given.
     Returns (node, shard).
     """
@@ -43,12 +46,12 @@ def propagate(members: DataFrame, nodes: DataFrame, shards: int, rows: int, roun
         may = own | (F.col("v.open") & (~F.col("spread") | (~F.coalesce("kept", F.lit(False)) & F.coalesce((F.col("at") >= F.col("v.begin")) & (F.col("at") < F.col("v.end")), F.lit(False)))))
         here = asks.withColumn("may", may).groupBy("node", "shard", F.col("v.shard").alias("to")).agg(F.sum("v.n").alias("n"), F.max("v.tie").alias("tie"), F.min("may").alias("may")).filter("may")
         best = here.groupBy("node", "shard").agg(F.max(F.struct("n", "tie", "to")).alias("best"), F.max(F.when(F.col("to") == F.col("shard"), F.col("n"))).alias("stay"))
-        wish = materialise(best.filter("best.to <> shard").select("node", F.col("best.to").alias("to"), (F.col("best.n") - F.coalesce("stay", F.lit(0))).alias("gain")), "shard-wishes")
+        wish = materialise(best.filter("best.to <> shard").select("node", F.col("best.to").alias("to"), F.pmod("best.tie", F.lit(STRATA)).alias("stratum"), (F.col("best.n") - F.coalesce("stay", F.lit(0))).alias("gain")), "shard-wishes")
         asked = wish.count()
         if not asked:
             break
         sure = 30 - F.least(F.lit(30), F.floor(F.log2(F.col("gain") + 1)))
-        ranked = numbered(wish, ["to"], [F.col("node")], [F.col("node")], "place", asked, first=sure)
+        ranked = numbered(wish, ["to"], [F.col("node")], [F.col("node")], "place", asked, first=sure * STRATA + F.col("stratum"))
         moved = ranked.join(room.withColumnRenamed("shard", "to"), "to").filter("place < room").select("node", F.col("to").alias("moved"))
         after = materialise(now.join(moved, "node", "left").select("node", F.coalesce("moved", "shard").alias("shard")), "shard-state")
         forget(wish)
@@ -88,8 +91,9 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int | None = None) -> DataF
 
     One row per input row: doc_id, size, text_crc32, law ('rows'), shard, slot (0, 1 ... in its shard), grown_shard
     (null under this law). Rows start at a hash; label propagation brings equal texts together. A group larger than
-    a shard's share fills as many shards as it needs. Null text counts as empty; repeated ids are rows of their own; no rows give no rows; fewer rows than
-    shards leave some shards empty.
+    a shard's share fills as many shards as it needs. Null text counts as empty in a group and in the checksum, and has
+    size 8; repeated ids are rows of their own; other columns don't matter; no rows give no rows; fewer rows than shards
+    leave some shards empty.
     """
     text = F.coalesce("text", F.lit(""))
     base = materialise(
