@@ -143,19 +143,25 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataF
     """Score every row of `docs` (doc_id, text): doc_id, held_out, score, predicted.
 
     The model learns from labelled rows outside the held-out third only; ids choose rows and are no input of a
-    score, nor are source, language or label. Null text counts as empty. Labels without a document, null ids
-    and labels other than 0 and 1 teach nothing. No rows give no rows.
+    score, nor are source, language or label. Null text counts as empty; texts of any length are read whole. Labels
+    without a document, null ids and labels other than 0 and 1 teach nothing; repeated ids and labels are rows of their
+    own, within the bound. Other columns don't matter. No rows give no rows.
     """
     model = fit(training_rows(docs, labels, most))
     scored = with_score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (bucket(F.col("doc_id")) == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _scored(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
+    """(row, score): the whole rows of `docs` and their scores."""
+    stats = F.struct(*[c.alias(n) for n, c in statistics(F.col("text")).items()])
+    used = {n: F.col("stats")[n] for n in statistics(F.lit(""))}
+    return docs.select(F.struct("*").alias("row"), stats.alias("stats")).select("row", model.score(used).alias("score"))
+
+
 def with_score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     """`docs` with `_score`."""
-    stats = F.struct(*[c.alias(n) for n, c in statistics(F.col("text")).items()])
-    used = {n: F.col("_stats")[n] for n in statistics(F.lit(""))}
-    return docs.withColumn("_stats", stats).withColumn("_score", model.score(used)).drop("_stats")
+    return _scored(docs, model).select("row.*", F.col("score").alias("_score"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
@@ -163,5 +169,5 @@ def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFram
     model = fit(training_rows(docs, labels))
     # The filter is on a generated column: on a plain one it would be pushed below the statistics, and each rule would
     # compute them anew.
-    scored = with_score(docs, model).select(*[docs[c] for c in docs.columns], F.explode(F.array("_score")).alias("_score"))
-    return scored.filter(F.col("_score") >= least).drop("_score")
+    scored = _scored(docs, model).select("row", F.explode(F.array("score")).alias("score"))
+    return scored.filter(F.col("score") >= least).select("row.*")
