@@ -104,6 +104,14 @@ def calibration(samples: DataFrame, yes: list[float], no: list[float], precision
     return best.orderBy(F.desc("coverage"), "yes", F.desc("no")).limit(1).select("yes", "no", "coverage", F.col("y").alias("n_yes"), F.col("n").alias("n_no"))
 
 
+def run_costs(runs: DataFrame, costs: list[DataFrame]) -> DataFrame:
+    """What each run cost: the sums of several lists of costs (run, cost), summed each for itself before they meet; 0 without any."""
+    found = runs.select("run")
+    for i, rows in enumerate(costs):
+        found = found.join(rows.groupBy("run").agg(F.sum("cost").alias(f"_{i}")), "run", "left")
+    return found.select("run", F.round(sum((F.coalesce(f"_{i}", F.lit(0.0)) for i in range(len(costs))), F.lit(0.0)), 4).alias("cost"))
+
+
 def rolling_spend(costs: DataFrame, hours: int = 24) -> DataFrame:
     """For each cost (id, ts, account, value): what its account spent in the hours up to it, itself included."""
     seconds = F.unix_micros(F.col("ts").cast("timestamp"))

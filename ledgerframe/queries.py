@@ -105,9 +105,13 @@ def k43_arrangement(spark, d):
     return table(spark, d, "documents").select("doc_id", parsers.arrangement(F.col("text")).alias("arrangement"))
 
 
-@query(r"""SELECT event_id, CAST(regexp_extract(props, '(\d+)', 1) AS BIGINT) AS n FROM events""")
+@query(r"""SELECT event_id, CASE event_type WHEN 'click' THEN k * 1000 WHEN 'view' THEN k * 1000000 WHEN 'signup' THEN k * 1000 WHEN 'error' THEN k * 1000000000 + 500000000 ELSE k END AS n
+          FROM (SELECT event_id, event_type, CAST(regexp_extract(props, '(\d+)', 1) AS BIGINT) AS k FROM events)""")
 def k47_parse_count(spark, d):
-    return table(spark, d, "events").select("event_id", parsers.parse_count(F.col("props")).alias("n"))
+    """Counts with a letter, a word, commas, a fraction, and bare ones."""
+    k, kind = F.regexp_extract("props", r"(\d+)", 1), F.col("event_type")
+    said = F.concat(F.lit("about "), k, F.when(kind == "click", "K followers").when(kind == "view", " million").when(kind == "signup", ",000 subscribers").when(kind == "error", ".5b").otherwise(" posts"))
+    return table(spark, d, "events").select("event_id", parsers.parse_count(said).alias("n"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -125,15 +129,14 @@ _GRAMS = """g AS (SELECT DISTINCT name, substr('  ' || w || ' ', CAST(i AS BIGIN
             c AS (SELECT name, count(*) AS n FROM g GROUP BY name)"""
 
 
-@query(f"""WITH n AS (SELECT DISTINCT n_name AS name FROM nation), {_GRAMS}
-          SELECT a.name AS a, b.name AS b, round(CAST(count(*) AS DOUBLE) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS similarity
-          FROM g a JOIN g b ON a.gram = b.gram AND a.name < b.name JOIN c x ON x.name = a.name JOIN c y ON y.name = b.name GROUP BY a.name, b.name""")
+@query(f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part), {_GRAMS}
+          SELECT a, b, similarity FROM (SELECT a.name AS a, b.name AS b, round(CAST(count(*) AS DOUBLE) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS similarity
+          FROM g a JOIN g b ON a.gram = b.gram AND a.name < b.name JOIN c x ON x.name = a.name JOIN c y ON y.name = b.name GROUP BY a.name, b.name) WHERE similarity >= 0.4""")
 def k64_trigram_pairs(spark, d):
-    names = table(spark, d, "nation").select(F.col("n_name").alias("name")).distinct()
-    grams = names.withColumn("grams", text.trigrams(F.col("name"))).withColumn("size", F.size("grams")).select("name", "size", F.explode("grams").alias("gram"))
-    a, b = (grams.select("gram", F.col("name").alias(x), F.col("size").alias(f"n{x}")) for x in "ab")
-    both = a.join(b, "gram").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
-    return both.select("a", "b", F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6).alias("similarity"))
+    """Pairs of part names that are at least 0.4 alike."""
+    names = table(spark, d, "part").select(F.col("p_name").alias("text")).distinct().withColumn("grams", text.trigrams(F.col("text")))
+    pairs = discovery.similar_texts(names, names, 0.4).filter("text < other")
+    return pairs.select(F.col("text").alias("a"), F.col("other").alias("b"), F.round("similarity", 6).alias("similarity"))
 
 
 # Criteria and scores
@@ -315,15 +318,16 @@ def dec05_judge_batches(spark, d):
     return state.judged(table(spark, d, "events"), "user_id", ["event_id"], F.col("value") > 40).select("event_id", "batch", "judged")
 
 
-@query("""WITH s AS (SELECT least(n_chars / 3000.0::DOUBLE, 1.0::DOUBLE) AS p, quality = 1 AS t FROM documents JOIN labels USING (doc_id)),
+@query("""WITH s AS (SELECT 0.55::DOUBLE * least(n_chars / 3000.0::DOUBLE, 1.0::DOUBLE) + 0.45::DOUBLE * quality AS p, quality = 1 AS t FROM documents JOIN labels USING (doc_id)),
           g AS (SELECT y, n FROM (VALUES (0.5::DOUBLE), (0.6::DOUBLE), (0.7::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE)) a(y), (VALUES (0.02::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE)) b(n)),
           c AS (SELECT y, n, count(*) AS total, count(*) FILTER (WHERE p >= y) AS cy, count(*) FILTER (WHERE p >= y AND t) AS ty, count(*) FILTER (WHERE p <= n) AS cn, count(*) FILTER (WHERE p <= n AND NOT t) AS tn FROM g, s GROUP BY y, n)
           SELECT y AS yes, n AS "no", round(CAST(cy + cn AS DOUBLE) / total, 6) AS coverage, cy AS n_yes, cn AS n_no FROM c
-          WHERE cy + cn >= 5 AND ty >= 0.1 * cy AND tn >= 0.1 * cn AND cy > 0 AND cn > 0 ORDER BY coverage DESC, y, n DESC LIMIT 1""")
+          WHERE cy + cn >= 5 AND ty >= 0.9 * cy AND tn >= 0.9 * cn AND cy > 0 AND cn > 0 ORDER BY coverage DESC, y, n DESC LIMIT 1""")
 def agg19_calibration(spark, d):
+    """Probabilities that lean to the label and are blurred by a text's length, at the default precision."""
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    samples = rows.select(F.least(F.col("n_chars") / 3_000.0, F.lit(1.0)).alias("probability"), (F.col("quality") == 1).alias("truth"))
-    return reports.calibration(samples, [0.5, 0.6, 0.7, 0.8, 0.9], [0.02, 0.05, 0.1, 0.2], precision=0.1)
+    samples = rows.select((0.55 * F.least(F.col("n_chars") / 3_000.0, F.lit(1.0)) + 0.45 * F.col("quality")).alias("probability"), (F.col("quality") == 1).alias("truth"))
+    return reports.calibration(samples, [0.5, 0.6, 0.7, 0.8, 0.9], [0.02, 0.05, 0.1, 0.2])
 
 
 @query("""SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW), 4) AS spent FROM events""")
@@ -334,10 +338,8 @@ def str14_rolling_spend(spark, d):
 @query("""SELECT c_custkey, round(coalesce(o.cost, 0) + coalesce(e.cost, 0), 4) AS cost FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS cost FROM orders GROUP BY 1) o ON o_custkey = c_custkey
           LEFT JOIN (SELECT user_id, sum(value) AS cost FROM events GROUP BY 1) e ON user_id = c_custkey""")
 def agg13_run_cost(spark, d):
-    a = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("a"))
-    b = table(spark, d, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.sum("value").alias("b"))
-    rows = table(spark, d, "customer").select("c_custkey").join(a, "c_custkey", "left").join(b, "c_custkey", "left")
-    return rows.select("c_custkey", F.round(F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0)), 4).alias("cost"))
+    calls, searches = table(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.col("o_totalprice").alias("cost")), table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("value").alias("cost"))
+    return reports.run_costs(table(spark, d, "customer").select(F.col("c_custkey").alias("run")), [calls, searches]).select(F.col("run").alias("c_custkey"), "cost")
 
 
 @query("""SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) <= 200 AS allowed FROM events""")
@@ -430,7 +432,7 @@ def str05_stale_leases(spark, d):
 
 
 @query("""WITH i AS (SELECT *, count(*) FILTER (WHERE event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM events)
-          SELECT user_id, arg_min(event_id, ts) AS first_event, count(*) AS length, count(*) >= 2 AS opened FROM i WHERE event_type = 'error' GROUP BY user_id, island""")
+          SELECT user_id, arg_min(event_id, ts) AS first_event, count(*) AS length, count(*) >= 5 AS opened FROM i WHERE event_type = 'error' GROUP BY user_id, island""")
 def str09_failure_runs(spark, d):
     return streams.failure_runs(table(spark, d, "events"))
 
@@ -449,10 +451,17 @@ def _placed(top: DataFrame) -> DataFrame:
     return top.select("id", F.row_number().over(W.orderBy(rank, F.desc("confidence"), "created_at", "id")).alias("place"))
 
 
-@query("""SELECT n_nationkey, n_name || ',' || n_regionkey::VARCHAR AS line FROM nation""")
+@query("""SELECT c_custkey, c_name || ',' || c_mktsegment || ',' || CASE WHEN c_acctbal < 0 THEN chr(39) || c_acctbal::VARCHAR ELSE c_acctbal::VARCHAR END AS line FROM customer WHERE abs(c_acctbal) BETWEEN 0.001 AND 9999999""")
 def snk03_csv_lines(spark, d):
-    rows = table(spark, d, "nation")
-    return rows.select("n_nationkey", export.csv_lines(rows, ["n_name", "n_regionkey"]).alias("line"))
+    rows = table(spark, d, "customer").filter("abs(c_acctbal) between 0.001 and 9999999")
+    return rows.select("c_custkey", export.csv_lines(rows, ["c_name", "c_mktsegment", "c_acctbal"]).alias("line"))
+
+
+@query(f"""SELECT id, field, sheet_row FROM (SELECT id, status, priority, source, 1 + row_number() OVER (ORDER BY confidence DESC, id) AS sheet_row FROM ({_RECORDS})) UNPIVOT (value FOR field IN (status, source))""")
+def snk08_receipts(spark, d):
+    rows = _records(spark, d)
+    values = rows.select("id", F.explode(F.array(F.lit("status"), F.lit("source"))).alias("field"))
+    return export.receipts(rows, values, ["status", "source"], [F.desc("confidence"), F.col("id")]).select("id", "field", "sheet_row")
 
 
 @query(f"""SELECT item, string_agg(DISTINCT status || ':' || priority, '; ' ORDER BY status || ':' || priority) AS methods FROM ({_RECORDS}) GROUP BY item""")
@@ -530,21 +539,26 @@ def dsc08_merge_hits(spark, d):
     return discovery.merge_hits(hits)
 
 
-@query(r"""SELECT page_id, CASE WHEN regexp_matches(lower(url), '^https?://[^?#]*\.(pdf|xlsx|csv|json|docx|pptx)(?:[?#]|$)') THEN 'document'
+@query(r"""SELECT page_id, CASE WHEN page_id % 6 = 1 THEN 'profile' WHEN page_id % 6 = 2 THEN 'document' WHEN page_id % 6 = 3 THEN 'list'
              WHEN regexp_matches(url, '(?i)(?:\btop\b|\bbest\b|\blist of\b|\bdirectory\b|/(?:tags?|category|directory|list|search)(?:/|$))') THEN 'list' END AS kind FROM pages""")
 def dsc09_hit_kind(spark, d):
-    return table(spark, d, "pages").select("page_id", discovery.hit_kind(F.col("url"), F.lit("")).alias("kind"))
+    """Pages' addresses as hits; some on a site of profiles, some files, some with the title of a list."""
+    case = F.col("page_id") % 6
+    address = F.when(case == 1, F.concat(F.lit("https://www.linkedin.com/in/"), F.col("page_id").cast("string"))).when(case == 2, F.lit("https://a.example/report.PDF?x=1")).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", discovery.hit_kind(address, F.when(case == 3, "The best of them all").otherwise("A page")).alias("kind"))
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), """ + _GRAMS + """,
-          q AS (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_size <= 10), p AS (SELECT p_name AS name, min(p_partkey) AS plan_id FROM part WHERE p_size > 40 GROUP BY p_name),
-          s AS (SELECT q.id, p.plan_id, x.n AS n, y.n AS m, count(*) AS shared FROM q JOIN g a ON a.name = q.name JOIN g b ON b.gram = a.gram JOIN p ON p.name = b.name JOIN c x ON x.name = q.name JOIN c y ON y.name = p.name GROUP BY ALL),
-          r AS (SELECT id, plan_id, CAST(shared AS DOUBLE) / (n + m - shared) AS similarity FROM s)
-          SELECT id, plan_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, plan_id) AS k FROM r WHERE similarity >= 0.7) WHERE k = 1""")
+          p AS (SELECT p_name AS name, min(p_partkey) AS plan_id FROM part WHERE p_size > 10 GROUP BY p_name),
+          s AS (SELECT a.name, p.plan_id, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS shared FROM g a JOIN g b ON b.gram = a.gram JOIN p ON p.name = b.name JOIN c x ON x.name = a.name JOIN c y ON y.name = p.name GROUP BY a.name, p.plan_id),
+          r AS (SELECT name, plan_id, CAST(shared AS DOUBLE) / (n + m - shared) AS similarity FROM s),
+          k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY similarity DESC, plan_id) AS k FROM r WHERE similarity >= 0.7) WHERE k = 1)
+          SELECT p_partkey AS id, plan_id, round(similarity, 6) AS similarity FROM part JOIN k ON name = p_name""")
 def jon14_plan_recall(spark, d):
+    """Every part's name asks for a plan; a name's parts of size over 10 are its valid runs."""
     part = table(spark, d, "part")
-    requests = part.filter("p_size <= 10").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    plans = part.filter("p_size > 40").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("plan_id")).withColumn("n_valid", F.lit(20))
+    requests = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    plans = part.select(F.col("p_name").alias("text"), F.col("p_partkey").alias("plan_id"), F.when(F.col("p_size") > 10, 20).otherwise(0).alias("n_valid"))
     return discovery.recall(requests, plans).withColumn("similarity", F.round("similarity", 6))
 
 

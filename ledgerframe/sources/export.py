@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerframe.functions.text import csv_cell
+from ledgerframe.operators.scale import placed
 
 
 def csv_lines(rows: DataFrame, columns: list[str]) -> Column:
@@ -32,8 +33,6 @@ def json_rows(rows: DataFrame) -> DataFrame:
 
 def receipts(records: DataFrame, evidence: DataFrame, fields: list[str], order: list[Column]) -> DataFrame:
     """One row for each value: its record's row in the sheet (the header is row 1), field and proof, in field order."""
-    from pyspark.sql import Window as W
-
-    places = records.select("id", (F.row_number().over(W.orderBy(*order)) + 1).alias("sheet_row"))  # a sheet holds a bounded number of rows
+    places = placed(records, order, "n").select("id", (F.col("n") + 2).cast("long").alias("sheet_row"))
     ordinal = F.create_map(*[x for i, f in enumerate(fields) for x in (F.lit(f), F.lit(i))])
     return evidence.join(places, "id").withColumn("ordinal", ordinal[F.col("field")]).orderBy("sheet_row", "ordinal")

@@ -39,7 +39,7 @@ def stale(events: DataFrame, seconds: int) -> DataFrame:
     return events.select("event_id", "user_id", gap.alias("gap_seconds"), F.coalesce(gap > seconds, F.lit(False)).alias("stale"))
 
 
-def failure_runs(events: DataFrame, kind: str = "error", least: int = 2) -> DataFrame:
+def failure_runs(events: DataFrame, kind: str = "error", least: int = 5) -> DataFrame:
     """Unbroken runs of failures of a user, from the `least`-th on a breaker opens: user, first event, length, opened."""
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
     island = F.count_if(F.col("event_type") != kind).over(order.rowsBetween(W.unboundedPreceding, 0))
