@@ -3,66 +3,111 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerframe.operators.scale import join_groups
 from ledgerframe.session import materialise, scratch
 
+#: Digests of one bucket on average, and buckets at least.
+BUCKET_ROWS, LEAST_BUCKETS = 1 << 20, 64
+
 
 def digest(text: Column) -> Column:
     """SHA-256 of the text in UTF-8, as 32 bytes; null counts as empty."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+def identity(doc_id: Column, text: Column) -> Column:
+    """What tells a row's document and text, never null: a join on it sends no two documents to one key, nor all null ids."""
+    return F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), F.lit(":"), F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 class DigestIndex:
     """Digests seen so far, with the document that stands for each.
 
     The index is a Parquet table at `path`, bucketed and sorted by digest, so that a new batch is shuffled to the
-    buckets once and merged with them while the index itself never moves. Opening the same path again, in any
-    session, goes on with the same index. Each batch adds one file to a bucket at most.
+    buckets once and merged with them while the index itself never moves. A new index takes as many buckets as the
+    rows it is made for need, BUCKET_ROWS each; opening the same path again, in any session, goes on with the same
+    index and its buckets. Each batch adds one file to a bucket at most; `compacted` joins them.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, rows: int = 0):
+        self.spark = spark
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_buckets")  # readers of the table pass over it
+        files = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(mark):
+            self.buckets = spark.read.schema("buckets int").json(f"{path}/_buckets").first()["buckets"]
+        else:
+            self.buckets = buckets or max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
+            spark.createDataFrame([(self.buckets,)], "buckets int").coalesce(1).write.json(f"{path}/_buckets")
         self.table = "digest_index_" + hashlib.md5(path.encode()).hexdigest()
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def append(self, rows: DataFrame) -> None:
+        """Add (digest, keep_id), one file a bucket."""
+        rows.select("digest", "keep_id").repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.table)
+
+    def compacted(self, path: str, buckets: int | None = None) -> DigestIndex:
+        """The same index at a new path, one file a bucket, with as many buckets as its rows need if not given."""
+        known = self.spark.table(self.table)
+        new = DigestIndex(self.spark, path, buckets, known.count())
+        new.append(known)
+        return new
+
     def ingest(self, docs: DataFrame) -> DataFrame:
         """Deduplicate `docs` (doc_id, text) among themselves and against the index, and append what is new.
 
         One row per input row: doc_id, keep_id (the document that stands for the text), group_size (rows of this
-        batch with the text), kept, text_sha256. Null text equals empty text. Of equal texts in a batch the largest
-        doc_id stays, null ids below all others; of rows that repeat both id and text one stays. A text that an
-        earlier batch has brought keeps that batch's document, and no row of this batch. An empty batch gives no rows.
+        batch with the text), kept, text_sha256. Null text equals empty text; texts of any length are hashed whole. Of
+        equal texts in a batch the largest doc_id stays, null ids below all others; of rows that repeat both id and
+        text one stays. A text that an earlier batch has brought keeps that batch's document, and no row of this
+        batch. Other columns don't matter. An empty batch gives no rows.
         """
         keyed = materialise(docs.select(F.col("doc_id").cast("long"), digest(F.col("text")).alias("digest")).withColumn("row", F.monotonically_increasing_id()), "digests")
-        groups = materialise(
-            keyed.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size")).repartition(self.buckets, "digest"), "digest-groups"
-        ).repartition(self.buckets, "digest")
+        groups = keyed.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
+        groups = materialise(groups, "digest-groups").repartition(self.buckets, "digest")
         index = self.spark.table(self.table)
         known = groups.hint("merge").join(index, "digest").select("digest", "group_size", "keep_id", F.lit(None).cast("long").alias("keep_row"))
         new = groups.hint("merge").join(index, "digest", "left_anti").select("digest", "group_size", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"))
         decided = materialise(new.unionByName(known), "digest-decided")
-        added = decided.filter("keep_row is not null").select("digest", "keep_id")
-        added.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.table)
+        self.append(decided.filter("keep_row is not null"))
         return join_groups(keyed, decided, "digest", "group_size").select(
             "doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
         )
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """`DigestIndex.ingest` with the index given, or with a new one in the shared folder."""
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int = 1) -> DataFrame:
+    """`DigestIndex.ingest` with the index given, or with a new one in the shared folder.
+
+    In several batches the documents are ingested by ranges of doc_id, the largest first and null ids last, so that the
+    outcome is that of one batch; group_size then counts the rows of all of them.
+    """
     spark = docs.sparkSession
-    return (index or DigestIndex(spark, scratch(spark, "digest-index"))).ingest(docs)
+    index = index or DigestIndex(spark, scratch(spark, "digest-index"), rows=docs.count())
+    if batches == 1:
+        return index.ingest(docs)
+    id = F.col("doc_id").cast("long")
+    edges = docs.select(F.percentile_approx(id, [k / batches for k in range(1, batches)]).alias("x")).first()["x"] or []
+    edges = sorted(set(edges), reverse=True)
+    ranges = [id > e if k == 0 else (id > e) & (id <= edges[k - 1]) for k, e in enumerate(edges)]
+    ranges.append(id.isNull() | (id <= edges[-1]) if edges else F.lit(True))
+    done = materialise(reduce(DataFrame.unionByName, [materialise(index.ingest(docs.filter(part)), "digest-batch") for part in ranges]), "digest-batches")
+    sizes = done.groupBy("text_sha256").agg(F.count("*").alias("group_size"))
+    return join_groups(done.drop("group_size"), sizes, "text_sha256", "group_size").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of `docs`, with all its columns, for each identity in `kept` (identity); whole rows are shuffled once."""
+    keyed = docs.select(identity(F.col("doc_id"), F.col("text")).alias("identity"), F.struct("*").alias("row"))
+    return keyed.join(kept, "identity", "left_semi").dropDuplicates(["identity"]).select("row.*")
 
 
 def without_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    kept = exact_dedup(docs, index).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_digest"))
-    keyed = docs.withColumn("_digest", digest(F.col("text")))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_digest") == F.col("_keep_digest"))
-    return keyed.join(kept, on, "left_semi").dropDuplicates(["_digest"]).drop("_digest")
+    kept = exact_dedup(docs, index).filter("kept")
+    return rows_of(docs, kept.select(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text_sha256")).alias("identity")))
