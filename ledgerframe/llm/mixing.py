@@ -63,31 +63,43 @@ def thresholds(keyed: DataFrame, budgets: DataFrame) -> DataFrame:
     return budgets.join(found, "key", "left").withColumn("threshold", F.coalesce("threshold", F.lit("g")))
 
 
+def _keys() -> tuple[Column, Column]:
+    """A document's source as a key that is never null, and the hash that the thresholds cut."""
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    return key.alias("key"), F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, DIGITS * LEVELS).alias("hash")
+
+
+def plan(keyed: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
+    """One row per source of `keyed` (key, source, hash, size): key, n, source_size, target, whole, budget, threshold."""
+    sums = keyed.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    shares = targets(sums, weights, most).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    shares = materialise(shares.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-shares")
+    return materialise(thresholds(keyed.select("key", "hash", "size"), shares.drop("source")), "mix-plan")
+
+
+def copies() -> Column:
+    """How often a row (hash) of its source (whole, budget, threshold) is taken."""
+    return F.col("whole") + ((F.col("hash") < F.col("threshold")) & (F.col("budget") > 0)).cast("long")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
     """How often each document (doc_id, text, source) goes into the mix.
 
-    One row per input row: doc_id, size, source_size, target, copies, taken (copies * size). A source is taken
-    whole as often as its target holds its size, and once more for documents whose hash of doc_id lies below the
+    One row per input row: doc_id, source_key, size, source_size, target, copies, taken (copies * size). A source is
+    taken whole as often as its target holds its size, and once more for documents whose hash of doc_id lies below the
     source's threshold; the taken words miss the target by half the boundary document at most. Rows with the same
-    source and doc_id share the hash and so their copies, null ids too. Null and empty texts have size 0. A null
-    source is a source of its own. No rows give no rows. The choice depends on ids, sources and sizes only.
+    source and doc_id share the hash and so their copies, null ids too. Null and empty texts have size 0; texts of any
+    length are counted whole. A null source is a source of its own. Other columns don't matter. No rows give no rows.
+    The choice depends on ids, sources and sizes only.
     """
-    hashed = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, DIGITS * LEVELS)
-    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    keyed = materialise(docs.select("doc_id", "source", key.alias("key"), hashed.alias("hash"), words(F.col("text")).alias("size")), "mix-sizes")
-    sums = keyed.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    shares = targets(sums, weights, most).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    shares = materialise(shares.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-shares")
-    plan = materialise(thresholds(keyed.select("key", "hash", "size"), shares.drop("source")), "mix-plan")
-    one_more = (F.col("hash") < F.col("threshold")) & (F.col("budget") > 0)
-    return join_groups(keyed.drop("source"), plan, "key", "n").select(
-        "doc_id", F.col("key").alias("source_key"), "size", "source_size", "target", (F.col("whole") + one_more.cast("long")).alias("copies")
-    ).withColumn("taken", F.col("copies") * F.col("size"))
+    keyed = materialise(docs.select("doc_id", "source", *_keys(), words(F.col("text")).alias("size")), "mix-sizes")
+    joined = join_groups(keyed.drop("source"), plan(keyed, weights, most), "key", "n")
+    return joined.select("doc_id", F.col("key").alias("source_key"), "size", "source_size", "target", copies().alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
-    """The rows of the mix with all columns of `docs`, each as often as it is taken."""
-    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    plan = mix(docs, weights, most).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source_key").alias("_source"), F.col("copies").alias("_copies")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_source"))
-    return docs.join(plan, on).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*[docs[c] for c in docs.columns])
+    """The rows of the mix with all columns of `docs`, each as often as it is taken; no row has to meet itself in a join."""
+    keyed = materialise(docs.select("source", *_keys(), words(F.col("text")).alias("size")), "mix-sizes")
+    known = plan(keyed, weights, most).select("key", "n", "whole", "budget", "threshold")
+    joined = join_groups(docs.select(*_keys(), F.struct("*").alias("row")), known, "key", "n")
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.when(copies() > 0, copies()))).alias("copy")).select("row.*")
