@@ -12,7 +12,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerframe.llm.dedup import digest
+from ledgerframe.llm.dedup import digest, identity, rows_of
 from ledgerframe.llm.words import mix, words
 from ledgerframe.operators.components import connected_components
 from ledgerframe.operators.scale import join_groups
@@ -22,11 +22,11 @@ from ledgerframe.session import forget, materialise
 SHINGLE, LEAST = 5, 0.8
 #: Minimum shingles that one Order MinHash keeps, hashes of a band, and bands: a pair of similarity 0.8 meets with 0.999.
 ORDER, ROWS, BANDS = 3, 2, 24
-#: Bits of a signature's ORDER * 48 that agree in a pair worth aligning. A pair of similarity 0.8 has 120 on average,
-#: with a deviation of 4.4.
-AGREE = 100
-#: Buckets up to this size form their pairs; in larger ones texts meet in blocks of about so many shingles.
-SMALL, BLOCK = 24, 500_000
+#: Bits of a signature's ORDER * 48 that agree in a pair worth aligning, if neither text is short. A pair of similarity 0.8
+#: has 120 on average, with a deviation of 5.3 in long texts and up to 11 in the shortest, so short texts are always aligned.
+AGREE, SHORT = 96, 40
+#: Buckets up to this size form their pairs; in larger ones texts meet in blocks of about so many shingles and texts.
+SMALL, BLOCK, BLOCK_TEXTS = 24, 400_000, 256
 #: Partners that one text is compared with in one task.
 PARTNERS = 400
 
@@ -126,7 +126,7 @@ def similarity(x: np.ndarray, y: np.ndarray, least: float = LEAST) -> float:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, row, digest, words (digest of its word sequence), n, bands, signature."""
+    """One row per document: doc_id, row, identity, words (digest of its word sequence), n, bands, signature."""
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -142,8 +142,8 @@ def sketches(docs: DataFrame) -> DataFrame:
             frame = pd.DataFrame(rows, columns=["words", "n", "bands", "signature"])
             yield pd.concat([batch.drop(columns="text").reset_index(drop=True), frame], axis=1)
 
-    known = docs.select(F.col("doc_id").cast("string").alias("doc_id"), digest(F.col("text")).alias("digest"), "text")
-    out = known.mapInPandas(one, "doc_id string, digest binary, words binary, n int, bands array<long>, signature array<long>")
+    known = docs.select(F.col("doc_id").cast("string").alias("doc_id"), identity(F.col("doc_id"), F.col("text")).alias("identity"), "text")
+    out = known.mapInPandas(one, "doc_id string, identity string, words binary, n int, bands array<long>, signature array<long>")
     return out.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.monotonically_increasing_id())
 
 
@@ -153,9 +153,9 @@ def _comparable(n: Column, m: Column) -> Column:
 
 
 def _alike(x: str, y: str) -> Column:
-    """Signatures that agree as often as a link's."""
+    """Signatures that agree as often as a link's, or a short text."""
     differ = [F.bit_count(F.col(f"{x}_signature")[i].bitwiseXOR(F.col(f"{y}_signature")[i])) for i in range(ORDER)]
-    return sum(differ[1:], differ[0]) <= ORDER * ROWS * BANDS - AGREE
+    return (F.least(f"{x}_n", f"{y}_n") < SHORT) | (sum(differ[1:], differ[0]) <= ORDER * ROWS * BANDS - AGREE)
 
 
 def _worth(pairs: DataFrame, brief: DataFrame) -> DataFrame:
@@ -195,19 +195,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Classes of near duplicates among the rows of `docs` (doc_id, text).
 
     One row per input row: doc_id, class_id (smallest doc_id of the class), class_size (rows), kept (one row of each
-    class: that of the smallest doc_id), digest (of the text). Two texts are linked if at least 0.8 of their five-word
+    class: that of the smallest doc_id), identity (of id and text). Two texts are linked if at least 0.8 of their five-word
     shingles align in order; classes are the components of these links. Texts with the same words are one text,
-    texts without words only if they are equal; null counts as empty. Null ids come after all others. No rows give no rows.
+    texts without words only if they are equal; null counts as empty. Texts of any length are compared whole. Null ids
+    come after all others; other columns don't matter. No rows give no rows.
 
     Within a bucket of equal band keys every text is first aligned with the bucket's first text, which joins large
     groups without forming their pairs. Where a bucket still holds texts of different components, these meet as
-    well, so that no link between candidates is lost: in small buckets pair by pair, in large ones block by block,
-    where `settle` finds the links from an index of shingles.
+    well, so that no link between candidates is lost: in small buckets pair by pair; in large ones all texts outside
+    the bucket's largest component meet all others, block by block, where `settle` finds the links from an index of
+    shingles. Texts of the largest component are sent to blocks of others only, never to each other.
     """
     base = materialise(sketches(docs), "near-sketches")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     groups = materialise(base.groupBy("words").agg(F.min("row").alias("node"), F.count("*").alias("rows"), first.alias("first")), "near-texts")
-    reps = base.join(groups.select("node"), F.col("row") == F.col("node"), "left_semi").filter("n > 0").select(F.col("row").alias("node"), "n", "bands", "signature", "digest", "doc_id")
+    reps = base.join(groups.select("node"), F.col("row") == F.col("node"), "left_semi").filter("n > 0").select(F.col("row").alias("node"), "n", "bands", "signature", "identity")
     reps = materialise(reps, "near-reps")
     entries = reps.select("node", "n", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("size > 1")
@@ -230,11 +232,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = materialise(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
     links = links.union(materialise(verified(pairs, texts), "near-links"))
 
-    large = buckets.join(lows.filter(F.col("size") > SMALL).select("key"), "key", "left_semi").select("key", "size", F.ceil(F.col("shingles") / BLOCK).cast("int").alias("blocks"))
-    large = materialise(join_groups(labelled.select("key", "node", "label"), large, "key", "size"), "near-large")
-    spread = large.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label")
-    spread = spread.join(texts, "node")
+    large = buckets.join(lows.filter(F.col("size") > SMALL).select("key"), "key", "left_semi")
+    large = materialise(join_groups(labelled.select("key", "node", "label"), large.select("key", "size", "shingles"), "key", "size"), "near-large")
+    parts = large.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("texts"), F.sum("n").alias("size"))
+    blocks = lambda n: F.ceil(F.greatest(n / BLOCK_TEXTS, n / F.col("size") * F.col("shingles") / BLOCK)).cast("int")
+    spread = join_groups(large.drop("size"), parts, "key", "size").withColumn("mains", blocks(F.col("texts"))).withColumn("others", blocks(F.col("size") - F.col("texts")))
+    # Blocks are numbered others first. Each text goes to the pairs of its block that hold a block of others.
+    other = F.col("label") != F.col("main")
+    block = F.when(other, F.pmod(F.xxhash64("node"), "others")).otherwise(F.col("others") + F.pmod(F.xxhash64("node"), "mains")).cast("int")
+    partners = F.sequence(F.lit(0), F.when(other, F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1)
+    spread = spread.select("key", "node", "label", other.alias("asks"), block.alias("block"), F.explode(partners).alias("with"))
+    spread = spread.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "label", "asks").join(texts, "node")
     links = links.union(materialise(spread.groupBy("key", "i", "j").applyInPandas(settle, "a long, b long"), "near-links"))
     classes = connected_components(links)
 
@@ -242,20 +250,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = materialise(named.select("words", "rows", "first", "label"), "near-classes")
     ends = named.groupBy("label").agg(F.min("first").alias("best"), F.sum("rows").alias("class_size"), F.count("*").alias("texts"))
     ends = join_groups(named, ends, "label", "texts").select("words", "rows", "best", "class_size")
-    out = join_groups(base.select("doc_id", "row", "words", "digest"), ends, "words", "rows")
+    out = join_groups(base.select("doc_id", "row", "words", "identity"), ends, "words", "rows")
     for table in (shared, labelled, large):
         forget(table)
-    return out.select("doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"), "digest")
+    return out.select("doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"), "identity")
 
 
 def settle(group: pd.DataFrame) -> pd.DataFrame:
-    """Links (a, b) that join the components of a block (node, label, text), as few as join them.
+    """Links (a, b) that join the components of a pair of blocks (node, label, asks, text), as few as join them.
 
-    Every text outside the block's largest component meets all others: an index of shingles counts what they share,
-    and those that share enough are aligned.
+    Every text that asks meets all others of other labels: an index of shingles counts what they share, and those that
+    share enough are aligned.
     """
     group = group.drop_duplicates("node").reset_index(drop=True)
-    nodes, texts, labels = group["node"].tolist(), group["text"].tolist(), group["label"].tolist()
+    nodes, texts, labels, asks = group["node"].tolist(), group["text"].tolist(), group["label"].tolist(), group["asks"].tolist()
     parts = [shingles(h) for many in words(texts) for h in many]
     sizes = np.array([len(p) for p in parts])
     value = np.concatenate(parts)
@@ -268,9 +276,8 @@ def settle(group: pd.DataFrame) -> pd.DataFrame:
             label = above[label]
         return label
 
-    main = group["label"].value_counts().index[0]
     found = []
-    for i in [k for k, label in enumerate(labels) if label != main]:
+    for i in [k for k, ask in enumerate(asks) if ask]:
         first, last = np.searchsorted(value, parts[i], "left"), np.searchsorted(value, parts[i], "right")
         count = last - first
         at = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
@@ -284,15 +291,11 @@ def settle(group: pd.DataFrame) -> pd.DataFrame:
 
 def _texts(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of the named nodes; the only step that moves whole texts of all documents."""
-    wanted = reps.join(nodes, "node", "left_semi").select("node", "digest", "doc_id")
-    found = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_digest", digest(F.col("text")))
-    on = found["_id"].eqNullSafe(wanted["doc_id"]) & (found["_digest"] == wanted["digest"])
-    return found.join(wanted, on).select("node", "text").dropDuplicates(["node"])
+    wanted = reps.join(nodes, "node", "left_semi").select("node", "identity")
+    found = docs.select(identity(F.col("doc_id"), F.col("text")).alias("identity"), F.coalesce("text", F.lit("")).alias("text"))
+    return found.join(wanted, "identity").dropDuplicates(["identity"]).select("node", "text")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, one of each class, with all their columns."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
-    keyed = docs.withColumn("_digest", digest(F.col("text")))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_digest") == F.col("_keep_digest"))
-    return keyed.join(kept, on, "left_semi").dropDuplicates(["_digest"]).drop("_digest")
+    return rows_of(docs, near_duplicates(docs).filter("kept").select("identity"))
