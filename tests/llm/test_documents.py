@@ -63,6 +63,25 @@ def test_exact_dedup(spark, docs, rows, none):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
+@pytest.mark.parametrize("batches", [2, 5])
+def test_batches_give_what_one_batch_gives(spark, docs, none, batches):
+    key = lambda d: Counter((g.doc_id, g.keep_id, g.group_size, g.kept, g.text_sha256) for g in d.collect())
+    assert key(dedup.exact_dedup(docs, batches=batches)) == key(dedup.exact_dedup(docs))
+    assert dedup.exact_dedup(none, batches=batches).count() == 0
+
+
+def test_digest_index_grows_with_its_rows_and_is_compacted(spark, docs, monkeypatch):
+    monkeypatch.setattr(dedup, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(dedup, "LEAST_BUCKETS", 2)
+    index = dedup.DigestIndex(spark, scratch(spark, "index"), rows=30)
+    assert index.buckets == 8
+    for part in ("doc_id < 9", "doc_id >= 9"):
+        index.ingest(docs.filter(part))
+    again = index.compacted(scratch(spark, "index"))
+    before, after = (sorted(bytes(r.digest) for r in spark.table(i.table).collect()) for i in (index, again))
+    assert before == after and again.ingest(docs.filter("doc_id is not null")).filter("kept").count() == 0
+
+
 def test_digest_index_goes_on(spark, docs):
     path = scratch(spark, "index")
     first = dedup.DigestIndex(spark, path, 4).ingest(docs.filter("doc_id < 6"))
@@ -133,6 +152,16 @@ def test_a_third_of_the_rows_fills_a_third_of_the_shards(spark):
     assert got[got.doc_id < 800].shard.value_counts().tolist() == [100] * 8
 
 
+def test_equal_texts_of_the_given_table_stay_together(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    placed = materialise(sharding.shard(docs).withColumn("row", F.monotonically_increasing_id()), "test-shards")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("hub"))
+    members = placed.join(texts, "doc_id").select("row", "hub")
+    assert sharding.cut_links(placed, members) == 0
+    start = placed.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(24)))
+    assert sharding.cut_links(start, members) > 50
+
+
 def words(t):
     return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
 
@@ -188,6 +217,7 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     """Buckets beyond SMALL settle in blocks, and give the same classes."""
     monkeypatch.setattr(neardup, "SMALL", 3)
     monkeypatch.setattr(neardup, "BLOCK", 2_000)
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 10)
     rng = random.Random(3)
     base = sentence(rng, 80).split()
     rows = []
@@ -202,6 +232,23 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     assert all(want[g.class_id] == want[g.doc_id] for g in got)  # never joins what brute force keeps apart
 
 
+@pytest.mark.parametrize("n", [9, 12, 25, 60, 300])
+def test_recall_of_links_close_to_the_bound(spark, n):
+    """Texts of n words and the same with as many words changed at the end as just leaves a link."""
+    rng, rows = random.Random(n), []
+    for k in range(150):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        shingles = max(n - 4, 1)
+        more = max(m for m in range(shingles) if 9 * (shingles - m) >= 8 * shingles)
+        changed = base[: n - more] + [f"v{rng.randrange(10**6)}" for _ in range(more)]
+        x, y = labelled([w.encode() for w in base]), labelled([w.encode() for w in changed])
+        assert plain_similarity(x, y) >= 0.8
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(changed))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(g.class_id == g.doc_id - 1 for g in got if g.doc_id % 2) >= 148
+    assert sum(g.class_id == g.doc_id for g in got) >= 150
+
+
 @pytest.mark.parametrize("k", [1, 7, 14, 21, 23, 28, 1000])
 def test_pairs_of_exactly_the_least_similarity(k):
     x = np.arange(1, 5 * k + 1, dtype=np.uint64)
@@ -217,7 +264,7 @@ def test_a_text_with_seven_more_words_is_linked(spark):
     assert (len(x), len(y)) == (28, 35) and plain_similarity(x, y) == 0.8
     got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
     assert set(got.class_id) == {0}
-    linked = neardup.settle(pd.DataFrame({"node": [0, 1], "label": [0, 1], "text": texts}))
+    linked = neardup.settle(pd.DataFrame({"node": [0, 1], "label": [0, 1], "asks": [True, False], "text": texts}))
     assert linked.values.tolist() == [[0, 1]]
     sizes = spark.createDataFrame([(28, 35), (27, 35)], "n int, m int")
     assert [r[0] for r in sizes.select(neardup._comparable(F.col("n"), F.col("m"))).collect()] == [True, False]
@@ -245,12 +292,48 @@ def test_matching_statistics_and_notices():
         assert n == max((k for k in range(0, 31) if k == 0 or tuple(text[end + 1 - k : end + 1]) in subs and k <= end + 1), default=0)
         assert automaton.places[state] >= {(t, i) for t, x in enumerate(templates) for i in range(n - 1, 30) if n and x[i + 1 - n : i + 1] == text[end + 1 - n : end + 1]}
     scanner = licences.Scanner()
-    for label, notice in licences.NOTICES:
+    for k, (label, notice) in enumerate(licences.NOTICES):
         w = notice.split()
         changed = " ".join([*w[: len(w) // 2], "inserted", "words", *w[len(w) // 2 + 1 :]])
-        _, covered = scanner.scan(next(licences.words(["before " + changed + " after"]))[0])
-        assert set(covered) == {label} and covered[label] > 0.85
-    assert scanner.scan(next(licences.words(["permission to use this work is hereby given"]))[0]) == ([], {})
+        hashes = next(licences.words(["before " + changed + " after"]))[0]
+        _, (span,) = scanner.scan(hashes)
+        assert span.label == label and span.notice == k and span.share > 0.85
+        assert span.first_word <= 2 and span.end_word >= len(hashes) - 2 and (span.template_first, span.template_end) == (0, scanner.sizes[scanner.phrases + k])
+    assert scanner.scan(next(licences.words(["permission to use this work is hereby given"]))[0]) == ([], [])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_chains_equal_those_of_all_earlier_seeds(seed):
+    rng = random.Random(seed)
+    n = 400 if seed < 3 else 40
+    seeds = [(rng.randrange(60 if seed % 2 else 400), rng.randrange(80), rng.randint(4, 12)) for _ in range(n)]
+    best = []
+    ordered = sorted(seeds)
+    for i, (x, y, k) in enumerate(ordered):
+        most = k
+        for j, (a, b, m) in enumerate(ordered[:i]):
+            over = max(0, a + m - x, b + m - y)
+            if y > b and x > a and x - (a + m) <= licences.GAP_WORDS and over < k:
+                most = max(most, best[j] + k - over)
+        best.append(most)
+    covered, links = licences.chain(seeds)
+    assert covered == max(best) and set(links) <= set(seeds)
+    ends = [(x, y) for x, y, _ in links]
+    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(ends, ends[1:]))
+    assert licences.chain([]) == (0, [])
+
+
+def test_licence_spans_and_own_phrases(spark):
+    notice = licences.NOTICES[3][1]
+    rows = [(1, "first words " + notice + " last"), (2, "acme pays; see ACME licence"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {g.doc_id: g for g in licences.scan(docs).collect()}
+    n = len(words(notice))
+    (span,) = got[1].spans
+    assert (got[1].labels, got[1].base_labels, got[1].score) == ("bsd", "", 1.0)
+    assert (span.label, span.first_word, span.end_word, span.template_first, span.template_end) == ("bsd", 2, 2 + n, 0, n)
+    own = {g.doc_id: g for g in licences.scan(docs, phrases=(("acme", "acme"), ("lic", "acme licence")), notices=()).collect()}
+    assert (own[2].n_base, own[2].first_word, own[2].last_word, own[2].labels) == (3, 0, 3, "acme,lic") and own[1].labels == ""
 
 
 def test_encoder_equals_the_tokenizer():
@@ -265,7 +348,9 @@ def test_encoder_equals_the_tokenizer():
 def test_elias_fano(n):
     values = np.sort(np.random.default_rng(n).integers(0, 40 * n + 1, n))
     code = EliasFano.from_bytes(EliasFano.encode(values).to_bytes())
-    assert code.all().tolist() == values.tolist() and [code.select(i) for i in range(n)] == values.tolist()
+    assert code.range(0, n).tolist() == values.tolist() == [code.select(i) for i in range(n)]
+    for first, last in np.random.default_rng(1).integers(0, n + 1, (40, 2)).tolist():
+        assert code.range(first, last).tolist() == values[first:last].tolist()
     if n == 5_000:
         assert len(code.to_bytes()) * 8 < 10 * n  # against 64
 
@@ -274,8 +359,10 @@ def ids_of(text, coder):
     return np.array([*coder.tokenizer.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
 
 
-def test_token_files(spark, docs, rows, none, monkeypatch):
-    monkeypatch.setattr(token_files, "FILE_DOCS", 20)
+@pytest.mark.parametrize("settings", [{}, {"FILE_DOCS": 20}, {"FILE_DOCS": 20, "RUN": 3, "MOST_READ": 100}])
+def test_token_files(spark, docs, rows, none, monkeypatch, settings):
+    for k, v in settings.items():
+        monkeypatch.setattr(token_files, k, v)
     got = token_files.token_files(docs).collect()
     coder = Encoder(default_tokenizer())
     assert Counter((g.doc_id, g.n_tokens, g.ids_crc32) for g in got) == Counter((r[0], len(x), zlib.crc32(x)) for r in rows for x in [ids_of(r[1], coder)])
@@ -286,6 +373,14 @@ def test_token_files(spark, docs, rows, none, monkeypatch):
     assert token_files.token_files(none).count() == 0
 
 
+def test_one_id_does_not_make_one_file(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_DOCS", 10)
+    docs = spark.range(100).selectExpr("IF(id < 60, NULL, id) AS doc_id", "'same' AS text")
+    folder = scratch(spark, "tokens")
+    sizes = [r.docs for r in token_files.write(docs, folder, default_tokenizer(), 1).collect()]
+    assert sum(sizes) == 100 and max(sizes) < 40
+
+
 def test_packing(spark, docs, rows, none):
     capacity = 100
     spread = materialise(packing.pack(docs, capacity), "test-packed")

@@ -165,3 +165,33 @@ def test_pipeline_stages(spark):
         docs = out
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, d)
     assert Counter(r.doc_id for r in packed.filter("piece = 0").collect()) == Counter(r.doc_id for r in docs.collect())
+
+
+CLASHES = ("_id", "_digest", "_keep_id", "_source", "_copies", "_copy", "_stats", "_score", "_part", "row", "key", "hash", "identity", "digest", "label", "node", "copies", "words", "n", "size")
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, empty and repeated rows, clashing columns and empty tables, through every stage."""
+    import corpus_pipeline
+
+    text = "the same words in a row that are long enough to count as a text of their own here"
+    rows = [(1, text, "en", "a", 1), (2, text, "en", "a", 1), (2, text, "en", "a", 1), (None, text, None, None, None), (None, None, None, None, None), (3, None, "en", None, 0), (4, "", "en", "b", 0), (4, "other words under a known id " * 3, "en", "b", 0), (5, "x " * 30_000, "en", "b", 0), (6, text + " more", "en", "b", 1)]
+    base = "doc_id long, text string, lang string, source string, n_chars long, "
+    docs = spark.createDataFrame([(*r, *["c"] * len(CLASHES)) for r in rows], base + ", ".join(f"{c} string" for c in CLASHES))
+    spark.createDataFrame([(1, 1, 0), (None, 0, 0), (99, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialise(stage(spark, now, f"file://{tmp_path}"), "test-odd")
+        assert out.columns == docs.columns and all(set(tuple(r)[5:]) == {"c"} for r in out.collect()), name
+        got = Counter((r.doc_id, r.text) for r in out.collect())
+        if name == "exact":
+            assert got == {(2, text): 1, (4, ""): 1, (4, "other words under a known id " * 3): 1, (5, "x " * 30_000): 1, (6, text + " more"): 1}
+        if name == "near":
+            assert (6, text + " more") not in got and (2, text) in got
+        empty = stage(spark, docs.limit(0), f"file://{tmp_path}")
+        assert empty.columns == docs.columns and empty.count() == 0
+        now = out
+    assert corpus_pipeline.STAGES[-1][1](spark, now, "").count() >= now.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), "").count() == 0
+    spark.createDataFrame([], docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
