@@ -63,6 +63,25 @@ def difference(before: DataFrame, after: DataFrame, key: str, fields: list[str])
     return both.select(key, kind.alias("kind"), F.when(kind == "changed", changed).otherwise("").alias("fields"))
 
 
+def difference_counts(differences: DataFrame) -> DataFrame:
+    """How many keys of `difference` were added, removed, changed and unchanged: one row."""
+    return differences.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("added", "removed", "changed", "unchanged")])
+
+
+def difference_values(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """One row for each changed field of the keys that both runs have: key, field, before, after (as JSON; missing and null are one)."""
+    pair = lambda f: F.struct(F.lit(f).alias("field"), F.to_json(F.struct(F.col(f"b_{f}").alias("v"))).alias("before"), F.to_json(F.struct(F.col(f"a_{f}").alias("v"))).alias("after"))
+    b, a = before.select(key, *[F.col(f).alias(f"b_{f}") for f in fields]), after.select(key, *[F.col(f).alias(f"a_{f}") for f in fields])
+    rows = b.join(a, key).select(key, F.explode(F.filter(F.array(*map(pair, fields)), lambda x: x["before"] != x["after"])).alias("x"))
+    return rows.select(key, "x.field", *[F.get_json_object(f"x.{s}", "$.v").alias(s) for s in ("before", "after")])
+
+
+def difference_lists(differences: DataFrame, key: str, order: str, most: int = 50) -> DataFrame:
+    """The first `most` keys of each kind but the unchanged; the counts tell of all."""
+    ranked = differences.filter("kind <> 'unchanged'").withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy(order)))
+    return ranked.filter(F.col("place") <= most).select("kind", key, "fields", "place")
+
+
 def funnel(records: DataFrame, raw: DataFrame) -> DataFrame:
     """One row for each group: collected, qualified, complete, ready, and the step that lost most (the earlier on ties).
 

@@ -12,9 +12,13 @@ from ledgerframe.operators.scale import join_groups
 from ledgerframe.session import materialise
 
 
-def record_key(fields: tuple[str, ...], urls: tuple[str, ...] = ()) -> Column:
-    """'f1+f2:part1|part2' in comparable form, null where a part is empty; links by their canonical form."""
-    parts = [canonical_url(F.col(f)) if f in urls else normalize_text(F.col(f).cast("string")) for f in fields]
+def record_key(fields: tuple[str, ...], urls: tuple[str, ...] = (), forms: dict | None = None) -> Column:
+    """'f1+f2:part1|part2' in comparable form, null where a part is empty; links by their canonical form.
+
+    `forms` says for some fields what is compared in place of their text (a column function), such as a place's city.
+    """
+    form = lambda f: F.when(F.coalesce(F.trim(F.col(f).cast("string")), F.lit("")) != "", (forms or {}).get(f, lambda c: c)(F.col(f).cast("string")))
+    parts = [canonical_url(F.col(f)) if f in urls else normalize_text(form(f)) for f in fields]
     kept = [F.when(p != "", p) for p in parts]  # null makes the key null
     return F.concat(F.lit("+".join(fields) + ":"), kept[0], *[x for p in kept[1:] for x in (F.lit("|"), p)])
 
@@ -48,6 +52,14 @@ def keepers(records: DataFrame, cluster: str = "cluster") -> DataFrame:
     return join_groups(records, best, cluster, "_size").drop("_size").withColumn("duplicate_of", F.when(F.col("keeper") != F.col("id"), F.col("keeper"))).drop("keeper")
 
 
+def seen_on(records: DataFrame) -> DataFrame:
+    """Add `seen_on` to records (id, duplicate_of, label): a keeper's own label, then its duplicates', each once; a duplicate's own."""
+    copies = records.filter("duplicate_of is not null").select(F.col("duplicate_of").alias("_keeper"), "label").distinct()
+    others = copies.groupBy("_keeper").agg(F.array_sort(F.collect_set("label")).alias("_others"))  # as many as there are sources
+    met = records.join(others, F.col("id") == F.col("_keeper"), "left")
+    return met.withColumn("seen_on", F.array_distinct(F.concat(F.array("label"), F.coalesce("_others", F.array().cast("array<string>"))))).drop("_keeper", "_others")
+
+
 def first_wins(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
     """The first row of each key, rows without a key left out."""
     kept = rows.select(key.alias("key"), F.struct(*order).alias("place"), F.struct("*").alias("row")).filter("key is not null")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerframe.operators import criteria, reads, store
-from ledgerframe.queries import _RECORDS, _records, query, table
+from ledgerframe.operators import criteria, reads, reports, resolve, store
+from ledgerframe.queries import _RECORDS, _RUNS, _records, _runs, query, table
+from ledgerframe.sources import export
 
 # An event is a candidate of its user; a line of an order is a value of the order's record, its part the page it was read from.
 
@@ -239,3 +240,55 @@ def jon07_page_last_read(spark, d):
 def set05_source_overlap(spark, d):
     plans = table(spark, d, "orders").select(F.col("o_custkey").alias("plan"), F.col("o_orderkey").alias("ref"))
     return reads.overlap(plans, table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("ref")))
+
+
+# Differences of runs, and who saw a record
+
+_BOTH = f"""WITH {_RUNS}, b AS (SELECT * FROM r WHERE run = 1996), a AS (SELECT * FROM r WHERE run = 1997)"""
+
+
+def _two_runs(spark, d):
+    runs = _runs(spark, d)
+    return runs.filter("run = 1996"), runs.filter("run = 1997")
+
+
+@query(f"""{_BOTH} SELECT count(*) FILTER (WHERE b.item IS NULL) AS added, count(*) FILTER (WHERE a.item IS NULL) AS removed, count(*) FILTER (WHERE a.item IS NOT NULL AND b.item IS NOT NULL AND (a.price <> b.price OR a.n <> b.n)) AS changed,
+          count(*) FILTER (WHERE a.item IS NOT NULL AND b.item IS NOT NULL AND a.price = b.price AND a.n = b.n) AS unchanged FROM a FULL JOIN b ON a.item = b.item""")
+def agg08_difference_counts(spark, d):
+    return reports.difference_counts(reports.difference(*_two_runs(spark, d), "item", ["price", "n"]))
+
+
+@query(f"""{_BOTH} SELECT a.item, 'n' AS field, b.n::VARCHAR AS before, a.n::VARCHAR AS after FROM a JOIN b ON a.item = b.item WHERE a.n <> b.n""")
+def agg08_difference_values(spark, d):
+    return reports.difference_values(*_two_runs(spark, d), "item", ["n"])
+
+
+@query(f"""{_BOTH}, k AS (SELECT coalesce(a.item, b.item) AS item, CASE WHEN b.item IS NULL THEN 'added' WHEN a.item IS NULL THEN 'removed' ELSE 'changed' END AS kind, CASE WHEN a.item IS NULL OR b.item IS NULL THEN '' ELSE concat_ws(',', CASE WHEN a.price IS DISTINCT FROM b.price THEN 'price' END, CASE WHEN a.n IS DISTINCT FROM b.n THEN 'n' END) END AS fields
+          FROM a FULL JOIN b ON a.item = b.item WHERE a.item IS NULL OR b.item IS NULL OR a.price <> b.price OR a.n <> b.n)
+          SELECT * FROM (SELECT kind, item, fields, CAST(row_number() OVER (PARTITION BY kind ORDER BY item) AS INTEGER) AS place FROM k) WHERE place <= 50""")
+def agg08_difference_lists(spark, d):
+    return reports.difference_lists(reports.difference(*_two_runs(spark, d), "item", ["price", "n"]), "item", "item")
+
+
+@query(f"""WITH k AS (SELECT id, source, duplicate_of FROM ({_RECORDS})), o AS (SELECT duplicate_of AS keeper, list_sort(list_distinct(list(source))) AS labels FROM k WHERE duplicate_of IS NOT NULL GROUP BY 1)
+          SELECT id, array_to_string(list_concat([source], list_filter(coalesce(labels, []), lambda x: x <> source)), ', ') AS seen_on FROM k LEFT JOIN o ON keeper = id""")
+def ded07_seen_on(spark, d):
+    rows = _records(spark, d).withColumn("label", F.col("source"))
+    return resolve.seen_on(rows).select("id", F.array_join("seen_on", ", ").alias("seen_on"))
+
+
+@query(f"""SELECT id, '{{"name":"' || name || '","_status":"' || status || '","_lead_tier":null,"_lead_score":null,"_evidence":[{{"field":"name","value":"' || name || '","method":"API"}}]}}' AS value FROM ({_RECORDS})""")
+def snk05_json_records(spark, d):
+    rows = _records(spark, d).withColumns({"lead_tier": F.lit(None).cast("string"), "lead_score": F.lit(None).cast("int")})
+    proof = rows.select("id", F.lit("name").alias("field"), F.col("name").alias("value"), F.lit("API").alias("method"))
+    return export.json_records(rows, proof, ["name"])
+
+
+@query("""SELECT c_custkey AS id, 'c_mktsegment+place:' || lower(c_mktsegment) || '|' || CASE WHEN c_nationkey % 3 = 0 THEN 'remote' ELSE 'city ' || c_nationkey END AS key FROM customer""")
+def ded02_key_forms(spark, d):
+    """Places are compared by their city, whatever stands after it."""
+    from ledgerframe.functions.parsers import location_bucket
+
+    place = F.when(F.col("c_nationkey") % 3 == 0, "Fully remote").otherwise(F.concat(F.lit("City "), F.col("c_nationkey").cast("string"), F.lit(", Region; Elsewhere")))
+    rows = table(spark, d, "customer").withColumn("place", place)
+    return rows.select(F.col("c_custkey").alias("id"), resolve.record_key(("c_mktsegment", "place"), (), {"place": location_bucket}).alias("key"))

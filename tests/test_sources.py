@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerframe.functions import schema_org
 from ledgerframe.functions.header import header
 from ledgerframe.operators import discovery
-from ledgerframe.sources import files, workbook as books
+from ledgerframe.sources import files, serp, workbook as books
 
 
 def workbook(extra=(), state="visible"):
@@ -125,3 +125,15 @@ def test_workbook_reads_back(spark, tmp_path):
     kind, verdict, flags, tables = files.scan("x", (tmp_path / "x.xlsx").read_bytes())[1:]
     assert (kind, verdict, flags) == ("xlsx", "clean", []) and [t["name"] for t in tables] == ["Data", "About"]
     assert tables[0]["headers"] == ["id", "text"]
+
+
+def test_result_pages(spark):
+    duck = '<div id="links"><div class="result"><a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fa.b%2Fx%3Fy%3D1&rut=z">One <b>hit</b></a><a class="result__snippet">the  words</a></div><div class="result result--ad"><a class="result__a" href="https://ad.x/">Ad</a></div><div class="result"><a class="result__a" href="/local">Local</a></div></div>'
+    bing = '<ol id="b_results"><li class="b_algo"><h2><a href="https://www.bing.com/ck/a?x=1&u=a1aHR0cHM6Ly9jLmQvZQ&n=1">Two</a></h2><div class="b_caption"><p>more</p></div></li><li class="b_algo"><h2><a href="https://a.b/x?y=1">Again</a></h2></li></ol>'
+    brave = '<div class="snippet" data-type="web"><a href="https://e.f/"><span class="title">Three</span></a><div class="generic-snippet"><div class="content">text</div></div></div><div class="snippet" data-type="news"><a href="https://n.n/">N</a></div>'
+    one = lambda page: spark.createDataFrame([(0, page), (1, None)], "query_ord int, html string")
+    assert [tuple(r)[2:] for r in serp.hits(one(duck), "duckduckgo").collect()] == [("https://a.b/x?y=1", "One hit", "the words")]
+    assert [(r.url, r.title) for r in serp.hits(one(bing), "bing").collect()] == [("https://c.d/e", "Two"), ("https://a.b/x?y=1", "Again")]
+    assert [tuple(r)[2:] for r in serp.hits(one(brave), "brave").collect()] == [("https://e.f/", "Three", "text")]
+    every = serp.merged({"brave": one(brave), "duckduckgo": one(duck), "bing": one(bing)}, 10).orderBy("query_ord", "hit_ord").collect()
+    assert [r.url for r in every] == ["https://a.b/x?y=1", "https://c.d/e", "https://e.f/"]
