@@ -326,10 +326,10 @@ def _fits(e: Node, name: str, attribute: str, value: str) -> bool:
     return e.attributes.get("id") == name[1:] if name.startswith("#") else e.tag == name
 
 
-def replay(page: str | None, url: str | None, items: str, fields: dict[str, tuple[str, str | None]]) -> list[dict[str, str]]:
-    """A recipe's rows: elements by `items`, each field by (selector, attribute or None for text); links are made absolute."""
+def rows_of(root: Node, url: str | None, items: str, fields: dict[str, tuple[str, str | None]]) -> list[dict[str, str]]:
+    """A recipe's rows on a parsed page: elements by `items`, each field by (selector, attribute or None for text); links are made absolute."""
     rows = []
-    for item in select(parse(page), items):
+    for item in select(root, items):
         row = {}
         for name, (selector, attribute) in fields.items():
             e = next(iter(select(item, selector)), None) if selector else item
@@ -340,6 +340,10 @@ def replay(page: str | None, url: str | None, items: str, fields: dict[str, tupl
     return rows
 
 
+def replay(page: str | None, url: str | None, items: str, fields: dict[str, tuple[str, str | None]]) -> list[dict[str, str]]:
+    return rows_of(parse(page), url, items, fields)
+
+
 def recipe(items: str, fields: dict[str, tuple[str, str | None]]):
     """A column function (page, url) -> array<map<string,string>> that replays the recipe."""
 
@@ -348,3 +352,13 @@ def recipe(items: str, fields: dict[str, tuple[str, str | None]]):
         return pd.Series([replay(p, u, items, fields) for p, u in zip(page, url)])
 
     return run
+
+
+def recipes(many: list[tuple[str, dict[str, tuple[str, str | None]]]]):
+    """A column function (page, url) -> the rows of each of several recipes, with the page parsed once."""
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.MapType(T.StringType(), T.StringType()))))
+    def run(page: pd.Series, url: pd.Series) -> pd.Series:
+        return pd.Series([[rows_of(root, u, *one) for one in many] for root, u in ((parse(p), u) for p, u in zip(page, url))])
+
+    return run

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerframe.functions import dom
@@ -41,13 +43,24 @@ def newest_recipe(pages: DataFrame, recipes: DataFrame) -> DataFrame:
 
 
 def relaxed(pages: DataFrame, candidates: list[tuple[str, str, dict[str, tuple[str, str | None]]]], required: list[str]) -> DataFrame:
-    """For each page the candidate recipe (name, items, fields) that fills most on average among those it is accepted with."""
-    tried = []
-    for order, (name, items, fields) in enumerate(candidates):
-        got = accepted(fill(replay(pages, items, fields), list(fields)), list(fields), required)
-        mean = sum((F.col(f"fill_{f}") for f in fields), F.lit(0.0)) / len(fields)
-        tried.append(got.select("page_id", F.lit(order).alias("ord"), F.lit(name).alias("recipe"), mean.alias("mean_fill"), "items", "accepted"))
-    every = tried[0]
-    for t in tried[1:]:
-        every = every.unionByName(t)
-    return latest(every.filter("accepted"), ["page_id"], [F.desc("mean_fill"), F.asc("ord")]).select("page_id", "recipe", "items", F.round("mean_fill", 6).alias("mean_fill"))
+    """For each page the candidate recipe (name, items, fields) that fills most on average among those it is accepted with.
+
+    A page is parsed once for all candidates; the first of equally good ones wins.
+    """
+    run = dom.recipes([(items, fields) for _, items, fields in candidates])
+    tried = pages.select("page_id", F.posexplode(run(F.col("html"), F.col("url"))).alias("ord", "rows")).select("page_id", "ord", F.size("rows").alias("items"), "rows")
+    share = lambda f: F.size(F.filter("rows", lambda r: r[f].isNotNull())) / F.col("items")
+    verdicts = []
+    for i, (name, _, fields) in enumerate(candidates):
+        need = {f: KEY_FILL if f in ("title", "url") else REQUIRED_FILL for f in fields if f in ("title", "url") or f in required}
+        ok = reduce(lambda a, b: a & b, [share(f) >= least for f, least in need.items()], F.col("items") >= LEAST_ITEMS)
+        mean = sum((share(f) for f in fields), F.lit(0.0)) / len(fields)
+        verdicts.append(F.when((F.col("ord") == i) & ok, F.struct(mean.alias("mean_fill"), F.lit(name).alias("recipe"))))
+    judged = tried.withColumn("v", F.coalesce(*verdicts)).filter("v is not null")
+    best = judged.groupBy("page_id").agg(F.min(F.struct((-F.col("v.mean_fill")).alias("fill"), "ord", "v.recipe", "items")).alias("x"))
+    return best.select("page_id", "x.recipe", "x.items", F.round(-F.col("x.fill"), 6).alias("mean_fill"))
+
+
+def uncovered(recipe_fields: list[str], needed: list[str]) -> list[str]:
+    """Fields that a page needs and its recipe doesn't read, for which it has to be discovered anew."""
+    return [f for f in needed if f not in recipe_fields]

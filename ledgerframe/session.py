@@ -33,6 +33,9 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or LOCAL_FOLDER).rstrip("/")
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -44,14 +47,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     This cuts lineage: what is read again survives the loss of any executor, and is computed once.
     """
     path = scratch(df.sparkSession, name)
+    _written.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table that `materialise` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables that `materialise` wrote for a session; call it when no result that reads them is needed any more."""
+    for session, path in [x for x in _written if x[0] is spark]:
+        _delete(session, path)
+        _written.remove((session, path))
