@@ -407,6 +407,24 @@ def k72_embedded_data(spark, d):
     return rows.select("page_id", F.size("s.embedded").alias("n_embedded"), F.size("s.json_ld").alias("n_json_ld"), "s.canonical")
 
 
+@query()
+def src09_list_pages(spark, d):
+    """Every page as the start of a list, its navigation as the items, five pages at most."""
+    from ledgerframe.sources import pages as lists
+
+    p = table(spark, d, "pages").select("url", "html")
+    chain = lists.page_chain(p, p.select(F.col("url").alias("start")), 5)
+    out = lists.list_items(chain, ("nav li", {"title": ("a", None), "link": ("a", "href")}), {}, "company")
+    return out.select("start", F.col("ord.place").alias("place"), F.col("ord.n").alias("n"), *[F.col(f"{f}.value").alias(f) for f in ("title", "link", "company")])
+
+
+@query()
+def src11_record_items(spark, d):
+    from ledgerframe.sources import pages as lists
+
+    return lists.record_items(table(spark, d, "pages").select("url", "html"), ["name"], {})
+
+
 # Records of statuses and confidence
 
 @query("""SELECT o_orderkey AS id, CASE WHEN p THEN 0.99::DOUBLE ELSE 0.0::DOUBLE END AS field_confidence, CASE WHEN o_orderkey % 5 = 0 THEN 'invalid' WHEN NOT p THEN 'incomplete' ELSE 'valid' END AS status,

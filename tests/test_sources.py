@@ -137,3 +137,31 @@ def test_result_pages(spark):
     assert [tuple(r)[2:] for r in serp.hits(one(brave), "brave").collect()] == [("https://e.f/", "Three", "text")]
     every = serp.merged({"brave": one(brave), "duckduckgo": one(duck), "bing": one(bing)}, 10).orderBy("query_ord", "hit_ord").collect()
     assert [r.url for r in every] == ["https://a.b/x?y=1", "https://c.d/e", "https://e.f/"]
+
+
+def test_lists_run_along_their_next_pages(spark):
+    from ledgerframe.sources import pages
+
+    item = lambda i: f'<li class="job"><a href="/{i}">Job {i}</a><i>from ${90 + i}k to ${100 + i}k</i></li>'
+    web = {
+        "https://a.b/list": "<h1>Acme</h1>" + item(1) + item(2) + '<a rel="next" href="/list?page=2">next</a>', "https://a.b/list?page=2": "<h1>Acme</h1>" + item(2) + item(3) + '<a rel="next" href="/list?page=3">next</a>',
+        "https://a.b/list?page=3": item(4) + '<a rel="next" href="/list">next</a>', "https://c.d/": item(9) + '<a rel="next" href="/gone">next</a>',
+    }
+    table = spark.createDataFrame([*web.items(), ("nolink", None)], "url string, html string")
+    starts = spark.createDataFrame([("http://www.a.b/list",), ("https://c.d",), ("https://no.where",)], "start string")
+    chain = pages.page_chain(table, starts, 5)
+    assert {(r.start, r.place, r.url) for r in chain.collect()} == {("https://a.b/list", 0, "https://a.b/list"), ("https://a.b/list", 1, "https://a.b/list?page=2"), ("https://a.b/list", 2, "https://a.b/list?page=3"), ("https://c.d", 0, "https://c.d/")}
+    assert pages.page_chain(table, starts, 2).count() == 3 and pages.page_chain(table, starts.limit(0), 2).count() == 0
+    got = pages.list_items(chain, ("li.job", {"title": ("a", None), "link": ("a", "href"), "salary": ("i", None)}), {"salary": "pay"}, "company").orderBy("start", "ord").collect()
+    assert [(r.title.value, r.salary.value) for r in got] == [(f"Job {i}", f"USD {90 + i},000–{100 + i},000 / year") for i in (1, 2, 3, 4, 9)]
+    assert got[0].salary.snippet == "from $91k to $101k" and got[0].company.value == "Acme" and got[3].company is None and got[0].link.value == "https://a.b/1"
+
+
+def test_records_read_from_their_own_data(spark):
+    from ledgerframe.sources import pages
+
+    several = '<script type="application/ld+json">{"@type": "ItemList", "itemListElement": [{"name": "A", "url": "https://a.b/1"}, {"name": "B"}]}</script><link rel="canonical" href="/own">'
+    one = '<script type="application/ld+json">{"@type": "Product", "name": "C", "numberOfEmployees": 7}</script>'
+    table = spark.createDataFrame([("https://a.b/x", several), ("https://a.b/y", one), ("https://a.b/z", "<p>none")], "url string, html string")
+    got = {(r.page, r.n): (r.url, r.name, r.company_size) for r in pages.record_items(table, ["name", "url", "company_size"], {"size": ("numberOfEmployees",)}).collect()}
+    assert got == {("https://a.b/x", 0): ("https://a.b/1", "A", None), ("https://a.b/x", 1): ("https://a.b/own", "B", None), ("https://a.b/y", 0): ("https://a.b/y", "C", "7"), ("https://a.b/z", 0): ("https://a.b/z", None, None)}
