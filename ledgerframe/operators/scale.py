@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: At most so many keys count as hot, so their rows can be broadcast whatever the input's size.
-HOT_KEYS = 5_000
-#: No key is hot with fewer rows.
-LEAST_HOT = 1_000
+from ledgerframe.session import materialise
+
+#: A key is hot with more than one part in HOT_KEYS of all rows (and LEAST_HOT at least), so there are fewer hot keys than
+#: that, whatever the input's size. Tables of no more keys are broadcast.
+HOT_KEYS, LEAST_HOT = 5_000, 200
 #: Rows that one numbering block holds on average.
 BLOCK_ROWS = 20_000
 
@@ -15,19 +16,27 @@ BLOCK_ROWS = 20_000
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int | None = None) -> DataFrame:
     """Inner join of many rows with one row per key, where a key may hold any share of the rows.
 
-    `size` in `groups` counts the key's rows. A key with more than 1/HOT_KEYS of all of them (`total`, counted here if
-    not given) is hot; there are fewer than HOT_KEYS such keys, so they are broadcast and their rows stay where they
-    are. Other keys go through a shuffled join, in which no key is large. Rows whose key is null find no partner.
+    `size` in `groups` counts the key's rows. Few groups (HOT_KEYS at most) are broadcast, and the rows stay where they
+    are. Of more groups, the hot ones are split into parts of about the size of what isn't hot: their rows take a part
+    each, and the group is repeated for every part, 2 * HOT_KEYS repeats in all at most per doubling. The driver holds
+    the hot keys only. `total`, the number of rows, saves the look at the groups where it shows that none is hot. Rows
+    whose key is null find no partner.
     """
-    if total is None:
-        total = groups.agg(F.sum(size)).first()[0] or 0
-    limit = max(total // HOT_KEYS, LEAST_HOT)
-    if total <= limit:  # no key can be hot
+    if total is not None and total <= LEAST_HOT:
+        return rows.join(groups, key)
+    count, largest, all_rows = groups.agg(F.count("*"), F.coalesce(F.max(size), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
+    if count <= HOT_KEYS:
+        return rows.join(F.broadcast(groups), key)
+    limit = max(all_rows // HOT_KEYS, LEAST_HOT)
+    if largest <= limit:
         return rows.join(groups, key)
-    hot = F.broadcast(groups.filter(F.col(size) > limit))
-    cold = groups.filter(F.col(size) <= limit)
-    rest = rows.join(hot.select(key), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(cold, key))
+    split: dict[int, list] = {}
+    for k, n in groups.filter(F.col(size) > limit).select(key, size).collect():  # fewer than HOT_KEYS
+        split.setdefault(((n - 1) // limit).bit_length(), []).append(k)
+    parts = F.coalesce(*[F.when(F.col(key).isin(keys), 1 << doublings) for doublings, keys in split.items()], F.lit(1))
+    salted = rows.withColumn("_part", F.pmod(F.monotonically_increasing_id(), parts).cast("int"))
+    repeated = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return salted.join(repeated, [key, "_part"]).drop("_part")
 
 
 def numbered(df: DataFrame, by: list[str], order: list[Column], spread: list[Column], out: str, rows: int, first: Column | None = None) -> DataFrame:
@@ -52,3 +61,12 @@ def numbered(df: DataFrame, by: list[str], order: list[Column], spread: list[Col
     for c in same[1:]:
         on = on & c
     return placed.join(starts, on).select(*[placed[c] for c in df.columns], (F.col("_before") + F.col("_row") - 1).alias(out))
+
+
+def placed(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Add `out`: 0, 1, 2 ... in the order of all rows, ranges of which are sorted side by side and counted."""
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    written = materialise(ordered.select("*", F.shiftright("_at", 33).alias("_range")), "placed")
+    upto = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = written.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))  # one row a range
+    return written.join(F.broadcast(starts), "_range").withColumn(out, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_range", "_before")

@@ -25,10 +25,17 @@ def test_numbering_has_no_gaps(spark):
         assert sorted(g.n) == list(range(len(g)))
 
 
-def test_hot_keys_join_once(spark):
-    rows = spark.range(5_000).select(F.when(F.col("id") < 4_000, 0).otherwise(F.col("id")).alias("k"))
-    groups = rows.groupBy("k").agg(F.count("*").alias("n"))
-    assert join_groups(rows, groups, "k", "n").count() == 5_000
+@pytest.mark.parametrize("settings", [{}, {"HOT_KEYS": 20, "LEAST_HOT": 5}, {"HOT_KEYS": 3, "LEAST_HOT": 1}])
+@pytest.mark.parametrize("kind", ["long", "string", "binary"])
+def test_hot_keys_join_once(spark, monkeypatch, settings, kind):
+    for k, v in settings.items():
+        monkeypatch.setattr(scale, k, v)
+    key = F.when(F.col("id") < 3_000, 0).when(F.col("id") < 4_000, 1).when(F.col("id") < 4_050, F.lit(None)).otherwise(F.col("id")).cast("string").cast(kind)
+    rows = spark.range(5_000).select("id", key.alias("k"))
+    groups = rows.filter("k is not null").groupBy("k").agg(F.count("*").alias("n"))
+    got = join_groups(rows, groups, "k", "n")
+    assert got.columns == ["k", "id", "n"] and got.count() == 4_950 and got.select("id").distinct().count() == 4_950
+    assert got.filter("id < 3000 and n <> 3000").count() == 0
 
 
 def test_three_valued_criteria(spark):
