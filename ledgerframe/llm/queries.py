@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerframe.llm.automaton import encode_decode
 from ledgerframe.llm.dedup import exact_dedup
 from ledgerframe.llm.licences import scan
 from ledgerframe.llm.mixing import mix
 from ledgerframe.llm.neardup import near_duplicates
 from ledgerframe.llm.packing import pack
+from ledgerframe.llm.periods import periodic_runs, repeat_tail
 from ledgerframe.llm.quality import classify
+from ledgerframe.llm.search import ranked_search
 from ledgerframe.llm.sharding import shard
 from ledgerframe.llm.token_files import token_files
 from ledgerframe.llm.vectors import near_vectors
@@ -61,7 +64,34 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_mixing, op3_licences, op4_exact_dedup, op5_sharding, op6_quality, op7_token_files, op8_warc, op9_packing, op10_near_vectors)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), whole=False)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), change=repeat_tail, whole=False)
+
+
+_ALL = (
+    op1_near_dedup,
+    op2_mixing,
+    op3_licences,
+    op4_exact_dedup,
+    op5_sharding,
+    op6_quality,
+    op7_token_files,
+    op8_warc,
+    op9_packing,
+    op10_near_vectors,
+    op11_ranked_search,
+    op12_token_automaton,
+    op13_periodic_runs,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
     "op2_mixing": r"""
@@ -98,4 +128,18 @@ ORACLE_SQL = {
                CASE WHEN n >= 100 AND again THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND again THEN first END AS refers_to
         FROM f""",
+    "op11_ranked_search": r"""
+        WITH d AS (
+          SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+        q AS (
+          SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+        c AS (SELECT count(DISTINCT doc_id) AS docs, count(*) AS terms FROM d),
+        m AS (SELECT doc_id, 100 - 75 + ((75 * count(*) * (SELECT docs FROM c)) // (SELECT terms FROM c)) AS m FROM d GROUP BY doc_id),
+        f AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY doc_id, t),
+        w AS (SELECT t, CAST(floor(1000 * ln((2 * (SELECT docs FROM c) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM f GROUP BY t),
+        s AS (
+          SELECT q.item_id, f.doc_id, CAST(sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * m.m))) AS BIGINT) AS score
+          FROM q JOIN f USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY q.item_id, f.doc_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
 }
