@@ -88,9 +88,9 @@ def test_ranked_search_without_rows(spark):
 def test_both_trees_prune():
     """Topics that share no terms: what a query scores is little more than its own topic's documents."""
     rng = random.Random(4)
-    topics = [["t%d_%d" % (k, i) for i in range(30)] for k in range(16)]
+    topics = [["t%dx%d" % (k, i) for i in range(30)] for k in range(16)]
     queries = search.Queries([(i, " ".join(rng.sample(topics[i % 16], 6))) for i in range(160)])
-    counted = [Counter(rng.choices(topics[i % 16], k=30)) for i in range(3200)]
+    counted = [Counter(t.encode() for t in rng.choices(topics[i % 16], k=30)) for i in range(3200)]
     frequency = Counter(queries.vocabulary[t] for c in counted for t in c if t in queries.vocabulary)
     docs = []
     for c in counted:
