@@ -96,7 +96,7 @@ QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {
     "op2_mixing": r"""
         WITH d AS (
-          SELECT doc_id, source, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS h,
+          SELECT doc_id, source, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 12) AS h,
                  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
           FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -106,15 +106,16 @@ ORACLE_SQL = {
                         / sum(weight) OVER (ORDER BY point, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
         t AS (SELECT source, source_size, least(cap, weight * (SELECT level FROM v WHERE level <= point ORDER BY point, source LIMIT 1)) AS target FROM v),
         b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
-        g AS (SELECT source, h, sum(size) AS sum FROM d GROUP BY source, h),
+        g AS (SELECT source, h, sum(size) AS sum, count(*) AS rows FROM d GROUP BY source, h),
         u AS (SELECT *, sum(sum) OVER (PARTITION BY source ORDER BY h) AS upto FROM g),
         e AS (SELECT b.source, b.source_size, b.target, b.whole, b.target - b.whole * b.source_size AS budget FROM b),
-        x AS (SELECT e.*, u.h, u.upto, u.sum,
-                     (u.upto <= budget OR (u.upto - u.sum <= budget AND u.upto - budget < budget - (u.upto - u.sum))) AND budget > 0 AS more
-              FROM e JOIN u ON e.source IS NOT DISTINCT FROM u.source)
-        SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, x.source_size, x.target,
-               CAST((x.whole + CASE WHEN x.more THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken
-        FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.h = x.h""",
+        x AS (SELECT e.*, u.h, CASE WHEN budget <= 0 OR u.upto - u.sum > budget THEN 0 WHEN u.upto <= budget THEN u.rows
+                                    ELSE greatest(ceil((budget - (u.upto - u.sum)) * u.rows / u.sum - 0.5), 0) END AS more
+              FROM e JOIN u ON e.source IS NOT DISTINCT FROM u.source),
+        n AS (SELECT *, row_number() OVER (PARTITION BY source, h) AS number FROM d)
+        SELECT n.doc_id, CAST(n.size AS BIGINT) AS size, x.source_size, x.target,
+               CAST((x.whole + CASE WHEN n.number <= x.more THEN 1 ELSE 0 END) * n.size AS BIGINT) AS taken
+        FROM n JOIN x ON n.source IS NOT DISTINCT FROM x.source AND n.h = x.h""",
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,

@@ -123,6 +123,49 @@ def test_mix(spark, docs, rows, none):
     assert repeated.columns == docs.columns and repeated.count() == sum(g.copies for g in got)
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "both"])
+def test_mix_without_ids_of_their_own(spark, ids):
+    """All ids null, one id for all, and rows that repeat whole: sources still come within half a document of their targets."""
+    rng = random.Random(3)
+    texts = [sentence(rng, rng.randint(1, 60)) for _ in range(300)]
+    rows = [(None if ids == "null" else 1, "the same few words" if ids == "both" or i % 3 == 0 else t, f"s{i % 4}") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    taken, target = Counter(), {}
+    for g in got:
+        taken[g.source_key] += g.taken
+        target[g.source_key] = g.target
+        assert g.taken <= 3 * g.size
+    assert len(got) == 300 and all(abs(taken[k] - target[k]) <= 30 for k in target)
+    key = lambda d: Counter((g.source_key, g.size, g.taken) for g in d.collect())
+    assert key(mixing.mix(docs.repartition(5))) == key(mixing.mix(docs))
+    assert mixing.mixed(docs).count() == sum(g.copies for g in got)
+
+
+def test_a_batch_that_comes_again_keeps_what_it_kept(spark, docs):
+    index = dedup.DigestIndex(spark, scratch(spark, "index"), 4)
+    key = lambda d: Counter((g.doc_id, g.keep_id, g.group_size, g.kept, g.text_sha256) for g in d.collect())
+    one, two = docs.filter("doc_id < 9"), docs.filter("doc_id >= 4 or doc_id is null")
+    first, second = key(index.ingest(one)), key(index.ingest(two))
+    size = spark.table(index.table).count()
+    assert key(index.ingest(one.repartition(3))) == first and key(index.ingest(two)) == second
+    assert spark.table(index.table).count() == size == spark.table(index.table).select("digest").distinct().count()
+    # Part of a batch had been appended when its job was lost.
+    half = dedup.DigestIndex(spark, scratch(spark, "index"), 4)
+    half.ingest(one, "day 1")
+    lost = dedup.DigestIndex(spark, scratch(spark, "index"), 4)
+    lost.append(spark.table(half.table).limit(2))
+    assert key(lost.ingest(one, "day 1")) == first and spark.table(lost.table).count() == spark.table(half.table).count()
+    # Under another name the same rows are another batch.
+    assert not any(g.kept for g in half.ingest(one, "day 2").collect())
+
+
+def test_own_indexes_leave_no_table(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert dedup.exact_dedup(docs, batches=2).count() == docs.count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 @pytest.mark.parametrize("shards", [5, 200])
 def test_shards(spark, docs, rows, none, shards):
     placed = materialise(sharding.shard(docs, shards), "test-shards")
@@ -232,7 +275,7 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     assert all(want[g.class_id] == want[g.doc_id] for g in got)  # never joins what brute force keeps apart
 
 
-@pytest.mark.parametrize("n", [9, 12, 25, 60, 300])
+@pytest.mark.parametrize("n", [9, 12, 25, 60, 300, 2000])
 def test_recall_of_links_close_to_the_bound(spark, n):
     """Texts of n words and the same with as many words changed at the end as just leaves a link."""
     rng, rows = random.Random(n), []

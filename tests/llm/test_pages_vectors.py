@@ -97,6 +97,13 @@ def test_vector_links(spark, monkeypatch, settings):
         assert vectors.near_vectors(table.limit(0)).count() == 0
 
 
+def test_finite_vectors_of_any_size_are_linked(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1e199]), (3, [1e-200, 0.0]), (4, [5e-324, 0.0]), (5, [1.7e308, 1e307]), (6, [0.0, 1e-300]), (7, [3.0, 0.1]), (8, [0.0, -0.0])]
+    docs = spark.createDataFrame([(*r, "a") for r in rows], "vec_id long, embedding array<double>, label string")
+    got = {g.vec_id: (g.n_links, g.component_id) for g in vectors.near_vectors(docs).collect()}
+    assert got == {**{i: (5, 1) for i in (1, 2, 3, 4, 5, 7)}, 6: (0, 6), 8: (0, 8)}
+
+
 def test_cover_tree_bounds():
     rng = np.random.default_rng(2)
     points = vectors.unit(np.concatenate([rng.normal(0, 1, (5, 6)).repeat(40, axis=0) + rng.normal(0, 0.05, (200, 6))]).tolist())
