@@ -134,8 +134,13 @@ def bundles(tree: CoverTree, sizes: dict[int, int]) -> dict[int, tuple[int, int]
     return found
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that squares neither overflow nor vanish; no digit changes, nor any cosine."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(rows: list) -> np.ndarray:
-    x = np.array(rows, dtype=np.float64)
+    x = scaled(np.array(rows, dtype=np.float64))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -210,7 +215,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
 
     One row per input row: vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable),
     kept (vec_id = component_id). A null label links with nothing, nor does a vector that is null, empty, zero or
-    has null or non-finite components, nor vectors of different lengths with each other. Equal vectors are compared
+    has null or non-finite components, nor vectors of different lengths with each other. Components may be of any finite size. Equal vectors are compared
     once and counted as often as they occur. Null ids count as links but name no component. No rows give no rows.
 
     Trees are built on the driver from a bounded sample of SAMPLE vectors, by label and length; all vectors descend to
@@ -221,8 +226,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """
     e = F.col("embedding")
     bad = F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    norm = F.aggregate(e, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    fine = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True)) & (norm > 0) & (norm < float("inf"))
+    fine = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(e, lambda v: v != 0)
     base = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     base = base.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("row", F.monotonically_increasing_id())
     zeroless = F.transform(e, lambda v: v + 0.0)  # -0.0 becomes 0.0
@@ -244,7 +248,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
             for name, rows in batch.groupby("tree"):
                 tree, rows = shared.value.get(name), rows.reset_index(drop=True)
                 leaf, path = tree.descend(unit(rows["embedding"].tolist())) if tree else (np.zeros(len(rows), dtype=int), [[]] * len(rows))
-                vector = [np.asarray(v, dtype="<f8").tobytes() for v in rows["embedding"]]
+                vector = [v.astype("<f8").tobytes() for v in scaled(np.array(rows["embedding"].tolist(), dtype=np.float64))]
                 yield rows.drop(columns="embedding").assign(vector=vector, leaf=leaf, path=path)
 
     placed = groups.select("node", "copies", "tree", "embedding").mapInPandas(place, "node long, copies long, tree string, vector binary, leaf int, path array<double>")
