@@ -22,9 +22,6 @@ from ledgerframe.session import forget, materialise
 SHINGLE, LEAST = 5, 0.8
 #: Minimum shingles that one Order MinHash keeps, hashes of a band, and bands: a pair of similarity 0.8 meets with 0.999.
 ORDER, ROWS, BANDS = 3, 2, 24
-#: Bits of a signature's ORDER * 48 that agree in a pair worth aligning, if neither text is short. A pair of similarity 0.8
-#: has 120 on average, with a deviation of 5.3 in long texts and up to 11 in the shortest, so short texts are always aligned.
-AGREE, SHORT = 96, 40
 #: Buckets up to this size form their pairs; in larger ones texts meet in blocks of about so many shingles and texts.
 SMALL, BLOCK, BLOCK_TEXTS = 24, 400_000, 256
 #: Partners that one text is compared with in one task.
@@ -69,11 +66,11 @@ def shingles(hashes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return x
 
 
-def order_minhash(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and signature of labelled shingles.
+def order_minhash(x: np.ndarray) -> np.ndarray:
+    """Band keys of labelled shingles.
 
     For each hash function the ORDER smallest shingles are taken and kept in text order; a band joins ROWS of
-    them. The signature has one bit of each taken shingle, as ORDER numbers of a bit for each function.
+    them.
     """
     functions, take = ROWS * BANDS, min(ORDER, len(x))
     places = np.empty((functions, take), dtype=np.int64)
@@ -85,8 +82,6 @@ def order_minhash(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             p = v.argmin(axis=1)
             places[i : i + block, t] = p
             v[rows, p] = _TOP
-    signature = np.zeros(ORDER, dtype=np.int64)
-    signature[:take] = ((x[places] >> np.uint64(17)) & np.uint64(1)).astype(np.int64).T @ (1 << np.arange(functions, dtype=np.int64))
     places.sort(axis=1)
     sketch = np.zeros(functions, dtype=np.uint64)
     for t in range(take):
@@ -94,7 +89,7 @@ def order_minhash(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP
     for r in range(ROWS):
         keys = mix(keys ^ sketch[r::ROWS])
-    return keys.view(np.int64), signature
+    return keys.view(np.int64)
 
 
 def similarity(x: np.ndarray, y: np.ndarray, least: float = LEAST) -> float:
@@ -126,7 +121,7 @@ def similarity(x: np.ndarray, y: np.ndarray, least: float = LEAST) -> float:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, row, identity, words (digest of its word sequence), n, bands, signature."""
+    """One row per document: doc_id, row, identity, words (digest of its word sequence), n, bands."""
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -135,15 +130,14 @@ def sketches(docs: DataFrame) -> DataFrame:
                 for hashes in many:
                     x = shingles(hashes)
                     if len(x):
-                        keys, signature = order_minhash(x)
-                        rows.append((xxhash.xxh3_128_digest(hashes.tobytes()), len(x), keys, signature))
+                        rows.append((xxhash.xxh3_128_digest(hashes.tobytes()), len(x), order_minhash(x)))
                     else:
-                        rows.append((xxhash.xxh3_128_digest((texts[len(rows)] or "").encode()), 0, [], []))
-            frame = pd.DataFrame(rows, columns=["words", "n", "bands", "signature"])
+                        rows.append((xxhash.xxh3_128_digest((texts[len(rows)] or "").encode()), 0, []))
+            frame = pd.DataFrame(rows, columns=["words", "n", "bands"])
             yield pd.concat([batch.drop(columns="text").reset_index(drop=True), frame], axis=1)
 
     known = docs.select(F.col("doc_id").cast("string").alias("doc_id"), identity(F.col("doc_id"), F.col("text")).alias("identity"), "text")
-    out = known.mapInPandas(one, "doc_id string, identity string, words binary, n int, bands array<long>, signature array<long>")
+    out = known.mapInPandas(one, "doc_id string, identity string, words binary, n int, bands array<long>")
     return out.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.monotonically_increasing_id())
 
 
@@ -152,17 +146,11 @@ def _comparable(n: Column, m: Column) -> Column:
     return F.least(n, m).cast("long") * ALL >= (n.cast("long") + m) * PART
 
 
-def _alike(x: str, y: str) -> Column:
-    """Signatures that agree as often as a link's, or a short text."""
-    differ = [F.bit_count(F.col(f"{x}_signature")[i].bitwiseXOR(F.col(f"{y}_signature")[i])) for i in range(ORDER)]
-    return (F.least(f"{x}_n", f"{y}_n") < SHORT) | (sum(differ[1:], differ[0]) <= ORDER * ROWS * BANDS - AGREE)
-
-
 def _worth(pairs: DataFrame, brief: DataFrame) -> DataFrame:
-    """Those (a, b) whose sizes and signatures leave room for a link."""
+    """Those (a, b) whose sizes leave room for a link."""
     x, y = (brief.select(*[F.col(c).alias(f"{name}_{c}") for c in brief.columns]) for name in "xy")
     joined = pairs.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
-    return joined.filter(_comparable(F.col("x_n"), F.col("y_n")) & _alike("x", "y")).select("a", "b")
+    return joined.filter(_comparable(F.col("x_n"), F.col("y_n"))).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -209,7 +197,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     base = materialise(sketches(docs), "near-sketches")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     groups = materialise(base.groupBy("words").agg(F.min("row").alias("node"), F.count("*").alias("rows"), first.alias("first")), "near-texts")
-    reps = base.join(groups.select("node"), F.col("row") == F.col("node"), "left_semi").filter("n > 0").select(F.col("row").alias("node"), "n", "bands", "signature", "identity")
+    reps = base.join(groups.select("node"), F.col("row") == F.col("node"), "left_semi").filter("n > 0").select(F.col("row").alias("node"), "n", "bands", "identity")
     reps = materialise(reps, "near-reps")
     entries = reps.select("node", "n", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("size > 1")
@@ -217,7 +205,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = materialise(join_groups(entries.select("key", "node"), buckets, "key", "size").select("key", "node", "leader", "size"), "near-entries")
 
     texts = materialise(_texts(docs, reps, shared.select("node").distinct()), "near-candidates")
-    brief = reps.select("node", "n", "signature")
+    brief = reps.select("node", "n")
     stars = shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     tested = materialise(_worth(stars, brief), "near-pairs")
     links = materialise(verified(tested, texts), "near-links")
@@ -227,8 +215,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lows = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("size").alias("size")).filter("low <> high and size > 2").select("key", "size")
     lows = materialise(lows, "near-open")
     small = labelled.join(lows.filter(F.col("size") <= SMALL).select("key"), "key", "left_semi").filter("node <> leader").join(brief, "node")
-    x, y = (small.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "label", "n", "signature")]) for name in "xy")
-    across = x.join(y, "key").filter("x_node < y_node and x_label <> y_label").filter(_comparable(F.col("x_n"), F.col("y_n")) & _alike("x", "y"))
+    x, y = (small.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "label", "n")]) for name in "xy")
+    across = x.join(y, "key").filter("x_node < y_node and x_label <> y_label").filter(_comparable(F.col("x_n"), F.col("y_n")))
     pairs = materialise(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
     links = links.union(materialise(verified(pairs, texts), "near-links"))
 
