@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections import defaultdict
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import parse_qsl, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from ledgerframe.functions.url import TRACKING
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tr", "ul"}
 UNSEEN = {"script", "style", "noscript", "template", "head"}
@@ -121,32 +122,12 @@ def json_ld(root: Node) -> list[str]:
     return found
 
 
-# Attributes that name an element for good, in order; forms of class names that tools generate; classes that
-# a plain selector can express; the assignments that hold a page's data; weights of the group score.
-STABLE = ("data-ui", "data-testid", "data-test", "data-qa", "data-automation-id", "itemprop")
-GENERATED = (r"^(?:css|sc|jsx|emotion|svelte|tw)-[A-Za-z0-9]{3,}", r"--[A-Za-z0-9_-]{4,}$", r"__[A-Za-z0-9]{5}$", r"^[a-z]{1,3}[A-Z0-9][A-Za-z0-9]{4,}$")
-PLAIN = r"-?[_a-zA-Z][\w-]*"
+# The assignments that hold a page's data; what holds the links to a list's other pages, by tag, class and role;
+# what marks the current page; what a link to the next page is called; headings that name no one.
 ASSIGNED = ("__appData", "__remixContext", "__INITIAL_STATE__", "__APOLLO_STATE__", "__NUXT__")
-LEAST_GROUP, LEAST_TEXT, MOST_TEXT, BARE, FRAGILE = 3, 8, 200, 0.3, 0.8
-
-
-def generated(name: str) -> bool:
-    """Whether a class name looks like a tool's, which changes with every build."""
-    return any(re.search(form, name) for form in GENERATED)
-
-
-def selector(e: Node) -> tuple[str, bool]:
-    """The steadiest selector of an element by itself, and whether it is fragile."""
-    quoted = lambda v: re.sub(r'(["\\])', r"\\\1", v)
-    for name in (*STABLE, None):
-        if name and e.attributes.get(name):
-            return f'{e.tag}[{name}="{quoted(e.attributes[name])}"]', False
-    classes = [c for c in e.attributes.get("class", "").split() if re.fullmatch(PLAIN, c)]
-    if steady := [c for c in classes if not generated(c)]:
-        return ".".join([e.tag, *steady[:2]]), False
-    if e.attributes.get("role"):
-        return f'{e.tag}[role="{quoted(e.attributes["role"])}"]', False
-    return (f"{e.tag}.{classes[0]}", True) if classes else (e.tag, False)
+TURNING, CURRENT = ("nav", ("pagination", "pager"), "navigation"), ("current", "active")
+NEXT = r"(?i)(?:next|older)\b.*|.*[»›→]"
+GENERIC = r"(?i)careers?|jobs?|open (?:roles|positions)|join us|work with us|home"
 
 
 def measures(root: Node) -> dict[Node, tuple[int, int, bool, bool, bool]]:
@@ -181,27 +162,6 @@ def measures(root: Node) -> dict[Node, tuple[int, int, bool, bool, bool]]:
     return found
 
 
-def repeated_groups(root: Node, most: int = 5) -> list[tuple[str, int, float, float, float]]:
-    """(selector, items, mean text length, links per item, score) of alike siblings, three or more, best first.
-
-    Bare tags and generated classes weigh less.
-    """
-    found, size = [], measures(root)
-    for parent in [root, *root.elements()]:
-        groups = defaultdict(list)
-        for c in parent.children:
-            if isinstance(c, Node) and not c.hidden:
-                groups[selector(c)].append(size[c])
-        for (name, fragile), items in groups.items():
-            mean = sum(letters + max(n - 1, 0) for letters, n, *_ in items) / len(items)
-            if len(items) < LEAST_GROUP or mean < LEAST_TEXT:
-                continue
-            links = sum(m[4] for m in items) / len(items)
-            score = len(items) * min(mean, MOST_TEXT) * (0.5 + links) * (1 if "." in name or "[" in name else BARE) * (FRAGILE if fragile else 1)
-            found.append((name, len(items), round(mean, 6), round(links, 6), round(score, 6)))
-    return sorted(found, key=lambda g: (-g[4], g[0]))[:most]
-
-
 def embedded(root: Node) -> list[tuple[str, str]]:
     """(name, JSON) of the data that scripts hold: __NEXT_DATA__, and objects assigned to the known names; unreadable ones are skipped."""
     found = []
@@ -230,28 +190,54 @@ def _balanced(text: str, start: int) -> str:
     return ""
 
 
+def same_page(one: str, other: str) -> bool:
+    """Whether two addresses are one page: scheme, www., fragment, tracking and a last slash aside."""
+
+    def form(url: str) -> tuple:
+        u = urlsplit(url)
+        query = sorted(p for p in parse_qsl(u.query, keep_blank_values=True) if p[0].lower() not in TRACKING and not p[0].lower().startswith("utm_"))
+        return (u.hostname or "").removeprefix("www."), u.port, u.path.rstrip("/"), query
+
+    return form(one) == form(other)
+
+
 def next_page(root: Node, url: str) -> str | None:
-    """The following page: rel=next, else a link that says so, else the number after the current one."""
-    links = [e for e in root.find("a", "link") if e.attributes.get("href")]
-    for e in links:
-        if "next" in e.attributes.get("rel", "").lower().split():
-            return urljoin(url, e.attributes["href"])
-    for e in links:
-        label = (e.attributes.get("aria-label") or e.text()).strip().lower()
-        if e.tag == "a" and re.fullmatch(r"(?:next(?: page)?|older)\s*[›»→>]*|[›»→]", label):
-            return urljoin(url, e.attributes["href"])
-    now = re.search(r"[?&]page=(\d+)", url)
-    wanted = str(int(now[1]) + 1 if now else 2)
-    return next((urljoin(url, e.attributes["href"]) for e in links if e.tag == "a" and e.text().strip() == wanted and re.search(rf"page[=/]{wanted}\b", e.attributes["href"])), None)
+    """The page after this one in a list, never this one itself; null without.
+
+    A link marked as next leads there. Else, among the links that turn the list's pages, one that is called next or older
+    or ends in an arrow, or else the one numbered one past the current page, which is the first without a mark.
+    """
+
+    def led(e: Node | None) -> str | None:
+        to = urljoin(url, e.attributes["href"]) if e is not None else ""
+        return to if urlsplit(to).scheme in ("http", "https") and not same_page(to, url) else None
+
+    def within(tops: list[Node]) -> list[Node]:
+        return list(dict.fromkeys(e for top in tops for e in top.elements()))
+
+    named = lambda e: e.attributes.get("class", "").split()
+    line = lambda e: re.sub(r"\s+", " ", e.text()).strip()
+    marked = next((e for e in root.find("a", "link") if "href" in e.attributes and "next" in e.attributes.get("rel", "").lower().split()), None)
+    tag, classes, role = TURNING
+    turning = within([e for e in root.elements() if e.tag == tag or e.attributes.get("role") == role or set(classes) & set(named(e))])
+    labelled = [(line(e) or e.attributes.get("aria-label", "").strip(), e) for e in turning if e.tag == "a" and e.attributes.get("href")]
+    if to := led(marked):
+        return to
+    if following := next((e for label, e in labelled if re.fullmatch(NEXT, label)), None):
+        return led(following)
+    now = next((line(e) for e in turning if e.attributes.get("aria-current") == "page" or set(CURRENT) & set(named(e))), "")
+    number = str(int(now) + 1 if now.isdecimal() and int(now) else 2)
+    return led(next((e for label, e in labelled if label == number), None))
 
 
 def site_owner(root: Node) -> str | None:
-    """Who a site belongs to: its site name, else its first heading, else the start of its title; null if none is plausible."""
-    metas = [e.attributes.get("content", "") for e in root.find("meta") if e.attributes.get("property") == "og:site_name"]
-    lead = re.split(r"\s[|·–—-]\s", title(root) or "")[-1:]
-    for name in [*metas, *(e.text() for e in root.find("h1")[:1]), *lead]:
+    """Who a site belongs to: the site name that it declares, else its first heading, else the start of its title; null if none is plausible."""
+    said = [e.attributes.get("content", "") for key, name in (("property", "og:site_name"), ("name", "application-name")) for e in root.find("meta") if e.attributes.get(key) == name]
+    lead = re.split(r"\s+[|\-–—:]\s+", (title(root) or "").strip())[0]
+    declared = next((x for x in said if x.strip()), "")
+    for name in (declared, *(e.text() for e in root.find("h1")[:1]), lead):
         name = re.sub(r"\s+", " ", name).strip()
-        if 2 <= len(name) <= 60 and len(name.split()) <= 6 and name.lower() not in ("home", "careers", "jobs", "welcome", "index"):
+        if 2 <= len(name) <= 60 and len(name.split()) <= 6 and not re.fullmatch(GENERIC, name):
             return name
     return None
 
@@ -261,10 +247,6 @@ def _links(root: Node, url: str) -> list[str]:
     return [x for x in found if urlsplit(x).scheme in ("http", "https")]
 
 
-def _groups(root: Node, url: str) -> list[dict]:
-    return [dict(zip(("name", "items", "mean_text", "link_share", "score"), g)) for g in repeated_groups(root)]
-
-
 def canonical_link(root: Node, url: str) -> str | None:
     """The address that a page calls its own, if it is on the same host (www. aside)."""
     href = next((e.attributes.get("href") for e in root.find("link") if "canonical" in e.attributes.get("rel", "").lower().split()), None)
@@ -274,11 +256,10 @@ def canonical_link(root: Node, url: str) -> str | None:
 
 
 _S, _L = T.StringType(), T.ArrayType(T.StringType())
-_GROUP = T.StructType().add("name", "string").add("items", "integer").add("mean_text", "double").add("link_share", "double").add("score", "double")
 #: What a page can be asked for: how it is read from the parsed page and its address, and its type.
 FACETS = {
     "title": (lambda r, u: title(r), _S), "text": (lambda r, u: r.text(), _S), "headings": (lambda r, u: [e.text() for e in r.find("h1", "h2", "h3")], _L), "links": (_links, _L),
-    "groups": (_groups, T.ArrayType(_GROUP)), "json_ld": (lambda r, u: json_ld(r), _L), "embedded": (lambda r, u: [dict(zip(("name", "data"), x)) for x in embedded(r)], T.ArrayType(T.StructType().add("name", "string").add("data", "string"))),
+    "json_ld": (lambda r, u: json_ld(r), _L), "embedded": (lambda r, u: [dict(zip(("name", "data"), x)) for x in embedded(r)], T.ArrayType(T.StructType().add("name", "string").add("data", "string"))),
     "next_page": (next_page, _S), "owner": (lambda r, u: site_owner(r), _S), "canonical": (canonical_link, _S),
 }
 
@@ -304,61 +285,3 @@ def page_state(page: Column, url: Column) -> Column:
     """All facets of a page, and a hash of its text."""
     s = page_facets(*FACETS)(page, url)
     return s.withField("hash", F.sha2(s["text"], 256))
-
-
-def select(root: Node, selector: str) -> list[Node]:
-    """Elements for a path of simple selectors: tag, .class, #id, [attribute], [attribute=value], joined by spaces."""
-    found = [root]
-    for step in selector.split():
-        tests = re.findall(r"([.#]?[\w-]+)|\[([\w-]+)(?:=[\"']?([^\"'\]]*)[\"']?)?\]", step)
-        inner = []
-        for node in found:
-            inner += [e for e in node.elements() if all(_fits(e, *t) for t in tests) and e not in inner]
-        found = inner
-    return found
-
-
-def _fits(e: Node, name: str, attribute: str, value: str) -> bool:
-    if attribute:
-        return attribute in e.attributes and (not value or e.attributes[attribute] == value)
-    if name.startswith("."):
-        return name[1:] in e.attributes.get("class", "").split()
-    return e.attributes.get("id") == name[1:] if name.startswith("#") else e.tag == name
-
-
-def rows_of(root: Node, url: str | None, items: str, fields: dict[str, tuple[str, str | None]]) -> list[dict[str, str]]:
-    """A recipe's rows on a parsed page: elements by `items`, each field by (selector, attribute or None for text); links are made absolute."""
-    rows = []
-    for item in select(root, items):
-        row = {}
-        for name, (selector, attribute) in fields.items():
-            e = next(iter(select(item, selector)), None) if selector else item
-            value = None if e is None else e.attributes.get(attribute) if attribute else e.text()
-            if value and value.strip():
-                row[name] = urljoin(url or "", value.strip()) if attribute in ("href", "src") else value.strip()
-        rows.append(row)
-    return rows
-
-
-def replay(page: str | None, url: str | None, items: str, fields: dict[str, tuple[str, str | None]]) -> list[dict[str, str]]:
-    return rows_of(parse(page), url, items, fields)
-
-
-def recipe(items: str, fields: dict[str, tuple[str, str | None]]):
-    """A column function (page, url) -> array<map<string,string>> that replays the recipe."""
-
-    @F.pandas_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))
-    def run(page: pd.Series, url: pd.Series) -> pd.Series:
-        return pd.Series([replay(p, u, items, fields) for p, u in zip(page, url)])
-
-    return run
-
-
-def recipes(many: list[tuple[str, dict[str, tuple[str, str | None]]]]):
-    """A column function (page, url) -> the rows of each of several recipes, with the page parsed once."""
-
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.MapType(T.StringType(), T.StringType()))))
-    def run(page: pd.Series, url: pd.Series) -> pd.Series:
-        return pd.Series([[rows_of(root, u, *one) for one in many] for root, u in ((parse(p), u) for p, u in zip(page, url))])
-
-    return run

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from urllib.parse import urljoin
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 # Query parameters that only track a click, besides every utm_ one; hosts under several names; hosts of
 # four posting boards, by kind; document endings.
@@ -90,3 +93,19 @@ def document_kind(url: Column, content_type: Column | None = None) -> Column:
     kind = F.lower(content_type)
     by_type = F.when(kind.contains("pdf"), "pdf").when(kind.contains("spreadsheetml"), "xlsx").when(kind.contains("csv"), "csv").when(kind.contains("json"), "json")
     return F.coalesce(by_type, by_path)
+
+
+@F.pandas_udf(T.StringType())
+def _joined(base: pd.Series, link: pd.Series) -> pd.Series:
+    def one(b: str | None, x: str | None) -> str | None:
+        try:
+            return None if x is None else urljoin(b or "", x)
+        except ValueError:
+            return None
+
+    return pd.Series([one(b, x) for b, x in zip(base, link)], dtype=object)
+
+
+def absolute_url(base: Column, link: Column) -> Column:
+    """The address that a link on a page leads to; null for a null link or one that can't be read. Absolute links stay as they are."""
+    return F.when(link.rlike(r"^https?://[^/?#\[\]]+(?:[/?#]|$)"), link).otherwise(_joined(base, link))

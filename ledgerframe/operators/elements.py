@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ledgerframe.functions import dom
 from ledgerframe.functions.pages import shared
 from ledgerframe.functions.text import sequence_ratio
+from ledgerframe.session import materialise
 
 # How much tags count as content, what names an element that is none, weights of the content score and its
 # threshold, parts of a page that are never content.
@@ -16,34 +19,78 @@ NEGATIVE = r"(?i)^(?:nav|footer|header|sidebar|ads|comment|promo|advert|social|s
 TEXT_DENSITY, LINK_DENSITY, TAG, NAMED, LENGTH, LEAST_SCORE = 0.4, 0.2, 0.2, 0.1, 0.1, 0.48
 CHROME = ("nav", "footer", "aside", "form", "svg", "iframe")
 BLOCKS = ("address", "article", "blockquote", "dd", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "li", "main", "ol", "p", "pre", "section", "table", "tbody", "td", "th", "thead", "tr", "ul")
+# Items of a group and their text at least, text that counts, weights of bare tags and of fragile selectors.
+LEAST_GROUP, LEAST_TEXT, MOST_TEXT, BARE, FRAGILE = 3, 8, 200, 0.3, 0.8
 #: Attributes that say nothing about an element's kind.
 OWN = ("href", "src")
 
-ELEMENT = T.ArrayType(
-    T.StructType().add("i", "integer").add("parent", "integer").add("last", "integer").add("depth", "integer").add("tag", "string").add("chain", "string").add("selector", "string").add("fragile", "boolean")
+# Attributes that name an element for good, best first; class names that a selector can spell; forms of those
+# that tools generate, which change with every build.
+STABLE = ("data-ui", "data-testid", "data-test", "data-qa", "data-automation-id", "itemprop")
+PLAIN = r"(?U)^-?[_a-zA-Z][\w-]*$"
+GENERATED = (r"^(?:css|sc|jsx|emotion|svelte|tw)-[A-Za-z0-9]{3,}", r"--[A-Za-z0-9_-]{4,}$", r"__[A-Za-z0-9]{5}$", r"^[a-z]{1,3}[A-Z0-9][A-Za-z0-9]{4,}$")
+
+ELEMENT = (
+    T.StructType().add("i", "integer").add("parent", "integer").add("last", "integer").add("depth", "integer").add("tag", "string").add("chain", "string")
     .add("attributes", T.MapType(T.StringType(), T.StringType())).add("text", "string").add("letters", "integer").add("words", "integer").add("link", "boolean").add("chars", "integer").add("markup", "integer").add("linked", "integer")
-    .add("ancestors", T.ArrayType(T.IntegerType()))
+    .add("start", "integer").add("stop", "integer")
 )
+PARTS = T.StructType().add("text", "string").add("elements", T.ArrayType(ELEMENT))
+
+
+class _Text:
+    """A page's visible text as it is written: blocks on lines of their own, other white space collapsed."""
+
+    def __init__(self):
+        self.parts, self.length, self.gap = [], 0, ""
+
+    def write(self, piece: str) -> None:
+        words = piece.split()
+        self.space(piece and piece[0].isspace())
+        if words:
+            line = ("" if not self.length else self.gap) + " ".join(words)
+            self.parts.append(line)
+            self.length += len(line)
+            self.gap = ""
+        self.space(piece and piece[-1].isspace())
+
+    def space(self, wanted: bool) -> None:
+        self.gap = self.gap or (" " if wanted else "")
 
+    def line(self) -> None:
+        self.gap = "\n"
 
-def _rows(page: str | None) -> list[dict]:
-    """One entry for each visible element, in document order; `i` to `last` are the numbers of it and what lies below."""
+
+def _parts(page: str | None) -> dict:
+    """A page's text, and one entry for each visible element in document order.
+
+    `i` to `last` are the numbers of an element and of what lies below it; `start` to `stop` is its text's place in the
+    page's. Sizes grow with the page alone: no entry repeats what lies below it or above it, but for the text of inline elements.
+    """
     root = dom.parse(page)
-    size, number, ahead, out = dom.measures(root), {root: -1}, [(root, -1, [])], []
+    size, text, out = dom.measures(root), _Text(), []
+    ahead: list[tuple] = [("open", root, -1, -1)]
     while ahead:
-        node, parent, above = ahead.pop()
-        if node is not root:
-            if node.hidden:
-                continue
-            number[node] = i = len(out)
-            letters, words, *_, link = size[node]
-            own = " ".join("".join(c if isinstance(c, str) else " " if c.tag in BLOCKS else _inline(c) for c in node.children).split())
-            chain = "<".join(x.tag for x in (node, node.parent, node.parent.parent if node.parent else None) if x is not None and x.tag != "#root")
-            name, fragile = dom.selector(node)
-            out.append({"i": i, "parent": parent, "last": i, "depth": len(above), "tag": node.tag, "chain": chain, "selector": name, "fragile": fragile, "attributes": dict(node.attributes), "text": own, "letters": letters, "words": words, "link": link,
-                        "chars": sum(len(c.strip()) for c in node.children if isinstance(c, str)), "markup": 2 * len(node.tag) + 5 + sum(len(k) + len(v) + 4 for k, v in node.attributes.items()) + sum(len(c) for c in node.children if isinstance(c, str)), "linked": 0, "ancestors": above})
-            above, parent = [*above, i], i
-        ahead += [(c, parent, above) for c in reversed(node.children) if isinstance(c, dom.Node)]
+        what, node, parent, depth = ahead.pop()
+        if what == "text":
+            text.write(node)
+        elif what == "close":
+            out[parent]["stop"] = text.length
+            text.line() if node.tag in dom.BLOCK else None
+        elif node is root or not node.hidden:
+            i = parent
+            if node is not root:
+                i = len(out)
+                text.line() if node.tag in dom.BLOCK else None
+                letters, words, *_, link = size[node]
+                own = " ".join("".join(c if isinstance(c, str) else " " if c.tag in BLOCKS else _inline(c) for c in node.children).split())
+                chain = "<".join(x.tag for x in (node, node.parent, node.parent.parent if node.parent else None) if x is not None and x.tag != "#root")
+                out.append({"i": i, "parent": parent, "last": i, "depth": depth, "tag": node.tag, "chain": chain, "attributes": dict(node.attributes), "text": own, "letters": letters, "words": words, "link": link,
+                            "chars": sum(len(c.strip()) for c in node.children if isinstance(c, str)), "markup": 2 * len(node.tag) + 5 + sum(len(k) + len(v) + 4 for k, v in node.attributes.items()) + sum(len(c) for c in node.children if isinstance(c, str)), "linked": 0,
+                            "start": text.length, "stop": 0})
+                ahead.append(("close", node, i, depth))
+            ahead += [("text", c, i, depth) if isinstance(c, str) else ("open", c, i, depth + 1) for c in reversed(node.children)]
+    whole = "".join(text.parts)
     for e in reversed(out):  # sums, from the leaves up
         if e["tag"] == "a":
             e["linked"] = e["chars"]
@@ -52,7 +99,8 @@ def _rows(page: str | None) -> list[dict]:
             for k in ("chars", "markup", "linked"):
                 above[k] += e[k]
             above["last"] = max(above["last"], e["last"])
-    return out
+        e["start"] += e["start"] < e["stop"] and whole[e["start"]] in " \n"
+    return {"text": whole, "elements": out}
 
 
 def _inline(node: dom.Node) -> str:
@@ -62,14 +110,53 @@ def _inline(node: dom.Node) -> str:
     return f" {''.join(c if isinstance(c, str) else ' ' if c.tag in BLOCKS else _inline(c) for c in node.children)} "
 
 
-@F.pandas_udf(ELEMENT)
-def page_elements(page: pd.Series) -> pd.Series:
-    return pd.Series([_rows(p) for p in page])
+@F.pandas_udf(PARTS)
+def page_parts(page: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_parts(p) for p in page], columns=["text", "elements"])
+
+
+def parts(pages: DataFrame) -> DataFrame:
+    """Pages (page_id, html, other columns) with `text` and `elements` in place of html, written once for all that reads them."""
+    return materialise(pages.withColumn("_p", page_parts(F.col("html"))).select(*[c for c in pages.columns if c not in ("html", "text", "elements")], "_p.text", "_p.elements"), "page-parts")
+
+
+def generated(name: Column) -> Column:
+    """Whether a class name looks like a tool's."""
+    return reduce(lambda a, b: a | b, [name.rlike(form) for form in GENERATED])
+
+
+def classes_of(attributes: Column) -> Column:
+    """The class names that a selector can spell."""
+    return F.filter(F.split(F.coalesce(attributes["class"], F.lit("")), r"\s+"), lambda c: c.rlike(PLAIN))
+
+
+def selector_of(tag: Column, attributes: Column) -> Column:
+    """The steadiest selector of an element by itself, and whether it is fragile: the best ranked of what the element has."""
+    names = classes_of(attributes)
+    steady = F.filter(names, lambda c: ~generated(c))
+    quoted = lambda a: F.concat(tag, F.lit(f'[{a}="'), F.regexp_replace(attributes[a], r'(["\\])', r"\\$1"), F.lit('"]'))
+    named = lambda a: F.when(attributes[a] != "", quoted(a))
+    ranked = [*map(named, STABLE), F.when(F.size(steady) > 0, F.concat_ws(".", tag, F.slice(steady, 1, 2))), named("role")]
+    best = F.coalesce(*ranked)
+    return F.struct(F.coalesce(best, F.concat_ws(".", tag, F.get(names, F.lit(0)))).alias("selector"), (best.isNull() & (F.size(names) > 0)).alias("fragile"))
+
+
+def rows_of(found: DataFrame) -> DataFrame:
+    """One row for each element of `parts`, with its selector and whether that is fragile."""
+    rows = found.select("page_id", F.explode("elements").alias("e")).select("page_id", "e.*")
+    return rows.withColumn("_s", selector_of(F.col("tag"), F.col("attributes"))).select("*", "_s.selector", "_s.fragile").drop("_s")
 
 
 def elements(pages: DataFrame) -> DataFrame:
     """One row for each visible element of each page (page_id, html)."""
-    return pages.select("page_id", F.explode(page_elements(F.col("html"))).alias("e")).select("page_id", "e.*")
+    found = pages.select("page_id", page_parts(F.col("html"))["elements"].alias("elements"))
+    return rows_of(found)
+
+
+def inside(mark: Column) -> Column:
+    """Whether an element lies below one that is marked: intervals nest, so it does if one before it reaches up to it."""
+    before = W.partitionBy("page_id").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce(F.max(F.when(mark, F.col("last"))).over(before) >= F.col("i"), F.lit(False))
 
 
 def groups(rows: DataFrame, most: int = 5) -> DataFrame:
@@ -79,9 +166,9 @@ def groups(rows: DataFrame, most: int = 5) -> DataFrame:
     """
     length = F.col("letters") + F.greatest(F.col("words") - 1, F.lit(0))
     found = rows.groupBy("page_id", "parent", "selector", "fragile").agg(F.count("*").alias("items"), F.avg(length).alias("mean_text"), F.avg(F.col("link").cast("double")).alias("link_share"))
-    found = found.filter((F.col("items") >= dom.LEAST_GROUP) & (F.col("mean_text") >= dom.LEAST_TEXT))
+    found = found.filter((F.col("items") >= LEAST_GROUP) & (F.col("mean_text") >= LEAST_TEXT))
     bare = ~(F.contains("selector", F.lit(".")) | F.contains("selector", F.lit("[")))
-    score = F.col("items") * F.least("mean_text", F.lit(dom.MOST_TEXT)) * (0.5 + F.col("link_share")) * F.when(bare, dom.BARE).otherwise(1.0) * F.when(F.col("fragile"), dom.FRAGILE).otherwise(1.0)
+    score = F.col("items") * F.least("mean_text", F.lit(MOST_TEXT)) * (0.5 + F.col("link_share")) * F.when(bare, BARE).otherwise(1.0) * F.when(F.col("fragile"), FRAGILE).otherwise(1.0)
     ranked = found.withColumn("score", F.round(score, 6)).withColumn("place", F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("score"), "selector", "parent")))
     return ranked.filter(F.col("place") <= most).drop("fragile")
 
@@ -103,10 +190,9 @@ def content(rows: DataFrame, query: str, most: int = 20) -> DataFrame:
     named = F.size(F.filter(names, lambda n: n.rlike(NEGATIVE)))
     scored = rows.withColumn("score", content_score(F.col("tag"), F.col("chars"), F.col("markup"), F.col("linked"), named))
     judged = scored.withColumn("out", (F.col("score") < LEAST_SCORE) & ~F.col("tag").isin("html", "body") | F.col("tag").isin(*CHROME))
-    out = judged.filter("out").select("page_id", F.col("i").alias("_out"))
-    below = judged.filter(~F.col("out") & F.col("tag").isin(*BLOCKS) & (F.col("text") != "")).select("page_id", "i", "tag", "text", "score", F.explode_outer("ancestors").alias("_out"))
-    lost = below.join(out, ["page_id", "_out"], "left_semi").select("page_id", "i").distinct()
-    kept = below.drop("_out").dropDuplicates(["page_id", "i"]).join(lost, ["page_id", "i"], "left_anti").withColumn("relevance", shared(F.col("text"), query))
+    judged = judged.withColumn("lost", inside(F.col("out")))
+    kept = judged.filter(~F.col("out") & ~F.col("lost") & F.col("tag").isin(*BLOCKS) & (F.col("text") != ""))
+    kept = kept.select("page_id", "i", "tag", "text", "score").withColumn("relevance", shared(F.col("text"), query))
     ranked = kept.withColumn("place", F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("relevance"), F.desc("score"), "i")))
     return ranked.filter(F.col("place") <= most)
 
@@ -124,33 +210,3 @@ def alike(rows: DataFrame, targets: DataFrame, least: float = 0.2) -> DataFrame:
     each = pairs.filter((F.size("attributes") > 0) & (F.size("theirs") > 0)).select("page_id", "i", "other", F.size("theirs").alias("n"), "theirs", F.explode("attributes").alias("k", "v"))
     scored = each.groupBy("page_id", "i", "other", "n").agg(F.sum(sequence_ratio(F.col("v"), F.coalesce(F.col("theirs")[F.col("k")], F.lit("")))).alias("s"))
     return plain.union(scored.filter(F.floor(F.col("s") / F.col("n") * 100 + 0.5) / 100 >= least).select("page_id", "i", "other"))
-
-
-def group_selectors(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """For each group (page_id, group, i) the selector that fits it best: page_id, group, selector, f1.
-
-    Candidates are a member's own selector, and that below its parent's; the better by F1 wins, the simpler on ties.
-    """
-    up = rows.select("page_id", F.col("i").alias("parent"), F.col("selector").alias("above"))
-    named = rows.join(up, ["page_id", "parent"], "left").select("page_id", "i", F.explode(F.array_compact(F.array(F.struct(F.lit(0).alias("rank"), F.col("selector").alias("name")), F.when(F.col("above").isNotNull(), F.struct(F.lit(1).alias("rank"), F.concat_ws(" > ", "above", "selector").alias("name")))))).alias("s"))
-    named = named.select("page_id", "i", "s.rank", "s.name")
-    matched = named.groupBy("page_id", "name").agg(F.count("*").alias("matched"))
-    size = members.groupBy("page_id", "group").agg(F.count("*").alias("size"))
-    hits = members.join(named, ["page_id", "i"]).groupBy("page_id", "group", "rank", "name").agg(F.count("*").alias("hits"))
-    scored = hits.join(matched, ["page_id", "name"]).join(size, ["page_id", "group"]).withColumn("f1", F.round(2 * F.col("hits") / (F.col("matched") + F.col("size")), 6))
-    best = scored.groupBy("page_id", "group").agg(F.min(F.struct((-F.col("f1")).alias("f"), "rank", "name")).alias("x"))
-    return best.select("page_id", "group", F.col("x.name").alias("selector"), (-F.col("x.f")).alias("f1"))
-
-
-def quoted(rows: DataFrame, quotes: DataFrame) -> DataFrame:
-    """The innermost elements whose own text holds a quote (page_id, quote): page_id, quote, i."""
-    return rows.join(quotes, "page_id").filter(F.contains("text", F.col("quote")) & (F.trim("quote") != "")).select("page_id", "quote", "i")
-
-
-def relocated(old: DataFrame, new: DataFrame, least: float = 0.3) -> DataFrame:
-    """For each old item (page_id, item, pieces) the new item of the page that shares most of its distinct text pieces, `least` of them at least."""
-    a = old.select("page_id", "item", F.explode(F.array_distinct("pieces")).alias("piece"), F.size(F.array_distinct("pieces")).alias("n"))
-    b = new.select("page_id", F.col("item").alias("moved"), F.explode(F.array_distinct("pieces")).alias("piece"))
-    shared_pieces = a.join(b, ["page_id", "piece"]).groupBy("page_id", "item", "n", "moved").agg(F.count("*").alias("shared"))
-    best = shared_pieces.filter(F.col("shared") / F.col("n") >= least).groupBy("page_id", "item").agg(F.min(F.struct((-F.col("shared")).alias("s"), "moved")).alias("x"))
-    return best.select("page_id", "item", "x.moved", (-F.col("x.s")).alias("shared"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ledgerframe.functions import dom, header, parsers, text, url
-from ledgerframe.operators import criteria, discovery, recipes, reports, resolve, state
+from ledgerframe.operators import criteria, discovery, elements, recipes, reports, resolve, state
 from ledgerframe.plans import compiler
 from ledgerframe.sources import export
 from ledgerframe.streaming import events as streams
@@ -474,9 +474,11 @@ def snk07_export_methods(spark, d):
 
 @query()
 def l01_page_state(spark, d):
-    s = dom.page_facets("title", "text", "headings", "links", "groups", "next_page", "owner")(F.col("html"), F.col("url"))
+    s = dom.page_facets("title", "text", "headings", "links", "next_page", "owner")(F.col("html"), F.col("url"))
     rows = table(spark, d, "pages").select("page_id", s.alias("s"))
-    return rows.select("page_id", "s.title", F.length("s.text").alias("text_length"), F.size("s.headings").alias("n_headings"), F.size("s.links").alias("n_links"), "s.next_page", "s.owner", F.get("s.groups", F.lit(0))["name"].alias("best_group"))
+    best = elements.groups(elements.elements(table(spark, d, "pages")), 1).select("page_id", F.col("selector").alias("best_group"))
+    found = rows.select("page_id", "s.title", F.length("s.text").alias("text_length"), F.size("s.headings").alias("n_headings"), F.size("s.links").alias("n_links"), "s.next_page", "s.owner")
+    return found.join(best, "page_id", "left")
 
 
 @query()
@@ -484,13 +486,6 @@ def k23_html_text(spark, d):
     return table(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
-@query()
-def l05_recipe_replay(spark, d):
-    run = dom.recipe("nav li", {"title": ("a", None), "url": ("a", "href")})
-    rows = table(spark, d, "pages").select("page_id", F.posexplode(run(F.col("html"), F.col("url"))).alias("n", "item"))
-    return rows.select("page_id", "n", F.col("item")["title"].alias("title"), F.col("item")["url"].alias("url"))
-
-
 @query()
 def k60_verify_quote(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "text", F.upper(F.substring("text", 5, 40)).alias("quote"))
@@ -570,22 +565,6 @@ def k46_headers(spark, d):
 
 # Recipes and schema.org
 
-_NAV = ("nav li", {"title": ("a", None), "url": ("a", "href")})
-
-
-@query()
-def l06_recipe_acceptance(spark, d):
-    rows = recipes.replay(table(spark, d, "pages"), *_NAV)
-    out = recipes.accepted(recipes.fill(rows, ["title", "url"]), ["title", "url"], ["title"])
-    return out.select("page_id", "items", F.round("fill_title", 6).alias("fill_title"), F.round("fill_url", 6).alias("fill_url"), "accepted")
-
-
-@query()
-def l12_relaxed_recipe(spark, d):
-    wanted = [("nav", *_NAV), ("any link", "a", {"title": ("", None), "url": ("", "href")}), ("paragraphs", "article p", {"title": ("b", None), "url": ("a", "href")})]
-    return recipes.relaxed(table(spark, d, "pages"), wanted, ["title"])
-
-
 @query(r"""WITH k AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, lower(regexp_extract(url, '^https?://([^/?#]+)', 1))
              || repeat('/*', len(list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda s: s <> ''))) AS pattern FROM pages),
           r AS (SELECT host, pattern, page_id AS recipe_id, page_id % 10 AS version FROM k WHERE page_id % 3 > 0), b AS (SELECT *, row_number() OVER (PARTITION BY host, pattern ORDER BY version DESC, recipe_id DESC) AS n FROM r)

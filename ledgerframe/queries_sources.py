@@ -379,17 +379,6 @@ def l19_content(spark, d):
     return elements.content(rows, "the tion and ing").select("page_id", "i", "tag", F.round("score", 6).alias("score"), "relevance", "place")
 
 
-@query()
-def l10_group_selectors(spark, d):
-    """For the best group of each page the selector that fits its items best."""
-    from ledgerframe.session import materialise
-
-    rows = materialise(elements.elements(table(spark, d, "pages")).drop("attributes", "ancestors"), "elements")
-    best = elements.groups(rows, 1).select("page_id", "parent", "selector")
-    members = rows.join(best, ["page_id", "parent", "selector"]).select("page_id", F.col("parent").alias("group"), "i")
-    return elements.group_selectors(rows, members)
-
-
 @query()
 def k67_alike_elements(spark, d):
     """For the first item of each page's best group the elements that are like it."""

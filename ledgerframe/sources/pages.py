@@ -8,6 +8,7 @@ from ledgerframe.functions import dom, schema_org
 from ledgerframe.functions.evidence import from_text, Proof, normal_pay
 from ledgerframe.functions.parsers import arrangement, first_number
 from ledgerframe.functions.url import canonical_url
+from ledgerframe.operators import elements, recipes
 from ledgerframe.session import materialise
 
 #: Forms of columns: what a raw value becomes.
@@ -40,8 +41,10 @@ def list_items(chain: DataFrame, recipe: tuple[str, dict[str, tuple[str, str | N
     it. Where a recipe lacks the field `owner`, the page's site owner fills it.
     """
     items, fields = recipe
-    run = dom.recipe(items, fields)
-    rows = chain.select("start", "place", "url", dom.page_facets("owner")(F.col("html"), F.col("url"))["owner"].alias("_owner"), F.posexplode(run(F.col("html"), F.col("url"))).alias("n", "item"))
+    once = chain.groupBy("url").agg(F.first("html").alias("html")).withColumn("page_id", F.col("url"))  # a page can be in many lists
+    found = elements.parts(once.withColumn("_owner", dom.page_facets("owner")(F.col("html"), F.col("url"))["owner"]))
+    listed = recipes.replay_parts(found, items, fields).select("page_id", F.col("ord").alias("n"), F.map_filter(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))]), lambda _, v: v.isNotNull()).alias("item"))
+    rows = chain.select("start", "place", "url").join(found.select("page_id", "url", "_owner"), "url").join(listed, "page_id")
     once = rows.groupBy("start", F.to_json(F.map_entries("item")).alias("_same")).agg(F.min(F.struct("place", "n", "url", "_owner")).alias("at"), F.min_by("item", F.struct("place", "n")).alias("item"))
     value = lambda f: _dom_value(F.col("item")[f], kinds.get(f, "text"), F.col("at.url"))
     out = once.select("start", F.struct("at.place", "at.n").alias("ord"), *[value(f).alias(f) for f in fields], *([_dom_value(F.col("at._owner"), "text", F.col("at.url")).alias(owner)] if owner and owner not in fields else []))

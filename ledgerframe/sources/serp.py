@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerframe.functions import dom
 from ledgerframe.functions.url import host_of, parameter
+from ledgerframe.operators import elements, recipes
 from ledgerframe.operators.discovery import merge_hits
 
 # For each engine, in order of trust, the place of its results and of link, title and snippet in them.
@@ -32,11 +32,12 @@ def unwrap(link: Column) -> Column:
 def hits(pages: DataFrame, engine: str) -> DataFrame:
     """Hits of an engine's result pages (query_ord, html), in order: query_ord, hit_ord, url, title, description; ads are left out."""
     items, fields = ENGINES[engine]
-    run = dom.recipe(items, fields)
-    rows = pages.select("query_ord", F.posexplode(run(F.col("html"), F.lit("https://engine.invalid/"))).alias("hit_ord", "item"))
-    rows = rows.filter(~F.coalesce(F.contains(F.col("item")["ad"], F.lit(AD)), F.lit(False))) if "ad" in fields else rows
-    clean = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col("item")[c], F.lit("")), r"\s+", " "))
-    link = F.col("item")["link"]
+    numbered = pages.select("query_ord", F.monotonically_increasing_id().alias("page_id"), F.lit("https://engine.invalid/").alias("url"), "html")
+    found = elements.parts(numbered)
+    rows = recipes.replay_parts(found, items, fields).join(found.select("page_id", "query_ord"), "page_id").withColumnRenamed("ord", "hit_ord")
+    rows = rows.filter(~F.coalesce(F.contains("ad", F.lit(AD)), F.lit(False))) if "ad" in fields else rows
+    clean = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
+    link = F.col("link")
     found = rows.select("query_ord", "hit_ord", unwrap(link).alias("url"), clean("title").alias("title"), clean("description").alias("description"))
     return found.filter(F.col("url").isNotNull() & (F.coalesce(host_of(F.col("url")), F.lit("")) != "engine.invalid"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerframe.functions import dom
 from ledgerframe.operators import elements
+from tests.plain_pages import Page, own_selector, repeated_groups
 
 PAGE = """<html><body><nav><ul><li><a href="/a">Jobs here now</a></li><li><a href="/b">About us all</a></li><li><a href="/c">Contact them</a></li></ul></nav>
 <main class="content"><h1>Open roles of Acme</h1><div class="card wide"><h2><a href="/1">Data engineer</a></h2><p>Builds pipelines for data in Oslo</p></div>
@@ -33,8 +34,9 @@ def rows(pages):
     return elements.elements(pages).cache()
 
 
-def test_one_row_for_each_visible_element(rows, parsed):
+def test_one_row_for_each_visible_element(pages, rows, parsed):
     seen = defaultdict(dict)
+    texts = {r.page_id: r.text for r in elements.parts(pages).select("page_id", "text").collect()}
     for r in rows.collect():
         seen[r.page_id][r.i] = r
     for page_id, root in parsed.items():
@@ -49,18 +51,20 @@ def test_one_row_for_each_visible_element(rows, parsed):
         assert sorted(got) == list(range(len(nodes)))
         for i, node in enumerate(nodes):
             r, below = got[i], list(visible(node))
-            assert (r.tag, r.selector, r.last) == (node.tag, dom.selector(node)[0], i + len(below))
+            assert (r.tag, r.selector, r.last) == (node.tag, own_selector(node)[0], i + len(below))
             assert r.letters + max(r.words - 1, 0) == len(node.text())
-            assert r.depth == len(r.ancestors) and (r.parent == -1 or nodes[r.parent] is node.parent)
+            assert r.parent == -1 or nodes[r.parent] is node.parent
             assert r.linked <= r.chars <= r.markup
+            assert texts[page_id][r.start : r.stop] == node.text()
 
 
-def test_groups_equal_a_walk(rows, parsed):
+def test_groups_equal_a_walk(pages, rows, parsed):
     got = defaultdict(list)
     for g in elements.groups(rows).collect():
         got[g.page_id].append((g.selector, g["items"], round(g.mean_text, 6), round(g.link_share, 6), g.score))
-    for page_id, root in parsed.items():
-        want = dom.repeated_groups(root)
+    htmls = {r.page_id: r.html for r in pages.collect()}
+    for page_id in parsed:
+        want = repeated_groups(Page(htmls[page_id]))[:5]
         assert sorted(x[4] for x in got[page_id]) == pytest.approx(sorted(x[4] for x in want))
         assert len(set(x[4] for x in want)) < len(want) or sorted(got[page_id]) == sorted(want)
 
@@ -79,7 +83,11 @@ def test_content_equals_a_walk(rows):
 
         ok = {i: (r.tag in ("html", "body") or score(r) >= 0.48) and r.tag not in elements.CHROME for i, r in found.items()}
         for i, r in found.items():
-            if all(ok[a] for a in [*r.ancestors, i]) and r.tag in elements.BLOCKS and r.text:
+            above, a = [], i
+            while a >= 0:
+                above.append(a)
+                a = found[a].parent
+            if all(ok[a] for a in above) and r.tag in elements.BLOCKS and r.text:
                 want[page_id, i] = (round(score(r), 9), len({w for w in r.text.lower().replace(",", " ").replace(".", " ").split()} & {"data", "cook"}))
     assert set(got) == set(want)
     assert all(got[k].score == pytest.approx(want[k][0]) for k in want)
@@ -101,20 +109,3 @@ def test_alike_elements(rows, parsed):
             if like:
                 want.add(i)
     assert got == want and len(got) >= 2
-
-
-def test_selectors_fit_their_group(spark, rows):
-    cards = rows.filter("page_id = -1 and tag = 'div' and attributes['class'] like 'card%'")
-    best = elements.group_selectors(rows, cards.select("page_id", F.lit(1).alias("group"), "i")).first()
-    assert (best.selector, best.f1) == ("main.content > div.card", 0.8) or (best.selector, best.f1) == ("div.card", 0.8)
-    links = rows.filter("page_id = -1 and chain = 'a<h2<div'")
-    best = elements.group_selectors(rows, links.select("page_id", F.lit(1).alias("group"), "i")).first()
-    assert (best.selector, best.f1) == ("h2 > a", 1.0)
-    quotes = spark.createDataFrame([(-1, "Data scientist"), (-1, "nowhere"), (-1, " ")], "page_id long, quote string")
-    assert [(r.quote, r.i) for r in elements.quoted(rows, quotes).collect()] == [("Data scientist", rows.filter("page_id = -1 and text = 'Data scientist' and tag = 'a'").first().i), ("Data scientist", rows.filter("page_id = -1 and text = 'Data scientist' and tag = 'h2'").first().i)]
-
-
-def test_items_that_moved(spark):
-    old = spark.createDataFrame([(1, 1, ["a", "b", "c"]), (1, 2, ["x", "y", "z"]), (1, 3, ["q"])], "page_id long, item int, pieces array<string>")
-    new = spark.createDataFrame([(1, 7, ["b", "c", "n"]), (1, 8, ["x", "m"]), (1, 9, ["a"])], "page_id long, item int, pieces array<string>")
-    assert {(r["item"], r.moved, r.shared) for r in elements.relocated(old, new).collect()} == {(1, 7, 2), (2, 8, 1)}
