@@ -32,7 +32,7 @@ def header(line: Column) -> Column:
     place and arrangement is no header.
     """
     cut = F.filter(F.transform(F.split(line, r"\|"), lambda p: F.trim(F.replace(p, F.lit("*"), F.lit("")))), lambda p: p != "")
-    return let(F.when(F.size(cut) >= LEAST_PARTS, cut), lambda parts: let(F.transform(F.slice(parts, 2, 1_000), _seen), lambda seen: _chosen(parts, seen)))
+    return let(F.when(F.size(cut) >= LEAST_PARTS, cut), lambda parts: let(F.transform(F.slice(parts, F.lit(2), F.size(parts)), _seen), lambda seen: _chosen(parts, seen)))
 
 
 def _seen(p: Column, i: Column) -> Column:

@@ -119,7 +119,7 @@ def company_names(titles: DataFrame) -> DataFrame:
     """
     words = F.split(F.regexp_replace("slug", r"-\d+$", ""), "[-_]+")
     key = company_key(F.array_join(words, ""))
-    said = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000))), " ")
+    said = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
     parts = titles.select("slug", key.alias("key"), said.alias("said"), "ord", F.posexplode(F.split("title", r"\s+(?:[-–—|@]|at)\s+")).alias("i", "part")).withColumn("n", company_key(F.col("part")))
     fits = (F.col("n") == F.col("key")) | ((F.least(F.length("n"), F.length("key")) >= 3) & (F.startswith("n", "key") | F.endswith("n", F.col("key")) | F.startswith("key", F.col("n"))))
     rank = F.struct((-F.length("part")).alias("length"), "ord", "i", "part")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
+from urllib.parse import quote, unquote
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerframe.operators.criteria import field_confidence
 
@@ -112,3 +115,77 @@ def kept_drafts(valid: DataFrame, drafts: DataFrame, defaults: dict[str, Column]
 def new_refs(candidates: list[DataFrame], known: DataFrame) -> DataFrame:
     """Refs of all candidates that aren't known, each once."""
     return reduce(DataFrame.unionByName, [c.select("ref") for c in candidates]).distinct().join(known.select("ref"), "ref", "left_anti")
+
+
+class RunStore:
+    """Records and evidence of runs, written: Parquet tables by run and attempt under one folder, and a commit for each run.
+
+    A run is written as an attempt of its own; only when both tables are there does a commit name that attempt, as a small
+    file that appears by one rename. Readers follow the newest commit of each run, so they see all of an attempt or
+    nothing, also while a run is written again. A run that was killed leaves an attempt that no commit names; the run that
+    repeats it writes anew, and then takes away what the commits don't name. Writing an attempt again replaces it.
+    """
+
+    TABLES = ("records", "evidence")
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *parts]))
+
+    def _files(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def write_attempt(self, run: str, attempt: str, records: DataFrame, evidence: DataFrame) -> None:
+        """Write both tables of an attempt; no reader sees them before `commit`."""
+        for name, rows in zip(self.TABLES, (records, evidence)):
+            marked = rows.drop("run", "attempt").withColumn("run", F.lit(run)).withColumn("attempt", F.lit(attempt))
+            marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "attempt").parquet(f"{self.folder}/{name}")
+
+    def commit(self, run: str, attempt: str) -> None:
+        """Make an attempt the one that readers see of its run."""
+        files, place = self._files(), self._path("commits", f"of={quote(run, safe='')}")
+        files.mkdirs(place)
+        known = [int(f.getPath().getName().split(".")[0]) for f in files.listStatus(place) if f.getPath().getName().endswith(".json")]
+        draft, final = self._path("drafts", uuid.uuid4().hex), self._path("commits", f"of={quote(run, safe='')}", f"{max(known, default=0) + 1:09d}.json")
+        out = files.create(draft, True)
+        out.write(bytearray(json.dumps({"run": run, "attempt": attempt, "number": max(known, default=0) + 1}), "utf-8"))
+        out.close()
+        if not files.rename(draft, final):
+            raise RuntimeError(f"run {run} was committed by another writer meanwhile")
+
+    def clean(self, run: str, attempt: str) -> None:
+        """Delete what other attempts of the run have written."""
+        files = self._files()
+        for name in self.TABLES:
+            if not files.exists(self._path(name)):
+                continue
+            own = [f.getPath() for f in files.listStatus(self._path(name)) if unquote(f.getPath().getName()) == f"run={run}"]
+            for old in [f.getPath() for place in own for f in files.listStatus(place) if f.getPath().getName() != f"attempt={attempt}"]:
+                files.delete(old, True)
+
+    def write(self, run: str, records: DataFrame, evidence: DataFrame) -> None:
+        """Store a run: records, one a key, and their evidence. What the run had stored before is replaced as a whole."""
+        attempt = uuid.uuid4().hex
+        self.write_attempt(run, attempt, records, evidence)
+        self.commit(run, attempt)
+        self.clean(run, attempt)
+
+    def committed(self) -> DataFrame:
+        """The attempt that counts of each run: run, attempt; a row a run."""
+        schema = "run string, attempt string, number long"
+        if not self._files().exists(self._path("commits")):
+            return self.spark.createDataFrame([], "run string, attempt string")
+        commits = self.spark.read.schema(schema).option("recursiveFileLookup", "true").json(f"{self.folder}/commits")
+        return commits.groupBy("run").agg(F.max_by("attempt", "number").alias("attempt"))
+
+    def read(self, name: str, *runs: str) -> DataFrame:
+        """The committed rows of a table, of the runs named or of all, with the run's name; columns of all runs, null where one lacks them."""
+        chosen = self.committed()
+        chosen = chosen.filter(F.col("run").isin(*runs)) if runs else chosen
+        if not self._files().exists(self._path(name)):
+            return chosen.drop("attempt").limit(0)
+        rows = self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.folder}/{name}").parquet(f"{self.folder}/{name}")
+        kept = rows.withColumn("run", F.col("run").cast("string")).withColumn("attempt", F.col("attempt").cast("string"))
+        return kept.join(chosen, ["run", "attempt"], "left_semi").drop("attempt")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerframe.functions.url import canonical_url
 from ledgerframe.operators import criteria as c
 from ledgerframe.operators.resolve import clusters, keepers, record_key
+from ledgerframe.operators.store import RunStore, candidate_key, evidence_rows, stored
 from ledgerframe.session import materialise
 
 #: Steps in the order in which they run.
@@ -65,3 +66,15 @@ def run(contract: c.Contract, sources: list[DataFrame]) -> DataFrame:
     rows = rows.join(best, "id", "left")
     rows = rows.withColumn("lead_score", c.lead_score(F.col("status"), F.col("match_score"), F.col("confidence")))
     return rows.withColumn("lead_tier", c.lead_tier(F.col("lead_score")))
+
+
+def run_and_store(contract: c.Contract, sources: list[DataFrame], store: RunStore, name: str) -> DataFrame:
+    """`run`, and its last step: the records and their evidence are stored under the run's name; the stored records.
+
+    Of candidates that share a source and id the last one is stored. A run that comes again, after it was killed or with
+    other sources, leaves one copy of its records and none of its old evidence.
+    """
+    rows = run(contract, sources).withColumn("key", candidate_key(F.col("source"), F.col("id").cast("string")))
+    records = materialise(stored(rows, name, "key", "ord"), "run-records")
+    store.write(name, records, evidence_rows(records, list(normalize(contract).fields), ["key"]))
+    return store.read("records", name)

@@ -451,9 +451,9 @@ def _placed(top: DataFrame) -> DataFrame:
     return top.select("id", F.row_number().over(W.orderBy(rank, F.desc("confidence"), "created_at", "id")).alias("place"))
 
 
-@query("""SELECT c_custkey, c_name || ',' || c_mktsegment || ',' || CASE WHEN c_acctbal < 0 THEN chr(39) || c_acctbal::VARCHAR ELSE c_acctbal::VARCHAR END AS line FROM customer WHERE abs(c_acctbal) BETWEEN 0.001 AND 9999999""")
+@query("""SELECT c_custkey, c_name || ',' || c_mktsegment || ',' || CASE WHEN c_acctbal < 0 THEN chr(39) ELSE '' END || CAST(CAST(c_acctbal AS DECIMAL(15, 2)) AS VARCHAR) AS line FROM customer""")
 def snk03_csv_lines(spark, d):
-    rows = table(spark, d, "customer").filter("abs(c_acctbal) between 0.001 and 9999999")
+    rows = table(spark, d, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(15,2)"))
     return rows.select("c_custkey", export.csv_lines(rows, ["c_name", "c_mktsegment", "c_acctbal"]).alias("line"))
 
 

@@ -180,15 +180,16 @@ def prd22_literal_search(spark, d):
     return rows.select("doc_id").join(hit, "doc_id", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("found"))
 
 
-@query("""SELECT doc_id, replace(replace(substr(text, 1, 200), chr(8203), ''), chr(65279), '') AS clean FROM documents WHERE text IS NOT NULL AND nfc_normalize(text) = text AND NOT regexp_matches(text, '[^\\x00-\\xff]')""".replace("\\\\", "\\"))
+@query("""SELECT doc_id, replace(replace(nfc_normalize(text), chr(8203), ''), chr(65279), '') || CASE WHEN doc_id % 3 = 0 THEN ' fi 12 TM' ELSE '' END AS clean FROM documents""")
 def k20_normalize_chars(spark, d):
-    """Texts of Latin-1 letters, in which one Unicode form changes marks only; those marks are left out on both sides."""
-    rows = table(spark, d, "documents").filter(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\xff]"))
-    return rows.select("doc_id", text.normalize_chars(F.substring("text", 1, 200)).alias("clean"))
+    """Whole texts, some with signs that have a plain form: ligatures, wide digits, trade marks, marks that can't be seen."""
+    odd = F.when(F.col("doc_id") % 3 == 0, "\u200b \ufb01\u200b \uff11\uff12\ufeff \u2122").otherwise("")
+    return table(spark, d, "documents").select("doc_id", text.normalize_chars(F.concat("text", odd)).alias("clean"))
 
 
-@query("""SELECT doc_id, text AS decoded FROM documents WHERE text IS NOT NULL AND NOT contains(text, '&')""")
+@query("""SELECT doc_id, text AS decoded FROM documents""")
 def k25_decode_entities(spark, d):
-    rows = table(spark, d, "documents").filter(F.col("text").isNotNull() & ~F.contains("text", F.lit("&")))
-    coded = F.replace(F.replace(F.replace("text", F.lit("<"), F.lit("&lt;")), F.lit("é"), F.lit("&eacute;")), F.lit("'"), F.lit("&#39;"))
-    return rows.select("doc_id", text.decode_entities(coded).alias("decoded"))
+    coded = F.col("text")
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), ("é", "&eacute;"), ("'", "&#39;")):
+        coded = F.replace(coded, F.lit(sign), F.lit(entity))
+    return table(spark, d, "documents").select("doc_id", text.decode_entities(coded).alias("decoded"))

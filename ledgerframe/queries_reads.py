@@ -292,3 +292,24 @@ def ded02_key_forms(spark, d):
     place = F.when(F.col("c_nationkey") % 3 == 0, "Fully remote").otherwise(F.concat(F.lit("City "), F.col("c_nationkey").cast("string"), F.lit(", Region; Elsewhere")))
     rows = table(spark, d, "customer").withColumn("place", place)
     return rows.select(F.col("c_custkey").alias("id"), resolve.record_key(("c_mktsegment", "place"), (), {"place": location_bucket}).alias("key"))
+
+
+_KEPT = "SELECT CAST(o_custkey AS VARCHAR) AS key, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_orderpriority, o_orderkey) AS priority, max(o_orderkey) AS ord FROM orders"
+
+
+@query(f"""WITH a AS (SELECT 'all' AS run, * FROM ({_KEPT} GROUP BY o_custkey)), f AS (SELECT 'finished/1996' AS run, * FROM ({_KEPT} WHERE o_orderstatus = 'F' GROUP BY o_custkey)), r AS (SELECT * FROM a UNION ALL SELECT * FROM f)
+          SELECT run, key, status, priority, ord, CASE WHEN run = 'all' THEN 2 ELSE 1 END AS n_values FROM r""")
+def snk01_written_store(spark, d):
+    """Two runs as readers find them: one was stored before with other rows, then killed while it was written again, and stored at last."""
+    from ledgerframe.session import scratch
+
+    o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_orderkey").alias("ord"), F.lit("API").alias("method"), F.lit(True).alias("verified"))
+    written = store.RunStore(spark, scratch(spark, "run-store"))
+    proof = lambda rows, fields: store.evidence_rows(rows, fields, ["key"])
+    old, every, some = store.stored(o.filter("ord % 3 = 0"), "all"), store.stored(o, "all"), store.stored(o.filter("status = 'F'"), "finished/1996")
+    written.write("all", old, proof(old, ["status"]))
+    written.write_attempt("all", "killed", old.limit(5), proof(old.limit(5), ["priority"]))
+    written.write("finished/1996", some, proof(some, ["status"]))
+    written.write("all", every, proof(every, ["status", "priority"]))
+    values = written.read("evidence").groupBy("run", "key").agg(F.count("*").cast("int").alias("n_values"))
+    return written.read("records").join(values, ["run", "key"]).select("run", "key", "status", "priority", "ord", "n_values")

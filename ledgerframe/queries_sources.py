@@ -303,17 +303,24 @@ def stp05_enrich(spark, d):
 
 # Quotes, page checks, words
 
-@query(r"""SELECT doc_id, len(list_filter(regexp_extract_all(lower(w), '[\p{L}\p{N}]+'), lambda x: NOT list_contains(regexp_extract_all(lower(q), '[\p{L}\p{N}]+'), x))) = 0 AS stated
-          FROM (SELECT doc_id, substr(text, 1, 30) AS w, substr(text, 10, 200) AS q FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(substr(text, 1, 210), '\d,\d'))""")
+_NUMBERS = r"regexp_replace(regexp_replace(lower({}), '(\d),(\d)', '\1\2', 'g'), '(\d),(\d)', '\1\2', 'g')"
+
+
+@query(rf"""SELECT doc_id, list_has_all(list_distinct(regexp_extract_all({_NUMBERS.format('q')}, '[\p{{L}}\p{{N}}]+')), list_distinct(regexp_extract_all({_NUMBERS.format('w')}, '[\p{{L}}\p{{N}}]+'))) AS stated
+          FROM (SELECT doc_id, text || ' 1,250,000' AS w, CASE WHEN doc_id % 2 = 0 THEN text || ' 1250000 in all' ELSE substr(text, 2) || ' 1,250,00' END AS q FROM documents WHERE text IS NOT NULL)""")
 def k61_quote_supports(spark, d):
-    rows = table(spark, d, "documents").filter(F.col("text").isNotNull() & ~F.substring("text", 1, 210).rlike(r"\d,\d"))
-    return rows.select("doc_id", evidence.quote_supports(F.substring("text", 1, 30), F.substring("text", 10, 200)).alias("stated"))
+    """Whole texts as values; every other quote lacks their first letter and says another number."""
+    rows = table(spark, d, "documents").filter("text is not null")
+    quote = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" 1250000 in all"))).otherwise(F.concat(F.substring("text", F.lit(2), F.length("text")), F.lit(" 1,250,00")))
+    return rows.select("doc_id", evidence.quote_supports(F.concat("text", F.lit(" 1,250,000")), quote).alias("stated"))
 
 
-@query(r"""SELECT page_id, CASE WHEN n < 500 THEN 'little text' WHEN n < 2000 AND regexp_matches(html, '(?i)<div[^>]+id=["''](?:root|app|__next|__nuxt|svelte)["''][^>]*>\s*</div>|enable javascript|javascript is required|requires javascript') THEN 'shell' END AS reason
-          FROM (SELECT page_id, html, length(html) AS n FROM pages WHERE html IS NOT NULL)""")
+@query()
 def prd24_needs_render(spark, d):
-    return table(spark, d, "pages").filter("html is not null").select("page_id", page_checks.needs_render(F.col("html"), F.length("html")).alias("reason"))
+    """By the length of each page's visible text."""
+    from ledgerframe.functions.text import html_to_text
+
+    return table(spark, d, "pages").filter("html is not null").select("page_id", page_checks.needs_render(F.col("html"), F.length(html_to_text(F.col("html")))).alias("reason"))
 
 
 @query("""SELECT page_id, contains(html, 'collectConsent?sessionId=') OR (page_id % 4 = 0 AND (contains(html, '_cf_chl_opt') OR contains(html, 'captcha-delivery.com') OR page_id % 8 = 0)) AS challenge FROM pages WHERE html IS NOT NULL""")
