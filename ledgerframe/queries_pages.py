@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerframe.functions import dom
-from ledgerframe.operators import elements, paths, recipes, seeds
+from ledgerframe.operators import elements, fitting, paths, recipes, relocation, seeds
 from ledgerframe.queries import query, table
 from ledgerframe.session import materialise
 
@@ -50,16 +50,12 @@ def l10_group_selectors(spark, d):
 
 @query()
 def l09_seeded_recipes(spark, d):
-    """For each page a recipe from one record of it: the text and link of the second item of its best group."""
+    """For each page a recipe from one record of it: text and link of the second entry of its navigation."""
     pages = table(spark, d, "pages").select("page_id", "url", "html")
-    rows = materialise(elements.elements(pages), "elements")
-    best = elements.groups(rows, 1).select("page_id", "parent", "selector")
-    members = rows.join(best, ["page_id", "parent", "selector"]).select("page_id", "i", "last")
-    second = members.groupBy("page_id").agg(F.get(F.sort_array(F.collect_list(F.struct("i", "last"))), F.lit(1)).alias("e")).select("page_id", "e.i", "e.last")  # siblings of one parent
-    below = second.join(rows.select("page_id", F.col("i").alias("k"), "text", "attributes"), "page_id").filter((F.col("k") >= F.col("i")) & (F.col("k") <= F.col("last")))
-    first = below.groupBy("page_id").agg(F.min_by("text", F.when(F.trim("text") != "", F.col("k"))).alias("title"), F.min_by(F.col("attributes")["href"], F.when(F.col("attributes")["href"].isNotNull(), F.col("k"))).alias("url"))
-    quotes = first.select("page_id", F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("quote"), F.lit(False).alias("link")), F.struct(F.lit("url").alias("field"), F.col("url").alias("quote"), F.lit(True).alias("link")))).alias("q"))
-    out = seeds.recipes_from_examples(pages, materialise(quotes.select("page_id", "q.*").filter("quote is not null"), "quotes"), ["title", "url"])
+    record = recipes.replay(pages, *_NAV).filter("ord = 1")
+    said = [F.struct(F.lit(f).alias("field"), F.col(f).alias("quote"), F.lit(f == "url").alias("link")) for f in ("title", "url")]
+    quotes = record.select("page_id", F.explode(F.array(*said)).alias("q")).select("page_id", "q.*").filter("quote is not null")
+    out = seeds.recipes_from_examples(pages, materialise(quotes, "quotes"), ["title", "url"])
     return out.select("page_id", "items", "f1", "size", F.col("fields")["title"].alias("title"), F.col("fields")["url"].alias("url"))
 
 
@@ -67,3 +63,18 @@ def l09_seeded_recipes(spark, d):
 def l16_next_pages(spark, d):
     s = dom.page_facets("next_page", "owner")(F.col("html"), F.col("url"))
     return table(spark, d, "pages").select("page_id", s.alias("s")).select("page_id", "s.next_page", "s.owner")
+
+
+@query()
+def l13_relocated_recipe(spark, d):
+    """Every page and the same page rebuilt, its navigation as a list of other tags and names: where the recipe's entries are there."""
+    pages = table(spark, d, "pages").select("page_id", "url", "html")
+    rebuilt = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<nav><ul>", '<div class="menu"><h4>Menu</h4>'), "</ul></nav>", "</div>"))
+    rebuilt = rebuilt.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<li><a ", '<section class="entry"><i>o</i><a class="go" '), "</a></li>", "</a></section>"))
+    out = relocation.relocated(pages, rebuilt, *_NAV)
+    return out.select("page_id", "items", "f1", "shared", F.col("fields")["title"].alias("title"), F.col("fields")["url"].alias("url"))
+
+
+@query()
+def l19_fitted_text(spark, d):
+    return fitting.fit_text(table(spark, d, "pages"), "the tion and ing", 2_000)
