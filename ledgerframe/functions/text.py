@@ -145,3 +145,18 @@ def _locate(quote: str | None, text: str | None) -> tuple[int, int] | None:
     if len(wanted) < 2 or (at := whole.find(wanted)) < 0:
         return None
     return places[at], places[at + len(wanted) - 1] + 1
+
+
+def located_phrases(text: Column, phrases: tuple[str, ...]) -> Column:
+    """Where phrases stand in a text, whatever their case: an array of (start, k, stop), by start from 0; k is the phrase's number.
+
+    Each phrase counts where it stands first. Of places that overlap the one that starts first is kept, of equal starts
+    the phrase of the smaller number; blank phrases and those that the text lacks have no place. Null has none.
+    """
+    lower = F.lower(text)
+    wanted = [(k, p.strip().lower()) for k, p in enumerate(phrases) if p.strip()]
+    place = lambda k, p: F.struct((F.locate(p, lower) - 1).alias("start"), F.lit(k).alias("k"), (F.locate(p, lower) - 1 + len(p)).alias("stop"))
+    kind = "array<struct<start: int, k: int, stop: int>>"
+    spans = F.array_sort(F.filter(F.array(*[place(k, p) for k, p in wanted]).cast(kind), lambda s: s["start"] >= 0))
+    free = lambda kept, s: F.coalesce(F.try_element_at(kept, F.lit(-1))["stop"] <= s["start"], F.lit(True))
+    return F.coalesce(F.aggregate(spans, F.array().cast(kind), lambda kept, s: F.when(free(kept, s), F.array_append(kept, s)).otherwise(kept)), F.array().cast(kind))

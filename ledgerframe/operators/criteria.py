@@ -49,6 +49,14 @@ def keyword_pattern(words: tuple[str, ...]) -> str | None:
     return rf"(?i)(?:^|[^a-z0-9])(?:{'|'.join(clean)})" if clean else None
 
 
+def first_keyword(text: Column, words: tuple[str, ...]) -> Column:
+    """The first of the words that a text has at a word's start, as the text writes it; null without one."""
+    pattern = keyword_pattern(words)
+    if pattern is None:
+        return F.lit(None).cast("string")
+    return F.nullif(F.regexp_replace(F.regexp_extract(text, pattern, 0), "(?i)^[^a-z0-9]", ""), F.lit(""))
+
+
 def safe_pattern(pattern: str) -> bool:
     """Short, at most one unbounded repeat, no repeated group that repeats or alternates inside, and readable."""
     if len(pattern) > 200 or len(re.findall(r"(?<!\\)[*+]|\{\d+,\}", pattern)) > 1 or re.search(r"\([^)]*[*+|][^)]*\)[*+{]", pattern):

@@ -36,15 +36,25 @@ def boards_from_hits(hits: DataFrame, seen: DataFrame, most: int) -> DataFrame:
     return found.join(seen, ["kind", "slug"], "left_anti").orderBy("at").limit(most).select("kind", "slug", "hits")
 
 
-def select_sources(registry: DataFrame, companies: DataFrame, tags: list[str], excluded: DataFrame) -> DataFrame:
-    """Registry rows (name, slug, tags): those of named companies if any match, else those that share a tag, else all; never excluded ones."""
+def select_sources(registry: DataFrame, companies: DataFrame, tags: list[str], excluded: DataFrame, linked: bool = False) -> DataFrame:
+    """Registry rows (name, slug, tags): those of named companies if any match, else none if the request links pages, else those that share a tag if tags are asked for, else all; never excluded ones.
+
+    A company is named by its name or slug, in the form for comparing, or by a slug that spells the name with or without
+    its legal form.
+    """
     key = normalize_text(F.col("name"))
-    rows = registry.withColumn("_key", key).join(excluded.select(normalize_text(F.col("name")).alias("_key")), "_key", "left_anti")
-    named = rows.join(companies.select(normalize_text(F.col("name")).alias("_key")).distinct(), "_key", "left_semi").withColumn("_rank", F.lit(0))
-    tagged = rows.filter(F.arrays_overlap("tags", F.array(*map(F.lit, tags)))).withColumn("_rank", F.lit(1)) if tags else rows.limit(0).withColumn("_rank", F.lit(1))
-    every = named.unionByName(tagged).unionByName(rows.withColumn("_rank", F.lit(2)))
+    rows = registry.withColumn("_key", key).join(excluded.select(normalize_text(F.col("name")).alias("_key")), "_key", "left_anti").drop("_key")
+    form = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("form"))
+    slug = F.coalesce(F.col("slug").cast("string"), F.lit(""))
+    known = rows.select("name", "slug", F.explode(F.array(form("text", key), form("text", normalize_text(slug)), form("slug", slug))).alias("f"))
+    asked = companies.select(F.explode(F.concat(F.array(form("text", key)), F.transform(name_slugs(F.col("name")), lambda s: form("slug", s)))).alias("f")).filter("f.form <> ''").distinct()
+    matched = known.join(asked, "f", "left_semi").select(F.col("name").alias("_name"), F.col("slug").alias("_slug")).distinct()
+    named = rows.join(matched, F.col("name").eqNullSafe(F.col("_name")) & F.col("slug").eqNullSafe(F.col("_slug")), "left_semi").withColumn("_rank", F.lit(0))
+    others = rows.limit(0) if linked else rows
+    tagged = others.filter(F.arrays_overlap("tags", F.array(*map(F.lit, tags)))).withColumn("_rank", F.lit(1)) if tags else others.limit(0).withColumn("_rank", F.lit(1))
+    every = named.unionByName(tagged).unionByName(others.withColumn("_rank", F.lit(2)).limit(0) if tags else others.withColumn("_rank", F.lit(2)))
     best = every.agg(F.min("_rank").alias("_best"))
-    return every.join(F.broadcast(best), F.col("_rank") == F.col("_best")).drop("_key", "_rank", "_best")  # one row
+    return every.join(F.broadcast(best), F.col("_rank") == F.col("_best")).drop("_rank", "_best")  # one row
 
 
 def fresh_queries(wanted: DataFrame, tried: DataFrame, most: int = 3) -> DataFrame:
@@ -111,20 +121,28 @@ def slug_variants(name: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(name_slugs(name), F.array(F.coalesce(core, F.lit("")))), lambda s: F.length(s) >= 2))
 
 
+# What parts a posting's title, what a cut title ends with, the number that a taken slug ends with.
+TITLE_PARTS, CUT_OFF, SLUG_NUMBER = r"\s+(?:[-–—|@]|at)\s+", r"\s*(?:\.\.\.|…)$", r"-\d+$"
+#: Letters that a name and a slug must have in common.
+LEAST_COMMON = 3
+
+
 def company_names(titles: DataFrame) -> DataFrame:
     """(slug, name) of boards from their postings' titles (slug, ord, title): the longest title part that fits the slug.
 
-    A part fits if its letters equal the slug's, or one starts or ends with the other's, three letters at least. Without a
-    fitting part the name is the slug in words.
+    A part fits if its letters equal the slug's, or start alike down to the end of the shorter one, or end with the slug's,
+    with LEAST_COMMON letters in common. Without a fitting part the name is the slug in words.
     """
-    words = F.split(F.regexp_replace("slug", r"-\d+$", ""), "[-_]+")
-    key = company_key(F.array_join(words, ""))
-    said = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
-    parts = titles.select("slug", key.alias("key"), said.alias("said"), "ord", F.posexplode(F.split("title", r"\s+(?:[-–—|@]|at)\s+")).alias("i", "part")).withColumn("n", company_key(F.col("part")))
-    fits = (F.col("n") == F.col("key")) | ((F.least(F.length("n"), F.length("key")) >= 3) & (F.startswith("n", "key") | F.endswith("n", F.col("key")) | F.startswith("key", F.col("n"))))
-    rank = F.struct((-F.length("part")).alias("length"), "ord", "i", "part")
-    best = parts.groupBy("slug").agg(F.min(F.when(fits, rank)).alias("best"), F.first("said").alias("said"))
-    return best.select("slug", F.coalesce(F.trim(F.regexp_replace("best.part", r"\s*(?:\.\.\.|…)$", "")), "said").alias("name"))
+    own = F.regexp_replace("slug", SLUG_NUMBER, "")
+    spelled = F.array_join(F.transform(F.filter(F.split(own, "[-_]"), lambda w: w != ""), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.length(w)))), " ")
+    slugs = titles.select("slug", company_key(own).alias("key"), spelled.alias("spelled"), "ord", F.posexplode(F.split("title", TITLE_PARTS)).alias("place", "part"))
+    letters = slugs.withColumn("letters", company_key(F.col("part"))).withColumn("common", F.least(F.length("letters"), F.length("key")))
+    starts = F.left("letters", F.col("common")) == F.left("key", F.col("common"))
+    ends = (F.length("letters") >= F.length("key")) & (F.right("letters", F.length("key")) == F.col("key"))
+    fits = ((F.col("common") >= LEAST_COMMON) & (starts | ends)) | (F.col("letters") == F.col("key"))
+    named = F.struct(F.length("part").alias("n"), (-F.col("ord")).alias("ord"), (-F.col("place")).alias("place"), "part")
+    best = letters.groupBy("slug", "spelled").agg(F.max(F.when(fits, named)).alias("best"))
+    return best.select("slug", F.coalesce(F.trim(F.regexp_replace("best.part", CUT_OFF, "")), "spelled").alias("name"))
 
 
 def capped_hits(hits: DataFrame, robots: DataFrame, lists: int = 8, records: int = 10) -> DataFrame:
