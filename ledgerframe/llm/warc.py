@@ -125,9 +125,11 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     return materialise(exact.mapInPandas(one, INDEX), "warc-index")
 
 
-def read(index: DataFrame, folder: str) -> DataFrame:
+def read(index: DataFrame, folder: str, payload: bool = True) -> DataFrame:
     """The records of the index's rows: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
 
+    Without `payload` the payloads are read and measured, but stay in the workers.
+
     Rows are sorted by file and offset; ranges that touch, or nearly, are read with one request.
     """
 
@@ -155,21 +157,22 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                     name, handle = file, files.open_input_file(f"{path}/{file}")
                 data = handle.read_at(end - start, start)
                 found = [parse(data[a - start : a - start + n]) for a, n in parts]
-                yield pd.DataFrame({
+                frame = pd.DataFrame({
                     "page_id": pd.array([f["id"] for f in found], dtype="Int64"), "url": [f["url"] for f in found], "payload": [f["payload"] for f in found], "payload_bytes": [f["size"] for f in found],
                     "payload_digest": [f["digest"] for f in found], "record_type": [f["type"] for f in found], "refers_to": pd.array([f["refers"] for f in found], dtype="Int64"),
                 })
+                yield frame if payload else frame.drop(columns="payload")
         if handle:
             handle.close()
 
     rows = index.select("file", "offset", "length")
     tasks = max(8, -(-(rows.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
     spread = rows.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
-    return spread.mapInPandas(one, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return spread.mapInPandas(one, f"page_id long, url string, {'payload binary, ' if payload else ''}payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write archives of all pages and read every record back.
+def archive(pages: DataFrame, folder: str | None = None, payload: bool = True) -> DataFrame:
+    """Write archives of all pages and read every record back, its payload too or only what it measures.
 
     One row per input row. Null html is an empty payload, always a response; a null URL is written as an empty one.
     Of equal payloads of REVISIT_BYTES at least, the row with the smallest page_id is the response, and one of them
@@ -177,4 +180,4 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     is the response and the others are revisits with a null refers_to. No rows write no file.
     """
     folder = folder or scratch(pages.sparkSession, "warc")
-    return read(write(pages, folder), folder)
+    return read(write(pages, folder), folder, payload)
