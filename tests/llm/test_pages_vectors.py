@@ -148,30 +148,105 @@ def test_trees_prune_at_every_scale(spark, monkeypatch):
 
 
 def test_pipeline_stages(spark):
-    """Each stage works on all that its predecessor kept, and its decisions take effect."""
+    """Each stage against a plain version on all that its predecessor kept."""
+    import hashlib
+    import re
+
     import corpus_pipeline
 
-    from ledgerframe.llm import dedup, mixing, neardup, quality
+    from ledgerframe.llm import packing
+    from ledgerframe.llm.tokens import Encoder, default_tokenizer
+    from tests.llm.test_documents import classes
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    columns = docs.columns
+    columns, wanted = docs.columns, {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
         out = materialise(stage(spark, docs, d), "test-stage")
-        before, after = Counter(r.doc_id for r in docs.collect()), Counter(r.doc_id for r in out.collect())
-        if name == "quality":
-            want = {g.doc_id for g in quality.classify(docs, spark.read.parquet(f"{d}/labels.parquet")).filter("predicted = 1").collect()}
-            assert set(after) == want
+        after = Counter(r.doc_id for r in out.collect())
+        if name == "quality":  # by the labels themselves
+            known = [i for i, *_ in rows if i in wanted]
+            assert len(known) > 50 and sum((i in after) == (wanted[i] == 1) for i in known) >= 0.95 * len(known)  # few labels to learn from in this table
+            assert all(after[i] == 1 for i in after)
         elif name == "exact":
-            assert set(after) == {g.doc_id for g in dedup.exact_dedup(docs).filter("kept").collect()}
+            best = {}
+            for i, t, _ in rows:
+                best[t or ""] = max(best.get(t or "", i), i)
+            assert after == Counter(best.values())
         elif name == "near":
-            assert set(after) == {g.doc_id for g in neardup.near_duplicates(docs).filter("kept").collect()}
+            of = dict(zip([r[0] for r in rows], classes(rows)))
+            assert after == Counter(set(of.values()))
         else:
-            assert after == Counter({g.doc_id: g.copies for g in mixing.mix(docs).filter("copies > 0").collect()})
-        assert out.columns == columns and set(after) <= set(before)
+            size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
+            per = Counter()
+            for i, _, source in rows:
+                per[source] += size[i]
+            order = sorted(per, key=lambda k: (k is None, k or ""))
+            weight, capped = {k: (5, 2, 1)[i % 3] for i, k in enumerate(order)}, set()
+            while True:
+                level = (sum(per.values()) - sum(3 * per[k] for k in capped)) / max(1, sum(weight[k] for k in order if k not in capped))
+                more = {k for k in order if k not in capped and level * weight[k] > 3 * per[k]}
+                if not more:
+                    break
+                capped |= more
+            want = Counter()
+            for k in order:
+                target = 3 * per[k] if k in capped else level * weight[k]
+                whole, upto = int(target // per[k]) if per[k] else 0, 0
+                budget, met = target - whole * per[k], False
+                key = lambda r: hashlib.md5(f"{r[0]}:{hashlib.md5((r[1] or '').encode()).hexdigest()}".encode()).hexdigest()[:12]
+                for r in sorted((r for r in rows if r[2] == k), key=key):
+                    n = size[r[0]]
+                    more = budget > 0 and not met and (upto + n <= budget or upto + n - budget < budget - upto)
+                    met = met or upto + n > budget
+                    upto += n
+                    want[r[0]] += whole + more
+            assert after == +want
+        assert out.columns == columns
         docs = out
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, d)
-    assert Counter(r.doc_id for r in packed.filter("piece = 0").collect()) == Counter(r.doc_id for r in docs.collect())
+    rows, coder = docs.collect(), Encoder(default_tokenizer())
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, d).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.doc_id] += len(coder.tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1
+    got, filled = Counter(), Counter()
+    for p in packed:
+        got[p.doc_id] += p.length
+        filled[p.sequence_id] += p.length
+    assert got == sizes and max(filled.values()) <= 4096
+    assert all(sorted((p.offset, p.length) for p in packed if p.sequence_id == s)[0][0] == 0 for s in list(filled)[:20])
+    bins = []  # first fit of the longest first
+    for n in sorted((p.length for p in packed), reverse=True):
+        at = next((k for k, b in enumerate(bins) if b + n <= 4096), None)
+        if at is None:
+            bins.append(n)
+        else:
+            bins[at] += n
+    assert -(-sum(filled.values()) // 4096) <= len(filled) <= len(bins) and packing
+
+
+def test_shards_of_small_graphs_cut_as_little_as_any(spark):
+    """All assignments of a few linked nodes, hubs that share nodes too, against what propagation finds."""
+    from itertools import product
+
+    from ledgerframe.llm import sharding
+
+    def cut(hubs, of):
+        return sum(of[a] != of[b] for h in hubs for i, a in enumerate(h) for b in h[:i])
+
+    found = best = 0
+    for hubs in ([[1, 2, 3], [4, 5, 6]], [[1, 2], [3, 4], [5, 6], [7, 8]], [[1, 2, 3], [3, 4], [5, 6, 7, 8]], [[1, 2, 3, 4], [4, 5, 6], [6, 7, 8]]):
+        nodes, shards = sorted({n for h in hubs for n in h}), 2
+        rows = len(nodes) * 3 // 2  # a third of all rows has no link and gives way
+        least = min(cut(hubs, dict(zip(nodes, a))) for a in product(range(shards), repeat=len(nodes)) if max(map(a.count, range(shards))) <= rows // shards)
+        members = spark.createDataFrame([(n, k) for k, h in enumerate(hubs) for n in h], "node long, hub long")
+        start = spark.createDataFrame([(n, n % shards) for n in nodes], "node long, shard int")
+        got = {r.node: r.shard for r in sharding.propagate(members, start, shards, rows).collect()}
+        assert sorted(got) == nodes and max(Counter(got.values()).values()) <= rows // shards
+        assert cut(hubs, got) <= cut(hubs, {n: n % shards for n in nodes})
+        found, best = found + cut(hubs, got), best + least
+    assert best <= found <= best + 6  # propagation is a heuristic; it never leaves the start's cut behind
 
 
 CLASHES = ("_id", "_digest", "_keep_id", "_source", "_copies", "_copy", "_stats", "_score", "_part", "row", "key", "hash", "identity", "digest", "label", "node", "copies", "words", "n", "size")
