@@ -44,8 +44,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, none where it takes none.
 
-    A null source is a source of its own. Rows of one source and doc_id are taken equally often, rows without doc_id too.
-    Null and empty texts count no words and are taken as often as their source is as a whole. Texts of any length are
+    A null source is a source of its own. Of rows that repeat id and text, those without doc_id too, as many are taken as
+    come nearest to the target. Null and empty texts count no words and are taken as often as their source is as a whole,
+    or once more. Texts of any length are
     counted whole. Other columns are kept as they are. No rows give no rows.
     """
     return mixed(docs)
