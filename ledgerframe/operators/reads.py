@@ -51,7 +51,7 @@ def filtered(records: DataFrame, wanted: Filters, data: list[str]) -> DataFrame:
 
 def page_of(records: DataFrame, offset: int, most: int, order: list[Column] | None = None) -> DataFrame:
     """Rows `offset` to `offset + most` in order (lead order if not given), each with the count of all as `total`."""
-    return records.orderBy(*(order or lead_order())).offset(offset).limit(most).withColumn("total", F.lit(records.count()))
+    return records.orderBy(*(order or lead_order())).offset(offset).limit(most).withColumn("total", records.agg(F.count("*")).scalar())
 
 
 def with_proof(records: DataFrame, evidence: DataFrame, pages: DataFrame, key: str = "id") -> DataFrame:

@@ -66,7 +66,7 @@ def enrich(rows: DataFrame, fields: list[str], pages: DataFrame, most_pages: int
     first = filled(rows, fields, [("REGEX", pay_rung(F.col("text")))])
     lacks = reduce(lambda a, b: a | b, [F.coalesce(F.trim(F.col(f).cast("string")), F.lit("")) == "" for f in fields])
     asked = allowed(first, lacks & F.startswith(F.col("url"), F.lit("http")), F.lit(0), most_pages)
-    wanted = pages.join(asked.filter("may_ask").select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.first("html").alias("html"))
+    wanted = pages.join(asked.filter("may_ask").select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.min("html").alias("html"))
     read = wanted.select("url", dom.page_facets("json_ld", "text")(F.col("html"), F.col("url")).alias("_page"))
     posting = F.get(schema_org.of_type(F.col("_page.json_ld"), "JobPosting"), F.lit(0))
     met = asked.withColumnRenamed("filled", "_before").join(read, "url", "left").withColumn("_page", F.when(F.col("may_ask"), F.col("_page")))
