@@ -89,6 +89,58 @@ def src04_ashby_board(spark, d):
     return out.select("external_id", "title", F.col("url").alias("company"), "location", "currency", "salary_low", "salary_high", "arrangement")
 
 
+def _board(spark, d, value, schema):
+    """Orders with their customers as lines of JSON, read back as boards."""
+    from ledgerframe.session import scratch
+
+    path = scratch(spark, "boards")
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o.select(F.to_json(value).alias("value")).write.text(path)
+    return spark.read.schema(schema).json(path)
+
+
+@query("""SELECT o_orderkey::VARCHAR AS external_id, o_orderpriority AS title, CASE WHEN o_orderkey % 4 = 0 THEN 'ACME' ELSE c_name END AS company, c_mktsegment || '; Oslo' AS location, strftime(o_orderdate, '%Y-%m-%d') AS posted,
+                 CASE o_orderkey % 3 WHEN 0 THEN 'remote' WHEN 1 THEN 'hybrid' END AS arrangement, 'Pays ' || o_orderpriority || ' & more' AS description FROM orders JOIN customer ON c_custkey = o_custkey""")
+def src03_greenhouse_board(spark, d):
+    """Places in one text, the arrangement among other metadata, the description as HTML that is escaped once more."""
+    stated = F.array(F.struct(F.lit("Team").alias("name"), F.lit("Remote").alias("value")), F.struct(F.lit("Workplace Type").alias("name"), F.when(F.col("o_orderkey") % 3 == 0, "Remote").when(F.col("o_orderkey") % 3 == 1, "Hybrid").alias("value")))
+    posting = F.struct(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.lit("https://a.example/j").alias("absolute_url"), F.when(F.col("o_orderkey") % 4 != 0, F.col("c_name")).alias("company_name"),
+        F.struct(F.concat("c_mktsegment", F.lit(" ; Oslo | "), F.lower("c_mktsegment")).alias("name")).alias("location"), stated.alias("metadata"), F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("first_published"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated_at"), F.concat(F.lit("&lt;p&gt;Pays &lt;b&gt;"), "o_orderpriority", F.lit("&lt;/b&gt; &amp;amp; more&lt;/p&gt;")).alias("content"),
+    )
+    out = boards.greenhouse_rows(_board(spark, d, F.struct(F.array(posting).alias("jobs")), boards.GREENHOUSE), "ACME")
+    return out.select("external_id", "title", "company", "location", "posted", "arrangement", "description")
+
+
+@query("""SELECT o_orderkey::VARCHAR AS external_id, o_orderpriority AS title, CASE WHEN o_orderkey % 2 = 0 THEN c_mktsegment || '; Oslo' ELSE c_mktsegment END AS location, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') AS posted,
+                 CASE WHEN o_orderkey % 3 = 0 THEN 'onsite' END AS arrangement, round(o_totalprice, 2) AS salary_low, round(o_totalprice, 2) AS salary_high, c_name || chr(10) || chr(10) || 'What' || chr(10) || ' builds ' || chr(10) || chr(10) || 'Apply' AS description
+          FROM orders JOIN customer ON c_custkey = o_custkey""")
+def src05_lever_board(spark, d):
+    """All places where there are any, else the one; text, lists and what follows as one description; a single bound of pay is both."""
+    posting = F.struct(
+        F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("text"), F.lit("https://a.example/j").alias("hostedUrl"),
+        F.struct(F.col("c_mktsegment").alias("location"), F.when(F.col("o_orderkey") % 2 == 0, F.array("c_mktsegment", F.lit("Oslo"), F.lit("OSLO"))).otherwise(F.array().cast("array<string>")).alias("allLocations"), F.lit("Full-time").alias("commitment")).alias("categories"),
+        F.when(F.col("o_orderkey") % 3 == 0, "on-site").otherwise("unspecified").alias("workplaceType"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("createdAt"), F.col("c_name").alias("descriptionPlain"),
+        F.array(F.struct(F.lit("What").alias("text"), F.lit("<li>builds</li>").alias("content"))).alias("lists"), F.lit("Apply").alias("additionalPlain"),
+        F.struct(F.when(F.col("o_orderkey") % 5 > 0, F.round("o_totalprice", 2)).alias("min"), F.when(F.col("o_orderkey") % 5 < 3, F.round("o_totalprice", 2)).alias("max"), F.lit("USD").alias("currency")).alias("salaryRange"),
+    )
+    out = boards.lever_rows(_board(spark, d, posting, boards.LEVER), "ACME")
+    return out.select("external_id", "title", "location", "posted", "arrangement", "salary_low", "salary_high", "description")
+
+
+@query("""SELECT o_orderkey::VARCHAR AS external_id, o_orderpriority AS title, c_name AS company, CASE WHEN o_orderkey % 2 = 0 THEN c_mktsegment || ', Norway' ELSE 'Norway' END AS location, strftime(o_orderdate, '%Y-%m-%d') AS posted,
+                 CASE WHEN o_orderkey % 3 = 0 THEN 'remote' END AS arrangement, 'Full-time' AS employment FROM orders JOIN customer ON c_custkey = o_custkey""")
+def src06_workable_board(spark, d):
+    """City, state and country as one place, blank ones left out; telecommuting is remote."""
+    posting = F.struct(
+        F.col("o_orderkey").cast("string").alias("shortcode"), F.col("o_orderpriority").alias("title"), F.lit("full_time").alias("employment_type"), (F.col("o_orderkey") % 3 == 0).alias("telecommuting"), F.lit("https://a.example/j").alias("url"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("published_on"), F.lit("Norway").alias("country"), F.when(F.col("o_orderkey") % 2 == 0, F.col("c_mktsegment")).otherwise("").alias("city"), F.lit(None).cast("string").alias("state"),
+    )
+    out = boards.workable_rows(_board(spark, d, F.struct(F.col("c_name").alias("name"), F.array(posting).alias("jobs")), boards.WORKABLE), "ACME")
+    return out.select("external_id", "title", "company", "location", "posted", "arrangement", "employment")
+
+
 @query("""SELECT o_custkey AS company, count(*) AS n FROM orders GROUP BY 1""")
 def k53_count_postings(spark, d):
     lists = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("company")).agg(F.collect_list(F.struct("o_orderkey")).alias("jobs"))  # a board's postings

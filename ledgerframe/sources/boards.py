@@ -26,7 +26,12 @@ def _rows(df: DataFrame, company: Column, source: str, values: dict[str, Column]
 
 
 def greenhouse(spark: SparkSession, path: str, company: str) -> DataFrame:
-    df = spark.read.schema(GREENHOUSE).json(path, multiLine=True).select(F.posexplode("jobs").alias("ord", "j"))
+    return greenhouse_rows(spark.read.schema(GREENHOUSE).json(path, multiLine=True), company)
+
+
+def greenhouse_rows(board: DataFrame, company: str) -> DataFrame:
+    """Rows of boards that are read already, one board a row."""
+    df = board.select(F.posexplode("jobs").alias("ord", "j"))
     places = join_locations(F.split(F.col("j.location.name"), r"\s*[;|]\s*"))
     stated = F.get(F.filter("j.metadata", lambda m: F.lower(m["name"]).rlike("location type|workplace|remote")), F.lit(0))["value"]
     text = html_to_text(decode_entities(F.col("j.content")))
@@ -46,7 +51,12 @@ def ashby_rows(board: DataFrame, company: str) -> DataFrame:
 
 
 def lever(spark: SparkSession, path: str, company: str) -> DataFrame:
-    df = spark.read.schema(LEVER).json(path, multiLine=True).select(F.struct("*").alias("j")).withColumn("ord", F.monotonically_increasing_id())
+    return lever_rows(spark.read.schema(LEVER).json(path, multiLine=True), company)
+
+
+def lever_rows(postings: DataFrame, company: str) -> DataFrame:
+    """Rows of postings that are read already; this kind of board is a list of them."""
+    df = postings.select(F.struct("*").alias("j")).withColumn("ord", F.monotonically_increasing_id())
     places = join_locations(F.coalesce(F.when(F.size("j.categories.allLocations") > 0, F.col("j.categories.allLocations")), F.array("j.categories.location")))
     parts = F.concat_ws("\n\n", "j.descriptionPlain", F.transform("j.lists", lambda part: F.concat_ws("\n", part["text"], F.regexp_replace(part["content"], "<[^>]+>", " "))), "j.additionalPlain")
     posted = F.date_format(F.timestamp_millis("j.createdAt"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
@@ -55,7 +65,12 @@ def lever(spark: SparkSession, path: str, company: str) -> DataFrame:
 
 
 def workable(spark: SparkSession, path: str, company: str) -> DataFrame:
-    df = spark.read.schema(WORKABLE).json(path, multiLine=True).select("name", F.posexplode("jobs").alias("ord", "j"))
+    return workable_rows(spark.read.schema(WORKABLE).json(path, multiLine=True), company)
+
+
+def workable_rows(board: DataFrame, company: str) -> DataFrame:
+    """Rows of boards that are read already, one board a row."""
+    df = board.select("name", F.posexplode("jobs").alias("ord", "j"))
     place = F.concat_ws(", ", *[F.nullif(F.col(f"j.{c}"), F.lit("")) for c in ("city", "state", "country")])
     return _rows(df, F.coalesce("name", F.lit(company)), "workable", {"title": F.col("j.title"), "location": F.when(place != "", place), "url": F.col("j.url"), "arrangement": F.when(F.col("j.telecommuting"), "remote").otherwise(arrangement(F.concat_ws(" ", "j.title", place))), "employment": employment_type(F.col("j.employment_type")), "posted": F.col("j.published_on")}, F.col("j.shortcode"))
 

@@ -162,12 +162,20 @@ def scan(path: str, data: bytes, most: int | None = None) -> tuple:
     return path, kind, verdict, flags, [] if verdict == "rejected" else [{"name": n, "headers": h, "rows": r} for n, h, r in tables]
 
 
+def _scanned(path: str, data: bytes, most: int | None) -> tuple:
+    """A file that no reader can make sense of is a rejected one, and doesn't end the job that reads others."""
+    try:
+        return scan(path, data, most)
+    except Exception:  # whatever a damaged file makes a parser throw
+        return path, "other", "rejected", ["unreadable"], []
+
+
 def read(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """`scan` of each file at the path."""
+    """`scan` of each file at the path; one that can't be read is a row that says so."""
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([scan(p, bytes(c), most) for p, c in zip(batch["path"], batch["content"])], columns=["path", "kind", "verdict", "flags", "tables"])
+            yield pd.DataFrame([_scanned(p, bytes(c), most) for p, c in zip(batch["path"], batch["content"])], columns=["path", "kind", "verdict", "flags", "tables"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(one, SCHEMA)
 
