@@ -193,3 +193,32 @@ def k25_decode_entities(spark, d):
     for sign, entity in (("&", "&amp;"), ("<", "&lt;"), ("é", "&eacute;"), ("'", "&#39;")):
         coded = F.replace(coded, F.lit(sign), F.lit(entity))
     return table(spark, d, "documents").select("doc_id", text.decode_entities(coded).alias("decoded"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 1000 * (o_orderkey % 900) WHEN 1 THEN CAST(epoch_ms(o_orderdate) - epoch_ms(TIMESTAMP '1994-01-01') AS BIGINT) * CAST(o_orderdate > TIMESTAMP '1994-01-01' AS BIGINT) WHEN 2 THEN 0 END AS wait FROM orders""")
+def k54_retry_after(spark, d):
+    """Seconds, dates before and after now, a negative number and words."""
+    key, day = F.col("o_orderkey"), F.date_format(F.date_trunc("second", F.col("o_orderdate").cast("timestamp")), "EEE, d MMM yyyy HH:mm:ss 'GMT'")
+    said = F.when(key % 4 == 0, (key % 900).cast("string")).when(key % 4 == 1, day).when(key % 4 == 2, "-5").otherwise("soon")
+    return table(spark, d, "orders").select("o_orderkey", parsers.retry_after(said, F.lit("1994-01-01").cast("timestamp")).alias("wait"))
+
+
+@query("""SELECT p_partkey, p_name AS title, p_name AS from_name, CASE WHEN p_partkey % 3 < 2 THEN p_name || '.pdf' END AS stated FROM part""")
+def k52_file_titles(spark, d):
+    """Titles with the marks of search engines, names of files, and names in headers: quoted, coded and missing ones."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    title = F.when(key % 4 == 0, F.concat(F.lit("[PDF] "), name)).when(key % 4 == 1, F.concat(name, F.lit(" (pdf)"))).when(key % 4 == 2, F.concat(name, F.lit(" - PDF"))).otherwise(F.concat(name, F.lit(".PDF")))
+    file = F.concat(F.replace(name, F.lit(" "), F.lit("_")), F.lit(".pdf"))
+    coded = F.concat(F.lit("inline; filename*=UTF-8''"), F.replace(name, F.lit(" "), F.lit("%20")), F.lit(".pdf"))
+    header = F.when(key % 3 == 0, F.concat(F.lit('attachment; filename="'), name, F.lit('.pdf"'))).when(key % 3 == 1, coded).otherwise("inline")
+    return table(spark, d, "part").select("p_partkey", parsers.file_title(title).alias("title"), parsers.name_title(file).alias("from_name"), parsers.disposition_name(header).alias("stated"))
+
+
+@query("""SELECT c_custkey, array_to_string(list_filter(['name:' || c_name, CASE WHEN c_acctbal > 0 THEN 'balance:yes' END, CASE WHEN c_nationkey % 2 = 0 THEN 'segment:' || c_mktsegment END], lambda x: x IS NOT NULL), ';') AS fields FROM customer""")
+def k63_compact_fields(spark, d):
+    """Fields that a customer has; absent ones are no part of the map."""
+    from ledgerframe.functions.evidence import compact
+
+    kept = compact({"name": F.col("c_name"), "balance": F.when(F.col("c_acctbal") > 0, "yes"), "segment": F.when(F.col("c_nationkey") % 2 == 0, F.col("c_mktsegment"))})
+    said = F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat_ws(":", e["key"], e["value"])), ";")
+    return table(spark, d, "customer").select("c_custkey", said.alias("fields"))
