@@ -17,6 +17,8 @@ from ledgerframe.session import materialise
 
 #: Numbers of equal-cardinality groups to try for large lengths; those above this share of the capacity are large.
 GROUPS, LARGE = (8, 16, 28), 1 / 4
+#: Steps of the search for the best configurations, at most.
+STEPS = 20_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
@@ -43,7 +45,8 @@ def optimum(shapes: list[tuple[int, ...]], count: list[int]) -> np.ndarray:
     """How often each shape is used where shapes hold `count` pieces of each group in the fewest sequences; fractions allowed.
 
     Revised simplex from one piece a sequence (so (i,) must be a shape for every group i); at most one shape a group
-    is used. The counts are moved a little, each otherwise, so that every step gains and the search ends.
+    is used. The counts are moved a little, each otherwise, so that every step gains and the search ends; after
+    STEPS steps it ends in any case, with what is best so far, as every step leaves a whole solution.
     """
     groups, width = len(count), max(map(len, shapes))
     slots = np.array([(*s, *[groups] * (width - len(s))) for s in shapes])
@@ -54,7 +57,7 @@ def optimum(shapes: list[tuple[int, ...]], count: list[int]) -> np.ndarray:
     single = {s[0]: k for k, s in enumerate(shapes) if len(s) == 1}
     basis = np.array([single[i] for i in range(groups)])
     moved = np.array(count) + np.random.default_rng(0).uniform(1e-5, 1e-4, groups)
-    while True:
+    for _ in range(STEPS):
         matrix = columns[:, basis]
         gain = np.append(np.linalg.solve(matrix.T, np.ones(groups)), 0)[slots].sum(axis=1)
         enter = int(gain.argmax())

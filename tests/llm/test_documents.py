@@ -473,6 +473,17 @@ def test_configurations_are_optimised(counts, fewest):
         assert packing.Plan(counts, 4096, groups).sequences <= fewest + 2
 
 
+def test_a_search_cut_short_leaves_a_whole_solution(monkeypatch):
+    shapes = [s for k in (1, 2, 3) for s in [(0,) * k, (1,) * k, (0,) * (k - 1) + (1,)] if 1 <= len(s)]
+    shapes = list(dict.fromkeys(shapes))
+    for steps in (0, 1, 2, 50):
+        monkeypatch.setattr(packing, "STEPS", steps)
+        times = packing.optimum(shapes, [300, 150])
+        held = [sum(t * s.count(i) for t, s in zip(times, shapes)) for i in (0, 1)]
+        assert held == pytest.approx([300, 150]) and (times >= 0).all()
+    assert times.sum() == pytest.approx(150)
+
+
 def test_no_plan_is_worse_than_best_fit():
     rng = np.random.default_rng(3)
     for few in (3, 12, 60, 800):
