@@ -45,33 +45,58 @@ class SuffixAutomaton:
     """Generalised suffix automaton of several word sequences.
 
     Each state stands for the word strings that end at the same places of the templates; `link` leads to the longest
-    suffix that ends at more places. `places` has every (template, end) of a state's strings.
+    suffix that ends at more places. A state's places are its own and those of all states whose links lead to it: they
+    stand side by side in one list, in the order of a walk down the links, so the list is as long as the templates.
     """
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.places = [-1], [0], [set()]
+        self.link, self.length = [-1], [0]
+        own: dict[int, set[tuple[int, int]]] = {}
         for t, sequence in enumerate(sequences):
             last = 0
             for i, word in enumerate(sequence):
                 last = self._extend(last, word)
-                self.places[last].add((t, i))
-        for v in sorted(range(1, len(self.next)), key=lambda v: -self.length[v]):
-            self.places[self.link[v]] |= self.places[v]
+                own.setdefault(last, set()).add((t, i))
+        self.whole = []
+        for sequence in sequences:
+            v = 0
+            for word in sequence:
+                v = self.next[v][word]
+            self.whole.append(v)
+        below: list[list[int]] = [[] for _ in self.next]
+        for v, above in enumerate(self.link[1:], 1):
+            below[above].append(v)
+        self._ends: list[tuple[int, int]] = []
+        self._first, self._last, ahead = [0] * len(self.next), [0] * len(self.next), [(0, False)]
+        while ahead:
+            v, done = ahead.pop()
+            if done:
+                self._last[v] = len(self._ends)
+                continue
+            self._first[v] = len(self._ends)
+            self._ends += sorted(own.get(v, ()))
+            ahead.append((v, True))
+            ahead += [(w, False) for w in below[v]]
+
+    def places(self, v: int) -> list[tuple[int, int]]:
+        """Every (template, end) of a state's strings."""
+        return self._ends[self._first[v] : self._last[v]]
 
     def suffixes(self, wanted: dict[int, int]) -> list[list[int]]:
         """For each state: the templates of `wanted` (template: words) that are, as a whole, a suffix of its longest string."""
         found: list[list[int]] = [[] for _ in self.next]
+        at: dict[int, list[int]] = {}
+        for t in wanted:
+            at.setdefault(self.whole[t], []).append(t)
         for v in sorted(range(1, len(self.next)), key=lambda v: self.length[v]):
-            whole = [t for t, size in wanted.items() if self.length[v] == size and (t, size - 1) in self.places[v]]
-            found[v] = whole + found[self.link[v]]
+            found[v] = at.get(v, []) + found[self.link[v]]
         return found
 
     def _state(self, length: int, following: dict[int, int], link: int) -> int:
         self.next.append(following)
         self.length.append(length)
         self.link.append(link)
-        self.places.append(set())
         return len(self.next) - 1
 
     def _split(self, p: int, word: int, q: int) -> int:
@@ -121,10 +146,8 @@ class Scanner:
         self.sizes, self.phrases = [len(x) for x in ids], len(phrases)
         self.automaton = SuffixAutomaton(ids)
         self.whole = self.automaton.suffixes({t: self.sizes[t] for t in range(self.phrases)})
-        known = len(self.vocabulary)
-        self.pairs = np.zeros((known + 1, known + 1), dtype=bool)  # the last row and column: words of no template
-        for x in ids:
-            self.pairs[x[:-1], x[1:]] = True
+        self.wide = len(self.vocabulary) + 1  # the last number: words of no template
+        self.pairs = np.unique([a * self.wide + b for x in ids for a, b in zip(x, x[1:])]).astype(np.int64)
         self.single = {x[0]: t for t, x in enumerate(ids[: self.phrases]) if len(x) == 1}
 
     def scan(self, hashes: np.ndarray) -> tuple[list[tuple[int, str]], list[Span]]:
@@ -132,7 +155,11 @@ class Scanner:
         at = np.searchsorted(self.vocabulary, hashes)
         at[at == len(self.vocabulary)] = 0
         ids = np.where(self.vocabulary[at] == hashes, at, len(self.vocabulary))
-        joined = self.pairs[ids[:-1], ids[1:]] if len(ids) > 1 else np.zeros(0, dtype=bool)
+        joined = np.zeros(max(len(ids) - 1, 0), dtype=bool)
+        known = ids < self.wide - 1
+        if len(both := np.flatnonzero(known[:-1] & known[1:])) and len(self.pairs):
+            pair = ids[both] * self.wide + ids[both + 1]
+            joined[both] = self.pairs[np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)] == pair
         edge = np.flatnonzero(np.diff(np.concatenate([[False], joined, [False]]).astype(np.int8)))
         found, seeds = [], []
         # A string of two words or more lies within a stretch of pairs that templates have.
@@ -141,7 +168,7 @@ class Scanner:
             for k, (v, n) in enumerate(steps):
                 found += [(start + k - self.sizes[t] + 1, self.labels[t]) for t in self.whole[v] if n >= self.sizes[t] > 1]
                 if n >= SEED and (k + 1 == len(steps) or steps[k + 1][1] != n + 1):
-                    seeds += [(start + k - n + 1, place - n + 1, n, t) for t, place in self.automaton.places[v] if t >= self.phrases]
+                    seeds += [(start + k - n + 1, place - n + 1, n, t) for t, place in self.automaton.places(v) if t >= self.phrases]
         for word, t in self.single.items():
             found += [(k, self.labels[t]) for k in np.flatnonzero(ids == word).tolist()]
         spans = []

@@ -333,7 +333,7 @@ def test_matching_statistics_and_notices():
     subs = {tuple(t[i:j]) for t in templates for i in range(30) for j in range(i + 1, 31)}
     for end, (state, n) in enumerate(automaton.statistics(text)):
         assert n == max((k for k in range(0, 31) if k == 0 or tuple(text[end + 1 - k : end + 1]) in subs and k <= end + 1), default=0)
-        assert automaton.places[state] >= {(t, i) for t, x in enumerate(templates) for i in range(n - 1, 30) if n and x[i + 1 - n : i + 1] == text[end + 1 - n : end + 1]}
+        assert set(automaton.places(state)) >= {(t, i) for t, x in enumerate(templates) for i in range(n - 1, 30) if n and x[i + 1 - n : i + 1] == text[end + 1 - n : end + 1]}
     scanner = licences.Scanner()
     for k, (label, notice) in enumerate(licences.NOTICES):
         w = notice.split()
