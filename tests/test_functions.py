@@ -197,3 +197,17 @@ def test_next_page(body, url, wanted):
 )
 def test_site_owner(page, wanted):
     assert dom.state(page, "https://a.b", ("owner",))["owner"] == wanted
+
+
+def test_pages_are_measured_by_their_visible_text(spark):
+    import re
+
+    from ledgerframe import queries_sources
+
+    sf = "/root/testdata/sf0.001"
+    shells = r"(?i)<div[^>]+id=[\"'](?:root|app|__next|__nuxt|svelte)[\"'][^>]*>\s*</div>|enable javascript|javascript is required|requires javascript"
+    want = {}
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        n = len(dom.parse(r.html).text())
+        want[r.page_id] = "little text" if n < 500 else "shell" if n < 2_000 and re.search(shells, r.html) else None
+    assert {r.page_id: r.reason for r in queries_sources.prd24_needs_render(spark, sf).collect()} == want and len(set(want.values())) > 1
