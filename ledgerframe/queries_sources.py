@@ -159,7 +159,7 @@ def src23_csv_tables(spark, d):
     path = scratch(spark, "files")
     columns = ["p_partkey", "p_name", "p_brand"]
     table(spark, d, "part").select(*[F.col(c).cast("string") for c in columns], "p_type").write.partitionBy("p_type").option("header", True).option("sep", ";").csv(path)
-    rows = files.rows(files.read(spark, f"{path}/*/*.csv"))
+    rows = files.table_rows(spark, f"{path}/*/*.csv")
     value = lambda c: F.get(F.filter("cells", lambda x: x["header"] == c), F.lit(0))["value"]
     return rows.select(*[value(c).alias(c) for c in columns])
 
@@ -170,7 +170,7 @@ def src25_json_tables(spark, d):
 
     path = scratch(spark, "files")
     table(spark, d, "part").select("p_partkey", "p_size", F.col("p_type").alias("name"), "p_type").write.partitionBy("p_type").json(path)
-    rows = files.rows(files.read(spark, f"{path}/*/*.json"))
+    rows = files.table_rows(spark, f"{path}/*/*.json")
     value = lambda c: F.get(F.filter("cells", lambda x: x["header"] == c), F.lit(0))["value"]
     return rows.select(value("name").alias("name"), value("p_size").cast("long").alias("s")).groupBy("name").agg(F.count("*").alias("n"), F.sum("s").alias("sizes"))
 

@@ -65,6 +65,22 @@ def test_tables_are_read_whole(spark, tmp_path):
     assert files.scan("b.csv", (tmp_path / "b.csv").read_bytes())[3] == []
 
 
+def test_tables_leave_in_pieces(spark, tmp_path):
+    n = 2 * files.PIECE + 1
+    (tmp_path / "a.xlsx").write_bytes(workbook())
+    (tmp_path / "b.csv").write_bytes(b"name,age\n" + b"\n".join(b"Ann,%d" % k for k in range(n)))
+    (tmp_path / "c.json").write_text("\n".join(json.dumps({"name": "Ann", "age": k} | ({"last": 1} if k == n - 1 else {})) for k in range(n)))
+    (tmp_path / "d.csv").write_bytes(b"name,age\n" * files.PIECE + b'"' + b"x" * 200_000)  # no reader gets to its end
+    for name in ("b.csv", "c.json"):
+        assert [len(p["rows"][0]) for p in files.pieces(name, (tmp_path / name).read_bytes())] == [files.PIECE, files.PIECE, 1]
+    path = f"file://{tmp_path}"
+    got, whole = ({(r.path, r.table, r.row, tuple(map(tuple, r.cells))) for r in d.collect()} for d in (files.table_rows(spark, path), files.rows(files.read(spark, path))))
+    assert got == whole and len(got) == 2 * n + 1
+    # A row of a table goes on without the rest of it.
+    plan = files.rows(files.read(spark, path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode(rows" in plan
+
+
 HEADERS = [
     ("Acme (YC) | Senior Engineer | Berlin, Germany | REMOTE | $120k-$150k | Full-time | https://acme.com", ("Acme", "Senior Engineer", "Berlin, Germany", "remote", "USD 120,000–150,000 / year", "Full-time", "https://acme.com")),
     ("**Acme** | *Engineer* | Designer | Remote (Europe) | Contract", ("Acme", "Engineer; Designer", "Remote (Europe)", "remote", None, "Contract", None)),
