@@ -65,9 +65,16 @@ def export_values(records: DataFrame, evidence: DataFrame, wanted: Filters, data
     return evidence.join(filtered(records, wanted, data).select(key), key, "left_semi")
 
 
+def two_digits(share: Column) -> Column:
+    """A number from 0 to 1 with the two digits nearest to the double itself, not to how it is written: 0.285 lies below the middle; of two as near the larger."""
+    # Whole numbers that fit 64 bits: share * 2^bits is one, exactly, and its 25 fold is the digits times 2^(bits - 2).
+    near = lambda bits: F.shiftright((share * F.lit(2.0**bits)).cast("long") * 25 + F.lit(1 << bits - 3), bits - 2)
+    return F.format_string("%.2f", F.when(share < 1 / 16, near(62)).otherwise(near(58)) / 100)
+
+
 def export_columns(records: DataFrame, fields: list[str], methods: DataFrame, key: str = "id") -> DataFrame:
     """An export's columns: the fields, then tier, score, status, match score and confidence with two digits, source, methods."""
-    two = lambda c: F.format_string("%.2f", F.col(c).cast("double"))
+    two = lambda c: two_digits(F.col(c).cast("double"))
     return records.join(methods, key, "left").select(
         *fields, "lead_tier", "lead_score", "status", two("match_score").alias("match_score"), two("confidence").alias("confidence"), "source", F.coalesce("evidence_methods", F.lit("")).alias("evidence_methods")
     )

@@ -162,14 +162,14 @@ def jon04_export_values(spark, d):
 
 @query(f"""WITH m AS (SELECT id, array_to_string(list_sort(list_distinct(list(field || ':' || method))), '; ') AS evidence_methods FROM ({_LINES}) GROUP BY id),
           s AS (SELECT *, CASE WHEN status = 'valid' THEN CAST(floor(50 * (0.5::DOUBLE + confidence) + 0.5::DOUBLE) AS INTEGER) END AS lead_score FROM ({_RECORDS}))
-          SELECT name, CASE WHEN lead_score >= 80 THEN 'strong' WHEN lead_score >= 60 THEN 'good' WHEN lead_score IS NOT NULL THEN 'possible' END AS lead_tier, lead_score, status, '0.50' AS match_score, printf('%.2f', round(confidence, 2)) AS confidence, source, coalesce(evidence_methods, '') AS evidence_methods
+          SELECT name, CASE WHEN lead_score >= 80 THEN 'strong' WHEN lead_score >= 60 THEN 'good' WHEN lead_score IS NOT NULL THEN 'possible' END AS lead_tier, lead_score, status, '0.50' AS match_score, printf('%.2f', ((CAST(CAST(confidence * 1152921504606846976 AS BIGINT) AS HUGEINT) * 100 + 576460752303423488) // 1152921504606846976) / 100.0::DOUBLE) AS confidence, source, coalesce(evidence_methods, '') AS evidence_methods
           FROM s LEFT JOIN m ON m.id = s.id""")
 def snk04_export_columns(spark, d):
     score = criteria.lead_score(F.col("status"), F.lit(0.5), F.col("confidence"))
     rows = _records(spark, d).withColumns({"match_score": F.lit(0.5), "lead_score": score}).withColumn("lead_tier", criteria.lead_tier(F.col("lead_score")))
     pairs = _lines(spark, d).select("id", F.concat_ws(":", "field", "method").alias("m")).distinct()
     methods = pairs.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("m")), "; ").alias("evidence_methods"))
-    return reads.export_columns(rows.withColumn("confidence", F.round("confidence", 2)), ["name"], methods)
+    return reads.export_columns(rows, ["name"], methods)
 
 
 @query(f"SELECT id, coalesce(nullif(concat_ws(', ', nullif(trim(priority), ''), CASE WHEN balance IS NOT NULL THEN name END), ''), id::VARCHAR) AS label FROM ({_RECORDS})")
