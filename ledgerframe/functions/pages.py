@@ -99,8 +99,8 @@ def shared(text: Column, query: str) -> Column:
 
 def ago(at: Column, now: Column) -> Column:
     """'3 days ago', 'yesterday', 'in 2 hours', 'just now': rounded in the largest unit that fits."""
-    seconds = F.round(F.unix_micros(at) / 1e6 - F.unix_micros(now) / 1e6)
     half_up = lambda x: F.floor(x + 0.5)
+    seconds = half_up((F.unix_micros(at) - F.unix_micros(now)) / 1e6)
 
     def said(unit: str, size: int) -> Column:
         n = half_up(seconds / size)

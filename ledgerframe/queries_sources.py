@@ -400,8 +400,11 @@ def k31_document_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(page_checks.document_text(F.col("text")), 256).alias("digest"))
 
 
-@query("""SELECT event_id, CASE WHEN s >= 86400 THEN CASE WHEN round(s / 86400) = 1 THEN 'yesterday' ELSE CAST(round(s / 86400) AS BIGINT) || ' days ago' END WHEN s >= 3600 THEN CAST(round(s / 3600) AS BIGINT) || CASE WHEN round(s / 3600) = 1 THEN ' hour ago' ELSE ' hours ago' END
-            WHEN s >= 60 THEN CAST(round(s / 60) AS BIGINT) || CASE WHEN round(s / 60) = 1 THEN ' minute ago' ELSE ' minutes ago' END ELSE 'just now' END AS ago FROM (SELECT event_id, round(epoch(TIMESTAMP '2024-06-01') - epoch(ts)) AS s FROM events)""")
+@query("""SELECT event_id, CASE WHEN abs(s) < 60 OR s IS NULL THEN 'just now' WHEN unit = 'day' AND n = -1 THEN 'yesterday' WHEN unit = 'day' AND n = 1 THEN 'tomorrow'
+            WHEN n < 0 THEN -n || ' ' || unit || CASE WHEN n = -1 THEN '' ELSE 's' END || ' ago' ELSE 'in ' || n || ' ' || unit || CASE WHEN n = 1 THEN '' ELSE 's' END END AS ago
+          FROM (SELECT *, CAST(floor(s / size + 0.5::DOUBLE) AS BIGINT) AS n FROM (
+            SELECT event_id, s, CASE WHEN abs(s) >= 86400 THEN 'day' WHEN abs(s) >= 3600 THEN 'hour' ELSE 'minute' END AS unit, CASE WHEN abs(s) >= 86400 THEN 86400 WHEN abs(s) >= 3600 THEN 3600 ELSE 60 END AS size
+            FROM (SELECT event_id, floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-06-01')) / 1e6::DOUBLE + 0.5::DOUBLE) AS s FROM events)))""")
 def k82_time_ago(spark, d):
     now = F.lit("2024-06-01 00:00:00").cast("timestamp")
     return table(spark, d, "events").select("event_id", page_checks.ago(F.col("ts").cast("timestamp"), now).alias("ago"))

@@ -211,3 +211,18 @@ def test_pages_are_measured_by_their_visible_text(spark):
         n = len(dom.parse(r.html).text())
         want[r.page_id] = "little text" if n < 500 else "shell" if n < 2_000 and re.search(shells, r.html) else None
     assert {r.page_id: r.reason for r in queries_sources.prd24_needs_render(spark, sf).collect()} == want and len(set(want.values())) > 1
+
+
+def test_halves_of_time_and_digits(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from ledgerframe.functions import pages
+    from ledgerframe.operators import reads
+
+    at = spark.sql("select timestamp(x) as at, k from values ('2024-05-29 12:00:00', 0), ('2024-05-30 12:00:00', 1), ('2024-06-03 12:00:00', 2), ('2024-05-31 23:59:00.5', 3), ('2024-05-31 22:30:00', 4), (null, 5) as t(x, k)")
+    got = [r.ago for r in at.select("k", pages.ago(F.col("at"), F.lit("2024-06-01").cast("timestamp")).alias("ago")).orderBy("k").collect()]
+    assert got == ["2 days ago", "yesterday", "in 3 days", "just now", "1 hour ago", "just now"]  # halves go up, as -2.5 to -2
+    said = [k / 1_000 for k in range(0, 1_001)]
+    rows = spark.createDataFrame([(x,) for x in said], "x double").select("x", reads.two_digits(F.col("x")).alias("s")).collect()
+    exact = lambda x: str(Decimal(x).quantize(Decimal("0.01"), ROUND_HALF_UP))
+    assert {r.x: r.s for r in rows} == {x: exact(x) for x in said}
