@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ledgerframe.operators import elements, paths
-from ledgerframe.session import materialise
+from ledgerframe.session import spread
 
 #: Groups and samples of each that are shown, characters of a block at most, and a sample's share of the budget.
 GROUPS, SAMPLES, BLOCK, SHARE = 3, 2, 400, 4
@@ -19,9 +19,9 @@ def shown_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     A group repeats a better one that is shown if an item of it is one of that one's, lies in one, or holds one. Items are
     all elements that the group's selector finds on the page. `rows` have `nth`, and no page furniture.
     """
-    best = materialise(elements.groups(rows, GROUPS).select("page_id", "place", "selector"), "fit-groups")
+    best = spread(elements.groups(rows, GROUPS).select("page_id", "place", "selector"), "fit-groups")
     asks = best.select("page_id", F.col("place").alias("key"), F.lit(-1).alias("i"), F.lit(1 << 30).alias("last"), F.array(paths.own_step("selector")).alias("steps"))
-    items = materialise(paths.select(rows, asks).withColumnRenamed("key", "place"), "fit-items")
+    items = spread(paths.select(rows, asks).withColumnRenamed("key", "place"), "fit-items")
     # Intervals nest or lie apart: two groups touch where an item of one starts within one of the other.
     marks = items.select("page_id", "i", "last", "place")
     before = W.partitionBy("page_id").orderBy("i", "place").rowsBetween(W.unboundedPreceding, -1)
@@ -48,9 +48,9 @@ def fit_text(pages: DataFrame, query: str, most: int = 8_000) -> DataFrame:
     found = elements.parts(pages.select("page_id", "html"))
     every = elements.rows_of(found)
     every = every.withColumn("_out", F.col("tag").isin(*elements.CHROME)).withColumn("_in", elements.inside(F.col("tag").isin(*elements.CHROME)))
-    rows = materialise(paths.placed(every.filter("not _out and not _in").drop("_out", "_in")), "fit-elements")
+    rows = spread(paths.placed(every.filter("not _out and not _in").drop("_out", "_in")), "fit-elements")
     best, items = shown_groups(rows)
-    best, items = materialise(best, "fit-shown"), materialise(items, "fit-shown-items")
+    best, items = spread(best, "fit-shown"), spread(items, "fit-shown-items")
     numbered = items.withColumn("n", F.row_number().over(W.partitionBy("page_id", "place").orderBy("i")))
     size = numbered.groupBy("page_id", "place").agg(F.count("*").alias("size"))
     sample = numbered.filter(F.col("n") <= SAMPLES).join(rows.select("page_id", "i", "start", "stop"), ["page_id", "i"]).join(found.select("page_id", "text"), "page_id")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerframe.operators import elements, paths, recipes, seeds
-from ledgerframe.session import materialise
+from ledgerframe.session import spread
 
 #: Share of an item's and its new place's distinct pieces of text that both show.
 LEAST = 0.3
@@ -44,21 +44,21 @@ def assigned(pairs: DataFrame) -> DataFrame:
     A pair that is the best of both its sides is taken, what meets either is left out, and so on; this gives what taking
     the best pair of the page again and again gives. Every round is a job on what is left.
     """
-    left, taken = materialise(pairs, "moves"), []
+    left, taken = spread(pairs, "moves"), []
     rank = lambda *rest: F.min(F.struct((-F.col("similarity")).alias("s"), "item", "moved", *rest)).alias("x")
     while not left.isEmpty():
         by_item = left.groupBy("page_id", "item").agg(rank("shared", "similarity")).select("page_id", "item", "x.moved", "x.shared", "x.similarity")
         by_place = left.groupBy("page_id", "moved").agg(rank()).select("page_id", "moved", "x.item")
-        best = materialise(by_item.join(by_place, ["page_id", "item", "moved"]), "moves-taken")
+        best = spread(by_item.join(by_place, ["page_id", "item", "moved"]), "moves-taken")
         taken.append(best.select("page_id", "item", "moved", "shared", "similarity"))
         left = left.join(best.select("page_id", "item"), ["page_id", "item"], "left_anti").join(best.select("page_id", "moved"), ["page_id", "moved"], "left_anti")
-        left = materialise(left, "moves")
+        left = spread(left, "moves")
     return reduce(DataFrame.unionByName, taken) if taken else left
 
 
 def moved_items(old: DataFrame, old_items: DataFrame, new: DataFrame, places: DataFrame, least: float = LEAST) -> DataFrame:
     """Where old items (page_id, i, last) of a page are among the new version's places (page_id, i, last): page_id, item, moved, shared, similarity; no place twice."""
-    return assigned(alike_pairs(materialise(pieces(old, old_items), "old-pieces"), materialise(pieces(new, places), "new-pieces"), least))
+    return assigned(alike_pairs(spread(pieces(old, old_items), "old-pieces"), spread(pieces(new, places), "new-pieces"), least))
 
 
 def relocated(before: DataFrame, after: DataFrame, items: str, fields: recipes.Fields, least: float = LEAST) -> DataFrame:
@@ -76,7 +76,7 @@ def relocated(before: DataFrame, after: DataFrame, items: str, fields: recipes.F
     listed, values = recipes.read(old_found, old, recipe)
     moves = moved_items(old, listed, new, new.filter(~F.col("tag").isin(*seeds.AROUND)).select("page_id", "i", "last"), least)
     first = moves.groupBy("page_id").agg(F.min(F.struct((-F.col("shared")).alias("s"), "item", "moved")).alias("x")).select("page_id", "x.item", "x.moved", (-F.col("x.s")).alias("shared"))
-    first = materialise(first, "moved-records")
+    first = spread(first, "moved-records")
     attribute = F.create_map(*[x for f, (_, a) in fields.items() for x in (F.lit(f), F.lit(a).cast("string"))])
     wanted = first.join(values.withColumnRenamed("i", "item"), ["page_id", "item"]).select("page_id", "moved", "field", "value", attribute[F.col("field")].alias("attribute"))
     within = new.select("page_id", "i", "attributes", "start", "stop", "tag").join(first.join(new.select("page_id", F.col("i").alias("moved"), F.col("last").alias("end")), ["page_id", "moved"]).select("page_id", "moved", "end"), "page_id").filter((F.col("i") >= F.col("moved")) & (F.col("i") <= F.col("end")))
@@ -88,7 +88,7 @@ def relocated(before: DataFrame, after: DataFrame, items: str, fields: recipes.F
     same = shown.filter(read == F.col("value")).groupBy("page_id", "moved", "field", "attribute").agg(F.min(F.struct((~F.coalesce(F.col("tag") == tag, F.lit(False))).alias("other"), (-F.col("i")).alias("up"))).alias("x"))
     targets = same.select("page_id", F.struct("field", "attribute").alias("key"), F.col("moved").alias("item"), (-F.col("x.up")).alias("i"))
     spelled = F.concat("selector", F.coalesce(F.concat(F.lit("@"), F.col("key.attribute")), F.lit("")))
-    written = seeds.relative_selectors(new, materialise(targets, "moved-fields")).groupBy("page_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key.field", spelled.alias("s"))))).alias("fields"))
+    written = seeds.relative_selectors(new, spread(targets, "moved-fields")).groupBy("page_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key.field", spelled.alias("s"))))).alias("fields"))
     item = first.select("page_id", F.col("moved").alias("i"))
     members = elements.alike(new, item).select("page_id", F.lit(0).alias("group"), F.col("other").alias("i")).unionByName(item.select("page_id", F.lit(0).alias("group"), "i"))
     named = seeds.group_selectors(new, members)

@@ -9,7 +9,7 @@ from ledgerframe.functions.evidence import from_text, Proof, normal_pay
 from ledgerframe.functions.parsers import arrangement, first_number
 from ledgerframe.functions.url import canonical_url
 from ledgerframe.operators import elements, recipes
-from ledgerframe.session import materialise
+from ledgerframe.session import spread
 
 #: Forms of columns: what a raw value becomes.
 FORMS = {"number": lambda c: first_number(c).cast("string"), "pay": normal_pay, "arrangement": lambda c: F.coalesce(arrangement(c), F.lower(F.trim(c))), "text": F.trim}
@@ -22,12 +22,12 @@ def page_chain(pages: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     there or has been read already. Every round is a join of the last pages with the links; texts join at the end only.
     """
     known = pages.select(canonical_url(F.col("url")).alias("key"), "url", "html").filter("key is not null").groupBy("key").agg(F.min_by(F.struct("url", "html"), "url").alias("p"))
-    links = materialise(known.select("key", canonical_url(dom.page_facets("next_page")(F.col("p.html"), F.col("p.url"))["next_page"]).alias("following")), "page-links")
-    now = materialise(starts.select(canonical_url(F.col("start")).alias("start")).distinct().join(links, F.col("start") == F.col("key")).select("start", "key", F.lit(0).alias("place")), "page-chain")
+    links = spread(known.select("key", canonical_url(dom.page_facets("next_page")(F.col("p.html"), F.col("p.url"))["next_page"]).alias("following")), "page-links")
+    now = spread(starts.select(canonical_url(F.col("start")).alias("start")).distinct().join(links, F.col("start") == F.col("key")).select("start", "key", F.lit(0).alias("place")), "page-chain")
     found = now
     for k in range(1, most):
         ahead = now.join(links, "key").select("start", F.col("following").alias("key")).filter("key is not null").join(links.select("key"), "key", "left_semi")
-        now = materialise(ahead.join(found.select("start", "key"), ["start", "key"], "left_anti").select("start", "key", F.lit(k).alias("place")), "page-chain")
+        now = spread(ahead.join(found.select("start", "key"), ["start", "key"], "left_anti").select("start", "key", F.lit(k).alias("place")), "page-chain")
         if now.isEmpty():
             break
         found = found.union(now)
