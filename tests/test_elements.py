@@ -109,3 +109,30 @@ def test_alike_elements(rows, parsed):
             if like:
                 want.add(i)
     assert got == want and len(got) >= 2
+
+
+def test_pages_are_worked_on_in_slices(spark):
+    import pandas as pd
+
+    from ledgerframe.functions import slices
+
+    texts = pd.Series(["x" * slices.CHARACTERS, None, "a", *["b"] * (slices.ROWS + 5), "y" * (slices.CHARACTERS - 1), "zz"])
+    parts = [p[0] for p in slices.slices((texts, texts.map(lambda _: None)))]
+    assert pd.concat(parts).equals(texts) and all(len(p) <= slices.ROWS and (len(p) == 1 or sum(map(len, p.dropna())) <= slices.CHARACTERS) for p in parts) and len(parts) >= 4
+    assert list(slices.slices((texts[:0],))) == []
+    page = "<ul>" + "<li><a href='/x'>entry</a>" * 4_000 + "</ul>"
+    rows = spark.range(0, 40, 1, 1).select(F.col("id").alias("page_id"), F.when(F.col("id") % 9 > 0, F.concat(F.lit(page), F.lit("<p>"), F.col("id").cast("string"))).alias("html"))
+    found = elements.elements(rows)
+    assert {r.page_id: r["count"] for r in found.groupBy("page_id").count().collect()} == {k: 8_002 for k in range(40) if k % 9}
+    said = rows.select("page_id", dom.page_facets("text")(F.col("html"), F.lit("https://a.example/"))["text"].alias("text")).collect()
+    assert [(r.text or "").split("\n")[-1] for r in sorted(said)] == [str(k) if k % 9 else "" for k in range(40)]
+
+
+def test_tables_of_pages_are_not_broadcast(spark):
+    from ledgerframe.session import spread
+
+    rows = spark.range(1_000).select("id", F.array_repeat(F.lit("x" * 1_000), 50).alias("steps"))  # 50 MB in a file of a few KB
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    kept = spread(rows, "test").filter("id % 2 = 0").select("id", F.explode("steps").alias("step"))
+    assert "Broadcast" not in plan(spark.range(10_000_000).join(kept, "id"))
+    assert kept.join(spark.range(10), "id").count() == 250
