@@ -226,3 +226,56 @@ def test_halves_of_time_and_digits(spark):
     rows = spark.createDataFrame([(x,) for x in said], "x double").select("x", reads.two_digits(F.col("x")).alias("s")).collect()
     exact = lambda x: str(Decimal(x).quantize(Decimal("0.01"), ROUND_HALF_UP))
     assert {r.x: r.s for r in rows} == {x: exact(x) for x in said}
+
+
+def test_quotes_against_a_plain_walk():
+    import random
+    import re
+    import time
+    import unicodedata
+
+    def plain(quote, words):
+        def folded(t):
+            out, places = [], []
+            for i, c in enumerate(t):
+                if re.match(text.INVISIBLE, c):
+                    continue
+                for x in unicodedata.normalize("NFKC", c).translate(text._PLAIN).lower():
+                    if x.isspace():
+                        if out and out[-1] == " ":
+                            continue
+                        x = " "
+                    out.append(x)
+                    places.append(i)
+            return "".join(out), places
+
+        wanted, (whole, places) = folded(quote)[0].strip(), folded(words)
+        at = whole.find(wanted)
+        return None if len(wanted) < 2 or at < 0 else (places[at], places[at + len(wanted) - 1] + 1)
+
+    draw = random.Random(3)
+    for _ in range(3_000):
+        words = "".join(draw.choices("aAbB \t\n ​´`’'–-ﬁΣİ½\x1f", k=draw.randint(0, 30)))
+        at = draw.randint(0, 20)
+        quote = words[at : at + draw.randint(0, 12)].swapcase()
+        assert text._locate(quote, words) == plain(quote, words), (quote, words)
+    long, start = "Some words – of prose\n" * 100_000, time.process_time()
+    assert text._locate("no such quote", long) is None
+    assert time.process_time() - start < 1  # the walk takes several
+
+
+def test_facts_are_worked_out_once(spark):
+    from ledgerframe.sources import hits
+
+    rows = spark.createDataFrame([("https://a.example/ann", "Ann Lee (@ann)", "Cooks soups in Oslo all year · 3K followers")], "url string, title string, description string")
+    out = hits.profile_items(rows, {"who": "name", "about": "bio"})
+    assert out.first().about.value == "Cooks soups in Oslo all year" and out.first().who.locator == "0-7"
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 2
+
+
+def test_single_lines_of_ascii_stay_in_spark(spark):
+    rows = spark.createDataFrame([("plain  a",), ("ﬁne b",), (None,), ("",)], "x string")
+    assert [r.y for r in rows.select(text.single_line(F.col("x")).alias("y")).collect()] == ["plain a", "fine b", None, ""]
+    sent = rows.select(F.when(F.col("x").rlike(r"[^\x00-\x7F]"), F.col("x")).alias("s"), text.nfkc(F.col("x")).alias("y"))
+    assert [r.s is None for r in sent.collect()] == [True, False, True, True]
+    assert "CASE WHEN RLIKE" in sent._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")[1]
