@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -129,14 +130,20 @@ class _Changes(StatefulProcessor):
         found = pd.concat(list(rows))
         found = found.assign(_at=_millis(found["ts"])).sort_values(["_at", "event_id"])
         out, first = [], not self.told.exists()
-        for second, part in found.groupby(found["_at"] // 1_000 * 1_000, sort=True):
-            last = dict(zip(part["topic"], part["value"]))
-            changed = [t for t, v in last.items() if not self.values.containsKey((t,)) or self.values.getValue((t,))[0] != v]
+        # The state is asked once and told once, however many events come: each call of it is a message to another process.
+        known = {} if first else {key[0]: value[0] for key, value in self.values.iterator()}
+        new = {}
+        seconds = (found["_at"] // 1_000 * 1_000).tolist()
+        for second, part in groupby(zip(seconds, found["topic"].tolist(), found["value"].tolist()), key=lambda x: x[0]):
+            last = {topic: value for _, topic, value in part}
+            changed = [t for t, v in last.items() if t not in known or known[t] != v]
             for t in changed:
-                self.values.updateValue((t,), (last[t],))
+                known[t] = new[t] = last[t]
             if first or changed:
-                out.append((int(second), ",".join(sorted(self.topics if first else changed))))
+                out.append((second, ",".join(sorted(self.topics if first else changed))))
                 first = False
+        for t, v in new.items():
+            self.values.updateValue((t,), (v,))
         if out:
             self._tell(out[-1][0])
         yield _frame(key[0], out, ["topics"])

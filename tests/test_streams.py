@@ -108,3 +108,38 @@ def test_only_changes_are_told(stream):
     alive = {g for g in stream.feed(quiet, make) if not g[2]}
     last = {r: max(g[1] for g in got if g[0] == r and g[2]) for r in {g[0] for g in got}}
     assert {(r, at + dt.timedelta(seconds=15), "") for r, at in last.items()} <= alive | {g for g in got if not g[2]}
+
+
+def test_changes_ask_the_state_once():
+    import pandas as pd
+
+    from ledgerframe.streaming import runs
+
+    class Told:
+        held, calls = None, 0
+        exists = lambda self: self.held is not None
+        def update(self, v): self.held = v  # noqa: E704
+
+    class Values(dict):
+        calls = 0
+        def iterator(self):
+            self.calls += 1
+            return iter(list(self.items()))
+        def updateValue(self, k, v):
+            self.calls += 1
+            self[k] = v
+
+    class Handle:
+        values, told = Values(), Told()
+        getMapState = lambda self, *_: self.values
+        getValueState = lambda self, *_: self.told
+        listTimers = lambda self: iter(())
+        registerTimer = lambda self, at: None
+
+    handle, made = Handle(), runs._Changes(("a", "b"), 10)
+    made.init(handle)
+    events = lambda start, n: pd.DataFrame({"ts": pd.to_datetime([1_000 * (start + k) for k in range(n)], unit="ms"), "event_id": range(n), "topic": ["a", "b"] * (n // 2), "value": [str(k // 4) for k in range(n)]})
+    first = pd.concat(list(made.handleInputRows(("r",), iter([events(0, 1_000)]), None)))
+    assert first["topics"].tolist()[:4] == ["a,b", "b", "a", "b"] and len(first) == 500 and handle.values == {("a",): ("249",), ("b",): ("249",)}
+    again = pd.concat(list(made.handleInputRows(("r",), iter([events(1_000, 4)]), None)))
+    assert again["topics"].tolist() == ["a", "b"] and handle.values.calls <= 6
