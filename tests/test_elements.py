@@ -136,3 +136,10 @@ def test_tables_of_pages_are_not_broadcast(spark):
     kept = spread(rows, "test").filter("id % 2 = 0").select("id", F.explode("steps").alias("step"))
     assert "Broadcast" not in plan(spark.range(10_000_000).join(kept, "id"))
     assert kept.join(spark.range(10), "id").count() == 250
+
+
+def test_pages_are_parsed_once(spark):
+    rows = spark.createDataFrame([(1, "https://a.example/", "<h1>Acme Ltd</h1><p>a<b>c</b>"), (2, None, None), (3, "https://b.example/", "<script>1</script>")], "page_id long, url string, html string")
+    found = elements.elements(rows)
+    assert found._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
+    assert sorted((r.page_id, r.i, r.tag) for r in found.collect()) == [(1, 0, "h1"), (1, 1, "p"), (1, 2, "b")]
