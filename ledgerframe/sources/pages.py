@@ -42,7 +42,7 @@ def list_items(chain: DataFrame, recipe: tuple[str, dict[str, tuple[str, str | N
     """
     items, fields = recipe
     once = chain.groupBy("url").agg(F.first("html").alias("html")).withColumn("page_id", F.col("url"))  # a page can be in many lists
-    found = elements.parts(once.withColumn("_owner", dom.page_facets("owner")(F.col("html"), F.col("url"))["owner"]))
+    found = elements.parts(once, "owner").withColumnRenamed("owner", "_owner")
     listed = recipes.replay_parts(found, items, fields).select("page_id", F.col("ord").alias("n"), F.map_filter(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))]), lambda _, v: v.isNotNull()).alias("item"))
     rows = chain.select("start", "place", "url").join(found.select("page_id", "url", "_owner"), "url").join(listed, "page_id")
     once = rows.groupBy("start", F.to_json(F.map_entries("item")).alias("_same")).agg(F.min(F.struct("place", "n", "url", "_owner")).alias("at"), F.min_by("item", F.struct("place", "n")).alias("item"))

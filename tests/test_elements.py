@@ -143,3 +143,5 @@ def test_pages_are_parsed_once(spark):
     found = elements.elements(rows)
     assert found._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
     assert sorted((r.page_id, r.i, r.tag) for r in found.collect()) == [(1, 0, "h1"), (1, 1, "p"), (1, 2, "b")]
+    read = {r.page_id: (r.text, [e.tag for e in r.elements], r.owner) for r in elements.parts(rows, "owner").collect()}
+    assert read == {1: ("Acme Ltd\nac", ["h1", "p", "b"], "Acme Ltd"), 2: ("", [], None), 3: ("", [], None)}
