@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerframe.functions.parsers import arrangement, employment_type, join_locations, workplace
-from ledgerframe.functions.text import decode_entities, html_to_text, truncate
+from ledgerframe.functions.text import coded_html_to_text, truncate
 
 FIELDS = ("title", "company", "location", "url", "arrangement", "employment", "posted", "salary_low", "salary_high", "currency", "description")
 
@@ -31,11 +31,10 @@ def greenhouse(spark: SparkSession, path: str, company: str) -> DataFrame:
 
 def greenhouse_rows(board: DataFrame, company: str) -> DataFrame:
     """Rows of boards that are read already, one board a row."""
-    df = board.select(F.posexplode("jobs").alias("ord", "j"))
-    places = join_locations(F.split(F.col("j.location.name"), r"\s*[;|]\s*"))
+    df = board.select(F.posexplode("jobs").alias("ord", "j")).withColumn("_places", join_locations(F.split(F.col("j.location.name"), r"\s*[;|]\s*"))).withColumn("_text", coded_html_to_text(F.col("j.content")))
+    places = F.col("_places")
     stated = F.get(F.filter("j.metadata", lambda m: F.lower(m["name"]).rlike("location type|workplace|remote")), F.lit(0))["value"]
-    text = html_to_text(decode_entities(F.col("j.content")))
-    return _rows(df, F.coalesce("j.company_name", F.lit(company)), "greenhouse", {"title": F.col("j.title"), "location": F.when(places != "", places), "url": F.col("j.absolute_url"), "arrangement": F.coalesce(workplace(stated), arrangement(places)), "posted": F.coalesce("j.first_published", "j.updated_at"), "description": truncate(text, 500)}, F.col("j.id"))
+    return _rows(df, F.coalesce("j.company_name", F.lit(company)), "greenhouse", {"title": F.col("j.title"), "location": F.when(places != "", places), "url": F.col("j.absolute_url"), "arrangement": F.coalesce(workplace(stated), arrangement(places)), "posted": F.coalesce("j.first_published", "j.updated_at"), "description": truncate(F.col("_text"), 500)}, F.col("j.id"))
 
 
 def ashby(spark: SparkSession, path: str, company: str) -> DataFrame:

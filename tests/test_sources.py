@@ -181,3 +181,18 @@ def test_records_read_from_their_own_data(spark):
     table = spark.createDataFrame([("https://a.b/x", several), ("https://a.b/y", one), ("https://a.b/z", "<p>none")], "url string, html string")
     got = {(r.page, r.n): (r.url, r.name, r.company_size) for r in pages.record_items(table, ["name", "url", "company_size"], {"size": ("numberOfEmployees",)}).collect()}
     assert got == {("https://a.b/x", 0): ("https://a.b/1", "A", None), ("https://a.b/x", 1): ("https://a.b/own", "B", None), ("https://a.b/y", 0): ("https://a.b/y", "C", "7"), ("https://a.b/z", 0): ("https://a.b/z", None, None)}
+
+
+def test_a_boards_texts_go_to_python_once(spark):
+    from ledgerframe.functions import parsers
+    from ledgerframe.sources import boards
+
+    coded = "&lt;p&gt;Pays &lt;b&gt;well&lt;/b&gt; &amp;amp; more&lt;/p&gt;&lt;p&gt;Oslo&lt;/p&gt;"
+    jobs = [(k, f"T{k}", None, None, {"name": "OSLO ;  New   York| oslo ;; Bergen|new york"} if k < 4 else None, None, None, "2024-01-02", coded if k % 2 else None) for k in range(6)]
+    board = spark.createDataFrame([(jobs,)], boards.GREENHOUSE)
+    rows = boards.greenhouse_rows(board, "Acme")
+    assert rows._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
+    got = {r.external_id: (r.location, r.description) for r in rows.collect()}
+    assert got == {str(k): ("OSLO; New York; Bergen" if k < 4 else None, "Pays well & more\nOslo" if k % 2 else None) for k in range(6)}
+    places = spark.createDataFrame([(1, ["a", None, " A ", "", "b  c", "B C", "É", "é"]), (2, []), (3, None)], "k int, p array<string>")
+    assert [r.j for r in places.orderBy("k").select(parsers.join_locations(F.col("p")).alias("j")).collect()] == ["a; b c; É", "", None]
