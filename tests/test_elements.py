@@ -145,3 +145,30 @@ def test_pages_are_parsed_once(spark):
     assert sorted((r.page_id, r.i, r.tag) for r in found.collect()) == [(1, 0, "h1"), (1, 1, "p"), (1, 2, "b")]
     read = {r.page_id: (r.text, [e.tag for e in r.elements], r.owner) for r in elements.parts(rows, "owner").collect()}
     assert read == {1: ("Acme Ltd\nac", ["h1", "p", "b"], "Acme Ltd"), 2: ("", [], None), 3: ("", [], None)}
+
+
+def test_batches_stay_packed_beside_the_slice_at_work(spark):
+    import tracemalloc
+
+    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from ledgerframe.functions import slices
+
+    def held(texts: pd.Series) -> pd.DataFrame:  # traced from the first batch on, so that the second is seen whole
+        tracemalloc.start() if not tracemalloc.is_tracing() else None
+        return pd.DataFrame({"n": [None if t is None else len(t) for t in texts], "held": tracemalloc.get_traced_memory()[0], "marks": [{"a": "b"}] * len(texts)})
+
+    kind = T.StructType().add("n", "long").add("held", "long").add("marks", T.MapType(T.StringType(), T.StringType()))
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        text = F.when(F.col("id") != 30, F.concat(F.repeat(F.lit("x"), slices.CHARACTERS), F.col("id").cast("string")))
+        made = spark.range(0, 40, 1, 1).select("id", slices.sliced_udf(kind)(held)(text).alias("p")).select("id", "p.*").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    assert [r.n for r in made] == [None if k == 30 else slices.CHARACTERS + len(str(k)) for k in range(40)] and all(r.marks == {"a": "b"} for r in made)
+    assert max(r.held for r in made) < 30 * slices.CHARACTERS  # a batch has twenty times as many, in Arrow's form alone
+    texts = pa.array(["é€😀", None, "", *["b"] * (slices.ROWS + 5)])
+    assert [t for p in slices.slices((texts, texts)) for t in p[0]] == texts.to_pylist() and list(slices.slices((texts[:0],))) == []
