@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from ledgerframe.functions import dom, evidence, pages as page_checks, parsers, text
@@ -501,6 +503,16 @@ def src31_cached_copy(spark, d):
     return newest.filter(F.col("ts") < F.lit("2024-01-30").cast("timestamp_ntz")).select(F.col("user_id").alias("key"), "value", "event_id")
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS line FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\x00-\x7F]')""")
+# NFKC, which DuckDB lacks: signs that have a plain form besides NFC's (ligatures, wide digits) become it, then NFC. Planes 0
+# and 1 hold them all. DuckDB's NFC ends at U+0000 and loses U+11A7, so it gets what lies between them.
+
+_PLAIN = {c: unicodedata.normalize("NFKD", c) for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))) if unicodedata.normalize("NFKD", c) != unicodedata.normalize("NFD", c)}
+_SIGNS, _FORMS = "".join(_PLAIN), ["['" + "', '".join(x.replace("'", "''") for x in xs) + "']" for xs in (_PLAIN, _PLAIN.values())]
+_NFKC = rf"""array_to_string(list_transform(regexp_extract_all(CASE WHEN regexp_matches(text, '[{_SIGNS}]') THEN array_to_string(list_transform(regexp_extract_all(text, '[{_SIGNS}]|[^{_SIGNS}]+'),
+            lambda p: coalesce(map({_FORMS[0]}, {_FORMS[1]})[p], p)), '') ELSE text END, '[\x00\x{{11A7}}]|[^\x00\x{{11A7}}]+'), lambda p: nfc_normalize(p)), '')"""
+
+
+@query(rf"""SELECT doc_id, trim(regexp_replace(regexp_replace({_NFKC}, '[\x{{200B}}-\x{{200D}}\x{{2060}}\x{{FEFF}}\x{{202A}}-\x{{202E}}\x{{2066}}-\x{{2069}}]', '', 'g'),
+            '[\s\x0B\x{{1680}}\x{{2028}}\x{{2029}}]+', ' ', 'g')) AS line FROM documents""")
 def k22_single_line(spark, d):
-    return table(spark, d, "documents").filter(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", text.single_line(F.col("text")).alias("line"))
+    return table(spark, d, "documents").select("doc_id", text.single_line(F.col("text")).alias("line"))

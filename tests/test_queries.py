@@ -35,3 +35,17 @@ def test_entry(spark):
         pytest.skip("no test data")
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_single_lines_of_all_texts(spark, tmp_path):
+    """Texts beyond ASCII and null ones have a line as well."""
+    import duckdb
+
+    lines = {"plain  a": "plain a", None: None, "": "", "é\n\u00a0ü ": "é ü", "e\u0301a": "éa", "ﬁ １２ ™ ½": "fi 12 TM 1⁄2", "a\u200bb\ufeff \u202ec": "ab c"}
+    lines |= {"x\u2028\u2029y\u1680z\x0b\tw": "x y z w", "\u3000가\u1100\u1161ｶﾞ": "가가ガ", "＇’": "'’", "a\x1fb\x85c": "a\x1fb\x85c", "é\x00ﬁ": "é\x00fi", "㉱\u11a7": "라\u11a7"}
+    spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = list(enumerate(lines.values()))
+    assert sorted(map(tuple, queries.QUERIES["k22_single_line"](spark, str(tmp_path)).collect())) == want
+    assert sorted(db.sql(queries.ORACLE_SQL["k22_single_line"]).fetchall()) == want
